@@ -9,7 +9,7 @@ from ledgerloom import settings as S
 # Every character Python's str.strip() removes.
 SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 SPACE_CLASS = r"[\s\x1c-\x1f\x85\p{Z}]"
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(text: Column) -> Column:
