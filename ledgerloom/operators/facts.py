@@ -75,9 +75,12 @@ def quarterly_values(facts: DataFrame) -> DataFrame:
 
 
 def candidate_table(facts: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
-    """The candidate list as a table: a few dozen rows whatever the data."""
-    schema = "metric string, concept string, unit string, kind string, pref int"
-    return facts.sparkSession.createDataFrame(list(candidates), schema)
+    """The candidate list as an inline table: a few dozen rows whatever the data."""
+    rows = [
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(("metric", "concept", "unit", "kind", "pref"), candidate)])
+        for candidate in candidates
+    ]
+    return facts.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
 
 def candidate_values(facts: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerloom.functions.formatting import csv_line, number_text
 from ledgerloom.operators.skew import best_row
@@ -61,32 +62,54 @@ def insert_chunks(rows: DataFrame, path: str) -> DataFrame:
     return insert_if_absent(rows, path, ["accession_number", "chunk_index"])
 
 
+TRUTH_KEYS = ["cik", "fiscal_year"]
+
+
 def pin_truth(truth: DataFrame, path: str, refresh: bool = False) -> DataFrame:
     """Truth of each (cik, fiscal_year) as first written, so restatements do not move it.
 
-    ``refresh`` replaces the years it is given and leaves the others.
+    ``refresh`` appends a newer version of the given years. Nothing is rewritten,
+    so a run that is cut off leaves the earlier version in place.
     """
     spark = truth.sparkSession
-    if not refresh:
-        return insert_if_absent(truth, path, ["cik", "fiscal_year"])
-    kept = _stored(spark, path, truth.schema).join(truth.select("cik", "fiscal_year"), ["cik", "fiscal_year"], "left_anti")
-    # Read and written in one job: the new version goes beside the old one.
-    version = f"{path.rstrip('/')}-refreshed"
-    kept.unionByName(truth).write.mode("overwrite").parquet(version)
-    spark.read.schema(truth.schema).parquet(version).write.mode("overwrite").parquet(path)
-    return _stored(spark, path, truth.schema).join(truth.select("cik", "fiscal_year"), ["cik", "fiscal_year"], "left_semi")
-
-
-def write_run(records: DataFrame, path: str, tag: str | None = None) -> str:
-    """Write the records of a run, replacing the run of the same date and tag."""
-    named = records.withColumn("tag", F.lit(tag or ""))
+    stored = _stored(spark, path, _versioned(truth))
+    latest = stored.groupBy(*TRUTH_KEYS).agg(F.max("version").alias("version"))
+    known = truth.dropDuplicates(TRUTH_KEYS).join(latest, TRUTH_KEYS, "left")
+    new = known if refresh else known.filter(F.col("version").isNull())
+    new = new.withColumn("version", F.coalesce(F.col("version") + 1, F.lit(0)))
+    new.select(*truth.columns, "version").write.mode("append").parquet(path)
+    return pinned_truth(spark, path, truth).join(truth.select(*TRUTH_KEYS).distinct(), TRUTH_KEYS, "left_semi")
+
+
+def pinned_truth(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The valid version of every pinned key; ``like`` gives the columns."""
+    return best_row(_stored(spark, path, _versioned(like)), TRUTH_KEYS, [F.col("version")])
+
+
+def _versioned(truth: DataFrame) -> StructType:
+    return StructType([*truth.schema.fields, StructField("version", IntegerType())])
+
+
+def write_run(records: DataFrame, path: str) -> None:
+    """Write the records of one or more runs, each replacing the run of the same name.
+
+    The name is ``run_date``, or ``run_date-tag`` for a tagged run. Every record
+    carries its run's settings.
+    """
+    tag = F.when(F.coalesce(F.col("tag"), F.lit("")) != "", F.concat(F.lit("-"), "tag")).otherwise("")
     (
-        named.write.mode("overwrite")
+        records.withColumn("artifact", F.concat("run_date", tag))
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_date", "tag")
+        .partitionBy("artifact")
         .parquet(path)
     )
-    return path
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Records of all written runs; a filter on ``artifact`` prunes folders."""
+    runs = spark.read.parquet(path)
+    return runs.withColumn("artifact", F.col("artifact").cast("string"))
 
 
 # --- CSV ------------------------------------------------------------------------------
@@ -105,19 +128,7 @@ def csv_rows(analyses: DataFrame) -> DataFrame:
 
 
 def write_csv(analyses: DataFrame, path: str) -> None:
-    """Header and rows with CRLF line ends; every part file starts with the header."""
-    header = ",".join(CSV_COLUMNS)
-
-    def with_header(batches):
-        first = True
-        for batch in batches:
-            if first:
-                import pandas as pd
-
-                first = False
-                yield pd.DataFrame({"line": [header]})
-            yield batch
-
-    csv_rows(analyses).mapInPandas(with_header, "line string").write.mode("overwrite").option(
-        "lineSep", "\r\n"
-    ).text(path)
+    """Header and rows with CRLF line ends; the part files in name order are the CSV file."""
+    header = analyses.sparkSession.range(1).coalesce(1).select(F.lit(",".join(CSV_COLUMNS)).alias("line"))
+    lines = header.unionByName(csv_rows(analyses))
+    lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
