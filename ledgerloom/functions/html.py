@@ -85,7 +85,7 @@ def html_to_text(html: Column) -> Column:
     native = tidy_lines(decode_entities(bare))
     # Only pages with markup the expression left behind travel to Python.
     broken = F.when(bare.rlike(LEFTOVER), html)
-    return F.coalesce(_parse_broken(broken), native)
+    return F.coalesce(F.pandas_udf(_texts_of, "string")(broken), native)
 
 
 class _TextNodes(HTMLParser):
@@ -125,6 +125,5 @@ def _text_of(html: str | None) -> str | None:
     return "\n".join(line for line in lines if line)
 
 
-@F.pandas_udf("string")
-def _parse_broken(html: pd.Series) -> pd.Series:
+def _texts_of(html: pd.Series) -> pd.Series:
     return html.map(_text_of, na_action="ignore")

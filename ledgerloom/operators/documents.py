@@ -39,7 +39,7 @@ def spread_chunks(pieces: DataFrame, others: list[str], budget: int, first: Colu
     todo = pieces.withColumn("__first", first.cast("int")).withColumn(
         "__todo", F.slice("__chunks", F.col("__first") + 1, F.size("__chunks"))
     )
-    todo = todo.withColumn("__tokens", F.transform("__todo", estimate_tokens))
+    todo = todo.withColumn("__tokens", F.transform("__todo", lambda chunk: estimate_tokens(chunk)))
     zipped = F.arrays_zip(
         F.col("__todo").alias("content"), F.col("__tokens").alias("tokens"), plan_batches(F.col("__tokens"), budget).alias("batch")
     )
@@ -47,9 +47,9 @@ def spread_chunks(pieces: DataFrame, others: list[str], budget: int, first: Colu
     return rows.select(
         *others,
         (F.col("__first") + F.col("pos")).alias("chunk_index"),
-        F.col("item.0").alias("content"),
-        F.col("item.1").alias("tokens"),
-        F.col("item.2").alias("batch"),
+        F.col("item.content"),
+        F.col("item.tokens"),
+        F.col("item.batch"),
     )
 
 

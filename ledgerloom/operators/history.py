@@ -124,8 +124,8 @@ def risk_drift(pairs: DataFrame, threshold: float = S.DRIFT_THRESHOLD) -> DataFr
     Null unless both lists hold real risks. Lists are short (five by contract),
     so they are compared inside the row; every sentence is cut into words once.
     """
-    words = pairs.withColumn("__now", F.transform("risk_factors", content_words)).withColumn(
-        "__then", F.transform("prior_risk_factors", content_words)
+    words = pairs.withColumn("__now", F.transform("risk_factors", lambda r: content_words(r))).withColumn(
+        "__then", F.transform("prior_risk_factors", lambda r: content_words(r))
     )
 
     def unmatched(mine: str, others: str) -> Column:

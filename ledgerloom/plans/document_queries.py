@@ -250,10 +250,16 @@ def _texts(spark, sf):
 
 @query(f"""
 WITH RECURSIVE {V.CHUNKS},
-todo AS (SELECT doc_id, chunk_index, chunk_index - min(chunk_index) OVER (PARTITION BY doc_id) AS pos, content FROM plain_chunks WHERE NOT ({_STORED})),
-{PACKED.replace('chunk_index,', 'pos AS chunk_index, chunk_index AS stored_index,', 1).replace('accession_number, ', '').replace('plain_chunks', 'todo').replace('s.accession_number, ', '')}
-SELECT CAST(p.doc_id AS VARCHAR) AS accession_number, t.chunk_index, CAST(batch AS BIGINT) AS batch
-FROM packed p JOIN todo t ON t.doc_id = p.doc_id AND t.pos = p.chunk_index""")
+todo AS (SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS pos,
+           CAST(greatest(1, ceil(length(content) / 1.8::DOUBLE)) AS BIGINT) AS tokens
+         FROM plain_chunks WHERE NOT ({_STORED})),
+packed AS (
+  SELECT doc_id, chunk_index, pos, tokens AS used, 0 AS batch FROM todo WHERE pos = 1
+  UNION ALL
+  SELECT t.doc_id, t.chunk_index, t.pos, CASE WHEN p.used + t.tokens > {BUDGET} THEN t.tokens ELSE p.used + t.tokens END,
+         CASE WHEN p.used + t.tokens > {BUDGET} THEN p.batch + 1 ELSE p.batch END
+  FROM packed p JOIN todo t ON t.doc_id = p.doc_id AND t.pos = p.pos + 1)
+SELECT CAST(doc_id AS VARCHAR) AS accession_number, chunk_index, CAST(batch AS BIGINT) AS batch FROM packed""")
 def remaining_chunks(spark, sf):
     left = ops.remaining_chunks(_texts(spark, sf), stored_chunks(spark, sf), budget=BUDGET)
     return left.select(
@@ -264,7 +270,7 @@ def remaining_chunks(spark, sf):
 @query(f"""
 WITH {V.CHUNKS},
 stored AS (SELECT accession_number, count(*) AS n FROM plain_chunks WHERE {_STORED} GROUP BY ALL),
-schedule AS (SELECT accession_number, count(*) AS total, doc_id % 6 = 1 AS running FROM plain_chunks WHERE doc_id % 3 <> 0 GROUP BY ALL, doc_id)
+schedule AS (SELECT accession_number, count(*) AS total, doc_id % 6 = 1 AS running FROM plain_chunks WHERE doc_id % 3 <> 0 GROUP BY accession_number, doc_id)
 SELECT accession_number, CASE WHEN running THEN 'indexing' WHEN n > 0 THEN 'complete' ELSE 'unavailable' END AS state,
        coalesce(n, 0) AS chunks_indexed, coalesce(total, n, 0) AS chunks_total
 FROM stored FULL OUTER JOIN schedule USING (accession_number)""")
