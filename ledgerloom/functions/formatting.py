@@ -26,7 +26,7 @@ def to_fixed(value: Column, digits: int) -> Column:
         part = F.lpad((rounded % power).cast("bigint").cast("string"), digits, "0")
         text = F.concat(whole, F.lit("."), part)
     exact = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text)
-    return F.when(size < 2**21, exact).otherwise(F.format_string(f"%.{digits}f", value))
+    return F.when(size < 2**21, exact).when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
 
 
 def number_text(value: Column) -> Column:

@@ -191,7 +191,7 @@ def search_directory(queries: DataFrame, directory: DataFrame, limit: int = S.SE
     # matched by many tasks.
     salts = 16
     salted = known.select("*", grams).withColumn("__salt", F.pmod(F.xxhash64("ord"), F.lit(salts)))
-    copies = rarest.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    copies = rarest.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     found = salted.join(copies, ["__gram", "__salt"])
 
     tier = (

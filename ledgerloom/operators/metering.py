@@ -149,8 +149,10 @@ def ttl_hits(
         while not np.array_equal(last, last[last]):
             last = last[last]
         entries = min(int(np.searchsorted(at, seg * length + ttl, "left")), n - 1) + 1
-        table = pd.DataFrame({"upto": at[:entries], "stored": at[last[:entries]]})
-        table = table.groupby("stored", as_index=False)["upto"].max()
+        stored = at[last[:entries]]
+        # Neighbouring entries that lead to the same end share a row.
+        ends = np.append(stored[1:] != stored[:-1], True)
+        table = pd.DataFrame({"upto": at[:entries][ends], "stored": stored[ends]})
         for name, value in zip([*keys, "__seg"], group):
             table[name] = value
         return table[[*keys, "__seg", "upto", "stored"]]

@@ -510,8 +510,8 @@ def _fixed(x: str, digits: int) -> str:
 def _money(x: str, t: int, b: int, m: int) -> str:
     return f"""CASE WHEN abs({x}) >= 1e12 THEN '$' || {_fixed(f'({x} / 1e12::DOUBLE)', t)} || 'T' WHEN abs({x}) >= 1e9 THEN '$' || {_fixed(f'({x} / 1e9::DOUBLE)', b)} || 'B'
       WHEN abs({x}) >= 1e6 THEN '$' || {_fixed(f'({x} / 1e6::DOUBLE)', m)} || 'M'
-      ELSE '$' || CASE WHEN {x} < 0 THEN '-' ELSE '' END || format('{{:,}}', CAST(floor(abs({x})) AS BIGINT))
-        || rtrim(rtrim(substr(printf('%.2f', abs({x}) - floor(abs({x}))), 2), '0'), '.') END"""
+      ELSE '$' || CASE WHEN {x} < 0 THEN '-' ELSE '' END || format('{{:,}}', CAST(floor(round(abs({x}), 2)) AS BIGINT))
+        || rtrim(rtrim(substr(printf('%.2f', round(abs({x}), 2) - floor(round(abs({x}), 2))), 2), '0'), '.') END"""
 
 
 _FIGURES = """figures AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 <> 0 THEN
