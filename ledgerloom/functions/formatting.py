@@ -18,12 +18,13 @@ def to_fixed(value: Column, digits: int) -> Column:
     scale = F.when(size < 1, F.lit(2**62)).when(size < 1024, F.lit(2**52)).otherwise(F.lit(2**41))
     units = (size * F.pow(F.lit(2.0), exponent)).cast("bigint").cast("decimal(20,0)")
     power = F.lit(10**digits)
-    rounded = F.floor((units * power.cast("decimal(4,0)") + F.shiftright(scale, 1).cast("decimal(20,0)"))
-                      .cast("decimal(38,0)") / scale.cast("decimal(19,0)"))
-    whole = F.floor(rounded / power).cast("string")
+    doubled = units * power.cast("decimal(4,0)") + F.shiftright(scale, 1).cast("decimal(20,0)")
+    # Whole-number division; an ordinary one would round the quotient.
+    rounded = F.call_function("div", doubled, scale.cast("decimal(20,0)"))
+    whole = F.call_function("div", rounded, power).cast("string")
     text = whole
     if digits:
-        part = F.lpad((rounded % power).cast("bigint").cast("string"), digits, "0")
+        part = F.lpad((rounded % power).cast("string"), digits, "0")
         text = F.concat(whole, F.lit("."), part)
     exact = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text)
     return F.when(size < 2**21, exact).when(value.isNotNull(), F.format_string(f"%.{digits}f", value))

@@ -8,7 +8,7 @@ from functools import wraps
 from ledgerloom.plans.registry import ORACLES, QUERIES, Query
 from ledgerloom.session import prepare
 
-MODULES = ("fact_queries", "evaluation_queries", "document_queries", "history_queries", "log_queries")
+MODULES = ("fact_queries", "evaluation_queries", "document_queries", "history_queries", "log_queries", "streaming_queries")
 
 
 def _load() -> None:

@@ -183,7 +183,10 @@ FORMS = ("10-K", "10-Q", "10-K/A", "10-Q/A", "8-K")
 
 def filings(spark: SparkSession, sf: str) -> DataFrame:
     """Customers file orders; the index order is the order key."""
-    orders = table(spark, sf, "orders")
+    return filings_of(table(spark, sf, "orders"))
+
+
+def filings_of(orders: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
     form = F.element_at(F.array(*[F.lit(f) for f in FORMS]), (key % 5 + 1).cast("int"))
     accession = F.concat(

@@ -28,7 +28,7 @@ CSV_COLUMNS = (
 )
 
 
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at ``path``, or an empty one before the first write."""
     try:
         return spark.read.schema(schema).parquet(path)
@@ -46,10 +46,10 @@ def insert_if_absent(rows: DataFrame, path: str, keys: Sequence[str], order: Seq
     spark, keys = rows.sparkSession, list(keys)
     first = rows.dropDuplicates(keys) if order is None else best_row(rows, keys, [-c for c in order])
     first = first.select(*rows.columns)
-    stored = _stored(spark, path, rows.schema)
+    stored = read_or_empty(spark, path, rows.schema)
     first.join(stored.select(*keys), keys, "left_anti").write.mode("append").parquet(path)
     requested = rows.select(*keys).distinct()
-    return _stored(spark, path, rows.schema).join(requested, keys, "left_semi")
+    return read_or_empty(spark, path, rows.schema).join(requested, keys, "left_semi")
 
 
 def insert_analyses(rows: DataFrame, path: str, order: Sequence[Column] | None = None) -> DataFrame:
@@ -72,7 +72,7 @@ def pin_truth(truth: DataFrame, path: str, refresh: bool = False) -> DataFrame:
     so a run that is cut off leaves the earlier version in place.
     """
     spark = truth.sparkSession
-    stored = _stored(spark, path, _versioned(truth))
+    stored = read_or_empty(spark, path, _versioned(truth))
     latest = stored.groupBy(*TRUTH_KEYS).agg(F.max("version").alias("version"))
     known = truth.dropDuplicates(TRUTH_KEYS).join(latest, TRUTH_KEYS, "left")
     new = known if refresh else known.filter(F.col("version").isNull())
@@ -83,7 +83,7 @@ def pin_truth(truth: DataFrame, path: str, refresh: bool = False) -> DataFrame:
 
 def pinned_truth(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The valid version of every pinned key; ``like`` gives the columns."""
-    return best_row(_stored(spark, path, _versioned(like)), TRUTH_KEYS, [F.col("version")])
+    return best_row(read_or_empty(spark, path, _versioned(like)), TRUTH_KEYS, [F.col("version")])
 
 
 def _versioned(truth: DataFrame) -> StructType:
