@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from ledgerloom import settings as S
-from ledgerloom.functions.strings import one_line, strip
+from ledgerloom.functions.strings import bind, one_line, strip
 
 _SPANS = "array<struct<s:int,e:int>>"
 
@@ -26,12 +26,18 @@ def section_span(text: Column, start: str, end: str) -> Column:
     text. Splitting at the pattern gives offsets in characters and scans once.
     """
     heading = f"(?iU){start}"
-    headings = F.regexp_extract_all(text, F.lit(heading), F.lit(0))
-    tail = F.try_element_at(F.split(text, heading, -1), F.lit(-1))
-    body = F.length(text) - F.length(tail)
-    first = body - F.length(F.try_element_at(headings, F.lit(-1)))
-    last = body + F.length(F.try_element_at(F.split(tail, f"(?iU){end}", 2), F.lit(1)))
-    return F.when(F.size(headings) > 0, _span(first, last))
+    cuts = F.struct(
+        F.try_element_at(F.regexp_extract_all(text, F.lit(heading), F.lit(0)), F.lit(-1)).alias("title"),
+        F.try_element_at(F.split(text, heading, -1), F.lit(-1)).alias("tail"),
+    )
+
+    def span(cut: Column) -> Column:
+        body = F.length(text) - F.length(cut["tail"])
+        content = F.try_element_at(F.split(cut["tail"], f"(?iU){end}", 2), F.lit(1))
+        located = _span(body - F.length(cut["title"]), body + F.length(content))
+        return F.when(cut["title"].isNotNull(), located)
+
+    return bind(cuts, span)
 
 
 def merge_spans(spans: Column) -> Column:
@@ -82,10 +88,16 @@ def prioritized_spans(
     Null when the text has none of the sections.
     """
     found = F.array_compact(F.array(*[section_span(text, start, end) for start, end in sections]))
-    wanted = merge_spans(F.concat(F.array(_span(F.lit(0), F.lit(head))), found))
-    first = fill_spans(wanted, F.lit(cap))
-    rest = fill_spans(gaps_between(first["taken"], F.length(text)), first["left"])
-    return F.when(F.size(found) > 0, F.array_sort(F.concat(first["taken"], rest["taken"])))
+
+    def fill(wanted: Column) -> Column:
+        return bind(fill_spans(merge_spans(wanted), F.lit(cap)), top_up)
+
+    def top_up(first: Column) -> Column:
+        rest = fill_spans(gaps_between(first["taken"], F.length(text)), first["left"])
+        return F.array_sort(F.concat(first["taken"], rest["taken"]))
+
+    head_span = F.array(_span(F.lit(0), F.lit(head)))
+    return bind(found, lambda spans: F.when(F.size(spans) > 0, fill(F.concat(head_span, spans))))
 
 
 def prioritize_sections(
@@ -102,7 +114,8 @@ def prioritize_sections(
     spans = prioritized_spans(text, cap, head, sections)
     pieces = F.transform(spans, lambda span: F.substring(text, span["s"] + 1, span["e"] - span["s"]))
     joined = F.substring(F.array_join(pieces, "\n\n"), 1, cap)
-    return F.when(F.length(text) <= cap, text).otherwise(F.coalesce(joined, F.substring(text, 1, cap)))
+    plain = F.substring(text, 1, cap)
+    return F.when(F.length(text) <= cap, text).otherwise(F.coalesce(joined, plain))
 
 
 def chunk_text(
@@ -119,15 +132,21 @@ def chunk_text(
     stride = max(size - overlap, 1)
     limit = limit if limit is not None else S.max_chunks(size=size, overlap=overlap)
     span = -(-size // stride)
-    body = strip(text)
-    blocks = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
-    windows = F.transform(
-        blocks,
-        lambda block, i: strip(F.substring(F.array_join(F.slice(blocks, i + 1, F.lit(span)), ""), 1, size)),
-    )
-    kept = F.slice(F.filter(windows, lambda window: window != ""), 1, limit)
-    empty = F.array().cast("array<string>")
-    return F.when(body == "", empty).when(F.length(body) <= size, F.array(body)).otherwise(kept)
+
+    def windows(body: Column, blocks: Column) -> Column:
+        cut = F.transform(
+            blocks,
+            lambda block, i: strip(F.substring(F.array_join(F.slice(blocks, i + 1, F.lit(span)), ""), 1, size)),
+        )
+        kept = F.slice(F.filter(cut, lambda window: window != ""), 1, limit)
+        empty = F.array().cast("array<string>")
+        return F.when(body == "", empty).when(F.length(body) <= size, F.array(body)).otherwise(kept)
+
+    def cut_blocks(body: Column) -> Column:
+        blocks = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+        return bind(blocks, lambda found: windows(body, found))
+
+    return bind(strip(text), cut_blocks)
 
 
 def estimate_tokens(text: Column, chars_per_token: float = S.CHARS_PER_TOKEN) -> Column:
@@ -177,7 +196,9 @@ def unit_scale(text: Column) -> Column:
         return F.nullif(F.regexp_extract(text, f"(?iU){pattern}", 1), F.lit(""))
 
     phrase = F.rtrim(one_line(F.coalesce(found(S.SCALE_PARENTHETICAL), found(S.SCALE_SENTENCE))), F.lit(" .,;:"))
-    return F.concat(F.upper(F.substring(phrase, 1, 1)), phrase.substr(F.lit(2), F.length(phrase)), F.lit("."))
+    # The patterns can only match where a scale word is, and that test is cheap.
+    mentioned = F.lower(text).rlike("|".join(S.SCALE_WORDS))
+    return F.when(mentioned, bind(phrase, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), p.substr(F.lit(2), F.length(p)), F.lit("."))))
 
 
 def scale_factor(scale: Column) -> Column:

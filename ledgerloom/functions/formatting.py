@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ledgerloom.functions.strings import bind
+
 DASH = "—"
 
 
@@ -47,34 +49,35 @@ def number_text(value: Column) -> Column:
 
 def grouped(value: Column) -> Column:
     """Digits in groups of three with at most three decimals."""
-    fixed = to_fixed(F.abs(value), 3)
-    whole = F.substring_index(fixed, ".", 1)
-    part = F.rtrim(F.substring_index(fixed, ".", -1), F.lit("0"))
-    digits = F.format_number(whole.cast("bigint"), 0)
-    text = F.when(part == "", digits).otherwise(F.concat(digits, F.lit("."), part))
-    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text)
 
+    def text(fixed: Column) -> Column:
+        part = F.rtrim(F.substring_index(fixed, ".", -1), F.lit("0"))
+        digits = F.format_number(F.substring_index(fixed, ".", 1).cast("bigint"), 0)
+        return F.when(part == "", digits).otherwise(F.concat(digits, F.lit("."), part))
+
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, bind(to_fixed(F.abs(value), 3), text))
 
-def _money(value: Column, trillions: int, billions: int, millions: int) -> Column:
-    def scaled(unit: float, digits: int, letter: str) -> Column:
-        return F.concat(F.lit("$"), to_fixed(value / F.lit(unit), digits), F.lit(letter))
 
+def _money(value: Column, large: int, millions: int) -> Column:
+    """``large`` decimals for trillions and billions, ``millions`` for millions."""
     size = F.abs(value)
+    unit = F.when(size >= 1e12, F.lit(1e12)).otherwise(F.lit(1e9))
+    letter = F.when(size >= 1e12, F.lit("T")).otherwise(F.lit("B"))
     return (
-        F.when(size >= 1e12, scaled(1e12, trillions, "T"))
-        .when(size >= 1e9, scaled(1e9, billions, "B"))
-        .when(size >= 1e6, scaled(1e6, millions, "M"))
+        F.when(size >= 1e9, F.concat(F.lit("$"), to_fixed(value / unit, large), letter))
+        .when(size >= 1e6, F.concat(F.lit("$"), to_fixed(value / F.lit(1e6), millions), F.lit("M")))
         .when(value.isNotNull(), F.concat(F.lit("$"), grouped(value)))
     )
 
 
 def currency(value: Column) -> Column:
-    return F.coalesce(_money(value, 2, 2, 1), F.lit("N/A"))
+    return F.coalesce(_money(value, 2, 1), F.lit("N/A"))
 
 
 def currency_compact(value: Column) -> Column:
     """Shorter form for axes; null stays null."""
-    return _money(value, 1, 1, 0)
+    return _money(value, 1, 0)
 
 
 def money_cell(value: Column) -> Column:

@@ -15,7 +15,7 @@ def error_class(source: Column, code: Column, message: Column) -> Column:
     ceiling means the day is spent.
     """
     daily = F.coalesce(message.rlike(S.DAILY_QUOTA_PATTERN), F.lit(False))
-    dropped = F.coalesce(message.rlike("|".join(rf"\b{name}\b" for name in S.TRANSIENT_ERRORS)), F.lit(False))
+    dropped = F.coalesce(message.rlike(rf"\b(?:{'|'.join(S.TRANSIENT_ERRORS)})\b"), F.lit(False))
     embedding = source == "embedding"
     fetch = source == "fetch"
     return (
@@ -31,9 +31,8 @@ def error_class(source: Column, code: Column, message: Column) -> Column:
     )
 
 
-def retryable(source: Column, code: Column, message: Column) -> Column:
-    """Whether the caller tries again."""
-    kind = error_class(source, code, message)
+def retryable(source: Column, code: Column, kind: Column) -> Column:
+    """Whether the caller tries again, given the class of the error."""
     return (
         F.when(kind == "fetch", code.isin(*S.FETCH_RETRY_CODES))
         .when(kind == "transient", True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from ledgerloom import settings as S
@@ -12,6 +14,11 @@ SPACE_CLASS = r"[\s\x1c-\x1f\x85\p{Z}]"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), lambda bound: use(bound)), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
@@ -31,7 +38,8 @@ def tidy_lines(text: Column) -> Column:
 
 def iso_day(text: Column) -> Column:
     """Date of a y-m-d string with exactly three numeric parts, else null."""
-    return F.when(text.rlike(r"\A\d+-\d+-\d+\z"), text.try_cast("date"))
+    three_parts = (F.translate(text, "0123456789", "") == "--") & (F.length(text) <= 10)
+    return F.when(three_parts, text.try_cast("date"))
 
 
 def duration_days(start: Column, end: Column) -> Column:

@@ -23,19 +23,27 @@ def _present(text: Column) -> Column:
     return text.isNotNull() & (text != "")
 
 
-def _spans_days(days: tuple[int, int]) -> Column:
+def _lasts(middle: Column, half: Column) -> Column:
+    """Duration of middle ± half days; written so that the dates are parsed once."""
     start, end = F.col("start"), F.col("end")
-    return _present(start) & _present(end) & duration_days(start, end).between(*days)
+    return _present(start) & _present(end) & (F.abs(duration_days(start, end) - middle) <= half)
+
+
+def _is_instant() -> Column:
+    return F.col("start").isNull() & _present(F.col("end")) & end_year(F.col("end")).isNotNull()
+
+
+_DAYS = {"annual": S.ANNUAL_DAYS, "quarterly": S.QUARTER_DAYS}
+
+
+def _middle_and_half(kind: str) -> tuple[float, float]:
+    low, high = _DAYS.get(kind, (0, 0))
+    return (low + high) / 2, (high - low) / 2
 
 
 def _qualifies(kind: str) -> Column:
-    has_value = F.col("val").isNotNull()
-    if kind == "annual":
-        return has_value & _spans_days(S.ANNUAL_DAYS)
-    if kind == "quarterly":
-        return has_value & _spans_days(S.QUARTER_DAYS)
-    instant = F.col("start").isNull() & _present(F.col("end"))
-    return has_value & instant & end_year(F.col("end")).isNotNull()
+    fits = _is_instant() if kind == "instant" else _lasts(*map(F.lit, _middle_and_half(kind)))
+    return F.col("val").isNotNull() & fits
 
 
 def _period(kind: str) -> Column:
@@ -76,8 +84,9 @@ def quarterly_values(facts: DataFrame) -> DataFrame:
 
 def candidate_table(facts: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
     """The candidate list as an inline table: a few dozen rows whatever the data."""
+    names = ("metric", "concept", "unit", "kind", "pref", "middle", "half")
     rows = [
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(("metric", "concept", "unit", "kind", "pref"), candidate)])
+        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (*candidate, *_middle_and_half(candidate[3])))])
         for candidate in candidates
     ]
     return facts.sparkSession.range(1).select(F.inline(F.array(*rows)))
@@ -85,14 +94,15 @@ def candidate_table(facts: DataFrame, candidates: Sequence[Candidate]) -> DataFr
 
 def candidate_values(facts: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
     """Values of every candidate concept, all metrics and kinds in one aggregation."""
-    kinds = sorted({kind for _, _, _, kind, _ in candidates})
+    kinds = {kind for _, _, _, kind, _ in candidates}
     tagged = facts.join(F.broadcast(candidate_table(facts, candidates)), ["concept", "unit"])
-    keep, period = F.lit(False), F.lit(None).cast("string")
-    for kind in kinds:
-        of_kind = F.col("kind") == kind
-        keep = keep | (of_kind & _qualifies(kind))
-        period = F.when(of_kind, _period(kind).cast("string")).otherwise(period)
-    rows = tagged.filter(keep).withColumn("period", period)
+    fits = _lasts(F.col("middle"), F.col("half"))
+    if "instant" in kinds:
+        fits = F.when(F.col("kind") == "instant", _is_instant()).otherwise(fits)
+    period = end_year(F.col("end")).cast("string")
+    if "quarterly" in kinds:
+        period = F.when(F.col("kind") == "quarterly", F.col("end")).otherwise(period)
+    rows = tagged.filter(F.col("val").isNotNull() & fits).withColumn("period", period)
     return _latest_filed(rows, ["cik", "metric", "concept", "pref", "period"])
 
 
@@ -156,13 +166,17 @@ def series_covering(values: DataFrame, years: DataFrame) -> DataFrame:
     Unlike ``select_series`` the newest concept does not win.
     """
     wanted = years.select("cik", "fiscal_year").distinct()
-    covering = values.withColumn("fiscal_year", F.col("period").try_cast("int"))
+    # A series is one entry per period, so it fits in an array.
+    points = F.collect_list(F.struct("period", "val", "first_seen")).alias("points")
+    series = values.groupBy("cik", "metric", "concept", "pref").agg(points)
+    covers = F.exists("points", lambda p: p["period"].try_cast("int") == F.col("fiscal_year"))
     chosen = (
-        covering.join(wanted, ["cik", "fiscal_year"])
+        wanted.join(series, "cik")
+        .filter(covers)
         .groupBy("cik", "fiscal_year", "metric")
-        .agg(F.min("pref").alias("pref"))
+        .agg(F.min_by(F.struct("concept", "pref", "points"), "pref").alias("s"))
     )
-    return chosen.join(values, ["cik", "metric", "pref"])
+    return chosen.select("cik", "fiscal_year", "metric", "s.concept", "s.pref", F.inline("s.points"))
 
 
 def pick_fiscal_year(frame: DataFrame, filings: DataFrame) -> DataFrame:

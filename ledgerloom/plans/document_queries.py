@@ -30,7 +30,7 @@ SELECT page_id, array_to_string(list_filter(
   list_transform(string_split(t, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x <> ''), chr(10)) AS text
 FROM plain""")
 def page_text(spark, sf):
-    pages = V.table(spark, sf, "pages")
+    pages = readers.spread(V.table(spark, sf, "pages"))
     return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
@@ -93,7 +93,7 @@ WITH {SECTIONS}
 SELECT doc_id, f.s AS first_start, f.e AS first_end, g.s AS second_start, g.e AS second_end
 FROM documents LEFT JOIN first_section f USING (doc_id) LEFT JOIN second_section g USING (doc_id)""")
 def section_spans(spark, sf):
-    documents = V.table(spark, sf, "documents")
+    documents = V.documents(spark, sf)
     spans = documents.select(
         "doc_id", fn.section_span(F.col("text"), *MARKS[0]).alias("f"), fn.section_span(F.col("text"), *MARKS[1]).alias("g")
     )
@@ -108,7 +108,7 @@ WITH {PRIORITIZED}
 SELECT doc_id, string_agg(s || '-' || e, ' ' ORDER BY s, e) AS spans FROM spans SEMI JOIN marked USING (doc_id) GROUP BY doc_id""")
 def kept_spans(spark, sf):
     """Merged sections and the gaps that fill the rest of the budget."""
-    documents = V.table(spark, sf, "documents").filter(F.length("text") > CAP)
+    documents = V.documents(spark, sf).filter(F.length("text") > CAP)
     spans = fn.prioritized_spans(F.col("text"), CAP, HEAD, MARKS)
     shown = F.transform(spans, lambda p: F.concat_ws("-", p["s"].cast("string"), p["e"].cast("string")))
     return documents.select("doc_id", F.array_join(shown, " ").alias("spans")).dropna()
@@ -120,13 +120,13 @@ joined AS (SELECT doc_id, string_agg(substr(text, s + 1, e - s), chr(10) || chr(
   FROM spans SEMI JOIN marked USING (doc_id) JOIN documents USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, left(coalesce(t, text), {CAP}) AS text FROM documents LEFT JOIN joined USING (doc_id)""")
 def prioritized_text(spark, sf):
-    documents = V.table(spark, sf, "documents")
+    documents = V.documents(spark, sf)
     return documents.select("doc_id", fn.prioritize_sections(F.col("text"), CAP, HEAD, MARKS).alias("text"))
 
 
 @query("SELECT doc_id, left(text, 600000) AS text, CAST(length(text) AS BIGINT) AS chars FROM documents")
 def truncated_text(spark, sf):
-    documents = V.table(spark, sf, "documents")
+    documents = V.documents(spark, sf)
     text = F.substring("text", 1, S.MAX_FILING_CHARS)
     return documents.select("doc_id", text.alias("text"), F.length("text").cast("bigint").alias("chars"))
 
@@ -137,7 +137,7 @@ BUDGET = 5000
 
 
 def _chunks(spark, sf):
-    documents = V.table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("accession_number"), "text")
+    documents = V.documents(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("accession_number"), "text")
     return ops.chunks(documents, budget=BUDGET)
 
 
@@ -245,7 +245,7 @@ def stored_chunks(spark, sf):
 
 
 def _texts(spark, sf):
-    return V.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("accession_number"), "text")
+    return V.documents(spark, sf).select(F.col("doc_id").cast("string").alias("accession_number"), "text")
 
 
 @query(f"""
@@ -275,7 +275,7 @@ SELECT accession_number, CASE WHEN running THEN 'indexing' WHEN n > 0 THEN 'comp
        coalesce(n, 0) AS chunks_indexed, coalesce(total, n, 0) AS chunks_total
 FROM stored FULL OUTER JOIN schedule USING (accession_number)""")
 def index_coverage(spark, sf):
-    documents = V.table(spark, sf, "documents").filter(F.col("doc_id") % 3 != 0)
+    documents = V.documents(spark, sf).filter(F.col("doc_id") % 3 != 0)
     schedule = documents.select(
         F.col("doc_id").cast("string").alias("accession_number"),
         F.size(fn.chunk_text(F.col("text"))).alias("chunks_total"), (F.col("doc_id") % 6 == 1).alias("running"),
@@ -289,7 +289,7 @@ def index_coverage(spark, sf):
 def _status(spark, sf):
     """A repair run over all documents; some are not listed, some stay partial."""
     doc = F.col("doc_id")
-    documents = V.table(spark, sf, "documents")
+    documents = V.documents(spark, sf)
     accession = doc.cast("string").alias("accession_number")
     analyses = documents.select(accession, F.lit("1").alias("cik"))
     listed = documents.filter(doc % 11 != 0).select(

@@ -187,7 +187,7 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS words, array_to_string(list_sort(wo
 FROM (SELECT doc_id, {_WORDS.format('text')} AS words FROM documents)""")
 def content_words(spark, sf):
     words = sim.content_words(F.col("text"))
-    rows = V.table(spark, sf, "documents").select("doc_id", words.alias("w"))
+    rows = V.documents(spark, sf).select("doc_id", words.alias("w"))
     return rows.select("doc_id", F.size("w").cast("bigint").alias("words"), F.array_join(F.array_sort("w"), " ").alias("sorted_words"))
 
 
@@ -198,7 +198,7 @@ SELECT doc_id, len(list_intersect(a, b)) AS shared,
   CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END AS similarity
 FROM words""")
 def text_similarity(spark, sf):
-    documents = V.table(spark, sf, "documents").select("doc_id", sim.content_words(F.col("text")).alias("a"))
+    documents = V.documents(spark, sf).select("doc_id", sim.content_words(F.col("text")).alias("a"))
     following = documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     pairs = V.table(spark, sf, "labels").select("doc_id").join(documents, "doc_id").join(following, "doc_id")
     return pairs.select(

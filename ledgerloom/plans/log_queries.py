@@ -145,10 +145,9 @@ SELECT event_id, class, CASE WHEN class = 'fetch' THEN code IN (403, 429, 500, 5
   WHEN source = 'model' AND class = 'overloaded' THEN true WHEN source = 'embedding' AND class = 'quota' THEN true ELSE false END AS retryable
 FROM classed""")
 def error_classes(spark, sf):
-    key = [F.col("source"), F.col("code"), F.col("message")]
-    return _calls(spark, sf).select(
-        "event_id", outcomes.error_class(*key).alias("class"), outcomes.retryable(*key).alias("retryable")
-    )
+    source, code = F.col("source"), F.col("code")
+    classed = _calls(spark, sf).withColumn("class", outcomes.error_class(source, code, F.col("message")))
+    return classed.select("event_id", "class", outcomes.retryable(source, code, F.col("class")).alias("retryable"))
 
 
 @query(f"""

@@ -63,7 +63,7 @@ FROM stored LEFT JOIN schedule USING (accession_number)""")
 def streaming_coverage(spark, sf):
     documents = _stream(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("accession_number"), "text")
     stored = docs.chunks(documents).filter(F.col("chunk_index") < F.col("doc_id") % 4)
-    known = V.table(spark, sf, "documents").filter(F.col("doc_id") % 3 != 0)
+    known = V.documents(spark, sf).filter(F.col("doc_id") % 3 != 0)
     schedule = known.select(
         F.col("doc_id").cast("string").alias("accession_number"), F.size(fn.chunk_text(F.col("text"))).alias("chunks_total"),
         (F.col("doc_id") % 6 == 1).alias("running"),

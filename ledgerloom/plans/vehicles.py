@@ -8,11 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerloom.operators.documents import chunks
+from ledgerloom.sources.readers import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def day_text(ts: str) -> Column:
     return F.col(ts).cast("date").cast("string")
 
@@ -48,9 +55,9 @@ def candidates_sql(name: str, rows: list[tuple]) -> str:
 
 def duration_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Companies are nations, concepts return flags, periods run from order to shipment."""
-    lines = table(spark, sf, "lineitem").select(
+    lines = spread(table(spark, sf, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate"
-    )
+    ))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
@@ -288,9 +295,7 @@ directory AS (
 
 def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of all documents with unit declarations appended to some of them."""
-    from ledgerloom.operators.documents import chunks
-
-    documents = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("accession_number"), "text")
+    texts = documents(spark, sf).select(F.col("doc_id").cast("string").alias("accession_number"), "text")
     rule = (F.col("accession_number").cast("bigint") + F.col("chunk_index")) % 5
     note = (
         F.when(rule == 0, F.concat(F.lit("\n(amounts in millions, except item "), F.col("chunk_index"), F.lit(" ; ) x\n")))
@@ -298,7 +303,7 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
         .when(rule == 2, "\nOne in millions of shoppers")
         .otherwise("")
     )
-    rows = chunks(documents)
+    rows = chunks(texts)
     return rows.select("accession_number", "chunk_index", F.concat("content", note).alias("content"))
 
 

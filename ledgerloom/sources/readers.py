@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.functions.strings import document_keys
+from ledgerloom.functions.strings import bind, document_keys
 
 DIRECTORY_JSON = "map<string, struct<cik_str:bigint, ticker:string, title:string>>"
 FILINGS_JSON = (
@@ -35,6 +35,15 @@ EXTRACTION = (
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer splits than the cluster has cores, dealt out to all cores.
+
+    A large table has more splits than that and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row (path, text) per file."""
     reader = spark.read.option("wholetext", True)
@@ -150,12 +159,15 @@ def newest_run(records: DataFrame) -> DataFrame:
 def parse_extraction(text: Column) -> Column:
     """Structured model output; null when it is not JSON with all five fields of the right type."""
     schema = f"struct<{EXTRACTION.replace(' struct', ':struct').replace(' array', ':array').replace(' string', ':string')}, _bad:string>"
-    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     required = ["revenue", "net_income", "risk_factors", "management_guidance", "summary"]
-    whole = parsed["_bad"].isNull() & ~F.exists(parsed["risk_factors"], lambda r: r.isNull())
-    for name in required:
-        whole = whole & parsed[name].isNotNull()
-    return F.when(whole, parsed.dropFields("_bad"))
+
+    def checked(parsed: Column) -> Column:
+        whole = parsed["_bad"].isNull() & ~F.exists(parsed["risk_factors"], lambda r: r.isNull())
+        for name in required:
+            whole = whole & parsed[name].isNotNull()
+        return F.when(whole, parsed.dropFields("_bad"))
+
+    return bind(F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}), checked)
 
 
 def first_valid_extraction(attempts: DataFrame, limit: int = 2) -> tuple[DataFrame, DataFrame]:
