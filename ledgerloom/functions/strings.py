@@ -38,8 +38,7 @@ def tidy_lines(text: Column) -> Column:
 
 def iso_day(text: Column) -> Column:
     """Date of a y-m-d string with exactly three numeric parts, else null."""
-    three_parts = (F.translate(text, "0123456789", "") == "--") & (F.length(text) <= 10)
-    return F.when(three_parts, text.try_cast("date"))
+    return F.when(F.translate(text, "0123456789", "") == "--", text.try_cast("date"))
 
 
 def duration_days(start: Column, end: Column) -> Column:

@@ -19,18 +19,16 @@ from ledgerloom.functions.strings import duration_days, end_year, iso_day
 Candidate = tuple[str, str, str, str, int]
 
 
-def _present(text: Column) -> Column:
-    return text.isNotNull() & (text != "")
-
-
 def _lasts(middle: Column, half: Column) -> Column:
-    """Duration of middle ± half days; written so that the dates are parsed once."""
-    start, end = F.col("start"), F.col("end")
-    return _present(start) & _present(end) & (F.abs(duration_days(start, end) - middle) <= half)
+    """Duration of middle ± half days, written so that the dates are parsed once.
+
+    An empty or malformed date has no duration and does not pass.
+    """
+    return F.abs(duration_days(F.col("start"), F.col("end")) - middle) <= half
 
 
 def _is_instant() -> Column:
-    return F.col("start").isNull() & _present(F.col("end")) & end_year(F.col("end")).isNotNull()
+    return F.col("start").isNull() & end_year(F.col("end")).isNotNull()
 
 
 _DAYS = {"annual": S.ANNUAL_DAYS, "quarterly": S.QUARTER_DAYS}
@@ -84,12 +82,12 @@ def quarterly_values(facts: DataFrame) -> DataFrame:
 
 def candidate_table(facts: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
     """The candidate list as an inline table: a few dozen rows whatever the data."""
-    names = ("metric", "concept", "unit", "kind", "pref", "middle", "half")
-    rows = [
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (*candidate, *_middle_and_half(candidate[3])))])
-        for candidate in candidates
-    ]
-    return facts.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    rows = ", ".join(
+        "({!r}, {!r}, {!r}, {!r}, {}, {}D, {}D)".format(*candidate, *_middle_and_half(candidate[3])) for candidate in candidates
+    )
+    return facts.sparkSession.sql(
+        f"SELECT * FROM VALUES {rows} AS t(metric, concept, unit, kind, pref, middle, half)"
+    )
 
 
 def candidate_values(facts: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:

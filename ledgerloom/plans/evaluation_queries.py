@@ -19,7 +19,7 @@ _RUNS_SQL = ", ".join("('%s', '%s', '%s', %d)" % run for run in RUNS)
 
 def records(spark, sf) -> DataFrame:
     """Extraction records with their truth: true figures altered by a rule on the key."""
-    truth, _ = ops.ground_truth(V.facts(spark, sf), truth_keys(spark, sf), V.FLOWS)
+    truth, _ = ops.ground_truth(V.duration_facts(spark, sf), truth_keys(spark, sf), V.FLOWS)
     truth = ops.with_changes(truth)
     runs = F.array(*[
         F.struct(F.lit(d).alias("run_date"), F.lit(t).alias("tag"), F.lit(m).alias("model"), F.lit(s).alias("shift"))
@@ -276,10 +276,10 @@ FROM truth""")
 def pinned_truth(spark, sf):
     """Truth is pinned, restated, offered again (ignored) and refreshed for even years."""
     path = shared_folder(spark, "truth")
-    truth, _ = ops.ground_truth(V.facts(spark, sf), truth_keys(spark, sf), V.FLOWS)
+    truth, _ = ops.ground_truth(V.duration_facts(spark, sf), truth_keys(spark, sf), V.FLOWS)
     truth = truth.select("cik", "fiscal_year", "revenue", "net_income")
     sinks.pin_truth(truth, path)
-    restated = truth.withColumn("net_income", F.col("net_income") * 2)
+    restated = sinks.pinned_truth(spark, path, truth).drop("version").withColumn("net_income", F.col("net_income") * 2)
     sinks.pin_truth(restated, path)
     sinks.pin_truth(restated.filter(F.col("fiscal_year") % 2 == 0), path, refresh=True)
     return sinks.pinned_truth(spark, path, truth).select(

@@ -59,7 +59,7 @@ def selected_series(spark, sf):
 
 @query(f"WITH {V.selected_sql(V.QUARTERLY)} SELECT cik, metric, concept, period, val FROM series")
 def selected_quarterly_series(spark, sf):
-    return ops.resolve_series(V.facts(spark, sf), V.QUARTERLY).select("cik", "metric", "concept", "period", "val")
+    return ops.resolve_series(V.duration_facts(spark, sf), V.QUARTERLY).select("cik", "metric", "concept", "period", "val")
 
 
 _METRICS = ", ".join(S.ANNUAL_METRICS)
@@ -75,7 +75,7 @@ def annual_frame(spark, sf):
 
 @query(f"WITH {QUARTERLY_FRAME} SELECT cik, period_end, revenue, net_income FROM frame")
 def quarterly_frame(spark, sf):
-    return ops.quarterly_frame(V.facts(spark, sf), V.QUARTERLY)
+    return ops.quarterly_frame(V.duration_facts(spark, sf), V.QUARTERLY)
 
 
 @query(f"""
@@ -124,7 +124,7 @@ truth AS (SELECT cik, fiscal_year,
 WITH {TRUTH}
 SELECT cik, CAST(fiscal_year AS BIGINT) AS fiscal_year, metric, concept, CAST(period AS BIGINT) AS period, val FROM covering""")
 def covering_series(spark, sf):
-    values = ops.candidate_values(V.facts(spark, sf), V.FLOWS)
+    values = ops.candidate_values(V.duration_facts(spark, sf), V.FLOWS)
     rows = ops.series_covering(values, truth_keys(spark, sf))
     return rows.select("cik", _year("fiscal_year").alias("fiscal_year"), "metric", "concept", _year().alias("period"), "val")
 
@@ -136,7 +136,7 @@ SELECT cik, CAST(fiscal_year AS BIGINT) AS fiscal_year, revenue, revenue_prior,
        array_to_string(list_transform(revenue_series, lambda p: p.period), ' ') AS revenue_order
 FROM truth""")
 def ground_truth(spark, sf):
-    truth, _ = ops.ground_truth(V.facts(spark, sf), truth_keys(spark, sf), V.FLOWS)
+    truth, _ = ops.ground_truth(V.duration_facts(spark, sf), truth_keys(spark, sf), V.FLOWS)
     order = F.array_join(F.transform("revenue_series", lambda p: p["period"].cast("string")), " ")
     some = F.size("revenue_series") > 0
     return truth.select(
@@ -150,7 +150,7 @@ WITH {TRUTH}
 SELECT cik, CAST(fiscal_year AS BIGINT) AS fiscal_year FROM truth_keys
 WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.cik = truth_keys.cik AND t.fiscal_year = truth_keys.fiscal_year)""")
 def uncovered_keys(spark, sf):
-    _, rejects = ops.ground_truth(V.facts(spark, sf), truth_keys(spark, sf), V.FLOWS)
+    _, rejects = ops.ground_truth(V.duration_facts(spark, sf), truth_keys(spark, sf), V.FLOWS)
     return rejects.select("cik", _year("fiscal_year").alias("fiscal_year"))
 
 
@@ -162,7 +162,7 @@ SELECT cik, CAST(fiscal_year AS BIGINT) AS fiscal_year,
     AS net_income_yoy_change_pct
 FROM truth""")
 def yearly_changes(spark, sf):
-    truth, _ = ops.ground_truth(V.facts(spark, sf), truth_keys(spark, sf), V.FLOWS)
+    truth, _ = ops.ground_truth(V.duration_facts(spark, sf), truth_keys(spark, sf), V.FLOWS)
     return ops.with_changes(truth).select(
         "cik", _year("fiscal_year").alias("fiscal_year"), "revenue_yoy_change_pct", "net_income_yoy_change_pct"
     )
@@ -183,7 +183,7 @@ WITH {QUARTERLY_FRAME}
 SELECT cik, strftime(CAST(period_end AS DATE), '%b %-d, %Y') AS label, period_end AS sort_key, revenue, net_income
 FROM frame""")
 def quarterly_points(spark, sf):
-    return ops.quarterly_points(ops.quarterly_frame(V.facts(spark, sf), V.QUARTERLY))
+    return ops.quarterly_points(ops.quarterly_frame(V.duration_facts(spark, sf), V.QUARTERLY))
 
 
 @query(f"""

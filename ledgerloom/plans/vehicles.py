@@ -12,8 +12,34 @@ from ledgerloom.operators.documents import chunks
 from ledgerloom.sources.readers import spread
 
 
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; the schema is given, so no footer is read to plan a query."""
+    return spark.read.schema(TABLES[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,9 +81,9 @@ def candidates_sql(name: str, rows: list[tuple]) -> str:
 
 def duration_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Companies are nations, concepts return flags, periods run from order to shipment."""
-    lines = spread(table(spark, sf, "lineitem").select(
+    lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate"
-    ))
+    )
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
@@ -274,7 +300,7 @@ analyses AS (
 
 def directory(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as listed companies: a few tickers are exactly a brand, most start with one."""
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_name"))
     key = F.col("p_partkey")
     ticker = F.when(key % 40 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("-"), key.cast("string")))
     return part.select(
