@@ -427,7 +427,7 @@ SELECT lpad(CAST(o.o_orderkey AS VARCHAR), 18, '0') AS accession_number, v.o_ord
 FROM orders o LEFT JOIN valid v USING (o_orderkey)""")
 def extraction_attempts(spark, sf):
     """Model outputs, some truncated or without a field; the first valid one of two attempts counts."""
-    orders = V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    orders = readers.spread(V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"))
     tries = orders.select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt"))
     rule = (F.col("o_orderkey") + F.col("attempt")) % 3
     metric = F.struct((F.col("o_totalprice") * F.col("attempt")).alias("current"), F.lit(None).cast("double").alias("yoy_change_pct"))
