@@ -34,16 +34,17 @@ def to_fixed(value: Column, digits: int) -> Column:
 
 def number_text(value: Column) -> Column:
     """A double the way a browser prints it: no exponent below 1e21, no trailing zeros."""
-    whole = value.cast("decimal(38,0)").cast("string")
-    plain = F.regexp_replace(value.cast("string").try_cast("decimal(38,20)").cast("string"), r"\.?0+\z", "")
-    small = F.regexp_replace(F.regexp_replace(value.cast("string"), r"\.0E", "E"), "E", "e")
+    printed = value.cast("string")
+    whole = value.try_cast("decimal(38,0)").cast("string")
+    plain = F.regexp_replace(printed.try_cast("decimal(38,20)").cast("string"), r"\.?0+\z", "")
+    short = F.replace(printed, F.lit(".0E"), F.lit("E"))
     size = F.abs(value)
     return (
         F.when(value == 0, "0")
-        .when((value == F.floor(value)) & (size < 1e21), whole)
-        .when(size < 1e-6, small)
-        .when(size < 1e17, plain)
-        .otherwise(value.cast("string"))
+        .when(size >= 1e21, F.replace(short, F.lit("E"), F.lit("e+")))
+        .when(value == F.rint(value), whole)
+        .when(size < 1e-6, F.replace(short, F.lit("E"), F.lit("e")))
+        .otherwise(plain)
     )
 
 

@@ -44,4 +44,5 @@ def retryable(source: Column, code: Column, kind: Column) -> Column:
 
 def retry_seconds(message: Column, cap: float = S.MAX_RETRY_SECONDS) -> Column:
     """The delay the server asked for, capped; null when it named none."""
-    return F.least(F.regexp_extract(message, S.RETRY_DELAY_PATTERN, 1).try_cast("double"), F.lit(cap))
+    named = F.regexp_extract(message, S.RETRY_DELAY_PATTERN, 1).try_cast("double")
+    return F.when(named <= cap, named).when(named > cap, F.lit(cap))

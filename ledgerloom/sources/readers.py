@@ -46,10 +46,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 def whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row (path, text) per file."""
-    reader = spark.read.option("wholetext", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
+    return rows.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 # --- raw JSON ---------------------------------------------------------------------
