@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from ledgerloom.functions.strings import tidy_lines
+from ledgerloom.functions.strings import bind, tidy_lines
 
 # Comments, script and style elements, declarations, instructions and tags; the
 # alternatives are tried left to right, so a tag inside a comment stays inside it.
@@ -79,13 +79,21 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
 
 
-def html_to_text(html: Column) -> Column:
-    """Visible text of a page, one stripped line per text node, no blank lines."""
+def parse_markup(html: Column) -> Column:
+    """struct(text, broken): visible text, and whether markup was left that is not well formed.
+
+    One stripped line per text node, no blank lines.
+    """
     bare = F.regexp_replace(html, MARKUP, "\n")
-    native = tidy_lines(decode_entities(bare))
-    # Only pages with markup the expression left behind travel to Python.
-    broken = F.when(bare.rlike(LEFTOVER), html)
-    return F.coalesce(F.pandas_udf(_texts_of, "string")(broken), native)
+    return bind(
+        bare,
+        lambda t: F.struct(tidy_lines(decode_entities(t)).alias("text"), t.rlike(LEFTOVER).alias("broken")),
+    )
+
+
+def parse_broken(html: Column) -> Column:
+    """Text of markup that is not well formed, by the standard library's parser; null stays null."""
+    return F.pandas_udf(_texts_of, "string")(html)
 
 
 class _TextNodes(HTMLParser):

@@ -6,12 +6,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import settings as S
 from ledgerloom.functions.documents import chunk_text, estimate_tokens, plan_batches, prioritize_sections
-from ledgerloom.functions.html import html_to_text
+from ledgerloom.functions.html import parse_broken, parse_markup
+
+
+def page_text(documents: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
+    """Documents with the visible text of their HTML, parsed in the JVM.
+
+    Only documents whose markup is not well formed travel to Python.
+    """
+    parsed = documents.withColumn("__parsed", parse_markup(F.col(html)))
+    repaired = parse_broken(F.when(F.col("__parsed.broken"), F.col(html)))
+    return parsed.withColumn(text, F.coalesce(repaired, F.col("__parsed.text"))).drop("__parsed")
 
 
 def filing_text(documents: DataFrame, cap: int = S.MAX_FILING_CHARS) -> DataFrame:
     """HTML documents with their capped plain text; documents without text are dropped."""
-    text = documents.withColumn("text", html_to_text(F.col("html"))).drop("html")
+    text = page_text(documents).drop("html")
     return text.withColumn("text", prioritize_sections(F.col("text"), cap)).filter(F.col("text") != "")
 
 

@@ -79,12 +79,11 @@ def prior_analysis(analyses: DataFrame, columns: Sequence[str] = ("id",), limit:
     found = pool.filter(F.col("filing_date").isNotNull()).select("ticker", "filing_date", *NEWEST, *[
         F.col(c).alias(f"prior_{c}") for c in columns
     ])
-    per_day = best_row(found, ["ticker", "filing_date"], [F.col(c) for c in NEWEST]).drop(*NEWEST)
-    picked = F.struct(*[f"prior_{c}" for c in columns])
-    days = dated.select("ticker", "filing_date").distinct()
-    marks = days.join(per_day, ["ticker", "filing_date"], "left").withColumn(
-        "__row", F.when(F.col(f"prior_{columns[0]}").isNotNull(), picked)
+    per_day = best_row(found, ["ticker", "filing_date"], [F.col(c) for c in NEWEST]).select(
+        "ticker", "filing_date", F.struct(*[f"prior_{c}" for c in columns]).alias("__row")
     )
+    days = dated.select("ticker", "filing_date").distinct()
+    marks = days.join(per_day, ["ticker", "filing_date"], "left")
     before = Window.partitionBy("ticker").orderBy("filing_date").rowsBetween(Window.unboundedPreceding, -1)
     marks = marks.select("ticker", "filing_date", F.last("__row", ignorenulls=True).over(before).alias("__prior"))
     joined = analyses.join(marks, ["ticker", "filing_date"], "left")

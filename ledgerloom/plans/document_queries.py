@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom import settings as S
 from ledgerloom.functions import documents as fn
-from ledgerloom.functions.html import html_to_text
 from ledgerloom.functions.strings import document_keys as path_keys
 from ledgerloom.operators import documents as ops
 from ledgerloom.operators.retrieval import nearest_scale as scale_lookup
@@ -31,7 +30,7 @@ SELECT page_id, array_to_string(list_filter(
 FROM plain""")
 def page_text(spark, sf):
     pages = readers.spread(V.table(spark, sf, "pages"))
-    return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
+    return ops.page_text(pages.select("page_id", "html")).select("page_id", "text")
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.operators import evaluation as ev, facts as ops
 from ledgerloom.operators.history import build_golden
-from ledgerloom.plans import vehicles as V
+from ledgerloom.plans import flows, vehicles as V
 from ledgerloom.plans.fact_queries import TRUTH, truth_keys
 from ledgerloom.plans.registry import query
 from ledgerloom.session import shared_folder
@@ -129,6 +129,17 @@ _TALLY = """count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (v
   count(*) FILTER (verdict = 'correct') / nullif(count(*) FILTER (verdict IN ('correct', 'wrong')), 0) AS accuracy"""
 
 
+@query(f"""
+WITH {SCORES}
+SELECT run_date, ticker, CAST(fiscal_year AS BIGINT) AS fiscal_year, field, verdict, detail FROM scores WHERE run_date <> '2023-12-01'""")
+def evaluated_runs(spark, sf):
+    """The whole evaluation flow: records without truth are joined to resolved facts and scored."""
+    rows = records(spark, sf).filter(F.col("run_date") != "2023-12-01")
+    plain = rows.drop("revenue", "revenue_prior", "net_income", "net_income_prior", "revenue_series", "net_income_series")
+    scores, _, _ = flows.evaluate(plain, V.duration_facts(spark, sf), V.FLOWS)
+    return scores.select("run_date", "ticker", F.col("fiscal_year").cast("bigint").alias("fiscal_year"), "field", "verdict", "detail")
+
+
 @query(f"WITH {SCORES} SELECT ticker, {_TALLY} FROM scores GROUP BY ticker")
 def verdict_totals(spark, sf):
     return ev.verdict_totals(ev.score_records(records(spark, sf)), ["ticker"])

@@ -219,9 +219,9 @@ WITH {V.DURATION_FACTS}
 SELECT cik, concept, unit, "end", count(*) AS entries, round(sum(val), 2) AS total, max(filed) AS last_filed
 FROM duration_facts GROUP BY ALL""")
 def concept_documents(spark, sf):
-    """Facts packed into JSON documents, one per company, concept and end date, and read back."""
-    facts = V.duration_facts(spark, sf).withColumn("__end", F.col("end"))
-    per_unit = facts.groupBy("cik", "concept", "__end", "unit").agg(
+    """Facts packed into JSON documents of a company, concept and a thousand orders, and read back."""
+    facts = V.duration_facts(spark, sf).withColumn("shard", F.floor(F.col("ord") / 8000))
+    per_unit = facts.groupBy("cik", "concept", "shard", "unit").agg(
         F.sort_array(F.collect_list(F.struct("ord", "start", "end", "val", "filed"))).alias("entries")
     )
     entries = F.transform("entries", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"),

@@ -8,7 +8,7 @@ from ledgerloom import settings as S
 from ledgerloom.functions import formatting as fmt, similarity as sim, strings as st
 from ledgerloom.functions.documents import excerpt, valid_question
 from ledgerloom.operators import documents as docs, facts as ops, history as hist, retrieval as ret
-from ledgerloom.plans import vehicles as V
+from ledgerloom.plans import flows, vehicles as V
 from ledgerloom.plans.fact_queries import ANNUAL_FRAME
 from ledgerloom.plans.registry import query
 from ledgerloom.session import shared_folder
@@ -59,6 +59,32 @@ def question_context(spark, sf):
     return context.select("question_id", "context", F.array_join(sources, "|").alias("sources"), "unit_scale")
 
 
+@query(f"""
+WITH {V.VECTORS},
+noted AS (SELECT accession_number, chunk_index, content || CASE WHEN chunk_index % 3 = 0 THEN ' (in thousands, item ' || chunk_index || ')'
+    WHEN chunk_index % 3 = 1 THEN ' one in millions of' ELSE '' END AS content,
+    CASE WHEN chunk_index % 3 = 0 THEN 'In thousands, item ' || chunk_index || '.' END AS scale FROM vectors),
+anchors AS (SELECT question_id, accession_number, chunk_index AS anchor FROM matches WHERE rank = 1),
+ranked AS (SELECT question_id, scale, m.chunk_index <= anchor AS above,
+    bool_or(m.chunk_index <= anchor) OVER (PARTITION BY question_id) AS any_above,
+    row_number() OVER (PARTITION BY question_id, m.chunk_index <= anchor ORDER BY CASE WHEN m.chunk_index <= anchor THEN -m.chunk_index ELSE m.chunk_index END) AS place
+  FROM anchors a JOIN noted m USING (accession_number) WHERE m.chunk_index % 3 < 2),
+scales AS (SELECT question_id, arg_min(scale, place) FILTER (scale IS NOT NULL) AS unit_scale FROM ranked WHERE above = any_above AND place <= 3 GROUP BY question_id)
+SELECT question_id, 'Question: ' || question || chr(10) || chr(10) || coalesce('Unit scale: ' || unit_scale || chr(10) || chr(10), '')
+    || 'Excerpts from the filing:' || chr(10) || chr(10) || string_agg('[' || rank || '] ' || n.content, chr(10) || chr(10) ORDER BY rank) AS context, unit_scale
+FROM questions JOIN matches m USING (question_id) JOIN noted n ON n.accession_number = m.accession_number AND n.chunk_index = m.chunk_index
+LEFT JOIN scales USING (question_id) GROUP BY question_id, question, unit_scale""")
+def asked_questions(spark, sf):
+    """The whole question flow: validation, nearest chunks, unit declaration, prompt text."""
+    index = F.col("chunk_index")
+    note = (
+        F.when(index % 3 == 0, F.concat(F.lit(" (in thousands, item "), index.cast("string"), F.lit(")")))
+        .when(index % 3 == 1, " one in millions of").otherwise("")
+    )
+    chunks = V.vectors(spark, sf).withColumn("content", F.concat("content", note))
+    return flows.ask(V.questions(spark, sf), chunks).select("question_id", "context", "unit_scale")
+
+
 @query("""
 SELECT conv_id, turn, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) BETWEEN 3 AND 300 AS valid, left(text, 300) AS excerpt
 FROM conversations WHERE role = 'user'""")
@@ -390,14 +416,14 @@ def directory_documents(spark, sf):
 
 @query(f"""
 WITH {V.FILINGS}
-SELECT cik, substr(filing_date, 1, 4) AS year, accession_number, form_type, filing_date, primary_document,
-  CASE WHEN row_number() OVER w <= count(*) OVER (PARTITION BY cik, substr(filing_date, 1, 4)) - 1 THEN primary_doc_description END AS primary_doc_description,
+SELECT cik, ord // 1000 AS shard, accession_number, form_type, filing_date, primary_document,
+  CASE WHEN row_number() OVER w <= count(*) OVER (PARTITION BY cik, ord // 1000) - 1 THEN primary_doc_description END AS primary_doc_description,
   row_number() OVER w - 1 AS ord
-FROM filings WINDOW w AS (PARTITION BY cik, substr(filing_date, 1, 4) ORDER BY ord)""")
+FROM filings WINDOW w AS (PARTITION BY cik, ord // 1000 ORDER BY ord)""")
 def filing_index_documents(spark, sf):
-    """Index documents per company and year as parallel arrays, the descriptions one short."""
-    rows = V.filings(spark, sf).withColumn("year", F.substring("filing_date", 1, 4))
-    packed = rows.groupBy("cik", "year").agg(F.array_sort(F.collect_list(F.struct(
+    """Index documents of at most a thousand filings as parallel arrays, the descriptions one short."""
+    rows = V.filings(spark, sf).withColumn("shard", F.floor(F.col("ord") / 1000))
+    packed = rows.groupBy("cik", "shard").agg(F.array_sort(F.collect_list(F.struct(
         "ord", "form_type", "accession_number", "filing_date", "primary_document", "primary_doc_description"
     ))).alias("r"))
     short = F.slice(F.col("r"), F.lit(1), F.size("r") - 1)
@@ -407,7 +433,7 @@ def filing_index_documents(spark, sf):
         F.transform(short, lambda x: x["primary_doc_description"]).alias("primaryDocDescription"),
     )
     document = F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings")))
-    read = readers.parse_filing_index(packed.select("cik", "year", document.alias("json")))
+    read = readers.parse_filing_index(packed.select("cik", "shard", document.alias("json")))
     return read.withColumn("ord", F.col("ord").cast("bigint"))
 
 

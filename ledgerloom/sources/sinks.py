@@ -46,9 +46,11 @@ def insert_if_absent(rows: DataFrame, path: str, keys: Sequence[str], order: Seq
     spark, keys = rows.sparkSession, list(keys)
     first = rows.dropDuplicates(keys) if order is None else best_row(rows, keys, [-c for c in order])
     first = first.select(*rows.columns)
-    stored = read_or_empty(spark, path, rows.schema)
-    first.join(stored.select(*keys), keys, "left_anti").write.mode("append").parquet(path)
     requested = rows.select(*keys).distinct()
+    # The stored table is first cut to the requested keys, which a small batch
+    # does without moving it.
+    taken = read_or_empty(spark, path, rows.schema).select(*keys).join(requested, keys, "left_semi")
+    first.join(taken, keys, "left_anti").write.mode("append").parquet(path)
     return read_or_empty(spark, path, rows.schema).join(requested, keys, "left_semi")
 
 

@@ -38,11 +38,11 @@ def _each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], mode:
     return stream.writeStream.outputMode(mode).foreachBatch(work)
 
 
-def _replace_batch(rows: DataFrame, path: str, batch: int) -> None:
+def _replace_batch(rows: DataFrame, path: str, batch: int, *by: str) -> None:
     """Write the output of one micro-batch; a repeated batch replaces itself."""
     rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch").parquet(path)
+    ).partitionBy(*by, "batch").parquet(path)
 
 
 def ingest_analyses(stream: DataFrame, path: str, checkpoint: str, order: list[Column], once: bool = False) -> StreamingQuery:
@@ -116,10 +116,12 @@ def admit_daily(log: DataFrame, path: str, checkpoint: str, cap: int = S.DAILY_C
         dated = rows.withColumn("day", F.to_date(F.col("ts").cast("timestamp")))
         first = top_k(dated, ["day"], [F.col("ts"), F.col("request_id")], cap, spread=["request_id"], rank="place")
         earlier = read_or_empty(rows.sparkSession, path, "day date, batch int").filter(F.col("batch") < batch)
-        taken = earlier.groupBy("day").agg(F.count(F.lit(1)).alias("taken"))
+        # One folder per day: only the days of this micro-batch are read.
+        days = F.broadcast(rows.select(F.to_date(F.col("ts").cast("timestamp")).alias("day")).distinct())
+        taken = earlier.join(days, "day", "left_semi").groupBy("day").agg(F.count(F.lit(1)).alias("taken"))
         open_places = cap - F.coalesce(F.col("taken"), F.lit(0))
         admitted = first.join(taken, "day", "left").filter(F.col("place") <= open_places).drop("taken", "place")
-        _replace_batch(admitted, path, batch)
+        _replace_batch(admitted, path, batch, "day")
 
     return _start(_each_batch(log, admit), checkpoint, once)
 
@@ -133,7 +135,8 @@ def alert_new_filings(
     """
 
     def alert(rows: DataFrame, batch: int) -> None:
-        newest = analyses().groupBy("cik").agg(F.max_by("filing_date", F.struct("created_at", "id")).alias("analyzed_filing"))
+        asked = analyses().join(rows.select("cik").distinct(), "cik", "left_semi")
+        newest = asked.groupBy("cik").agg(F.max_by("filing_date", F.struct("created_at", "id")).alias("analyzed_filing"))
         joined = by_forms(rows).join(newest, "cik", "left")
         newer = F.col("analyzed_filing").isNull() | (F.col("filing_date") > F.col("analyzed_filing"))
         _replace_batch(joined.filter(newer), path, batch)

@@ -5,7 +5,6 @@ import pytest
 
 from ledgerloom import settings as S
 from ledgerloom.functions import documents as fn
-from ledgerloom.functions.html import html_to_text
 from ledgerloom.operators import documents as docs, retrieval as ret
 
 
@@ -24,8 +23,9 @@ def text_column():
     ("broken <a href='x y>tail", "broken <a href='x y>tail"),
     ("", ""),
 ])
-def test_html(one, html, text):
-    assert one(html_to_text(F.col("html")), html=html) == text
+def test_html(spark, html, text):
+    pages = spark.createDataFrame([(html,)], "html string")
+    assert docs.page_text(pages).first().text == text
 
 
 HEADINGS = [
