@@ -9,10 +9,19 @@ from ledgerloom import settings as S
 # Whitespace as a browser's regular expressions see it.
 _SPACE = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
+# Punctuation and letters beyond a-z that are common enough to be removed by
+# lookup; what is rarer is left to the pattern, which costs more per match.
+_COMMON = "".join(
+    chr(c)
+    for c in (*range(0x21, 0x250), *range(0x2010, 0x2028))
+    if not chr(c).isspace() and chr(c) not in "abcdefghijklmnopqrstuvwxyz0123456789"
+)
+
 
 def content_words(sentence: Column, stop_words=tuple(S.STOP_WORDS), shortest: int = 3) -> Column:
     """Distinct lower-case words of ``shortest`` letters or more, stop words removed."""
-    kept = F.regexp_replace(F.lower(sentence), f"[^a-z0-9{_SPACE}]", "")
+    common = F.translate(F.lower(sentence), _COMMON, "")
+    kept = F.regexp_replace(common, f"[^a-z0-9{_SPACE}]+", "")
     words = F.filter(F.split(kept, f"[{_SPACE}]+"), lambda word: F.length(word) >= shortest)
     return F.array_except(words, F.array(*[F.lit(word) for word in stop_words]))
 

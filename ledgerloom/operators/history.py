@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import settings as S
 from ledgerloom.functions.similarity import content_words, jaccard, substantive_risks
+from ledgerloom.functions.strings import strip
 from ledgerloom.operators.skew import best_row, top_k
 
 NEWEST = ("created_at", "id")
@@ -21,8 +22,8 @@ NEWEST = ("created_at", "id")
 # --- filters and lookups -----------------------------------------------------
 
 def by_forms(filings: DataFrame, forms: str | None = None) -> DataFrame:
-    """Filings of the named forms, a comma-separated list in any case."""
-    names = [f.strip().upper() for f in forms.split(",")] if forms else list(S.DEFAULT_FORMS)
+    """Filings of the named forms, a comma-separated list in any case; annual and quarterly by default."""
+    names = list(S.DEFAULT_FORMS) if forms is None else [f.strip().upper() for f in forms.split(",")]
     return filings.filter(F.upper("form_type").isin(*names))
 
 
@@ -173,7 +174,7 @@ def search_directory(queries: DataFrame, directory: DataFrame, limit: int = S.SE
     matching, any case. Candidates come from an equi-join on the rarest
     three-character piece of the query, so queries never meet the whole directory.
     """
-    asked = queries.select("query", F.trim(F.upper("query")).alias("__q")).filter(F.col("__q") != "").distinct()
+    asked = queries.select("query", strip(F.upper("query")).alias("__q")).filter(F.col("__q") != "").distinct()
     known = directory.withColumn("__t", F.upper("ticker")).withColumn("__n", F.upper("name"))
     grams = F.explode(F.array_union(_grams(F.col("__t")), _grams(F.col("__n")))).alias("__gram")
     pieces = asked.select("query", "__q", F.explode(_query_grams(F.col("__q"))).alias("__gram"))
@@ -206,7 +207,7 @@ def search_directory(queries: DataFrame, directory: DataFrame, limit: int = S.SE
 def resolve_tickers(wanted: DataFrame, directory: DataFrame) -> DataFrame:
     """Exact ticker matches, any case; the first listed company wins. Unknown tickers drop out."""
     first = best_row(directory.withColumn("__t", F.upper("ticker")), ["__t"], [-F.col("ord")])
-    asked = wanted.select(F.col("ticker").alias("asked"), F.upper(F.trim("ticker")).alias("__t"))
+    asked = wanted.select(F.col("ticker").alias("asked"), F.upper("ticker").alias("__t"))
     return asked.join(first, "__t").drop("__t")
 
 

@@ -204,9 +204,12 @@ todo AS (SELECT DISTINCT accession_number FROM records WHERE CAST(cik AS INTEGER
 kept AS (SELECT accession_number FROM records WHERE run_date = '2024-01-01' AND error IS NULL)
 SELECT accession_number, accession_number IN (SELECT accession_number FROM kept) AS reused FROM todo""")
 def reusable_records(spark, sf):
-    rows = records(spark, sf)
+    path = shared_folder(spark, "runs")
+    columns = ["run_date", "tag", "model", "fallback_model", "max_filing_chars", "ord", "cik", "accession_number", "error"]
+    sinks.write_run(records(spark, sf).select(*columns), path)
+    rows = sinks.read_runs(spark, path)
     todo = rows.filter(F.col("cik").cast("int") % 2 == 0).select("accession_number").distinct()
-    prior = rows.filter(F.col("run_date") == "2024-01-01")
+    prior = rows.filter(F.col("artifact") == "2024-01-01")
     config = spark.createDataFrame([("m1", "", 600000)], "model string, fallback_model string, max_filing_chars int")
     reused, left = ev.split_reusable(todo, prior, config)
     return reused.select("accession_number", F.lit(True).alias("reused")).unionByName(

@@ -39,8 +39,8 @@ def match_chunks_function(spark, sf):
     first = V.questions(spark, sf).orderBy("accession_number").limit(1)
     first.select("accession_number", F.col("vector").cast("array<double>").alias("vector")).createOrReplaceTempView("one_question")
     return spark.sql("""
-        SELECT m.chunk_index, m.content, round(m.similarity, 6) AS similarity
-        FROM one_question q, LATERAL match_chunks(q.accession_number, q.vector, 4) m""")
+        SELECT chunk_index, content, round(similarity, 6) AS similarity
+        FROM match_chunks((SELECT max(accession_number) FROM one_question), (SELECT max(vector) FROM one_question), 4)""")
 
 
 @query(f"""
