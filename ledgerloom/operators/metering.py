@@ -138,79 +138,129 @@ def ttl_hits(
     types = {f.name: f.dataType.simpleString() for f in log.schema.fields}
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
-    def summarize(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        at = np.unique(part.loc[part["__stores"], "__us"].to_numpy())
-        n, seg = len(at), group[-1]
-        if n == 0:
-            # Nothing is stored here; the segment still has to be marked.
-            return pd.DataFrame([[*group, None, None]], columns=[*keys, "__seg", "upto", "stored"])
-        step = np.searchsorted(at, at + ttl, "right")
-        last = np.where(step < n, step, np.arange(n))
-        while not np.array_equal(last, last[last]):
-            last = last[last]
-        entries = min(int(np.searchsorted(at, seg * length + ttl, "left")), n - 1) + 1
-        stored = at[last[:entries]]
-        # Neighbouring entries that lead to the same end share a row.
-        ends = np.append(stored[1:] != stored[:-1], True)
-        table = pd.DataFrame({"upto": at[:entries][ends], "stored": stored[ends]})
-        for name, value in zip([*keys, "__seg"], group):
-            table[name] = value
-        return table[[*keys, "__seg", "upto", "stored"]]
-
-    def follow(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["__seg", "upto"])
-        stored, segs, before = None, [], []
-        for seg, table in part.groupby("__seg", sort=True):
-            segs.append(seg)
-            before.append(stored)
-            table = table.dropna(subset=["upto"])
-            upto = table["upto"].to_numpy(dtype="int64")
+    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = _Rows([*keys, "__seg", "upto", "stored"])
+        for group, (us, can) in _runs(batches, [*keys, "__seg"], ["__us", "__stores"]):
+            at = np.unique(us[can.astype(bool)])
+            n, seg = len(at), int(group[-1])
+            if n == 0:
+                # Nothing is stored here; the segment still has to be marked.
+                yield from out.add(group, [None], [None])
+                continue
+            step = np.searchsorted(at, at + ttl, "right")
+            last = np.where(step < n, step, np.arange(n))
+            while not np.array_equal(last, last[last]):
+                last = last[last]
+            entries = min(int(np.searchsorted(at, seg * length + ttl, "left")), n - 1) + 1
+            stored = at[last[:entries]]
+            # Neighbouring entries that lead to the same end share a row.
+            ends = np.append(stored[1:] != stored[:-1], True)
+            yield from out.add(group, at[:entries][ends], stored[ends])
+        yield from out.rest()
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = _Rows([*keys, "__seg", "__before"])
+        owner, stored = None, None
+        for group, (upto, ends) in _runs(batches, [*keys, "__seg"], ["upto", "stored"]):
+            if group[:-1] != owner:
+                owner, stored = group[:-1], None
+            yield from out.add(group, [stored])
+            known = ~pd.isna(upto)
+            upto, ends = upto[known].astype("int64"), ends[known].astype("int64")
             i = 0 if stored is None else int(np.searchsorted(upto, stored + ttl, "right"))
             if i < len(upto):
-                stored = int(table["stored"].iloc[i])
-        out = pd.DataFrame({"__seg": segs, "__before": pd.array(before, dtype="Int64")})
-        for name, value in zip(keys, group):
-            out[name] = value
-        return out[[*keys, "__seg", "__before"]]
-
-    tables = (
-        rows.select(*keys, "__seg", "__us", "__stores")
-        .groupBy(*keys, "__seg")
-        .applyInPandas(summarize, f"{key_ddl}, __seg bigint, upto bigint, stored bigint")
+                stored = int(ends[i])
+        yield from out.rest()
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = _Rows([*keys, request, ts, "hit"])
+        columns = ["__us", "__stores", "__before", request, ts]
+        for group, (at, can, before, request_ids, times) in _runs(batches, [*keys, "__seg"], columns):
+            hit = np.zeros(len(at), dtype=bool)
+            start = 0
+            if not pd.isna(before[0]):
+                start = int(np.searchsorted(at, int(before[0]) + ttl, "right"))
+                hit[:start] = True
+            able = np.flatnonzero(can.astype(bool))
+            while start < len(at):
+                # Everything up to the next request that stores its result is a miss.
+                j = np.searchsorted(able, start)
+                if j == len(able):
+                    break
+                miss = able[j]
+                start = int(np.searchsorted(at, at[miss] + ttl, "right"))
+                hit[miss + 1 : start] = True
+            yield from out.add(group[:-1], request_ids, times, hit)
+        yield from out.rest()
+
+    segment = [*keys, "__seg"]
+    tables = _sorted_by(rows.select(*segment, "__us", "__stores"), segment, ["__us"]).mapInPandas(
+        summarize, f"{key_ddl}, __seg bigint, upto bigint, stored bigint"
     )
-    starts = tables.groupBy(*keys).applyInPandas(follow, f"{key_ddl}, __seg bigint, __before bigint")
-
-    marked_ddl = f"{key_ddl}, `{request}` {types[request]}, `{ts}` {types[ts]}, hit boolean"
-
-    def mark(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["__us", request])
-        at, can = part["__us"].to_numpy(), part["__stores"].to_numpy(dtype=bool)
-        hit = np.zeros(len(at), dtype=bool)
-        first = part["__before"].iloc[0]
-        start = 0
-        if not pd.isna(first):
-            start = int(np.searchsorted(at, int(first) + ttl, "right"))
-            hit[:start] = True
-        able = np.flatnonzero(can)
-        while start < len(at):
-            # Everything up to the next request that stores its result is a miss.
-            j = np.searchsorted(able, start)
-            if j == len(able):
-                break
-            miss = able[j]
-            start = int(np.searchsorted(at, at[miss] + ttl, "right"))
-            hit[miss + 1 : start] = True
-        part["hit"] = hit
-        return part[[*keys, request, ts, "hit"]]
-
-    return (
-        rows.select(*keys, request, ts, "__us", "__stores", "__seg")
-        .join(starts, [*keys, "__seg"])
-        .groupBy(*keys, "__seg")
-        .applyInPandas(mark, marked_ddl)
+    starts = _sorted_by(tables, keys, ["__seg", "upto"]).mapInPandas(follow, f"{key_ddl}, __seg bigint, __before bigint")
+    joined = rows.select(*segment, request, ts, "__us", "__stores").join(starts, segment)
+    return _sorted_by(joined, segment, ["__us", request]).mapInPandas(
+        mark, f"{key_ddl}, `{request}` {types[request]}, `{ts}` {types[ts]}, hit boolean"
     )
 
 
+def _sorted_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: Sequence[str], columns: Sequence[str]) -> Iterator[tuple]:
+    """(key, arrays) of every run of equal keys in sorted batches; a run may span batches."""
+    held, parts = None, []
+
+    def joined() -> tuple:
+        return held, [np.concatenate(column) if len(column) > 1 else column[0] for column in zip(*parts)]
+
+    for batch in batches:
+        names = [batch[k].to_numpy() for k in keys]
+        data = [batch[c].to_numpy() for c in columns]
+        starts = np.ones(len(batch), dtype=bool)
+        if len(batch) > 1:
+            starts[1:] = np.logical_or.reduce([name[1:] != name[:-1] for name in names])
+        cuts = [*np.flatnonzero(starts), len(batch)]
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            key = tuple(name[low] for name in names)
+            if held is not None and key != held:
+                yield joined()
+                parts = []
+            held = key
+            parts.append([column[low:high] for column in data])
+    if held is not None:
+        yield joined()
+
+
+class _Rows:
+    """Collects result arrays of many small groups into frames of a useful size."""
+
+    def __init__(self, names: Sequence[str], size: int = 20_000) -> None:
+        self.names, self.size, self.count, self.parts = names, size, 0, []
+
+    def add(self, key: tuple, *columns) -> Iterator[pd.DataFrame]:
+        self.parts.append((key, columns))
+        self.count += len(columns[0])
+        if self.count >= self.size:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        if not self.parts:
+            return
+        sizes = [len(columns[0]) for _, columns in self.parts]
+        width = len(self.parts[0][0])
+        data = [np.repeat(np.array([key[i] for key, _ in self.parts], dtype=object), sizes) for i in range(width)]
+        for i in range(len(self.parts[0][1])):
+            pieces = [columns[i] for _, columns in self.parts]
+            if isinstance(pieces[0], list) or any(isinstance(p, list) for p in pieces):
+                data.append(pd.array([v for piece in pieces for v in piece], dtype="Int64"))
+            else:
+                data.append(np.concatenate(pieces))
+        self.parts, self.count = [], 0
+        yield pd.DataFrame(dict(zip(self.names, data)))
+
+
 def hit_rate(marked: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
     return marked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("requests"),
