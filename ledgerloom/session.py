@@ -45,6 +45,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, partition_bytes: int = 128 * 1024**2) -> int:
+    """Give shuffles of ``input_bytes`` partitions that fit in executor memory; returns their number.
+
+    At least two per core. The adaptive planner joins small ones again, so this
+    is an upper bound: for 100 TB the default of 200 would mean 500 GB each.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    partitions = max(-(-input_bytes // partition_bytes), 2 * cores)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(partition_bytes))
+    return partitions
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
