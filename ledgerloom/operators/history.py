@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom import settings as S
 from ledgerloom.functions.similarity import content_words, jaccard, substantive_risks
 from ledgerloom.functions.strings import strip
+from ledgerloom.operators.facts import Candidate, annual_frame, ground_truth, pick_fiscal_year
 from ledgerloom.operators.skew import best_row, top_k
 
 NEWEST = ("created_at", "id")
@@ -243,7 +244,12 @@ def company_profile(
 
 
 def build_golden(
-    wanted: DataFrame, directory: DataFrame, filings: DataFrame, facts: DataFrame, candidates, form: str = "10-K",
+    wanted: DataFrame,
+    directory: DataFrame,
+    filings: DataFrame,
+    facts: DataFrame,
+    candidates: Sequence[Candidate],
+    form: str = "10-K",
     max_years: int = 20,
 ) -> tuple[DataFrame, DataFrame]:
     """(golden entries, dropped tickers with a reason).
@@ -251,8 +257,6 @@ def build_golden(
     Exact ticker, its first filing of the form, the fiscal year it reports and
     a note on truth that is missing for that year.
     """
-    from ledgerloom.operators.facts import annual_frame, ground_truth, pick_fiscal_year
-
     companies = resolve_tickers(wanted, directory)
     newest = first_filings(filings, 1, form).select(
         "cik", "accession_number", "form_type", "filing_date", "primary_document"

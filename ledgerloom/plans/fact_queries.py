@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom import settings as S
-from ledgerloom.functions.scoring import change_pct
 from ledgerloom.functions.strings import duration_days
 from ledgerloom.operators import facts as ops
 from ledgerloom.plans import vehicles as V
