@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import decision_list, entropy_mix
+from ledgerloom.llm import bpe, decision_list, entropy_mix, secrets
 from ledgerloom.llm.common import table, word_count
 
+def tokenizer_file() -> str:
+    """The public vocabulary that the query encodes with; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,6 +25,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*base, "rule")
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.SURE))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[n(kind) for kind in secrets.SURE], F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
     mixed = entropy_mix.mix(docs, F.col("words"))
@@ -27,6 +48,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_bpe_codec": op5_bpe_codec,
+    "op7_secret_scan": op7_secret_scan,
     "op10_source_mix": op10_source_mix,
 }
 ORACLES: dict[str, str] = {}
