@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import bpe, decision_list, entropy_mix, secrets
+from ledgerloom.llm import bpe, decision_list, entropy_mix, secrets, warc
 from ledgerloom.llm.common import table, word_count
 
 def tokenizer_file() -> str:
@@ -19,6 +19,10 @@ def tokenizer_file() -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_digests(warc.archive(table(spark, sf_dir, "pages")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -47,6 +51,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_warc_captures": op2_warc_captures,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe_codec": op5_bpe_codec,
     "op7_secret_scan": op7_secret_scan,
