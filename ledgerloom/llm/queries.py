@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import bpe, decision_list, entropy_mix, secrets, warc
+from ledgerloom.llm import bpe, decision_list, entropy_mix, ngram_join, secrets, warc
 from ledgerloom.llm.common import table, word_count
 
 def tokenizer_file() -> str:
@@ -33,6 +33,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.SURE))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op2_warc_captures": op2_warc_captures,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_secret_scan": op7_secret_scan,
     "op10_source_mix": op10_source_mix,
 }
