@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import bpe, decision_list, entropy_mix, ngram_join, secrets, suffix_index, warc
+from ledgerloom.llm import bpe, decision_list, entropy_mix, ngram_join, secrets, suffix_index, warc, winnowing
 from ledgerloom.llm.common import table, word_count
 
 def tokenizer_file() -> str:
@@ -47,6 +47,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op5_bpe_codec": op5_bpe_codec,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_secret_scan": op7_secret_scan,
+    "op8_winnowing": op8_winnowing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_source_mix": op10_source_mix,
 }
