@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import bpe, decision_list, entropy_mix, ngram_join, secrets, suffix_index, warc, winnowing
+from ledgerloom.llm import bpe, decision_list, entropy_mix, line_dedup, ngram_join, secrets, suffix_index, warc, winnowing
 from ledgerloom.llm.common import table, word_count
 
 def tokenizer_file() -> str:
@@ -19,6 +19,11 @@ def tokenizer_file() -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.archive(table(spark, sf_dir, "pages")))
 
@@ -63,6 +68,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_warc_captures": op2_warc_captures,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe_codec": op5_bpe_codec,
