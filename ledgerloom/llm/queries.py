@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import bpe, decision_list, entropy_mix, line_dedup, ngram_join, secrets, suffix_index, warc, winnowing
+from ledgerloom.llm import bpe, decision_list, entropy_mix, line_dedup, ngram_join, secrets, suffix_index, warc, winnowing, wrapper
 from ledgerloom.llm.common import table, word_count
 
 def tokenizer_file() -> str:
@@ -28,6 +28,10 @@ def op2_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_digests(warc.archive(table(spark, sf_dir, "pages")))
 
 
+def op3_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decision_list.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -70,6 +74,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc_captures": op2_warc_captures,
+    "op3_wrapper_text": op3_wrapper_text,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe_codec": op5_bpe_codec,
     "op6_ngram_jaccard": op6_ngram_jaccard,
