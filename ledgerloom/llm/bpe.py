@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Fixed values of the byte-level format: its split pattern and the bytes that stand for themselves.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", name: str =
     """``docs`` with the token ids of every whole text; null counts as empty, empty has no ids."""
     shared = docs.sparkSession.sparkContext.broadcast(open(tokenizer_file, encoding="utf-8").read())
     rows = docs.drop(name)
-    schema = rows.schema.add(name, "array<int>")
+    schema = rows.schema.add(name, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         work = codec(shared.value)
@@ -258,7 +258,7 @@ def decode(rows: DataFrame, tokenizer_file: str, ids: str = "ids", name: str = "
     """``rows`` with the text that the ids stand for; bytes that are no UTF-8 become U+FFFD."""
     shared = rows.sparkSession.sparkContext.broadcast(open(tokenizer_file, encoding="utf-8").read())
     kept = rows.drop(name)
-    schema = kept.schema.add(name, "string")
+    schema = kept.schema.add(name, T.StringType())
 
     def run(batches):
         work = codec(shared.value)
@@ -269,6 +269,24 @@ def decode(rows: DataFrame, tokenizer_file: str, ids: str = "ids", name: str = "
     return kept.mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, tokenizer_file: str, text: str = "text") -> DataFrame:
+    """The other columns of ``docs``, n_tokens, ids, and ``decodes``: whether the ids decode to the text again."""
+    shared = docs.sparkSession.sparkContext.broadcast(open(tokenizer_file, encoding="utf-8").read())
+    others = [c for c in docs.columns if c not in (text, "n_tokens", "ids", "decodes")]
+    schema = docs.select(*others).schema.add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType())).add("decodes", T.BooleanType())
+
+    def run(batches):
+        work = codec(shared.value)
+        for batch in batches:
+            texts = _texts(batch.column(len(others)))
+            ids = [work.ids(t) for t in texts]
+            same = [work.decode(i) == t for i, t in zip(ids, texts)]
+            made = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*others, "n_tokens", "ids", "decodes"])
+
+    return docs.select(*others, text).mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every row, without keeping ids or texts.
 
