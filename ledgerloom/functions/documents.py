@@ -111,6 +111,8 @@ def prioritize_sections(
     Pieces are joined by a blank line that is not charged to the budget, so
     the final cut may drop the last characters.
     """
+    if not sections:
+        return F.substring(text, 1, cap)
     spans = prioritized_spans(text, cap, head, sections)
     pieces = F.transform(spans, lambda span: F.substring(text, span["s"] + 1, span["e"] - span["s"]))
     joined = F.substring(F.array_join(pieces, "\n\n"), 1, cap)
@@ -124,13 +126,12 @@ def chunk_text(
     overlap: int = S.CHUNK_OVERLAP,
     limit: int | None = None,
 ) -> Column:
-    """Overlapping windows of a text, stripped, blanks dropped, as an array.
+    """Overlapping windows of a text, stripped, blanks dropped, as an array; ``limit`` keeps the first ones.
 
     The text is cut once into blocks of one stride; a window is a block and as
     much of the following ones as it needs, so the cost is linear in the text.
     """
     stride = max(size - overlap, 1)
-    limit = limit if limit is not None else S.max_chunks(size=size, overlap=overlap)
     span = -(-size // stride)
 
     def windows(body: Column, blocks: Column) -> Column:
@@ -138,7 +139,8 @@ def chunk_text(
             blocks,
             lambda block, i: strip(F.substring(F.array_join(F.slice(blocks, i + 1, F.lit(span)), ""), 1, size)),
         )
-        kept = F.slice(F.filter(cut, lambda window: window != ""), 1, limit)
+        kept = F.filter(cut, lambda window: window != "")
+        kept = kept if limit is None else F.slice(kept, 1, limit)
         empty = F.array().cast("array<string>")
         return F.when(body == "", empty).when(F.length(body) <= size, F.array(body)).otherwise(kept)
 
@@ -156,8 +158,7 @@ def estimate_tokens(text: Column, chars_per_token: float = S.CHARS_PER_TOKEN) ->
 def plan_batches(tokens: Column, budget: int = S.TOKEN_BUDGET) -> Column:
     """Batch number of every item of a token array, packed greedily in order.
 
-    An item over the budget sits alone. One filing has at most
-    ``settings.max_chunks()`` items.
+    An item over the budget sits alone.
     """
 
     def place(state: Column, item: Column) -> Column:

@@ -12,24 +12,26 @@ DASH = "—"
 def to_fixed(value: Column, digits: int) -> Column:
     """Fixed-point text of a double, rounded on its exact binary value, halves away from zero.
 
-    Scaling by a power of two is exact, so the comparison with the half is made
-    on whole numbers. Magnitudes from 2**21 up use the shortest decimal text.
+    The whole part is taken off first. What is left is below one, so scaling it by
+    2**62 is exact and the comparison with the half is made on whole numbers. From
+    2**63 up a double has no fraction and its shortest decimal text is used.
     """
     size = F.abs(value)
-    exponent = F.when(size < 1, F.lit(62)).when(size < 1024, F.lit(52)).otherwise(F.lit(41))
-    scale = F.when(size < 1, F.lit(2**62)).when(size < 1024, F.lit(2**52)).otherwise(F.lit(2**41))
-    units = (size * F.pow(F.lit(2.0), exponent)).cast("bigint").cast("decimal(20,0)")
-    power = F.lit(10**digits)
-    doubled = units * power.cast("decimal(4,0)") + F.shiftright(scale, 1).cast("decimal(20,0)")
+    whole = F.floor(size)
+    units = ((size - whole) * F.lit(2.0**62)).cast("bigint").cast("decimal(20,0)")
+    power = 10**digits
+    doubled = units * F.lit(power).cast("decimal(4,0)") + F.lit(2**61).cast("decimal(20,0)")
     # Whole-number division; an ordinary one would round the quotient.
-    rounded = F.call_function("div", doubled, scale.cast("decimal(20,0)"))
-    whole = F.call_function("div", rounded, power).cast("string")
-    text = whole
-    if digits:
-        part = F.lpad((rounded % power).cast("string"), digits, "0")
-        text = F.concat(whole, F.lit("."), part)
-    exact = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text)
-    return F.when(size < 2**21, exact).when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
+    part = F.call_function("div", doubled, F.lit(2**62).cast("decimal(20,0)"))
+
+    def text(rounded: Column) -> Column:
+        front = (whole + F.call_function("div", rounded, F.lit(power))).cast("string")
+        if not digits:
+            return front
+        return F.concat(front, F.lit("."), F.lpad((rounded % power).cast("string"), digits, "0"))
+
+    exact = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), bind(part, text))
+    return F.when(size < 2.0**63, exact).when(value.isNotNull(), F.format_string(f"%.{digits}f", value))
 
 
 def number_text(value: Column) -> Column:

@@ -20,10 +20,12 @@ def page_text(documents: DataFrame, html: str = "html", text: str = "text") -> D
     return parsed.withColumn(text, F.coalesce(repaired, F.col("__parsed.text"))).drop("__parsed")
 
 
-def filing_text(documents: DataFrame, cap: int = S.MAX_FILING_CHARS) -> DataFrame:
-    """HTML documents with their capped plain text; documents without text are dropped."""
+def filing_text(documents: DataFrame, cap: int | None = None) -> DataFrame:
+    """HTML documents with their plain text, whole unless ``cap`` is given; documents without text are dropped."""
     text = page_text(documents).drop("html")
-    return text.withColumn("text", prioritize_sections(F.col("text"), cap)).filter(F.col("text") != "")
+    if cap is not None:
+        text = text.withColumn("text", prioritize_sections(F.col("text"), cap))
+    return text.filter(F.col("text") != "")
 
 
 def chunks(
@@ -37,10 +39,14 @@ def chunks(
     """One row per chunk: index, content, token estimate and request batch.
 
     A map-only step: windows, numbering and packing happen inside the row of
-    the filing, before it is spread into chunks.
+    the filing, before it is spread into chunks. With a ``limit`` only that many
+    chunks of a filing are kept, and ``cut`` tells whether there were more.
     """
     others = [c for c in filings.columns if c != text]
-    pieces = filings.select(*others, chunk_text(F.col(text), size, overlap, limit).alias("__chunks"))
+    pieces = filings.select(*others, chunk_text(F.col(text), size, overlap).alias("__chunks"))
+    if limit is not None:
+        pieces = pieces.withColumn("cut", F.size("__chunks") > limit).withColumn("__chunks", F.slice("__chunks", 1, limit))
+        others = [*others, "cut"]
     return spread_chunks(pieces, others, budget)
 
 

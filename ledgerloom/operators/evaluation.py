@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import settings as S
 from ledgerloom.functions.scoring import score_direction, score_value
@@ -125,11 +125,11 @@ def record_notes(scores: DataFrame) -> DataFrame:
 
 
 def reusable_records(prior: DataFrame, settings: DataFrame) -> DataFrame:
-    """Successful records of an earlier run made under exactly these settings.
+    """Successful records of an earlier run made under one of these settings.
 
-    ``settings`` is one row of (model, fallback_model, max_filing_chars).
+    ``settings`` has a row of (model, fallback_model, max_filing_chars) for every setup that counts.
     """
-    same = prior.join(F.broadcast(settings.limit(1)), list(CONFIG), "left_semi")
+    same = prior.join(settings, list(CONFIG), "left_semi")
     return same.filter(~has_error())
 
 
@@ -156,47 +156,3 @@ def golden_problems(golden: DataFrame, least: int = 10) -> DataFrame:
     )
     sound = (c("entries") >= least) & (c("entries") == c("tickers")) & (c("invalid") == 0)
     return report.withColumn("sound", sound)
-
-
-def run_status(
-    log: DataFrame, run: str, position: str, limit: int = S.OVERLOAD_LIMIT, block: int = 1_000_000
-) -> DataFrame:
-    """Which items of a run were attempted, from (run, position, outcome) rows.
-
-    outcome is ok, overloaded, quota or error. A run stops after ``limit``
-    overloads in a row (only a success resets the count) or at a quota error,
-    whose own item counts as unreached. Adds ``streak`` and ``status``.
-
-    Runs are cut into blocks of positions. Each block is scanned by itself and
-    hands one summary row on, so a long run is spread over many tasks and the
-    pass over whole runs sees one row per block.
-    """
-    success = (F.col("outcome") == "ok").cast("int")
-    overload = (F.col("outcome") == "overloaded").cast("int")
-    blocks = log.withColumn("__block", F.floor(F.col(position) / F.lit(block)))
-    in_block = Window.partitionBy(run, "__block").orderBy(position)
-    blocks = blocks.withColumn("__oks", F.sum(success).over(in_block))
-    in_island = Window.partitionBy(run, "__block", "__oks").orderBy(position)
-    blocks = blocks.withColumn("__streak", F.sum(overload).over(in_island))
-
-    summary = blocks.groupBy(run, "__block").agg(
-        F.max("__oks").alias("oks"), F.max_by("__streak", position).alias("trailing")
-    )
-    by_block = Window.partitionBy(run).orderBy("__block")
-    summary = summary.withColumn("island", F.sum((F.col("oks") > 0).cast("int")).over(by_block))
-    so_far = F.sum("trailing").over(Window.partitionBy(run, "island").orderBy("__block"))
-    summary = summary.withColumn("__after", so_far)
-    carry = F.coalesce(F.lag("__after").over(by_block), F.lit(0)).alias("__carry")
-    carried = blocks.join(summary.select(run, "__block", carry), [run, "__block"])
-
-    streak = F.col("__streak") + F.when(F.col("__oks") == 0, F.col("__carry")).otherwise(0)
-    carried = carried.withColumn("streak", streak.cast("bigint"))
-    stop_here = ((F.col("outcome") == "overloaded") & (F.col("streak") >= limit)) | (F.col("outcome") == "quota")
-    stops = carried.groupBy(run).agg(
-        F.min(F.when(stop_here, F.struct(F.col(position).alias("at"), F.col("outcome").alias("why")))).alias("__stop")
-    )
-    joined = carried.join(stops, run)
-    at, why = F.col("__stop.at"), F.col("__stop.why")
-    reached = at.isNull() | (F.col(position) < at) | ((F.col(position) == at) & (why == "overloaded"))
-    status = F.when(reached, F.col("outcome")).otherwise("unreached")
-    return joined.withColumn("status", status).drop("__block", "__oks", "__streak", "__carry", "__stop")

@@ -124,16 +124,18 @@ def resolve_series(facts: DataFrame, candidates: Sequence[Candidate]) -> DataFra
     return select_series(candidate_values(facts, candidates))
 
 
-def period_frame(series: DataFrame, metrics: Sequence[str], last: int) -> DataFrame:
-    """One row per company and period with a column per metric, the last ``last`` periods.
+def period_frame(series: DataFrame, metrics: Sequence[str], last: int | None = None) -> DataFrame:
+    """One row per company and period with a column per metric, all of them or the last ``last`` ones.
 
     Only periods with revenue or net income make a row; other metrics attach.
     """
-    if last < 1:
+    if last is not None and last < 1:
         raise ValueError("at least one period must be kept")
     columns = [F.max(F.when(F.col("metric") == m, F.col("val"))).alias(m) for m in metrics]
     framed = series.groupBy("cik", "period").agg(*columns)
     framed = framed.filter(F.col("revenue").isNotNull() | F.col("net_income").isNotNull())
+    if last is None:
+        return framed
     newest = Window.partitionBy("cik").orderBy(F.desc("period"))
     return framed.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= last).drop("__n")
 
@@ -141,7 +143,7 @@ def period_frame(series: DataFrame, metrics: Sequence[str], last: int) -> DataFr
 def annual_frame(
     facts: DataFrame,
     candidates: Sequence[Candidate] = tuple(S.ANNUAL_CANDIDATES),
-    max_years: int = S.MAX_YEARS,
+    max_years: int | None = None,
 ) -> DataFrame:
     """Annual financials of every company; order by fiscal_year to read them."""
     framed = period_frame(resolve_series(facts, candidates), S.ANNUAL_METRICS, max_years)
@@ -152,7 +154,7 @@ def annual_frame(
 def quarterly_frame(
     facts: DataFrame,
     candidates: Sequence[Candidate] = tuple(S.QUARTERLY_CANDIDATES),
-    max_quarters: int = S.MAX_QUARTERS,
+    max_quarters: int | None = None,
 ) -> DataFrame:
     framed = period_frame(resolve_series(facts, candidates), S.FRAME_METRICS, max_quarters)
     return framed.withColumnRenamed("period", "period_end").select("cik", "period_end", *S.FRAME_METRICS)

@@ -56,11 +56,9 @@ def latest_analysis(analyses: DataFrame) -> DataFrame:
     return best_row(analyses, ["ticker"], [F.col(c) for c in NEWEST])
 
 
-def first_filings(filings: DataFrame, n: int = S.FILINGS_PER_COMPANY, forms: str | None = None) -> DataFrame:
+def first_filings(filings: DataFrame, n: int, forms: str | None = None) -> DataFrame:
     """The first ``n`` filings per company in index order, after the form filter."""
     kept = by_forms(filings, forms)
-    if n == 1:
-        return best_row(kept, ["cik"], [-F.col("ord")])
     return top_k(kept, ["cik"], [F.col("ord")], n, spread=["ord"]).drop("rank")
 
 
@@ -221,10 +219,12 @@ def company_profile(
     annual: DataFrame,
     quarterly: DataFrame,
     analyses: DataFrame,
+    n_filings: int,
+    n_analyses: int,
 ) -> DataFrame:
     """One row per known ticker: first filings, financials and newest analyses as arrays.
 
-    Every array is bounded: 10 filings, 8 years, 12 quarters, 12 analyses.
+    ``annual`` and ``quarterly`` are frames of a bounded number of periods.
     """
     companies = resolve_tickers(wanted, directory)
 
@@ -232,10 +232,10 @@ def company_profile(
         items = F.array_sort(F.collect_list(F.struct(*columns)))
         return rows.groupBy(key).agg(items.alias(name))
 
-    listed = gathered(first_filings(filings), "cik", ["ord", "accession_number", "form_type", "filing_date"], "filings")
+    listed = gathered(first_filings(filings, n_filings), "cik", ["ord", "accession_number", "form_type", "filing_date"], "filings")
     years = gathered(annual, "cik", ["fiscal_year", *S.ANNUAL_METRICS], "years")
     quarters = gathered(quarterly, "cik", ["period_end", *S.FRAME_METRICS], "quarters")
-    newest = top_k(analyses, ["ticker"], [F.desc(c) for c in NEWEST], S.HISTORY_ROWS, spread=["id"])
+    newest = top_k(analyses, ["ticker"], [F.desc(c) for c in NEWEST], n_analyses, spread=["id"])
     history = gathered(newest, "ticker", ["rank", "id", "accession_number", "filing_date"], "history")
     profile = companies
     for part in (listed, years, quarters):
@@ -250,7 +250,6 @@ def build_golden(
     facts: DataFrame,
     candidates: Sequence[Candidate],
     form: str = "10-K",
-    max_years: int = 20,
 ) -> tuple[DataFrame, DataFrame]:
     """(golden entries, dropped tickers with a reason).
 
@@ -262,7 +261,7 @@ def build_golden(
         "cik", "accession_number", "form_type", "filing_date", "primary_document"
     )
     filed = companies.join(newest, "cik", "left")
-    frame = annual_frame(facts, candidates, max_years)
+    frame = annual_frame(facts, candidates)
     years = pick_fiscal_year(frame, filed.filter(F.col("accession_number").isNotNull()))
     dated = filed.join(years, "accession_number", "left")
     truth, _ = ground_truth(facts, dated.filter(F.col("fiscal_year").isNotNull()), candidates)

@@ -1,11 +1,7 @@
-"""Rolling budgets, daily caps, time-to-live suppression and per-user lists over request logs."""
+"""Rolling budgets, daily caps and per-user lists over request logs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import settings as S
@@ -25,13 +21,15 @@ def rolling_usage(
     tokens: str = "tokens",
     window_seconds: int = S.RATE_WINDOW_SECONDS,
     budget: int = S.TOKEN_BUDGET,
-    bucket_seconds: int = 3_600,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Tokens used in the (t - window, t] before every request, and whether that is over budget.
 
-    A pool is cut into time buckets with a look-back copy at the seams, so a
-    pool with a third of the log is metered by many tasks.
+    Requests of one moment are added up before they move. A pool is cut into time
+    buckets of a few windows with a look-back copy at the seams, so a pool with a
+    third of the log is metered by as many tasks as it has buckets.
     """
+    bucket_seconds = bucket_seconds or 4 * window_seconds
     placed = with_halo(log.withColumn("__us", micros(ts)), F.col("__us"), window_seconds * MICROS, bucket_seconds * MICROS)
     frame = (
         Window.partitionBy(pool, "__bucket").orderBy("__us").rangeBetween(-(window_seconds * MICROS - 1), 0)
@@ -49,8 +47,7 @@ def daily_admission(log: DataFrame, ts: str = "ts", request: str = "request_id",
     dated = log.withColumn("day", F.to_date(F.col(ts).cast("timestamp")))
     first = top_k(dated.select("day", ts, request), ["day"], [F.col(ts), F.col(request)], cap, spread=[request])
     cutoff = first.groupBy("day").agg(F.max(F.struct(ts, request)).alias("__cutoff"))
-    # One row per calendar day: 36,525 rows for a century.
-    marked = dated.join(F.broadcast(cutoff), "day")
+    marked = dated.join(cutoff, "day")
     return marked.withColumn("admitted", F.struct(ts, request) <= F.col("__cutoff")).drop("__cutoff")
 
 
@@ -60,210 +57,3 @@ def recent_items(log: DataFrame, keep: int = S.RECENT_ITEMS, user: str = "user_i
     """The last ``keep`` distinct items of each user, newest first."""
     last = log.groupBy(user, item).agg(F.max(ts).alias("last_used"))
     return top_k(last, [user], [F.desc("last_used"), F.col(item)], keep, spread=[item])
-
-
-def watch_list(
-    log: DataFrame, cap: int = S.WATCH_ITEMS, user: str = "user_id", item: str = "item", ts: str = "ts", request: str = "request_id"
-) -> DataFrame:
-    """Watched items per user after a log of toggles; adding to a full list does nothing.
-
-    A user who touched no more than ``cap`` different items can never meet the
-    cap, so an odd number of toggles decides, by plain aggregation. Only the
-    others need their toggles in order: those stream through a sorted partition
-    that keeps at most ``cap`` items in memory.
-    """
-    counted = log.groupBy(user, item).agg(F.count(F.lit(1)).alias("toggles"), F.max(ts).alias("added_at"))
-    crowded = counted.groupBy(user).agg((F.count(F.lit(1)) > cap).alias("__crowded"))
-    crowded = crowded.filter("__crowded").select(user)
-    settled = counted.join(crowded, user, "left_anti").filter(F.col("toggles") % 2 == 1).select(user, item, "added_at")
-
-    ordered = (
-        log.join(crowded, user, "left_semi")
-        .select(user, item, ts, request)
-        .repartition(user)
-        .sortWithinPartitions(user, ts, request)
-    )
-    schema = settled.schema
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, watched = None, {}
-
-        def emit() -> pd.DataFrame:
-            rows = [(owner, name, at) for name, at in watched.items()]
-            return pd.DataFrame(rows, columns=[user, item, "added_at"])
-
-        for batch in batches:
-            for who, name, at in zip(batch[user], batch[item], batch[ts]):
-                if who != owner:
-                    if watched:
-                        yield emit()
-                    owner, watched = who, {}
-                if name in watched:
-                    del watched[name]
-                elif len(watched) < cap:
-                    watched[name] = at
-        if watched:
-            yield emit()
-
-    return settled.unionByName(ordered.mapInPandas(replay, schema))
-
-
-# --- time to live ---------------------------------------------------------------------
-
-def ttl_hits(
-    log: DataFrame,
-    ttl_seconds: int,
-    keys: Sequence[str] = ("key",),
-    ts: str = "ts",
-    request: str = "request_id",
-    cacheable: str | None = None,
-    segment_seconds: int = 86_400,
-) -> DataFrame:
-    """Marks requests within ``ttl`` of the last miss of their key as hits.
-
-    A hit does not extend the life of an entry, an entry expires when it is
-    older than the ttl, and a miss that is not ``cacheable`` stores nothing.
-
-    Which request misses depends on the miss before it, so a key is a chain.
-    Its log is cut into time segments: every segment is first reduced, by
-    itself, to a short table "stored before -> stored after"; one pass per key
-    over these tables gives the entry each segment starts from; then all
-    segments are marked independently.
-    """
-    keys = list(keys)
-    ttl, length = ttl_seconds * MICROS, max(segment_seconds, ttl_seconds) * MICROS
-    stores = F.lit(True) if cacheable is None else F.coalesce(F.col(cacheable), F.lit(False))
-    rows = log.withColumn("__us", micros(ts)).withColumn("__stores", stores)
-    rows = rows.withColumn("__seg", F.floor(F.col("__us") / F.lit(length)).cast("bigint"))
-    types = {f.name: f.dataType.simpleString() for f in log.schema.fields}
-    key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-
-    def summarize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = _Rows([*keys, "__seg", "upto", "stored"])
-        for group, (us, can) in _runs(batches, [*keys, "__seg"], ["__us", "__stores"]):
-            at = np.unique(us[can.astype(bool)])
-            n, seg = len(at), int(group[-1])
-            if n == 0:
-                # Nothing is stored here; the segment still has to be marked.
-                yield from out.add(group, [None], [None])
-                continue
-            step = np.searchsorted(at, at + ttl, "right")
-            last = np.where(step < n, step, np.arange(n))
-            while not np.array_equal(last, last[last]):
-                last = last[last]
-            entries = min(int(np.searchsorted(at, seg * length + ttl, "left")), n - 1) + 1
-            stored = at[last[:entries]]
-            # Neighbouring entries that lead to the same end share a row.
-            ends = np.append(stored[1:] != stored[:-1], True)
-            yield from out.add(group, at[:entries][ends], stored[ends])
-        yield from out.rest()
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = _Rows([*keys, "__seg", "__before"])
-        owner, stored = None, None
-        for group, (upto, ends) in _runs(batches, [*keys, "__seg"], ["upto", "stored"]):
-            if group[:-1] != owner:
-                owner, stored = group[:-1], None
-            yield from out.add(group, [stored])
-            known = ~pd.isna(upto)
-            upto, ends = upto[known].astype("int64"), ends[known].astype("int64")
-            i = 0 if stored is None else int(np.searchsorted(upto, stored + ttl, "right"))
-            if i < len(upto):
-                stored = int(ends[i])
-        yield from out.rest()
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = _Rows([*keys, request, ts, "hit"])
-        columns = ["__us", "__stores", "__before", request, ts]
-        for group, (at, can, before, request_ids, times) in _runs(batches, [*keys, "__seg"], columns):
-            hit = np.zeros(len(at), dtype=bool)
-            start = 0
-            if not pd.isna(before[0]):
-                start = int(np.searchsorted(at, int(before[0]) + ttl, "right"))
-                hit[:start] = True
-            able = np.flatnonzero(can.astype(bool))
-            while start < len(at):
-                # Everything up to the next request that stores its result is a miss.
-                j = np.searchsorted(able, start)
-                if j == len(able):
-                    break
-                miss = able[j]
-                start = int(np.searchsorted(at, at[miss] + ttl, "right"))
-                hit[miss + 1 : start] = True
-            yield from out.add(group[:-1], request_ids, times, hit)
-        yield from out.rest()
-
-    segment = [*keys, "__seg"]
-    tables = _sorted_by(rows.select(*segment, "__us", "__stores"), segment, ["__us"]).mapInPandas(
-        summarize, f"{key_ddl}, __seg bigint, upto bigint, stored bigint"
-    )
-    starts = _sorted_by(tables, keys, ["__seg", "upto"]).mapInPandas(follow, f"{key_ddl}, __seg bigint, __before bigint")
-    joined = rows.select(*segment, request, ts, "__us", "__stores").join(starts, segment)
-    return _sorted_by(joined, segment, ["__us", request]).mapInPandas(
-        mark, f"{key_ddl}, `{request}` {types[request]}, `{ts}` {types[ts]}, hit boolean"
-    )
-
-
-def _sorted_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
-
-
-def _runs(batches: Iterator[pd.DataFrame], keys: Sequence[str], columns: Sequence[str]) -> Iterator[tuple]:
-    """(key, arrays) of every run of equal keys in sorted batches; a run may span batches."""
-    held, parts = None, []
-
-    def joined() -> tuple:
-        return held, [np.concatenate(column) if len(column) > 1 else column[0] for column in zip(*parts)]
-
-    for batch in batches:
-        names = [batch[k].to_numpy() for k in keys]
-        data = [batch[c].to_numpy() for c in columns]
-        starts = np.ones(len(batch), dtype=bool)
-        if len(batch) > 1:
-            starts[1:] = np.logical_or.reduce([name[1:] != name[:-1] for name in names])
-        cuts = [*np.flatnonzero(starts), len(batch)]
-        for low, high in zip(cuts[:-1], cuts[1:]):
-            key = tuple(name[low] for name in names)
-            if held is not None and key != held:
-                yield joined()
-                parts = []
-            held = key
-            parts.append([column[low:high] for column in data])
-    if held is not None:
-        yield joined()
-
-
-class _Rows:
-    """Collects result arrays of many small groups into frames of a useful size."""
-
-    def __init__(self, names: Sequence[str], size: int = 20_000) -> None:
-        self.names, self.size, self.count, self.parts = names, size, 0, []
-
-    def add(self, key: tuple, *columns) -> Iterator[pd.DataFrame]:
-        self.parts.append((key, columns))
-        self.count += len(columns[0])
-        if self.count >= self.size:
-            yield from self.rest()
-
-    def rest(self) -> Iterator[pd.DataFrame]:
-        if not self.parts:
-            return
-        sizes = [len(columns[0]) for _, columns in self.parts]
-        width = len(self.parts[0][0])
-        data = [np.repeat(np.array([key[i] for key, _ in self.parts], dtype=object), sizes) for i in range(width)]
-        for i in range(len(self.parts[0][1])):
-            pieces = [columns[i] for _, columns in self.parts]
-            if isinstance(pieces[0], list) or any(isinstance(p, list) for p in pieces):
-                data.append(pd.array([v for piece in pieces for v in piece], dtype="Int64"))
-            else:
-                data.append(np.concatenate(pieces))
-        self.parts, self.count = [], 0
-        yield pd.DataFrame(dict(zip(self.names, data)))
-
-
-def hit_rate(marked: DataFrame, keys: Sequence[str] = ("key",)) -> DataFrame:
-    return marked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if("hit").alias("hits"),
-        (F.count_if("hit") / F.count(F.lit(1))).alias("hit_rate"),
-    )

@@ -29,7 +29,7 @@ SELECT page_id, array_to_string(list_filter(
   list_transform(string_split(t, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x <> ''), chr(10)) AS text
 FROM plain""")
 def page_text(spark, sf):
-    pages = readers.spread(V.table(spark, sf, "pages"))
+    pages = V.table(spark, sf, "pages")
     return ops.page_text(pages.select("page_id", "html")).select("page_id", "text")
 
 
@@ -123,11 +123,13 @@ def prioritized_text(spark, sf):
     return documents.select("doc_id", fn.prioritize_sections(F.col("text"), CAP, HEAD, MARKS).alias("text"))
 
 
-@query("SELECT doc_id, left(text, 600000) AS text, CAST(length(text) AS BIGINT) AS chars FROM documents")
+@query(f"SELECT doc_id, left(text, {CAP}) AS text, substr(text, {CAP + 1}) AS rest FROM documents")
 def truncated_text(spark, sf):
+    """The plain cut of texts without sections, and what it took away."""
     documents = V.documents(spark, sf)
-    text = F.substring("text", 1, S.MAX_FILING_CHARS)
-    return documents.select("doc_id", text.alias("text"), F.length("text").cast("bigint").alias("chars"))
+    text = fn.prioritize_sections(F.col("text"), CAP, HEAD, sections=())
+    rest = F.col("text").substr(F.length(text) + 1, F.length("text"))
+    return documents.select("doc_id", text.alias("text"), rest.alias("rest"))
 
 
 # --- chunks ------------------------------------------------------------------------------------
@@ -145,6 +147,20 @@ def document_chunks(spark, sf):
     return _chunks(spark, sf).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "content")
 
 
+@query(f"""
+WITH {V.chunks_sql("(SELECT doc_id, CASE WHEN length(text) >= 20000 THEN repeat(text, 30) ELSE text END AS text FROM documents)")}
+SELECT doc_id, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars, arg_max(content, chunk_index) AS last
+FROM plain_chunks GROUP BY doc_id""")
+def long_document_chunks(spark, sf):
+    """Every chunk of all texts, the long ones repeated until they pass the truncation's 600,000 characters."""
+    long = F.when(F.length("text") >= 20_000, 30).otherwise(1)
+    documents = V.documents(spark, sf).withColumn("text", F.repeat("text", long))
+    rows = ops.chunks(documents, budget=BUDGET)
+    return rows.groupBy("doc_id").agg(
+        F.count("*").alias("chunks"), F.sum(F.length("content")).cast("bigint").alias("chars"), F.max_by("content", "chunk_index").alias("last")
+    )
+
+
 @query(f"""
 WITH {V.CHUNKS}
 SELECT doc_id, chunk_index, CAST(greatest(1, ceil(length(content) / 1.8::DOUBLE)) AS BIGINT) AS tokens FROM plain_chunks""")

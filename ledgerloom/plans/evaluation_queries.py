@@ -217,28 +217,6 @@ def reusable_records(spark, sf):
     )
 
 
-@query("""
-WITH log AS (SELECT user_id, event_id, CASE WHEN event_type IN ('error', 'signup') THEN 'overloaded'
-    WHEN event_type = 'click' THEN 'ok' WHEN value > 200 THEN 'quota' ELSE 'error' END AS outcome FROM events),
-streaks AS (SELECT *, count(*) FILTER (outcome = 'overloaded') OVER (PARTITION BY user_id, island ORDER BY event_id) AS streak
-  FROM (SELECT *, count(*) FILTER (outcome = 'ok') OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM log)),
-stops AS (SELECT user_id, min(event_id) AS stop, arg_min(outcome, event_id) AS why FROM streaks
-  WHERE outcome = 'quota' OR (outcome = 'overloaded' AND streak >= 3) GROUP BY user_id)
-SELECT s.user_id, s.event_id, outcome, streak,
-  CASE WHEN stop IS NULL OR event_id < stop OR (event_id = stop AND why = 'overloaded') THEN outcome ELSE 'unreached' END AS status
-FROM streaks s LEFT JOIN stops USING (user_id)""")
-def run_status(spark, sf):
-    events = V.table(spark, sf, "events")
-    kind = F.col("event_type")
-    outcome = (
-        F.when(kind.isin("error", "signup"), "overloaded").when(kind == "click", "ok")
-        .when(F.col("value") > 200, "quota").otherwise("error")
-    )
-    log = events.select("user_id", "event_id", outcome.alias("outcome"))
-    # Small blocks, so that the carry between blocks is exercised.
-    return ev.run_status(log, "user_id", "event_id", block=1000)
-
-
 @query(f"""
 WITH {V.frame_sql(V.ANNUAL, ['revenue', 'net_income'], 20, 'CAST(period AS INTEGER) AS fiscal_year')},
 {V.DIRECTORY}, {V.FILINGS},

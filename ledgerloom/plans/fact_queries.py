@@ -68,13 +68,13 @@ QUARTERLY_FRAME = V.frame_sql(V.QUARTERLY, S.FRAME_METRICS, S.MAX_QUARTERS, "per
 
 @query(f"WITH {ANNUAL_FRAME} SELECT cik, fiscal_year, {_METRICS} FROM frame")
 def annual_frame(spark, sf):
-    frame = ops.annual_frame(V.facts(spark, sf), V.ANNUAL)
+    frame = ops.annual_frame(V.facts(spark, sf), V.ANNUAL, S.MAX_YEARS)
     return frame.withColumn("fiscal_year", _year("fiscal_year"))
 
 
 @query(f"WITH {QUARTERLY_FRAME} SELECT cik, period_end, revenue, net_income FROM frame")
 def quarterly_frame(spark, sf):
-    return ops.quarterly_frame(V.duration_facts(spark, sf), V.QUARTERLY)
+    return ops.quarterly_frame(V.duration_facts(spark, sf), V.QUARTERLY, S.MAX_QUARTERS)
 
 
 @query(f"""
@@ -84,7 +84,7 @@ FROM filings JOIN frame ON filings.cik = frame.cik
 WHERE fiscal_year <= CAST(substr(filing_date, 1, 4) AS BIGINT)
 GROUP BY accession_number, filings.ord""")
 def reported_fiscal_year(spark, sf):
-    frame = ops.annual_frame(V.facts(spark, sf), V.ANNUAL)
+    frame = ops.annual_frame(V.facts(spark, sf), V.ANNUAL, S.MAX_YEARS)
     return ops.pick_fiscal_year(frame, V.filings(spark, sf)).withColumn("fiscal_year", _year("fiscal_year"))
 
 
@@ -174,7 +174,7 @@ WITH {ANNUAL_FRAME}
 SELECT cik, 'FY' || fiscal_year AS label, CAST(fiscal_year AS VARCHAR) AS sort_key, revenue, net_income
 FROM frame WHERE revenue IS NOT NULL OR net_income IS NOT NULL""")
 def annual_points(spark, sf):
-    return ops.annual_points(ops.annual_frame(V.facts(spark, sf), V.ANNUAL))
+    return ops.annual_points(ops.annual_frame(V.facts(spark, sf), V.ANNUAL, S.MAX_YEARS))
 
 
 @query(f"""
@@ -182,7 +182,7 @@ WITH {QUARTERLY_FRAME}
 SELECT cik, strftime(CAST(period_end AS DATE), '%b %-d, %Y') AS label, period_end AS sort_key, revenue, net_income
 FROM frame""")
 def quarterly_points(spark, sf):
-    return ops.quarterly_points(ops.quarterly_frame(V.duration_facts(spark, sf), V.QUARTERLY))
+    return ops.quarterly_points(ops.quarterly_frame(V.duration_facts(spark, sf), V.QUARTERLY, S.MAX_QUARTERS))
 
 
 @query(f"""
@@ -196,7 +196,7 @@ SELECT cik, coalesce(annual_points, 0) AS annual_points, coalesce(history_points
             WHEN coalesce(history_points, 0) >= 2 THEN 'history' ELSE 'none' END AS source
 FROM a FULL OUTER JOIN h USING (cik)""")
 def trend_sources(spark, sf):
-    annual = ops.annual_points(ops.annual_frame(V.facts(spark, sf), V.ANNUAL))
+    annual = ops.annual_points(ops.annual_frame(V.facts(spark, sf), V.ANNUAL, S.MAX_YEARS))
     history = ops.history_points(V.analyses(spark, sf))
     source = ops.trend_source(annual, annual.filter(F.lit(False)), history)
     return source.drop("quarterly_points")
@@ -208,7 +208,7 @@ SELECT cik, bool_or(coalesce(eps_diluted, operating_cash_flow, cash, total_asset
   AS has_extra_metrics
 FROM frame GROUP BY cik""")
 def extra_metrics(spark, sf):
-    return ops.has_extra_metrics(ops.annual_frame(V.facts(spark, sf), V.ANNUAL))
+    return ops.has_extra_metrics(ops.annual_frame(V.facts(spark, sf), V.ANNUAL, S.MAX_YEARS))
 
 
 # --- documents -----------------------------------------------------------------------------------

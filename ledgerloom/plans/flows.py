@@ -16,11 +16,11 @@ def financials(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return fact_ops.annual_frame(facts), fact_ops.quarterly_frame(facts)
 
 
-def chunks_to_index(pages: DataFrame, stored: DataFrame, cap: int = S.MAX_FILING_CHARS) -> DataFrame:
+def chunks_to_index(pages: DataFrame, stored: DataFrame, cap: int | None = None) -> DataFrame:
     """Chunks that still have to be embedded, from (accession_number, html) and the stored chunks.
 
-    HTML to text, section-targeted truncation, chunking and batching; what is
-    stored already is skipped.
+    HTML to text, chunking and batching; what is stored already is skipped. A
+    ``cap`` truncates the texts, keeping the sections that matter.
     """
     texts = documents.filing_text(pages.select("accession_number", "html"), cap)
     return documents.remaining_chunks(texts, stored)

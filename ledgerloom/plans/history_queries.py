@@ -332,7 +332,8 @@ def company_profile(spark, sf):
     analyses = V.analyses(spark, sf).withColumn("ticker", F.replace("ticker", F.lit("T"), F.lit("LISTED-")))
     facts = V.facts(spark, sf)
     profile = hist.company_profile(
-        wanted, listed, V.filings(spark, sf), ops.annual_frame(facts, V.ANNUAL), ops.quarterly_frame(facts, V.QUARTERLY), analyses
+        wanted, listed, V.filings(spark, sf), ops.annual_frame(facts, V.ANNUAL, S.MAX_YEARS), ops.quarterly_frame(facts, V.QUARTERLY, S.MAX_QUARTERS), analyses,
+        S.FILINGS_PER_COMPANY, S.HISTORY_ROWS
     )
 
     def joined(name, field):
@@ -453,7 +454,7 @@ SELECT lpad(CAST(o.o_orderkey AS VARCHAR), 18, '0') AS accession_number, v.o_ord
 FROM orders o LEFT JOIN valid v USING (o_orderkey)""")
 def extraction_attempts(spark, sf):
     """Model outputs, some truncated or without a field; the first valid one of two attempts counts."""
-    orders = readers.spread(V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"))
+    orders = V.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     tries = orders.select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("attempt"))
     rule = (F.col("o_orderkey") + F.col("attempt")) % 3
     metric = F.struct((F.col("o_totalprice") * F.col("attempt")).alias("current"), F.lit(None).cast("double").alias("yoy_change_pct"))
@@ -464,7 +465,7 @@ def extraction_attempts(spark, sf):
     )
     output = F.when(rule == 0, F.lit('{"revenue": {"current": 1')).otherwise(F.to_json(full))
     attempts = tries.select(F.lpad(F.col("o_orderkey").cast("string"), 18, "0").alias("accession_number"), "attempt", output.alias("output"))
-    good, malformed = readers.first_valid_extraction(attempts)
+    good, malformed = readers.first_valid_extraction(attempts, 2)
     flat = readers.flatten_extraction(good).select(
         "accession_number", F.lit(True).alias("valid"), "revenue_current", F.array_join("risk_factors", "|").alias("risks")
     )

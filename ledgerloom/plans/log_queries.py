@@ -48,64 +48,6 @@ def recent_items(spark, sf):
     return recent.select("user_id", "item", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(f"""
-WITH RECURSIVE {V.REQUEST_LOG},
-numbered AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) AS n FROM request_log),
-replay AS (
-  SELECT user_id, 0::BIGINT AS n, CAST([] AS VARCHAR[]) AS watched FROM (SELECT DISTINCT user_id FROM request_log)
-  UNION ALL
-  SELECT r.user_id, t.n, CASE WHEN list_contains(r.watched, t.item) THEN list_filter(r.watched, lambda x: x <> t.item)
-    WHEN len(r.watched) >= 20 THEN r.watched ELSE list_append(r.watched, t.item) END
-  FROM replay r JOIN numbered t ON t.user_id = r.user_id AND t.n = r.n + 1)
-SELECT user_id, unnest(watched) AS item FROM (SELECT user_id, arg_max(watched, n) AS watched FROM replay GROUP BY user_id)""")
-def watch_list(spark, sf):
-    return ops.watch_list(V.request_log(spark, sf)).select("user_id", "item")
-
-
-@query(f"""
-WITH RECURSIVE {V.REQUEST_LOG},
-numbered AS (SELECT user_id, item, CAST(CAST(item AS INTEGER) % 3 AS VARCHAR) AS list_item, row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) AS n FROM request_log),
-replay AS (
-  SELECT user_id, 0::BIGINT AS n, CAST([] AS VARCHAR[]) AS watched FROM (SELECT DISTINCT user_id FROM request_log)
-  UNION ALL
-  SELECT r.user_id, t.n, CASE WHEN list_contains(r.watched, t.list_item) THEN list_filter(r.watched, lambda x: x <> t.list_item)
-    WHEN len(r.watched) >= 2 THEN r.watched ELSE list_append(r.watched, t.list_item) END
-  FROM replay r JOIN numbered t ON t.user_id = r.user_id AND t.n = r.n + 1)
-SELECT user_id, unnest(watched) AS item FROM (SELECT user_id, arg_max(watched, n) AS watched FROM replay GROUP BY user_id)""")
-def short_watch_list(spark, sf):
-    """A list of two out of three items, so that every user meets the cap."""
-    log = V.request_log(spark, sf).withColumn("item", (F.col("item").cast("int") % 3).cast("string"))
-    return ops.watch_list(log, cap=2).select("user_id", "item")
-
-
-def _chain(ttl_hours: int, stores: str) -> str:
-    return f"""{V.REQUEST_LOG},
-numbered AS (SELECT pool, ts, request_id, {stores} AS stores, row_number() OVER (PARTITION BY pool ORDER BY ts, request_id) AS n FROM request_log),
-replay AS (
-  SELECT pool, 0::BIGINT AS n, CAST(NULL AS TIMESTAMP) AS stored, false AS hit FROM (SELECT DISTINCT pool FROM request_log)
-  UNION ALL
-  SELECT t.pool, t.n, CASE WHEN t.ts - r.stored <= INTERVAL {ttl_hours} HOUR THEN r.stored WHEN t.stores THEN t.ts ELSE r.stored END,
-         coalesce(t.ts - r.stored <= INTERVAL {ttl_hours} HOUR, false)
-  FROM replay r JOIN numbered t ON t.pool = r.pool AND t.n = r.n + 1)"""
-
-
-@query(f"WITH RECURSIVE {_chain(2, 'true')} SELECT t.pool, t.request_id, r.hit FROM replay r JOIN numbered t USING (pool, n)")
-def ttl_hits(spark, sf):
-    """Two hours' life over a log that never pauses that long."""
-    log = V.request_log(spark, sf).withColumnRenamed("pool", "key")
-    return ops.ttl_hits(log, ttl_seconds=7200).select(F.col("key").alias("pool"), "request_id", "hit")
-
-
-@query(f"""
-WITH RECURSIVE {_chain(5, 'request_id % 3 <> 0')}
-SELECT pool, count(*) AS requests, count(*) FILTER (hit) AS hits, count(*) FILTER (hit) / count(*) AS hit_rate FROM replay WHERE n > 0 GROUP BY pool""")
-def ttl_hit_rate(spark, sf):
-    """Empty results, every third, are not stored."""
-    log = V.request_log(spark, sf).withColumn("full", F.col("request_id") % 3 != 0)
-    marked = ops.ttl_hits(log, 5 * 3600, keys=["pool"], cacheable="full", segment_seconds=8 * 3600)
-    return ops.hit_rate(marked, ["pool"])
-
-
 _CALLS = """
 calls AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'model' WHEN 1 THEN 'embedding' ELSE 'fetch' END AS source,
   CASE CAST(json_extract_string(props, '$.k') AS INTEGER) % 8 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 500 WHEN 4 THEN 403 WHEN 5 THEN 404 WHEN 6 THEN 502 END AS code,

@@ -9,7 +9,6 @@ from ledgerloom.functions import documents as fn
 from ledgerloom.operators import documents as docs
 from ledgerloom.plans import vehicles as V
 from ledgerloom.plans.document_queries import _STORED
-from ledgerloom.plans.log_queries import _chain
 from ledgerloom.plans.registry import query
 from ledgerloom.session import shared_folder
 from ledgerloom.streaming import jobs
@@ -76,8 +75,9 @@ def streaming_coverage(spark, sf):
 @query(f"""
 WITH {V.REQUEST_LOG}
 SELECT request_id, CAST(sum(tokens) OVER (PARTITION BY pool ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS used
-FROM request_log""")
+FROM request_log QUALIFY epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 600000 FROM request_log)""")
 def streaming_usage(spark, sf):
+    """Requests that the watermark, ten minutes behind the last one, has passed."""
     path = shared_folder(spark, "stream-usage")
     jobs.meter_usage(
         _log(_stream(spark, sf, "events")), path, shared_folder(spark, "checkpoint"), window_seconds=3600,
@@ -112,13 +112,3 @@ def streaming_alerts(spark, sf):
     filings = V.filings_of(_stream(spark, sf, "orders"))
     jobs.alert_new_filings(filings, analyses, path, shared_folder(spark, "checkpoint"), once=True).awaitTermination()
     return spark.read.parquet(path).select("cik", "accession_number", "filing_date")
-
-
-@query(f"WITH RECURSIVE {_chain(2, 'request_id % 3 <> 0')} SELECT t.pool, t.request_id, r.hit FROM replay r JOIN numbered t USING (pool, n)")
-def streaming_suppression(spark, sf):
-    log = _log(_stream(spark, sf, "events")).select(
-        F.col("pool").alias("key"), "request_id", (F.col("request_id") % 3 != 0).alias("stores"), "ts"
-    )
-    path = shared_folder(spark, "stream-ttl")
-    jobs.suppress_repeats(log, 7200, path, shared_folder(spark, "checkpoint"), once=True).awaitTermination()
-    return spark.read.parquet(path).select(F.col("key").alias("pool"), "request_id", "hit")

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators.documents import chunks
-from ledgerloom.sources.readers import spread
 
 
 TABLES = {
@@ -43,7 +42,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def day_text(ts: str) -> Column:
@@ -300,7 +299,7 @@ analyses AS (
 
 def directory(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as listed companies: a few tickers are exactly a brand, most start with one."""
-    part = spread(table(spark, sf, "part").select("p_partkey", "p_brand", "p_name"))
+    part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name")
     key = F.col("p_partkey")
     ticker = F.when(key % 40 == 0, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("-"), key.cast("string")))
     return part.select(
@@ -334,7 +333,11 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Windows of 2,000 characters every 1,800, stripped, as SQL.
-CHUNKS = """
+def chunks_sql(source: str = "documents") -> str:
+    return CHUNKS_OF.replace("FROM documents", f"FROM {source}")
+
+
+CHUNKS_OF = """
 bodies AS (
   SELECT doc_id, CAST(doc_id AS VARCHAR) AS accession_number, trim(text, chr(32) || chr(9) || chr(10) || chr(13)) AS body
   FROM documents
@@ -349,8 +352,8 @@ pieces AS (
 plain_chunks AS (
   SELECT doc_id, accession_number, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, content
   FROM pieces WHERE content <> ''
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 334
 )"""
+CHUNKS = chunks_sql()
 CHUNK_ROWS = f"""{CHUNKS},
 chunk_rows AS (
   SELECT accession_number, chunk_index, content || CASE (doc_id + chunk_index) % 5

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -61,10 +60,13 @@ def size_shuffles(spark: SparkSession, input_bytes: int, partition_bytes: int =
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a session without that setting (a test) gets a local folder.
+    A cluster has to name that folder. A session on one machine without it (a test)
+    gets one beside its warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="ledgerloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex[:12]}"

@@ -35,15 +35,6 @@ EXTRACTION = (
 )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table with fewer splits than the cluster has cores, dealt out to all cores.
-
-    A large table has more splits than that and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def whole_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row (path, text) per file."""
     rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob)
@@ -168,12 +159,12 @@ def parse_extraction(text: Column) -> Column:
     return bind(F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}), checked)
 
 
-def first_valid_extraction(attempts: DataFrame, limit: int = 2) -> tuple[DataFrame, DataFrame]:
+def first_valid_extraction(attempts: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(good, malformed) filings from (accession_number, attempt, output) rows.
 
-    The first valid output among the first ``limit`` attempts counts.
+    The first valid output counts, among the first ``limit`` attempts if that is given.
     """
-    tried = attempts.filter(F.col("attempt") <= limit)
+    tried = attempts if limit is None else attempts.filter(F.col("attempt") <= limit)
     parsed = tried.withColumn("analysis", parse_extraction(F.col("output")))
     valid = parsed["analysis"].isNotNull()
     best = parsed.groupBy("accession_number").agg(F.min_by("analysis", F.when(valid, F.col("attempt"))).alias("analysis"))

@@ -18,7 +18,7 @@ from ledgerloom.operators.history import by_forms
 from ledgerloom.operators.metering import MICROS, micros
 from ledgerloom.operators.skew import best_row, top_k, with_halo
 from ledgerloom.sources.sinks import insert_analyses, read_or_empty
-from ledgerloom.streaming.state import LastMiss, RollingMeter
+from ledgerloom.streaming.state import RollingMeter
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -51,7 +51,10 @@ def ingest_analyses(stream: DataFrame, path: str, checkpoint: str, order: list[C
 
 
 def track_coverage(chunks: DataFrame, schedule: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Chunks stored so far per filing, joined to the schedule on every micro-batch."""
+    """Chunks stored so far per filing, joined to the schedule on every micro-batch.
+
+    The state is one number per filing and stays, as a filing may gain chunks at any time.
+    """
     counts = chunks.groupBy("accession_number").agg(F.count(F.lit(1)).alias("stored"))
 
     def publish(updated: DataFrame, batch: int) -> None:
@@ -78,17 +81,22 @@ def meter_usage(
     checkpoint: str,
     window_seconds: int = S.RATE_WINDOW_SECONDS,
     budget: int = S.TOKEN_BUDGET,
-    bucket_seconds: int = 3_600,
+    bucket_seconds: int | None = None,
     lateness: str = "10 minutes",
     once: bool = False,
 ) -> StreamingQuery:
-    """Rolling tokens per pool. State is kept per pool and time bucket, so a busy pool is spread."""
+    """Rolling tokens per pool, each request given out once the watermark has passed it.
+
+    Requests may come in any order within the lateness. State is kept per pool and
+    time bucket, so a busy pool is spread, and ends with the bucket.
+    """
+    bucket_seconds = bucket_seconds or 4 * window_seconds
     timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     timed = timed.select("pool", "request_id", "tokens", "ts", micros("ts").alias("us"))
     placed = with_halo(timed, F.col("us"), window_seconds * MICROS, bucket_seconds * MICROS)
     keyed = placed.withColumnsRenamed({"__bucket": "bucket", "__home": "home"})
     metered = keyed.groupBy("pool", "bucket").transformWithStateInPandas(
-        RollingMeter(window_seconds * MICROS, bucket_seconds * MICROS, budget),
+        RollingMeter(window_seconds * MICROS, budget),
         "pool string, request_id bigint, us bigint, used bigint, over_budget boolean",
         "append",
         "EventTime",
@@ -96,15 +104,6 @@ def meter_usage(
     return _start(metered.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, once)
 
 
-def suppress_repeats(log: DataFrame, ttl_seconds: int, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Marks requests that a live entry answers; the state is one time per key."""
-    timed = log.select("key", "request_id", "stores", micros("ts").alias("us"))
-    marked = timed.groupBy("key").transformWithStateInPandas(
-        LastMiss(ttl_seconds * MICROS), "key string, request_id bigint, us bigint, hit boolean", "append", "None"
-    )
-    return _start(marked.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, once)
-
-
 def admit_daily(log: DataFrame, path: str, checkpoint: str, cap: int = S.DAILY_CAP, once: bool = False) -> StreamingQuery:
     """Stores the first ``cap`` requests of every UTC day.
 

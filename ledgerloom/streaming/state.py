@@ -1,4 +1,4 @@
-"""Keyed state of the streaming meters."""
+"""Keyed state of the streaming meter."""
 
 from __future__ import annotations
 
@@ -10,71 +10,54 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 class RollingMeter(StatefulProcessor):
-    """Tokens of the last window per (pool, bucket); the state is that window's requests.
+    """Tokens of the last window per (pool, bucket), given out once no earlier request can come.
 
-    Requests of a key must arrive in order of time from one micro-batch to the
-    next; within a micro-batch they are sorted here.
+    Requests wait until the watermark has passed them, in any order of arrival. The
+    state holds those that wait and those within a window before them; it ends with
+    the bucket.
     """
 
-    def __init__(self, window: int, bucket: int, budget: int) -> None:
-        self.window, self.bucket, self.budget = window, bucket, budget
+    def __init__(self, window: int, budget: int) -> None:
+        self.window, self.budget = window, budget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.recent = handle.getListState("recent", "us bigint, tokens bigint")
+        self.held = handle.getListState("held", "us bigint, tokens bigint, request_id bigint, home boolean, sent boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["us", "request_id"], kind="stable")
-        if not self.recent.exists():
-            # Nothing can look back into this bucket once the next one is over.
-            self.handle.registerTimer((int(key[1]) + 2) * self.bucket // 1000)
-        held = list(self.recent.get()) if self.recent.exists() else []
-        at = np.array([r[0] for r in held] + new["us"].tolist(), dtype="int64")
-        spent = np.array([r[1] for r in held] + new["tokens"].tolist(), dtype="int64")
-        order = np.argsort(at, kind="stable")
-        at, running = at[order], np.concatenate([[0], np.cumsum(spent[order])])
-        us = new["us"].to_numpy()
-        used = running[np.searchsorted(at, us, "right")] - running[np.searchsorted(at, us - self.window, "right")]
-        keep = at > at[-1] - self.window
-        self.recent.put([(int(u), int(t)) for u, t in zip(at[keep], spent[order][keep])])
-        out = new.assign(pool=key[0], used=used, over_budget=used > self.budget)
-        yield out.loc[out["home"], ["pool", "request_id", "us", "used", "over_budget"]]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.recent.clear()
+        first = None
+        for part in rows:
+            self.held.appendList([(int(u), int(t), int(r), bool(h), False) for u, t, r, h in zip(part["us"], part["tokens"], part["request_id"], part["home"])])
+            least = int(part["us"].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(first // 1000)
         return iter([])
 
-    def close(self) -> None:
-        pass
-
-
-class LastMiss(StatefulProcessor):
-    """Time of the last stored miss per key; a hit does not extend it."""
-
-    def __init__(self, ttl: int) -> None:
-        self.ttl = ttl
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored = handle.getValueState("stored", "us bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["us", "request_id"], kind="stable")
-        at, stores = new["us"].to_numpy(), new["stores"].to_numpy(dtype=bool)
-        able = np.flatnonzero(stores)
-        hit = np.zeros(len(at), dtype=bool)
-        stored = self.stored.get()[0] if self.stored.exists() else None
-        start = 0 if stored is None else int(np.searchsorted(at, stored + self.ttl, "right"))
-        hit[:start] = True
-        while start < len(at):
-            j = int(np.searchsorted(able, start))
-            if j == len(able):
-                break
-            stored = int(at[able[j]])
-            start = int(np.searchsorted(at, stored + self.ttl, "right"))
-            hit[able[j] + 1 : start] = True
-        if stored is not None:
-            self.stored.update((int(stored),))
-        yield new.assign(key=key[0], hit=hit)[["key", "request_id", "us", "hit"]]
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(self.held.get()) if self.held.exists() else []
+        at = np.array([r[0] for r in rows], dtype="int64")
+        running = np.concatenate([[0], np.cumsum(np.array([r[1] for r in rows], dtype="int64"))])
+        due = [i for i, r in enumerate(rows) if not r[4] and r[0] // 1000 * 1000 < passed]
+        us = at[due]
+        used = running[np.searchsorted(at, us, "right")] - running[np.searchsorted(at, us - self.window, "right")]
+        out = [(key[0], rows[i][2], int(u), int(n), bool(n > self.budget)) for i, u, n in zip(due, us, used) if rows[i][3]]
+        sent = set(due)
+        waiting = [r[0] for i, r in enumerate(rows) if not r[4] and i not in sent]
+        # A request that may still come lies after the watermark and looks back one window.
+        needed = min([passed, *waiting]) - self.window
+        kept = [(*r[:4], r[4] or i in sent) for i, r in enumerate(rows) if r[0] > needed]
+        if waiting:
+            self.handle.registerTimer(min(waiting) // 1000)
+        elif kept:
+            # Nothing waits; look again when the last one has left every window.
+            self.handle.registerTimer((kept[-1][0] + self.window) // 1000 + 1)
+        if kept:
+            self.held.put(kept)
+        else:
+            self.held.clear()
+        yield pd.DataFrame(out, columns=["pool", "request_id", "us", "used", "over_budget"])
 
     def close(self) -> None:
         pass

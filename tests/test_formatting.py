@@ -11,6 +11,7 @@ def number(value):
 @pytest.mark.parametrize("value, digits, text", [
     (1.005, 2, "1.00"), (0.125, 2, "0.13"), (-0.125, 2, "-0.13"), (2.5, 0, "3"), (0.25, 1, "0.3"), (248.85, 1, "248.8"), (0.0, 1, "0.0"),
     (-0.001, 2, "-0.00"), (999.995, 2, "1000.00"), (1234.5678, 2, "1234.57"), (0.004999, 2, "0.00"), (3_000_000.25, 1, "3000000.3"), (None, 1, None),
+    (4194304.5, 0, "4194305"), (-4194305.125, 2, "-4194305.13"), (2.0**40 + 0.375, 2, "1099511627776.38"), (2097153.005, 2, "2097153.00"),
     (8.345, 2, "8.35"), (1.45, 1, "1.4"), (0.05, 1, "0.1"), (1e-9, 2, "0.00"),
 ])
 def test_fixed_point_rounds_the_exact_value(one, value, digits, text):

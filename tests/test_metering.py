@@ -44,40 +44,6 @@ def test_recent_items(spark):
     assert [r.item for r in recent.filter("user_id = 'u'").orderBy("rank").collect()] == ["g", "f", "e", "d", "b"]
 
 
-@pytest.mark.parametrize("cap", [2, 5, 50])
-def test_watch_list_against_brute_force(spark, cap):
-    rng = random.Random(cap)
-    rows = [(rng.choice("uvw"), rng.choice("abcdefgh"), i, i) for i in range(300)] + [("x", "a", 0, 0), ("y", "a", 0, 0), ("y", "a", 1, 1)]
-    expected = {}
-    for user, item, ts, _ in rows:
-        watched = expected.setdefault(user, {})
-        if item in watched:
-            del watched[item]
-        elif len(watched) < cap:
-            watched[item] = ts
-    frame = spark.createDataFrame(rows, "user_id string, item string, ts int, request_id int")
-    found = {(r.user_id, r.item): r.added_at for r in ops.watch_list(frame, cap).collect()}
-    assert found == {(u, i): at for u, watched in expected.items() for i, at in watched.items()}
-
-
-def brute_hits(rows, ttl):
-    stored, hits = {}, {}
-    for i, ts, key, full in sorted(rows, key=lambda r: (r[1], r[0])):
-        hits[i] = key in stored and ts - stored[key] <= ttl
-        if not hits[i] and full:
-            stored[key] = ts
-    return hits
-
-
-@pytest.mark.parametrize("ttl, segment, storing", [(50, 60, 1.0), (50, 50, 0.6), (7, 200, 0.3), (300, 300, 0.9), (1, 5, 0.5)])
-def test_ttl_against_brute_force(spark, ttl, segment, storing):
-    rng = random.Random(ttl)
-    rows = [(i, START + dt.timedelta(seconds=rng.randrange(3000)), rng.choice(["hot", "hot", "a", "b"]), rng.random() < storing) for i in range(500)]
-    frame = spark.createDataFrame(rows, "request_id int, ts timestamp, key string, full boolean")
-    marked = ops.ttl_hits(frame, ttl, cacheable="full", segment_seconds=segment)
-    assert {r.request_id: r.hit for r in marked.collect()} == brute_hits(rows, dt.timedelta(seconds=ttl))
-
-
 @pytest.mark.parametrize("source, code, message, kind, again", [
     ("model", 429, "x", "quota", False), ("model", 503, "x", "overloaded", True), ("embedding", 503, "x", "quota", True),
     ("embedding", 429, "Quota exceeded for metric: a/b_requests, limit", "daily_quota", False),

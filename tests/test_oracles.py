@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from ledgerloom.plans import catalog
 from tests.oracle import compare, connect
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
@@ -17,7 +18,7 @@ def connection():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracles())
 
 
 def test_entry(spark):
@@ -25,7 +26,7 @@ def test_entry(spark):
     assert frame.columns[:2] == ["cik", "fiscal_year"] and frame.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, connection, name):
     problem, rows = compare(spark, connection, SF_DIR, entry.queries()[name], entry.oracle_sql()[name])
     assert problem is None and rows > 0

@@ -98,31 +98,6 @@ def test_resume_only_under_the_same_settings(spark):
         assert split(*other) == ([], ["a", "b", "c", "d"])
 
 
-def brute_status(outcomes, limit):
-    streak, stopped, result = 0, False, []
-    for outcome in outcomes:
-        if stopped or outcome == "quota":
-            stopped = True
-            result.append("unreached")
-            continue
-        streak = 0 if outcome == "ok" else streak + (outcome == "overloaded")
-        stopped = outcome == "overloaded" and streak >= limit
-        result.append(outcome)
-    return result
-
-
-@pytest.mark.parametrize("block", [1, 3, 1000])
-def test_run_status_against_brute_force(spark, block):
-    import random
-
-    rng = random.Random(block)
-    runs = {f"r{i}": [rng.choice(["ok", "error", "overloaded", "overloaded"] + ["quota"] * (i % 5 == 0)) for _ in range(30)] for i in range(20)}
-    rows = [(run, i, o) for run, outcomes in runs.items() for i, o in enumerate(outcomes)]
-    log = spark.createDataFrame(rows, "run string, position int, outcome string")
-    found = {(r.run, r.position): r.status for r in ev.run_status(log, "run", "position", block=block).collect()}
-    assert found == {(run, i): s for run, outcomes in runs.items() for i, s in enumerate(brute_status(outcomes, 3))}
-
-
 def test_golden_builder(spark):
     directory = spark.createDataFrame([("1", "ABC", "Abc Inc", 0), ("2", "ABCD", "Abcd", 1), ("3", "XYZ", "Xyz", 2)],
                                       "cik string, ticker string, name string, ord int")

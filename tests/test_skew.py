@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom import session
 from ledgerloom.operators import skew
-from ledgerloom.sources.readers import spread
 
 
 def test_shuffles_grow_with_the_input(spark):
@@ -19,12 +18,6 @@ def test_shuffles_grow_with_the_input(spark):
             spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
 
 
-def test_only_small_tables_are_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == cores
-    assert spread(spark.range(100, numPartitions=3 * cores)).rdd.getNumPartitions() == 3 * cores
-
-
 def test_best_row_combines_before_the_shuffle(spark):
     frame = spark.range(100).select((F.col("id") % 3).alias("k"), "id", (-F.col("id")).alias("v"))
     best = skew.best_row(frame, ["k"], [F.col("id")])

@@ -66,7 +66,7 @@ def test_extraction_validation(spark):
                ("e", 1, json.dumps({**GOOD, "risk_factors": "a"})), ("f", 1, json.dumps({**GOOD, "risk_factors": []})), ("g", 1, None),
                ("h", 1, json.dumps({**GOOD, "revenue": {"current": "many"}}))]
     frame = spark.createDataFrame(outputs, "accession_number string, attempt int, output string")
-    good, malformed = readers.first_valid_extraction(frame)
+    good, malformed = readers.first_valid_extraction(frame, 2)
     assert sorted(r[0] for r in good.collect()) == ["a", "b", "f"]
     assert sorted(r[0] for r in malformed.collect()) == ["c", "d", "e", "g", "h"]
     flat = readers.flatten_extraction(good).filter("accession_number = 'a'").first()
