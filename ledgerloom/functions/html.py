@@ -4,23 +4,22 @@ from __future__ import annotations
 
 import json
 from html.entities import html5
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from ledgerloom.functions.strings import bind, tidy_lines
+from ledgerloom.functions.strings import tidy_lines
 
 # Comments, script and style elements, declarations, instructions and tags; the
 # alternatives are tried left to right, so a tag inside a comment stays inside it.
 MARKUP = (
-    r"(?is)<!--.*?-->"
-    r"|<script\b[^>]*+>.*?</script\s*+>"
-    r"|<style\b[^>]*+>.*?</style\s*+>"
-    r"|<![^>]*+>|<\?[^>]*+>"
+    r"(?is)<!--.*?(?:-->|\z)"
+    r"|<script\b[^>]*+>.*?(?:</script\s*+>|\z)"
+    r"|<style\b[^>]*+>.*?(?:</style\s*+>|\z)"
+    r"|<![^>]*+>|<\?[^>]*+>|</[^a-z>][^>]*+>|</>"
     r"""|</?[a-z](?:[^'">]++|"[^"]*+"|'[^']*+')*+>"""
+    # Quotes outside values are plain characters of a tag.
+    r"""|</?[a-z](?:[^\s>=]++|\s++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>)))*+>"""
 )
-LEFTOVER = r"<[A-Za-z/!?]"
 
 _FREQUENT = ("amp", "nbsp", "quot", "lt", "gt", "apos")
 
@@ -79,59 +78,10 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
 
 
-def parse_markup(html: Column) -> Column:
-    """struct(text, broken): visible text, and whether markup was left that is not well formed.
+def visible_text(html: Column) -> Column:
+    """Visible text: one stripped line per text node, no blank lines.
 
-    One stripped line per text node, no blank lines.
+    Scripts, styles and comments that are never closed run to the end. A tag that is
+    never closed is text.
     """
-    bare = F.regexp_replace(html, MARKUP, "\n")
-    return bind(
-        bare,
-        lambda t: F.struct(tidy_lines(decode_entities(t)).alias("text"), t.rlike(LEFTOVER).alias("broken")),
-    )
-
-
-def parse_broken(html: Column) -> Column:
-    """Text of markup that is not well formed, by the standard library's parser; null stays null."""
-    return F.pandas_udf(_texts_of, "string")(html)
-
-
-class _TextNodes(HTMLParser):
-    """Text nodes outside script and style, for markup that is not well formed."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.hidden = 0
-        self.nodes: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in ("script", "style")
-        self.nodes.append("\n")
-
-    def handle_startendtag(self, tag, attrs):
-        self.nodes.append("\n")
-
-    def handle_endtag(self, tag):
-        self.hidden = max(self.hidden - (tag in ("script", "style")), 0)
-        self.nodes.append("\n")
-
-    def handle_comment(self, data):
-        self.nodes.append("\n")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.nodes.append(data)
-
-
-def _text_of(html: str | None) -> str | None:
-    if html is None:
-        return None
-    parser = _TextNodes()
-    parser.feed(html)
-    parser.close()
-    lines = (line.strip() for line in "".join(parser.nodes).splitlines())
-    return "\n".join(line for line in lines if line)
-
-
-def _texts_of(html: pd.Series) -> pd.Series:
-    return html.map(_text_of, na_action="ignore")
+    return tidy_lines(decode_entities(F.regexp_replace(html, MARKUP, "\n")))

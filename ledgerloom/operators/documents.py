@@ -6,18 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import settings as S
 from ledgerloom.functions.documents import chunk_text, estimate_tokens, plan_batches, prioritize_sections
-from ledgerloom.functions.html import parse_broken, parse_markup
+from ledgerloom.functions.html import visible_text
 from ledgerloom.functions.strings import dashless
 
 
 def page_text(documents: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
-    """Documents with the visible text of their HTML, parsed in the JVM.
-
-    Only documents whose markup is not well formed travel to Python.
-    """
-    parsed = documents.withColumn("__parsed", parse_markup(F.col(html)))
-    repaired = parse_broken(F.when(F.col("__parsed.broken"), F.col(html)))
-    return parsed.withColumn(text, F.coalesce(repaired, F.col("__parsed.text"))).drop("__parsed")
+    """Documents with the visible text of their HTML, well formed or not, by column expressions alone."""
+    return documents.withColumn(text, visible_text(F.col(html)))
 
 
 def filing_text(documents: DataFrame, cap: int | None = None) -> DataFrame:

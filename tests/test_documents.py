@@ -21,6 +21,8 @@ def text_column():
     ("a<br>b\r\n\r\n  c", "a\nb\nc"),
     ("<!DOCTYPE html><title>T</title>5 < 6", "T\n5 < 6"),
     ("broken <a href='x y>tail", "broken <a href='x y>tail"),
+    ("a<script>b<p>c", "a"), ("a<!-- b <p>c", "a"), ("a<style>p{}", "a"), ("<a href=it's>x</a>", "x"), ("a</3>b</>c", "a\nb\nc"),
+    ("A &foo; B &notit; C", "A &foo B &notit C"), ("A &foo; B &notit; C <a href='x", "A &foo B &notit C <a href='x"),
     ("", ""),
 ])
 def test_html(spark, html, text):
@@ -28,6 +30,12 @@ def test_html(spark, html, text):
     assert docs.page_text(pages).first().text == text
 
 
+def test_html_stays_in_the_jvm(spark):
+    pages = spark.range(1).select(F.concat(F.lit("<p>"), "id").alias("html"))
+    plan = docs.page_text(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Arrow" not in plan and "Python" not in plan
+
+
 HEADINGS = [
     "Item 7. Management's Discussion", "Item 7. Management’s Discussion", "Item 2—Management’s Discussion",
     "Item 2-Management's Discussion", "Item 2,\nManagement's Discussion", "ITEM 2. MANAGEMENT’S DISCUSSION", "Item 2.  Managements Discussion",
