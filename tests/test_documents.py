@@ -33,7 +33,7 @@ def test_html(spark, html, text):
 def test_html_stays_in_the_jvm(spark):
     pages = spark.range(1).select(F.concat(F.lit("<p>"), "id").alias("html"))
     plan = docs.page_text(pages)._jdf.queryExecution().executedPlan().toString()
-    assert "Arrow" not in plan and "Python" not in plan
+    assert "EvalPython" not in plan and "InPandas" not in plan
 
 
 HEADINGS = [
