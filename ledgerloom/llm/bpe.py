@@ -235,6 +235,10 @@ def codec(text: str) -> Codec:
     return _codecs[key]
 
 
+def _with(schema: T.StructType, **columns: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, *[T.StructField(name, kind) for name, kind in columns.items()]])
+
+
 def _texts(column) -> list[str]:
     return [value or "" for value in column.to_pylist()]
 
@@ -243,7 +247,7 @@ def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", name: str =
     """``docs`` with the token ids of every whole text; null counts as empty, empty has no ids."""
     shared = docs.sparkSession.sparkContext.broadcast(open(tokenizer_file, encoding="utf-8").read())
     rows = docs.drop(name)
-    schema = rows.schema.add(name, T.ArrayType(T.IntegerType()))
+    schema = _with(rows.schema, **{name: T.ArrayType(T.IntegerType())})
 
     def run(batches):
         work = codec(shared.value)
@@ -258,7 +262,7 @@ def decode(rows: DataFrame, tokenizer_file: str, ids: str = "ids", name: str = "
     """``rows`` with the text that the ids stand for; bytes that are no UTF-8 become U+FFFD."""
     shared = rows.sparkSession.sparkContext.broadcast(open(tokenizer_file, encoding="utf-8").read())
     kept = rows.drop(name)
-    schema = kept.schema.add(name, T.StringType())
+    schema = _with(kept.schema, **{name: T.StringType()})
 
     def run(batches):
         work = codec(shared.value)
@@ -273,7 +277,7 @@ def encode_checked(docs: DataFrame, tokenizer_file: str, text: str = "text") ->
     """The other columns of ``docs``, n_tokens, ids, and ``decodes``: whether the ids decode to the text again."""
     shared = docs.sparkSession.sparkContext.broadcast(open(tokenizer_file, encoding="utf-8").read())
     others = [c for c in docs.columns if c not in (text, "n_tokens", "ids", "decodes")]
-    schema = docs.select(*others).schema.add("n_tokens", T.LongType()).add("ids", T.ArrayType(T.IntegerType())).add("decodes", T.BooleanType())
+    schema = _with(docs.select(*others).schema, n_tokens=T.LongType(), ids=T.ArrayType(T.IntegerType()), decodes=T.BooleanType())
 
     def run(batches):
         work = codec(shared.value)
