@@ -63,7 +63,7 @@ def solve_tilts(sizes: DataFrame, targets: DataFrame, cap: float, steps: int = 6
         F.sum("total").alias("documents"), F.min("size").alias("smallest"),
         (F.sum((F.col("size") * F.col("size") * F.col("total")).cast("double")) / F.sum(F.col("size") * F.col("total"))).alias("typical"),
     )
-    share = F.col("target") / (F.col("source_size") * cap)
+    share = F.try_divide("target", F.col("source_size") * cap)
     state = _join(targets, counted).filter((share > 0) & (share < 1)).select(
         "source", "target", scale.alias("scale"),
         # At the bracket's ends even the smallest document is on the right side of the target.
@@ -117,7 +117,7 @@ def round_copies(sizes: DataFrame, targets: DataFrame, tilts: DataFrame, cap: in
     the largest size that fits the rest gets a copy more (or less), again and again.
     """
     rated = _join(_join(sizes, targets), tilts, how="left")
-    share = F.col("target") / F.col("source_size")
+    share = F.try_divide("target", "source_size")
     rate = F.when(F.col("tilt").isNotNull(), cap / (1 + F.exp(-F.col("tilt") * F.col("size")))).otherwise(F.coalesce(share, F.lit(0.0)))
     rated = rated.withColumn("due", F.round(rate * RATE).cast("bigint") * F.col("total"))
     upto = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
