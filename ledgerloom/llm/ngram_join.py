@@ -308,7 +308,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     every = F.sequence(F.lit(0), F.col("shards") - 1)
     seats = F.transform(every, lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j"), (F.col("own") > other).cast("int").alias("side")))
     placed = placed.select("id", "block", F.explode(seats).alias("s")).select("id", "block", "s.*")
-    members = rows.filter("id is not null").join(placed, "id")
+    # One plan at every size: how many sets have a block grows with the input.
+    members = rows.filter("id is not null").join(placed.hint("merge"), "id")
     links = written(_links(members, n, num, den), "links")
     roots = components(links.unionByName(same))
     joined = filed.select("id", "n_shingles").join(roots.withColumnRenamed("node", "id"), "id", "left")
