@@ -83,7 +83,27 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_source_mix": op10_source_mix,
 }
-ORACLES: dict[str, str] = {}
+#: Queries that SQL can express; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op2_warc_captures": """
+WITH hashed AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+digits AS (SELECT page_id, n, h, i, translate(lpad(to_base(CAST('0x' || substr(h, CAST(1 + 10 * i AS BIGINT), 10) AS BIGINT), 32), 8, '0'),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS part FROM hashed, range(4) AS r(i)),
+coded AS (SELECT page_id, n, h, string_agg(part, '' ORDER BY i) AS d FROM digits GROUP BY page_id, n, h),
+newest AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS top FROM coded)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to, CASE WHEN page_id = top THEN true END AS digest_ok FROM newest""",
+    "op6_ngram_jaccard": """
+WITH RECURSIVE worded AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+listed AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM worded),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM listed),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM listed JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)""",
+}
 
 
 def queries() -> dict[str, Query]:
