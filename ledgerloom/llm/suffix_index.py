@@ -18,6 +18,7 @@ index keeps one place for all copies of a window.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,9 @@ MATCH = 50
 SEED = 8
 # Bytes of text for each share of the suffixes, and documents in a batch.
 SHARE = 3 << 20
-# Texts are cut into stretches in groups of about so many bytes.
-GROUP = 4 << 20
+# Texts are cut into stretches in groups of about so many bytes; stretches leave a task when so many bytes are held.
+GROUP = 2 << 20
+HELD = 96 << 20
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 STIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -56,17 +58,31 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def window_keys(data: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit halves of the key of the window at every place, from the eights that cover it."""
-    eights = _eights(data)
-    n = len(data) - match + 1
-    offsets = [*range(0, match - 8, 8), match - 8]
-    a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for offset in offsets:
-        part = eights[offset : offset + n]
-        a = _mix(a * SPREAD + part, STIR)
-        b = _mix(b + part * STIR, SPREAD)
-    return a, b
+class Rolling:
+    """Keys of any stretches of ``data``: two polynomial hashes, by prefix sums modulo 2**64."""
+
+    TABLES = [_mix(np.arange(256, dtype=np.uint64) * SPREAD + np.uint64(salt), STIR) for salt in (1, 2)]
+    BASES = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
+    powers: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        if not self.powers or len(self.powers[0][0]) <= n:
+            size = np.full(max(2 * n, 1 << 16), 0, np.uint64)
+            made = []
+            for base in self.BASES:
+                both = []
+                for factor in (base, pow(base, -1, 1 << 64)):
+                    size[:] = np.uint64(factor)
+                    size[0] = 1
+                    both.append(np.cumprod(size))
+                made.append(tuple(both))
+            Rolling.powers = made
+        self.sums = [np.r_[np.uint64(0), np.cumsum(table[data] * power[:n])] for table, (power, _) in zip(self.TABLES, self.powers)]
+
+    def keys(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = [(sums[ends] - sums[starts]) * inverse[starts] for sums, (_, inverse) in zip(self.sums, self.powers)]
+        return _mix(a, SPREAD), b
 
 
 def stretches(data: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,30 +137,35 @@ def repeated(levels: Levels, data: np.ndarray, lengths: np.ndarray, docs: np.nda
 
     ``data`` holds the stretches one after the other, ``docs`` the number of the document of each.
     """
-    a, b = window_keys(data, match)
     ends = np.cumsum(lengths)
-    inside = np.ones(len(data), bool)
-    for back in range(1, match):
-        inside[ends - back] = False
-    places = np.flatnonzero(inside)
-    a, b = a[places], b[places]
-    owner = np.repeat(docs, lengths)[places]
-    # The suffix array of the batch; among equal suffixes the smallest document comes first.
-    order = np.lexsort((owner, b, a))
+    windows = lengths.astype(np.int64) - match + 1
+    before = np.cumsum(windows) - windows
+    places = np.arange(int(windows.sum())) + np.repeat(ends - lengths - before, windows)
+    a, b = Rolling(data).keys(places, places + match)
+    owner = np.repeat(docs, windows)
+    # The suffix array of the batch.
+    order = np.argsort(a)
     a, b, owner = a[order], b[order], owner[order]
-    head = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    head = np.r_[True, a[1:] != a[:-1]]
     group = np.cumsum(head) - 1
+    if (b != b[head][group]).any():
+        # Different windows agree in one half of their keys.
+        again = np.lexsort((b, a))
+        order, a, b, owner = order[again], a[again], b[again], owner[again]
+        head = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        group = np.cumsum(head) - 1
+    smallest = np.minimum.reduceat(owner, np.flatnonzero(head))
     known = levels.holds(a[head], b[head])
-    hit = known[group] | (owner > owner[head][group])
+    hit = known[group] | (owner > smallest[group])
     levels.add(a[head][~known], b[head][~known])
     out = np.empty(len(places), bool)
     out[order] = hit
     return out
 
 
-def _pack(parts: list[np.ndarray], level: int) -> bytes:
+def _pack(parts: list[np.ndarray]) -> bytes:
     raw = b"".join([np.int64(len(p)).tobytes() + p.tobytes() for p in parts])
-    return zstandard.ZstdCompressor(level=level).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
@@ -192,8 +213,8 @@ def _file(docs: DataFrame, shares: int, batch_docs: int, match: int) -> DataFram
         size = last - first + match
         key, row, at = ids[doc], rows[doc], (first - np.r_[0, ends][doc]).astype(np.int32)
         # Equal stretches in one group: all but those of the smallest document are settled.
-        a, b = window_keys(data, match)
-        x, y = a[first] + _mix(b[last], STIR), b[first] + _mix(a[last], SPREAD) + size.astype(np.uint64)
+        x, y = Rolling(data).keys(first, last + match)
+        x = x ^ _mix(size.astype(np.uint64), STIR)
         order = np.lexsort((key, y, x))
         same = np.r_[False, (x[order][1:] == x[order][:-1]) & (y[order][1:] == y[order][:-1])]
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
@@ -207,18 +228,31 @@ def _file(docs: DataFrame, shares: int, batch_docs: int, match: int) -> DataFram
         bounds = np.flatnonzero(np.r_[True, (np.diff(share[order]) != 0) | (np.diff(batch[order]) != 0)])
         for lo, hi in zip(bounds.tolist(), [*bounds[1:].tolist(), len(order)]):
             own = order[lo:hi]
-            s = int(share[own[0]])
             n = size[own].astype(np.int32)
-            if s < 0:
-                payload = np.empty(0, np.uint8)
-            else:
-                total = int(n.sum())
-                index = np.repeat(first[own] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(total)
-                payload = data[index]
-            yield s, int(batch[own[0]]), _pack([key[own], row[own], at[own], n, payload], 1)
+            payload = np.empty(0, np.uint8)
+            if share[own[0]] >= 0:
+                payload = data[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            yield (int(share[own[0]]), int(batch[own[0]])), (key[own], row[own], at[own], n, payload)
 
     def run(batches):
-        ids, rows, texts, held = [], [], [], 0
+        ids, rows, texts, size = [], [], [], 0
+        parts: dict[tuple[int, int], list[tuple]] = defaultdict(list)
+        held = 0
+
+        def take():
+            nonlocal held, ids, rows, texts, size
+            for where, found in cut(np.array(ids, np.int64), np.array(rows, np.int64), texts):
+                parts[where].append(found)
+                held += found[4].nbytes
+            ids, rows, texts, size = [], [], [], 0
+
+        def leave():
+            nonlocal held
+            out = ((*where, _pack([np.concatenate(x) for x in zip(*found)])) for where, found in parts.items())
+            yield from _batches(out)
+            parts.clear()
+            held = 0
+
         for batch in batches:
             for key, row, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 if len(text) < match:
@@ -226,12 +260,14 @@ def _file(docs: DataFrame, shares: int, batch_docs: int, match: int) -> DataFram
                 ids.append(key)
                 rows.append(row)
                 texts.append(text)
-                held += len(text)
-                if held >= GROUP:
-                    yield from _batches(cut(np.array(ids, np.int64), np.array(rows, np.int64), texts))
-                    ids, rows, texts, held = [], [], [], 0
+                size += len(text)
+                if size >= GROUP:
+                    take()
+                if held >= HELD:
+                    yield from leave()
         if texts:
-            yield from _batches(cut(np.array(ids, np.int64), np.array(rows, np.int64), texts))
+            take()
+        yield from leave()
 
     return docs.select("key", "row", "bytes").mapInArrow(run, "share bigint, batch bigint, packed binary")
 
@@ -240,7 +276,7 @@ def _batches(rows) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for row in rows:
         held.append(row)
-        if len(held) >= 256:
+        if len(held) >= 64:
             yield _batch(held)
             held = []
     if held:
@@ -298,12 +334,24 @@ def _spans(filed: DataFrame, match: int) -> DataFrame:
     return ordered.mapInArrow(run, "row bigint, begin bigint, end bigint")
 
 
+def _compressed(rows: DataFrame) -> DataFrame:
+    """(doc, row, packed): texts made small before they move."""
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = pa.array([pack.compress(t) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["doc", "row", "packed"])
+
+    return rows.select("doc", "row", "bytes").mapInArrow(run, "doc bigint, row bigint, packed binary")
+
+
 def _kept(rows: DataFrame, key: str, keep_text: bool) -> DataFrame:
     """Cut the spans out of the bytes and describe what is left."""
     def run(batches):
         for batch in batches:
             out = []
             for name, data, begins, ends in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                data = zstandard.ZstdDecompressor().decompress(data)
                 removed, n_spans, at, parts = 0, 0, 0, []
                 for begin, end in sorted(zip(begins or [], ends or [])):
                     if begin > at or not n_spans:
@@ -347,5 +395,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mat
     filed = _file(rows.withColumn("key", F.col("key") - F.lit(low or 0)), shares, batch_docs, match)
     spans = _spans(filed, match)
     found = spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("s"))
-    joined = rows.select("doc", "bytes", "row").join(found, "row", "left")
-    return _kept(joined.select(F.col("doc").alias(key), "bytes", F.col("s.begin").alias("b"), F.col("s.end").alias("e")), key, keep_text)
+    joined = _compressed(rows).join(found, "row", "left")
+    return _kept(joined.select(F.col("doc").alias(key), "packed", F.col("s.begin").alias("b"), F.col("s.end").alias("e")), key, keep_text)
