@@ -3,7 +3,7 @@
 Pages of a host share a template. A few pages of every host serve as its samples;
 each page is aligned with them by simple tree matching, which maps nodes of two DOM
 trees onto each other in order, level by level. A block whose text stands in the
-matched place of all samples is constant, so part of the template; what varies is
+matched place of the samples is constant, so part of the template; what varies is
 content. Elements that never hold an article (menus, headers, footers, forms,
 scripts, comments and the like) are left out by name and by class.
 """
@@ -280,17 +280,19 @@ def main_text(page: Node, samples: list[Sample]) -> tuple[str, int]:
     """(text, number of blocks left out as template).
 
     A block is template if it is constant with every sample that is not the same page,
-    two or more of them. Trees without a common text have no constant leaf and need no
-    alignment.
+    two or more of them; of four or more, one may differ. Trees without a common text
+    have no constant leaf and need no alignment.
     """
     own = blocks(page)
     others = [s for s in samples if _key(s.tree) != _key(page)]
-    constant = {id(n) for n in own} if len(others) > 1 else set()
+    needed = len(others) - (len(others) >= 4)
+    votes = {id(n): 0 for n in own} if needed > 1 else {}
     for sample in others:
-        if not constant:
-            break
-        common = any(n.text in sample.texts for n in own if id(n) in constant)
-        constant &= constant_leaves(page, sample.tree) if common else set()
+        if any(n.text in sample.texts for n in own) and votes:
+            for leaf in constant_leaves(page, sample.tree):
+                if leaf in votes:
+                    votes[leaf] += 1
+    constant = {leaf for leaf, n in votes.items() if n >= needed}
     kept = [n.text for n in own if id(n) not in constant]
     return "\n\n".join(kept), len(own) - len(kept)
 
