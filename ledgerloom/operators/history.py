@@ -15,7 +15,7 @@ from ledgerloom import settings as S
 from ledgerloom.functions.similarity import content_words, jaccard, substantive_risks
 from ledgerloom.functions.strings import strip
 from ledgerloom.operators.facts import Candidate, annual_frame, ground_truth, pick_fiscal_year
-from ledgerloom.operators.skew import best_row, top_k
+from ledgerloom.operators.skew import best_row, salts_of, top_k
 
 NEWEST = ("created_at", "id")
 
@@ -188,7 +188,7 @@ def search_directory(queries: DataFrame, directory: DataFrame, limit: int = S.SE
     )
     # Companies are spread by salt, so a piece that a third of them share is
     # matched by many tasks.
-    salts = 16
+    salts = salts_of(known)
     salted = known.select("*", grams).withColumn("__salt", F.pmod(F.xxhash64("ord"), F.lit(salts)))
     copies = rarest.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     found = salted.join(copies, ["__gram", "__salt"])

@@ -10,15 +10,22 @@ from ledgerloom.functions.similarity import cosine, norm
 from ledgerloom.operators.skew import top_k
 
 
-def match_chunks(questions: DataFrame, chunks: DataFrame, k: int = S.RETRIEVED_CHUNKS) -> DataFrame:
+def match_chunks(questions: DataFrame, chunks: DataFrame, k: int = S.RETRIEVED_CHUNKS, dim: int | None = None) -> DataFrame:
     """The ``k`` nearest chunks of each question within its own filing, exactly.
 
+    With ``dim``, vectors of any other length are left out on both sides.
+
     ``questions``: (question_id, accession_number, vector); ``chunks``:
     (accession_number, chunk_index, content, embedding). An equi-join on the
     filing, then a two-round top-k: the vectors are dropped before it, and only
     k winners per question, salt and task are exchanged.
     """
-    vectors = chunks.select(
+    if dim is not None:
+        chunks = chunks.filter(F.size("embedding") == dim)
+        questions = questions.filter(F.size("vector") == dim)
+    # Norms are only taken for filings that somebody asks about.
+    wanted = chunks.join(questions.select("accession_number").distinct(), "accession_number", "left_semi")
+    vectors = wanted.select(
         "accession_number", "chunk_index", "content", "embedding", norm(F.col("embedding")).alias("__chunk_norm")
     )
     asked = questions.select(

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 32
+def salts_of(df: DataFrame) -> int:
+    """As many salts as shuffle partitions, which ``session.size_shuffles`` sets by the size of the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
 
 
 def top_k(
@@ -16,7 +18,7 @@ def top_k(
     k: int,
     spread: Sequence[str],
     rank: str = "rank",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """The first ``k`` rows of every key in ``order``, numbered from 1.
 
@@ -28,7 +30,7 @@ def top_k(
     limit, conf = "spark.sql.optimizer.windowGroupLimitThreshold", df.sparkSession.conf
     if int(conf.get(limit, "1000")) < k:
         conf.set(limit, str(k))
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts or salts_of(df))))
     first = Window.partitionBy(*keys, "__salt").orderBy(*order)
     local = salted.withColumn("__local", F.row_number().over(first)).filter(F.col("__local") <= k)
     final = Window.partitionBy(*keys).orderBy(*order)

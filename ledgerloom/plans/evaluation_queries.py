@@ -131,10 +131,10 @@ _TALLY = """count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (v
 
 @query(f"""
 WITH {SCORES}
-SELECT run_date, ticker, CAST(fiscal_year AS BIGINT) AS fiscal_year, field, verdict, detail FROM scores WHERE run_date <> '2023-12-01'""")
+SELECT run_date, ticker, CAST(fiscal_year AS BIGINT) AS fiscal_year, field, verdict, detail FROM scores""")
 def evaluated_runs(spark, sf):
     """The whole evaluation flow: records without truth are joined to resolved facts and scored."""
-    rows = records(spark, sf).filter(F.col("run_date") != "2023-12-01")
+    rows = records(spark, sf)
     plain = rows.drop("revenue", "revenue_prior", "net_income", "net_income_prior", "revenue_series", "net_income_series")
     scores, _, _ = flows.evaluate(plain, V.duration_facts(spark, sf), V.FLOWS)
     return scores.select("run_date", "ticker", F.col("fiscal_year").cast("bigint").alias("fiscal_year"), "field", "verdict", "detail")
@@ -200,7 +200,7 @@ def record_notes(spark, sf):
 
 @query(f"""
 WITH {SCORES},
-todo AS (SELECT DISTINCT accession_number FROM records WHERE CAST(cik AS INTEGER) % 2 = 0),
+todo AS (SELECT DISTINCT accession_number FROM records),
 kept AS (SELECT accession_number FROM records WHERE run_date = '2024-01-01' AND error IS NULL)
 SELECT accession_number, accession_number IN (SELECT accession_number FROM kept) AS reused FROM todo""")
 def reusable_records(spark, sf):
@@ -208,7 +208,7 @@ def reusable_records(spark, sf):
     columns = ["run_date", "tag", "model", "fallback_model", "max_filing_chars", "ord", "cik", "accession_number", "error"]
     sinks.write_run(records(spark, sf).select(*columns), path)
     rows = sinks.read_runs(spark, path)
-    todo = rows.filter(F.col("cik").cast("int") % 2 == 0).select("accession_number").distinct()
+    todo = rows.select("accession_number").distinct()
     prior = rows.filter(F.col("artifact") == "2024-01-01")
     config = spark.createDataFrame([("m1", "", 600000)], "model string, fallback_model string, max_filing_chars int")
     reused, left = ev.split_reusable(todo, prior, config)

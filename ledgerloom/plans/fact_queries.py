@@ -189,18 +189,20 @@ def quarterly_points(spark, sf):
 @query(f"""
 WITH {ANNUAL_FRAME},
 {V.ANALYSES},
+quarters AS (WITH {QUARTERLY_FRAME} SELECT cik FROM frame WHERE revenue IS NOT NULL OR net_income IS NOT NULL),
 a AS (SELECT cik, count(*) AS annual_points FROM frame GROUP BY cik),
+q AS (SELECT cik, count(*) AS quarterly_points FROM quarters GROUP BY cik),
 h AS (SELECT cik, count(*) AS history_points FROM analyses
       WHERE filing_date IS NOT NULL AND revenue_current IS NOT NULL GROUP BY cik)
-SELECT cik, coalesce(annual_points, 0) AS annual_points, coalesce(history_points, 0) AS history_points,
-       CASE WHEN coalesce(annual_points, 0) >= 2 THEN 'facts'
+SELECT cik, coalesce(annual_points, 0) AS annual_points, coalesce(quarterly_points, 0) AS quarterly_points, coalesce(history_points, 0) AS history_points,
+       CASE WHEN coalesce(annual_points, 0) >= 2 OR coalesce(quarterly_points, 0) >= 2 THEN 'facts'
             WHEN coalesce(history_points, 0) >= 2 THEN 'history' ELSE 'none' END AS source
-FROM a FULL OUTER JOIN h USING (cik)""")
+FROM a FULL OUTER JOIN q USING (cik) FULL OUTER JOIN h USING (cik)""")
 def trend_sources(spark, sf):
     annual = ops.annual_points(ops.annual_frame(V.facts(spark, sf), V.ANNUAL, S.MAX_YEARS))
     history = ops.history_points(V.analyses(spark, sf))
-    source = ops.trend_source(annual, annual.filter(F.lit(False)), history)
-    return source.drop("quarterly_points")
+    quarterly = ops.quarterly_points(ops.quarterly_frame(V.duration_facts(spark, sf), V.QUARTERLY, S.MAX_QUARTERS))
+    return ops.trend_source(annual, quarterly, history)
 
 
 @query(f"""

@@ -87,9 +87,9 @@ def asked_questions(spark, sf):
 
 @query("""
 SELECT conv_id, turn, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) BETWEEN 3 AND 300 AS valid, left(text, 300) AS excerpt
-FROM conversations WHERE role = 'user'""")
+FROM conversations""")
 def question_checks(spark, sf):
-    turns = V.table(spark, sf, "conversations").filter(F.col("role") == "user")
+    turns = V.table(spark, sf, "conversations")
     return turns.select("conv_id", "turn", valid_question(F.col("text")).alias("valid"), excerpt(F.col("text")).alias("excerpt"))
 
 
@@ -174,13 +174,13 @@ _WORDS = (
 )
 _TURNS = """
 turns AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text, '[.\\n]'), lambda s: trim(s)), lambda s: s <> '') AS risks
-  FROM conversations WHERE role = 'user'),
+  FROM conversations),
 pairs AS (SELECT conv_id, turn, risks, lag(risks) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM turns)"""
 
 
 def _risk_turns(spark, sf):
     """User turns as analyses of their conversation, one sentence per risk."""
-    turns = V.table(spark, sf, "conversations").filter(F.col("role") == "user")
+    turns = V.table(spark, sf, "conversations")
     risks = F.filter(F.transform(F.split("text", r"[.\n]"), lambda s: F.trim(s)), lambda s: s != "")
     day = F.date_add(F.lit("2020-01-01").cast("date"), F.col("turn").cast("int"))
     return turns.select(
@@ -218,16 +218,20 @@ def content_words(spark, sf):
 
 
 @query(f"""
-WITH words AS (SELECT l.doc_id, {_WORDS.format('d.text')} AS a, {_WORDS.format('e.text')} AS b
-  FROM labels l JOIN documents d USING (doc_id) JOIN documents e ON e.doc_id = l.doc_id + 1)
+WITH words AS (SELECT d.doc_id, {_WORDS.format('d.text')} AS a, {_WORDS.format('e.text')} AS b
+  FROM documents d JOIN documents e ON e.doc_id = d.doc_id + 1)
 SELECT doc_id, len(list_intersect(a, b)) AS shared,
   CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END AS similarity
 FROM words""")
 def text_similarity(spark, sf):
-    documents = V.documents(spark, sf).select("doc_id", sim.content_words(F.col("text")).alias("a"))
-    following = documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    pairs = V.table(spark, sf, "labels").select("doc_id").join(documents, "doc_id").join(following, "doc_id")
-    return pairs.select(
+    """Every document against the one after it; the words of each are taken once and serve both pairs."""
+    words = V.documents(spark, sf).select("doc_id", sim.content_words(F.col("text")).alias("w"))
+    sides = F.explode(F.array(
+        F.struct(F.col("doc_id").alias("pair"), F.col("w").alias("a"), F.lit(None).cast("array<string>").alias("b")),
+        F.struct((F.col("doc_id") - 1).alias("pair"), F.lit(None).cast("array<string>").alias("a"), F.col("w").alias("b")),
+    )).alias("s")
+    pairs = words.select(sides).groupBy(F.col("s.pair").alias("doc_id")).agg(F.max("s.a").alias("a"), F.max("s.b").alias("b"))
+    return pairs.dropna().select(
         "doc_id", F.size(F.array_intersect("a", "b")).cast("bigint").alias("shared"), sim.jaccard(F.col("a"), F.col("b")).alias("similarity")
     )
 

@@ -94,8 +94,8 @@ def error_classes(spark, sf):
 
 @query(f"""
 WITH {_CALLS}
-SELECT event_id, least(TRY_CAST(nullif(regexp_extract(message, 'retryDelay["'']?\\s*[:=]\\s*["'']?(\\d+(?:\\.\\d+)?)s', 1), '') AS DOUBLE), 120) AS delay
-FROM calls WHERE contains(message, 'retryDelay')""")
+SELECT event_id, CASE WHEN seconds IS NOT NULL THEN least(seconds, 120) END AS delay
+FROM (SELECT event_id, TRY_CAST(nullif(regexp_extract(message, 'retryDelay["'']?\\s*[:=]\\s*["'']?(\\d+(?:\\.\\d+)?)s', 1), '') AS DOUBLE) AS seconds FROM calls)""")
 def retry_delays(spark, sf):
-    calls = _calls(spark, sf).filter(F.contains("message", F.lit("retryDelay")))
+    calls = _calls(spark, sf)
     return calls.select("event_id", outcomes.retry_seconds(F.col("message")).alias("delay"))

@@ -100,12 +100,12 @@ def streaming_admission(spark, sf):
 
 @query(f"""
 WITH {V.FILINGS}, {V.ANALYSES},
-newest AS (SELECT cik, CAST(filing_date AS VARCHAR) AS analyzed FROM analyses WHERE id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY cik ORDER BY created_at DESC, id DESC) = 1)
+newest AS (SELECT cik, CAST(filing_date AS VARCHAR) AS analyzed FROM analyses QUALIFY row_number() OVER (PARTITION BY cik ORDER BY created_at DESC, id DESC) = 1)
 SELECT f.cik, f.accession_number, f.filing_date FROM filings f LEFT JOIN newest n ON n.cik = f.cik
 WHERE upper(f.form_type) IN ('10-K', '10-Q') AND (n.analyzed IS NULL OR f.filing_date > n.analyzed)""")
 def streaming_alerts(spark, sf):
     def analyses() -> DataFrame:
-        rows = V.analyses(spark, sf).filter(F.col("id") % 2 == 0)
+        rows = V.analyses(spark, sf)
         return rows.withColumn("filing_date", F.col("filing_date").cast("string"))
 
     path = shared_folder(spark, "stream-alerts")

@@ -28,6 +28,10 @@ CSV_COLUMNS = (
 )
 
 
+# Folders of a stored table.
+FOLDERS = 32
+
+
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at ``path``, or an empty one before the first write."""
     try:
@@ -41,17 +45,27 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 def insert_if_absent(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
     """Append rows whose key is not stored yet; returns the stored row of every requested key.
 
-    Within a batch the first row by ``order`` wins. Re-running a batch adds nothing.
+    Within a batch the first row by ``order`` wins, without one the greatest by all
+    other columns. Re-running a batch adds nothing. The table lies in ``FOLDERS``
+    folders by a hash of the first key; only those that the batch touches are read.
     """
     spark, keys = rows.sparkSession, list(keys)
-    first = rows.dropDuplicates(keys) if order is None else best_row(rows, keys, [-c for c in order])
-    first = first.select(*rows.columns)
-    requested = rows.select(*keys).distinct()
-    # The stored table is first cut to the requested keys, which a small batch
-    # does without moving it.
-    taken = read_or_empty(spark, path, rows.schema).select(*keys).join(requested, keys, "left_semi")
-    first.join(taken, keys, "left_anti").write.mode("append").parquet(path)
-    return read_or_empty(spark, path, rows.schema).join(requested, keys, "left_semi")
+    others = [F.col(c) for c in rows.columns if c not in keys]
+    ordered = [-c for c in order] if order is not None else others or [F.lit(0)]
+    first = best_row(rows, keys, ordered) if others else rows.distinct()
+    folder = F.pmod(F.xxhash64(keys[0]), F.lit(FOLDERS)).cast("int")
+    first = first.select(*rows.columns, folder.alias("folder"))
+    requested = rows.select(*keys, folder.alias("folder")).distinct()
+    # At most FOLDERS numbers.
+    touched = [r[0] for r in requested.select("folder").distinct().collect()]
+
+    def stored() -> DataFrame:
+        table = read_or_empty(spark, path, StructType([*rows.schema.fields, StructField("folder", IntegerType())]))
+        return table.filter(F.col("folder").isin(touched))
+
+    new = first.join(stored().select(*keys, "folder"), [*keys, "folder"], "left_anti")
+    new.repartition("folder").write.mode("append").partitionBy("folder").parquet(path)
+    return stored().join(requested, [*keys, "folder"], "left_semi").select(*rows.columns)
 
 
 def insert_analyses(rows: DataFrame, path: str, order: Sequence[Column] | None = None) -> DataFrame:
@@ -76,7 +90,8 @@ def pin_truth(truth: DataFrame, path: str, refresh: bool = False) -> DataFrame:
     spark = truth.sparkSession
     stored = read_or_empty(spark, path, _versioned(truth))
     latest = stored.groupBy(*TRUTH_KEYS).agg(F.max("version").alias("version"))
-    known = truth.dropDuplicates(TRUTH_KEYS).join(latest, TRUTH_KEYS, "left")
+    figures = [F.col(c) for c in truth.columns if c not in TRUTH_KEYS]
+    known = best_row(truth, TRUTH_KEYS, figures).join(latest, TRUTH_KEYS, "left")
     new = known if refresh else known.filter(F.col("version").isNull())
     new = new.withColumn("version", F.coalesce(F.col("version") + 1, F.lit(0)))
     new.select(*truth.columns, "version").write.mode("append").parquet(path)
