@@ -1,10 +1,10 @@
 """Fuzzy line dedup: MinHash signatures of character shingles, banding, exact check, union-find.
 
-Signature. Shingles of ``SHINGLE`` characters that begin at a word are hashed; a line
-with few of them takes the shingles from every character, and lines near that limit
-file under both, so similar lines always share a kind. The hash range is cut into
-``BANDS * ROWS`` bins; a bin's value is the least hash in it or, if it is empty, in the
-bins after it (one permutation, densified by rotation). ``ROWS`` bins are a band.
+Signature. Shingles of ``SHINGLE`` characters that begin after a space are hashed; a
+line with few of them takes the shingles from every character, and lines near that
+limit file under both, so similar lines always share a kind. The hash range is cut into
+``BINS`` bins; a bin's value is the least hash in it or, if it is empty, in the bins
+after it (one permutation, densified by rotation). Every band takes three bins.
 
 Candidates. Lines of one band form a star around the least of them, so a bucket of m
 lines gives m - 1 pairs. Every band is a star of its own.
@@ -21,8 +21,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ledgerloom.llm.common import evaluated, written
 from ledgerloom.llm.components import components
 
-SHINGLE, BANDS, ROWS, SIMILARITY = 8, 6, 3, 0.8
-BINS = BANDS * ROWS
+SHINGLE, SIMILARITY = 8, 0.8
+# Bins by the three highest bits of a hash, and the bins of each band: seven triples of
+# which any two share one bin, so that five equal values always make a whole band.
+BINS, HIGH = 8, 61
+BANDS = ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
 # Lines with fewer word shingles than FEW file under all shingles, with more than ENOUGH under words only.
 FEW, ENOUGH = 8, 12
 # Characters of scripts written without spaces begin a word each.
@@ -47,39 +50,39 @@ def _shingles(line: Column) -> Column:
 
 
 def _bin(value: Column) -> Column:
-    return F.shiftrightunsigned(F.shiftrightunsigned(value, 32) * BINS, 32)
+    """0 to BINS - 1 in the order of signed hashes."""
+    return F.shiftright(value, HIGH) + BINS // 2
 
 
 def _least_per_bin(hashes: Column) -> Column:
-    """The least hash of every bin that is not empty, by one pass over the sorted hashes (as unsigned numbers)."""
-    return F.filter(hashes, lambda h, i: (i == 0) | (_bin(h) != _bin(F.get(hashes, i - 1))))
+    """The least hash of every bin that is not empty, by one pass over the sorted hashes."""
+    first = lambda h, i: F.coalesce(F.shiftrightunsigned(h.bitwiseXOR(F.get(hashes, i - 1)), HIGH) != 0, F.lit(True))
+    return F.filter(hashes, first)
 
 
-def _bands(least: Column, seed: int) -> Column:
-    """A key for each band; an empty bin takes the value of the next one that is not, around the end."""
-    first = F.get(least, F.lit(0))
-    value = lambda j: F.coalesce(F.get(F.filter(least, lambda h: _bin(h) >= j), F.lit(0)), first)
-    keys = [F.xxhash64(F.lit(100 * seed + band), *[value(band * ROWS + r) for r in range(ROWS)]) for band in range(BANDS)]
-    return F.when(F.size(least) > 0, F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
+def _bin_values(least: Column) -> Column:
+    """A value for each bin; an empty one takes that of the next that is not, around the end."""
+    before = lambda i: F.coalesce(_bin(F.get(least, i - 1)), F.lit(-1))
+    runs = F.transform(least, lambda h, i: F.array_repeat(h, (_bin(h) - before(i)).cast("int")))
+    rest = F.array_repeat(F.get(least, F.lit(0)), (BINS - 1 - _bin(F.element_at(least, -1))).cast("int"))
+    return F.when(F.size(least) == BINS, least).when(F.size(least) > 0, F.concat(F.flatten(runs), rest))
 
 
-def _sorted_unsigned(hashes: Column) -> Column:
-    """Ascending as unsigned numbers: those without the sign bit first."""
-    ordered = F.sort_array(hashes)
-    return F.concat(F.filter(ordered, lambda h: h >= 0), F.filter(ordered, lambda h: h < 0))
+def _bands(values: Column, seed: int) -> Column:
+    keys = [F.xxhash64(F.lit(100 * seed + n), *[F.get(values, F.lit(b)) for b in bins]) for n, bins in enumerate(BANDS)]
+    return F.when(values.isNotNull(), F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
 
 
 def with_bands(rows: DataFrame) -> DataFrame:
-    """Add ``bands``: the keys under which every line is filed."""
+    """(id, bands): the keys under which every line is filed."""
     padded = F.concat(F.lit(" "), F.col("line"), F.lit(" " * SHINGLE))
-    begins = rf"(?s)(?=((?:\x20(?!\x20)|[{UNSPACED}]).{{{SHINGLE}}}))"
+    begins = rf"(?s)[\x20{UNSPACED}](?=([^\x20].{{{SHINGLE - 1}}}))"
     rows = evaluated(rows, __words=_hashes(F.regexp_extract_all(padded, F.lit(begins), F.lit(1))))
-    rows = evaluated(rows, __w=F.when(F.size("__words") >= FEW, _sorted_unsigned(F.col("__words"))))
-    rows = evaluated(rows, __a=F.when(F.size("__words") < ENOUGH, _sorted_unsigned(_hashes(_shingles(F.col("line"))))))
+    n = F.size("__words")
+    rows = evaluated(rows, __w=F.when(n >= FEW, F.sort_array("__words")), __a=F.when(n < ENOUGH, F.sort_array(_hashes(_shingles(F.col("line"))))))
     rows = evaluated(rows, __lw=F.when(F.col("__w").isNotNull(), _least_per_bin(F.col("__w"))), __la=F.when(F.col("__a").isNotNull(), _least_per_bin(F.col("__a"))))
-    none = F.array().cast("array<bigint>")
-    bands = F.concat(F.coalesce(_bands(F.col("__lw"), 1), none), F.coalesce(_bands(F.col("__la"), 2), none))
-    return evaluated(rows, bands=bands).drop("__words", "__w", "__a", "__lw", "__la")
+    rows = evaluated(rows, __vw=_bin_values(F.col("__lw")), __va=_bin_values(F.col("__la")))
+    return evaluated(rows, bands=F.concat(_bands(F.col("__vw"), 1), _bands(F.col("__va"), 2))).select("id", "bands")
 
 
 def candidates(all_lines: DataFrame) -> DataFrame:
@@ -95,7 +98,6 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     one = texts.select(F.col("id"), F.col("line").alias("a"))
     two = texts.select(F.col("id").alias("hub"), F.col("line").alias("b"))
     both = pairs.join(one, "id").join(two, "hub")
-    # With n and m shingles (repeats included) no more than the smaller count can be shared; cheap, but only for distinct ones.
     rows = evaluated(both.select("id", "hub", "a", "b"), x=F.array_distinct(_hashes(_shingles(F.col("a")))), y=F.array_distinct(_hashes(_shingles(F.col("b")))))
     rows = rows.select("id", "hub", "x", "y").filter(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
     shared = evaluated(rows, shared=F.size(F.array_intersect("x", "y")))
@@ -104,9 +106,10 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(row, places): lines to remove from every row: all but the first, by (key, row, place), of every component."""
+    # The smaller sides of the joins below are hashed, so that whole lines and texts need no sort.
     pairs = written(candidates(lines(docs, key, text)), "pairs")
     ends = pairs.select("id").union(pairs.select("hub")).distinct()
-    texts = lines(docs, key, text).select(F.xxhash64("line").alias("id"), "line").join(ends, "id", "left_semi").dropDuplicates(["id"])
+    texts = lines(docs, key, text).select(F.xxhash64("line").alias("id"), "line").join(ends.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
     links = written(verified(pairs, texts, similarity), "links")
     roots = written(components(links, "id", "hub"), "roots")
     # A line counts where it stands first; null keys come last.
@@ -116,7 +119,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     once = once.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "at", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
     again = written(once.filter("n > 1 or linked"), "repeated")
     first = again.groupBy("root").agg(F.min("at").alias("first"))
-    gone = places.join(again.select("id", "root").join(first, "root"), "id").filter(F.col("at") != F.col("first"))
+    gone = places.join(again.select("id", "root").join(first, "root").hint("shuffle_hash"), "id").filter(F.col("at") != F.col("first"))
     return gone.groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
@@ -132,7 +135,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity:
     rows = docs.drop("n_lines", "n_removed", "__row", "__places", "__kept", "__lines")
     gone = removals(docs, key, text, similarity).withColumnRenamed("row", "__row").withColumnRenamed("places", "__places")
     rows = rows.withColumn("__row", F.xxhash64(key, F.coalesce(text, F.lit(""))))
-    rows = rows.join(gone, "__row", "left")
+    rows = rows.join(gone.hint("shuffle_hash"), "__row", "left")
     rows = evaluated(rows, __lines=F.split(text, "\n", -1))
     every = F.sequence(F.lit(0), F.size("__lines") - 1)
     kept = F.transform(F.array_except(every, F.col("__places")), lambda i: F.get("__lines", i))
