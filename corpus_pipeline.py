@@ -18,18 +18,27 @@ from ledgerloom.llm.queries import tokenizer_file
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """Id and text, and the other columns out of the way of what an operator adds."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("__")).alias("__others"))
+
+
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("__others")[c].alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned list keep."""
-    judged = decision_list.judge(docs, table(spark, sf_dir, "labels"))
-    return judged.filter("kept").select(*docs.columns)
+    judged = decision_list.judge(_aside(docs), table(spark, sf_dir, "labels"))
+    return _restored(judged.filter("kept"), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier one has; a document of which nothing is left goes."""
-    left = line_dedup.dedup(docs).filter("n_lines = 0 or n_removed < n_lines")
-    if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast("bigint"))
-    return left.select(*docs.columns)
+    left = line_dedup.dedup(_aside(docs)).filter("n_lines = 0 or n_removed < n_lines")
+    kept = _restored(left, docs)
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else kept
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -187,7 +187,7 @@ def _file(docs: DataFrame, shares: int, batch_docs: int, match: int) -> DataFram
     same task: they are repeated whatever else there is, and need no search. A
     string that many documents have so leaves a task about once.
     """
-    def cut(ids, rows, texts):
+    def cut(ids, rows, bases, texts):
         lengths = np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum(lengths)
@@ -211,7 +211,7 @@ def _file(docs: DataFrame, shares: int, batch_docs: int, match: int) -> DataFram
         keep = last >= first
         first, last, seed, doc = first[keep], last[keep], seed[keep], doc[keep]
         size = last - first + match
-        key, row, at = ids[doc], rows[doc], (first - np.r_[0, ends][doc]).astype(np.int32)
+        key, row, at = ids[doc], rows[doc], (first - np.r_[0, ends][doc] + bases[doc]).astype(np.int32)
         # Equal stretches in one group: all but those of the smallest document are settled.
         x, y = Rolling(data).keys(first, last + match)
         x = x ^ _mix(size.astype(np.uint64), STIR)
@@ -235,16 +235,16 @@ def _file(docs: DataFrame, shares: int, batch_docs: int, match: int) -> DataFram
             yield (int(share[own[0]]), int(batch[own[0]])), (key[own], row[own], at[own], n, payload)
 
     def run(batches):
-        ids, rows, texts, size = [], [], [], 0
+        ids, rows, bases, texts, size = [], [], [], [], 0
         parts: dict[tuple[int, int], list[tuple]] = defaultdict(list)
         held = 0
 
         def take():
-            nonlocal held, ids, rows, texts, size
-            for where, found in cut(np.array(ids, np.int64), np.array(rows, np.int64), texts):
+            nonlocal held, ids, rows, bases, texts, size
+            for where, found in cut(np.array(ids, np.int64), np.array(rows, np.int64), np.array(bases, np.int64), texts):
                 parts[where].append(found)
                 held += found[4].nbytes
-            ids, rows, texts, size = [], [], [], 0
+            ids, rows, bases, texts, size = [], [], [], [], 0
 
         def leave():
             nonlocal held
@@ -255,16 +255,17 @@ def _file(docs: DataFrame, shares: int, batch_docs: int, match: int) -> DataFram
 
         for batch in batches:
             for key, row, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                if len(text) < match:
-                    continue
-                ids.append(key)
-                rows.append(row)
-                texts.append(text)
-                size += len(text)
-                if size >= GROUP:
-                    take()
-                if held >= HELD:
-                    yield from leave()
+                # Long texts in pieces that overlap so far that every window is in one of them.
+                for base in range(0, len(text) - match + 1, GROUP):
+                    ids.append(key)
+                    rows.append(row)
+                    bases.append(base)
+                    texts.append(text[base : base + GROUP + match - 1])
+                    size += len(texts[-1])
+                    if size >= GROUP:
+                        take()
+                    if held >= HELD:
+                        yield from leave()
         if texts:
             take()
         yield from leave()

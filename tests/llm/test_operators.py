@@ -385,7 +385,7 @@ def brute_repeats(rows, match=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("share, group, batches", [(1000, 3000, 5), (1 << 22, 1 << 22, 1)])
+@pytest.mark.parametrize("share, group, batches", [(1000, 3000, 5), (500, 100, 2), (1 << 22, 1 << 22, 1)])
 def test_repeated_strings(spark, documents, monkeypatch, share, group, batches):
     monkeypatch.setattr(suffix_index, "SHARE", share)
     monkeypatch.setattr(suffix_index, "GROUP", group)

@@ -42,6 +42,7 @@ def test_stages(spark, tmp_path, documents):
         out.write.parquet(path)
         if name != "bpe":
             assert out.columns == documents.columns
+            assert {(r.size, r.key, r.kept) for r in out.select("size", "key", "kept").collect()} == {(1, "z", True)}
         docs = spark.read.parquet(path)
         kept[name] = docs.collect()
     # Long enough texts without repeats pass the rules.
