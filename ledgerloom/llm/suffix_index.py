@@ -32,7 +32,7 @@ SEED = 8
 # Bytes of text for each share of the suffixes, and documents in a batch.
 SHARE = 3 << 20
 # Texts are cut into stretches in groups of about so many bytes; stretches leave a task when so many bytes are held.
-GROUP = 2 << 20
+GROUP = 1 << 20
 HELD = 96 << 20
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 STIR = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -164,6 +164,8 @@ def repeated(levels: Levels, data: np.ndarray, lengths: np.ndarray, docs: np.nda
 
 
 def _pack(parts: list[np.ndarray]) -> bytes:
+    # Documents follow each other, so their steps are small numbers.
+    parts[0] = np.diff(parts[0], prepend=0)
     raw = b"".join([np.int64(len(p)).tobytes() + p.tobytes() for p in parts])
     return zstandard.ZstdCompressor(level=3).compress(raw)
 
@@ -174,6 +176,7 @@ def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
         n = int(np.frombuffer(raw, np.int64, 1, at)[0])
         out.append(np.frombuffer(raw, kind, n, at + 8))
         at += 8 + n * np.dtype(kind).itemsize
+    out[0] = np.cumsum(out[0])
     return out
 
 
@@ -290,9 +293,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _spans(filed: DataFrame, match: int) -> DataFrame:
-    """(row, begin, end): repeated stretches of bytes, some of them overlapping, from (share, batch, packed) in order."""
+    """(key, row, begin, end): repeated stretches of bytes, some of them overlapping, from (share, batch, packed) in order."""
     def spans(parts, hits) -> pa.RecordBatch:
-        row, at, lengths = parts
+        key, row, at, lengths = parts
         windows = lengths - match + 1
         # Runs of repeated windows, not across stretches.
         edge = np.zeros(int(windows.sum()), bool)
@@ -303,8 +306,8 @@ def _spans(filed: DataFrame, match: int) -> DataFrame:
         owner = np.searchsorted(starts, begins, "right") - 1
         first = at[owner] + begins - starts[owner]
         return pa.RecordBatch.from_arrays(
-            [pa.array(row[owner]), pa.array(first.astype(np.int64)), pa.array((first + ends - begins + match).astype(np.int64))],
-            names=["row", "begin", "end"],
+            [pa.array(key[owner]), pa.array(row[owner]), pa.array(first.astype(np.int64)), pa.array((first + ends - begins + match).astype(np.int64))],
+            names=["key", "row", "begin", "end"],
         )
 
     def run(batches):
@@ -312,13 +315,13 @@ def _spans(filed: DataFrame, match: int) -> DataFrame:
 
         def settle():
             keys, rows, at, lengths, data = (np.concatenate(x) for x in zip(*held))
-            return spans((rows, at, lengths), repeated(levels, data, lengths, keys, match))
+            return spans((keys, rows, at, lengths), repeated(levels, data, lengths, keys, match))
 
         for batch in batches:
             for share, number, packed in zip(*[c.to_pylist() for c in batch.columns]):
                 if share < 0:
-                    _, rows, at, lengths, _ = _unpack(packed, PACKED)
-                    yield spans((rows, at, lengths), np.ones(int((lengths - match + 1).sum()), bool))
+                    keys, rows, at, lengths, _ = _unpack(packed, PACKED)
+                    yield spans((keys, rows, at, lengths), np.ones(int((lengths - match + 1).sum()), bool))
                     continue
                 if now != (share, number):
                     if held:
@@ -332,18 +335,18 @@ def _spans(filed: DataFrame, match: int) -> DataFrame:
             yield settle()
 
     ordered = filed.repartition("share", F.when(F.col("share") < 0, F.xxhash64("packed"))).sortWithinPartitions("share", "batch")
-    return ordered.mapInArrow(run, "row bigint, begin bigint, end bigint")
+    return ordered.mapInArrow(run, "key bigint, row bigint, begin bigint, end bigint")
 
 
 def _compressed(rows: DataFrame) -> DataFrame:
-    """(doc, row, packed): texts made small before they move."""
+    """(doc, key, row, packed): texts made small before they move."""
     def run(batches):
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            packed = pa.array([pack.compress(t) for t in batch.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["doc", "row", "packed"])
+            packed = pa.array([pack.compress(t) for t in batch.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["doc", "key", "row", "packed"])
 
-    return rows.select("doc", "row", "bytes").mapInArrow(run, "doc bigint, row bigint, packed binary")
+    return rows.select("doc", "key", "row", "bytes").mapInArrow(run, "doc bigint, key bigint, row bigint, packed binary")
 
 
 def _kept(rows: DataFrame, key: str, keep_text: bool) -> DataFrame:
@@ -388,13 +391,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mat
         raise ValueError("strings of fewer than 16 bytes are not matched")
     whole = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     rows = docs.select(F.col(key).cast("bigint").alias("doc"), whole.alias("bytes"))
-    # Numbers that tell repeated rows apart: the same for equal (key, text), as their results are.
-    rows = rows.withColumn("row", F.xxhash64("doc", F.sha2("bytes", 256))).withColumn("key", F.coalesce("doc", F.lit(2**62)))
+    rows = rows.withColumn("key", F.coalesce("doc", F.lit(2**62)))
     total, low, high = rows.agg(F.sum(F.octet_length("bytes")), F.min("doc"), F.max("doc")).first()
     shares = max(1, -(-(total or 0) // SHARE))
     batch_docs = max(1, -(-((high or 0) - (low or 0) + 1) // batches))
-    filed = _file(rows.withColumn("key", F.col("key") - F.lit(low or 0)), shares, batch_docs, match)
-    spans = _spans(filed, match)
-    found = spans.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("s"))
-    joined = _compressed(rows).join(found, "row", "left")
+    # A number that tells rows of one key apart, the same for equal texts; none is needed where keys differ.
+    repeated_keys = not rows.groupBy("key").count().filter("count > 1").isEmpty()
+    row = F.xxhash64(F.sha2("bytes", 256)) if repeated_keys else F.lit(0).cast("bigint")
+    rows = rows.withColumn("key", F.col("key") - F.lit(low or 0)).withColumn("row", row)
+    found = _spans(_file(rows, shares, batch_docs, match), match).groupBy("key", "row").agg(F.collect_list(F.struct("begin", "end")).alias("s"))
+    joined = _compressed(rows).join(found, ["key", "row"], "left")
     return _kept(joined.select(F.col("doc").alias(key), "packed", F.col("s.begin").alias("b"), F.col("s.end").alias("e")), key, keep_text)
