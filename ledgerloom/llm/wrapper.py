@@ -19,9 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.llm.common import written
 
-# Samples of a host (its pages with the least hashes), and pages a sample goes along with in one task.
+# Samples of a host: its pages with the least hashes.
 SAMPLES = 5
-SHARD = 512
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -307,7 +306,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     Null html counts as empty and gives an empty text; pages without a host are a host
     of their own. A host's samples are those of its pages whose html has the least
-    hashes, distinct ones. Hosts of any number of pages are dealt into shards, and the
+    hashes, distinct ones. Hosts of more pages than an average task are dealt into shards, and the
     samples go along with every shard. Repeated rows are pages of their own; an empty
     table gives an empty result; other columns are left out.
     """
@@ -320,9 +319,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     chosen = first.withColumn("r", F.row_number().over(Window.partitionBy("host").orderBy("h"))).filter(F.col("r") <= samples)
     chosen = written(chosen.select("host", "h"), "samples")
     sample_pages = rows.join(chosen, ["host", "h"], "left_semi").dropDuplicates(["host", "h"]).select("host", "h", "html")
-    shards = counts.select("host", F.ceil(F.col("n") / SHARD).cast("int").alias("shards"))
-    along = sample_pages.join(shards, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "html")
-    dealt = rows.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("key", "h"), F.col("shards")).cast("int"))
+    # Hosts with more pages than an average shuffle partition are split: fewer hosts than partitions.
+    partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = written(counts, "hosts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    split = F.broadcast(counts.filter(F.col("n") * partitions > total).select("host", F.ceil(F.col("n") * partitions / F.lit(max(total, 1))).cast("int").alias("shards")))
+    sharded = lambda df: df.join(split, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    along = sharded(sample_pages).select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "html")
+    dealt = sharded(rows).withColumn("shard", F.pmod(F.xxhash64("key", "h"), F.col("shards")).cast("int"))
     none = lambda kind: F.lit(None).cast(kind)
     kind = pages.schema[key].dataType.simpleString()
     along = along.select("host", "shard", F.lit(0).alias("side"), none(kind).alias("key"), none("string").alias("url"), "html")
