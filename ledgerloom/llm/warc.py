@@ -31,14 +31,10 @@ RECORD = (
 )
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary; 160 bits are 32 letters of five bits."""
-    bits = F.array_join(
-        F.transform(F.split(F.sha1(payload), ""), lambda digit: F.lpad(F.conv(digit, 16, 2), 4, "0")), ""
-    )
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    place = lambda i: F.conv(F.substring(bits, i * 5 + 1, 5), 2, 10).cast("int")
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.substring(letters, place(i) + 1, 1)), "")
+def base32(hexadecimal: Column) -> Column:
+    """Upper-case base32 of 160 bits given in hexadecimal: four parts of 40 bits, eight letters each."""
+    parts = [F.lpad(F.conv(F.substring(hexadecimal, at, 10), 16, 32), 8, "0") for at in (1, 11, 21, 31)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
@@ -67,7 +63,7 @@ def capture_records(pages: DataFrame, key: str = "page_id", url: str = "url", ht
     newest = rows.groupBy("digest", "bytes").agg(F.max(F.struct("key", "n")).alias("newest"), F.count("*").alias("copies")).filter("copies > 1")
     rows = rows.join(newest, ["digest", "bytes"], "left")
     revisit = F.coalesce((F.col("bytes") >= least_bytes) & (F.col("newest").isNotNull() & ~F.col("key").eqNullSafe(F.col("newest.key"))), F.lit(False))
-    rows = rows.withColumn("revisit", revisit).withColumn("digest32", base32_sha1(F.encode("payload", "UTF-8")))
+    rows = rows.withColumn("revisit", revisit).withColumn("digest32", base32(F.col("digest")))
     # Record ids name the page and, for pages that share a key, the row.
     name = lambda key, n: F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("null")), n.cast("string"))
     own = name(F.col("key"), F.col("n"))
