@@ -113,11 +113,12 @@ EXCERPT_CHARS = 300
 QUESTION_CHARS = (3, 300)
 
 # --- Fixed values: risk drift ---------------------------------------------
-STOP_WORDS = (
-    "the and for that with from its are our has have may could would will can not any into "
-    "which their there been being this these those company companys risk risks including such "
-    "other significant material adverse adversely affect impact"
-).split()
+STOP_WORDS = [
+    "the", "and", "for", "that", "with", "from", "its", "are", "our", "has", "have", "may", "could", "would",
+    "will", "can", "not", "any", "into", "which", "their", "there", "been", "being", "this", "these", "those",
+    "company", "companys", "risk", "risks", "including", "such", "other", "significant", "material", "adverse",
+    "adversely", "affect", "impact",
+]
 DRIFT_THRESHOLD = 0.25
 NO_CHANGES = "no material changes"
 
