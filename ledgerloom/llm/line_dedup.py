@@ -6,8 +6,11 @@ limit file under both, so similar lines always share a kind. The hash range is c
 ``BINS`` bins; a bin's value is the least hash in it or, if it is empty, in the bins
 after it (one permutation, densified by rotation). Every band takes three bins.
 
-Candidates. Lines of one band form a star around the least of them, so a bucket of m
-lines gives m - 1 pairs. Every band is a star of its own.
+Candidates. Any two lines of one band. First the lines of a band form a star around one
+of them, so a bucket of m lines gives m - 1 pairs; stars around other lines follow while
+they join much of what is left. Then all pairs of a band whose lines are in different
+components are taken, large bands in shards. Bitmaps of the shingles leave out pairs
+that differ in too many bits to be similar, and no others.
 
 Check. The two lines of a pair are compared on the sets of all their shingles; pairs of
 ``SIMILARITY`` or more are links, and distributed union-find keeps the first line of
@@ -28,6 +31,8 @@ BINS, HIGH = 8, 61
 BANDS = ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
 # Lines with fewer word shingles than FEW file under all shingles, with more than ENOUGH under words only.
 FEW, ENOUGH = 8, 12
+# Longs of a line's bitmap; lines of a band in a shard; pairs for each line of a band that need no further star.
+WORDS, SHARD, EACH = 8, 1024, 16
 # Characters of scripts written without spaces begin a word each.
 UNSPACED = r"฀-໿က-႟ក-៿⺀-鿿ꥠ-꥿가-힯豈-﫿"
 
@@ -85,12 +90,91 @@ def with_bands(rows: DataFrame) -> DataFrame:
     return evaluated(rows, bands=F.concat(_bands(F.col("__vw"), 1), _bands(F.col("__va"), 2))).select("id", "bands")
 
 
-def candidates(all_lines: DataFrame) -> DataFrame:
-    """(id, hub): lines with the least line of one of their bands."""
+def buckets(all_lines: DataFrame) -> DataFrame:
+    """(band, id): the distinct lines of every band that has two of them."""
     filed = with_bands(all_lines.select(F.xxhash64("line").alias("id"), "line"))
-    keyed = filed.select("id", F.explode("bands").alias("band"))
-    hub = F.min("id").over(Window.partitionBy("band"))
-    return keyed.select("id", hub.alias("hub")).filter("id <> hub").distinct()
+    # Copies of a line leave a task once.
+    keyed = filed.select(F.explode("bands").alias("band"), "id").distinct()
+    around = Window.partitionBy("band")
+    return keyed.select("band", "id", F.min("id").over(around).alias("low"), F.max("id").over(around).alias("high")).filter("low <> high").select("band", "id")
+
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """(id, size, bits): the number of a line's shingles, and a bitmap of them in WORDS longs."""
+    rows = evaluated(texts, x=F.array_distinct(_hashes(_shingles(F.col("line")))))
+    rows = rows.select("id", F.explode("x").alias("h"))
+    place = F.shiftrightunsigned("h", 32)
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int))")
+    bits = [F.bit_or(F.when(F.pmod(place, F.lit(WORDS)) == n, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{n}") for n in range(WORDS)]
+    return rows.groupBy("id").agg(F.count("*").alias("size"), *bits)
+
+
+def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(band, id, size, bits, root) of bands whose lines are not all of one component."""
+    rows = members.drop("root")
+    if roots is None:
+        return rows.withColumn("root", F.col("id"))
+    rows = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    around = Window.partitionBy("band")
+    rows = rows.withColumn("low", F.min("root").over(around)).withColumn("high", F.max("root").over(around))
+    return rows.filter("low <> high").drop("low", "high")
+
+
+def _may_reach(similarity: float) -> Column:
+    """Whether lines l and r can be similar: every bit that only one bitmap has is a shingle that only one line has."""
+    sizes = F.least("l.size", "r.size") >= similarity * F.greatest("l.size", "r.size")
+    differ = sum((F.bit_count(F.col(f"l.b{n}").bitwiseXOR(F.col(f"r.b{n}"))) for n in range(WORDS)), F.lit(0))
+    return sizes & (differ <= (1 - similarity) / (1 + similarity) * (F.col("l.size") + F.col("r.size")) + 1e-6)
+
+
+def _star(members: DataFrame, turn: int, similarity: float) -> DataFrame:
+    """(id, hub): lines that may be similar to a hub of their band and are not joined to it; every turn has other hubs."""
+    drawn = F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), *[c for c in members.columns if c != "band"])
+    hubs = members.groupBy("band").agg(F.min(drawn).alias("hub")).select("band", "hub.*")
+    both = members.alias("l").join(hubs.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.root") != F.col("r.root")) & _may_reach(similarity))
+    return both.select("l.id", F.col("r.id").alias("hub")).distinct()
+
+
+def _rest(members: DataFrame, similarity: float) -> DataFrame:
+    """(id, hub): all pairs of a band that may be similar and are not joined; large bands by pairs of shards."""
+    shards = members.groupBy("band").agg(F.ceil(F.count("*") / F.lit(float(SHARD))).cast("int").alias("shards"))
+    placed = members.join(shards, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    left = placed.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("shards") - 1)))
+    right = placed.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("band", "i", "j")]
+    once = (F.col("l.i") < F.col("l.j")) | (F.col("l.id") < F.col("r.id"))
+    both = left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & once & (F.col("l.root") != F.col("r.root")) & _may_reach(similarity))
+    return both.select(F.least("l.id", "r.id").alias("id"), F.greatest("l.id", "r.id").alias("hub")).distinct()
+
+
+def _work(members: DataFrame) -> tuple[int, float]:
+    """(rows, pairs of one band in different components)."""
+    parts = members.groupBy("band", "root").agg(F.count("*").cast("double").alias("n"))
+    bands = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    rows, pairs = bands.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+    return int(rows or 0), pairs or 0.0
+
+
+def linked(all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): components of the links between lines that share a band."""
+    bands = written(buckets(all_lines), "buckets")
+    ends = bands.select("id").distinct()
+    texts = all_lines.select(F.xxhash64("line").alias("id"), "line").join(ends.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
+    texts = written(texts, "texts")
+    members = bands.join(sketches(texts), "id")
+    members, links, turn, before = written(_open(members, None), "members"), None, 0, None
+    while True:
+        # Stars while they shrink what is left by much; then every pair that is left.
+        rows, pairs = _work(members) if turn else (1, float("inf"))
+        last = pairs <= EACH * rows or (before is not None and pairs > before * 3 / 4)
+        before = pairs if turn else None
+        found = _rest(members, similarity) if last else _star(members, turn, similarity)
+        new = written(verified(written(found, "pairs"), texts, similarity), "links")
+        links = new if links is None else links.unionByName(new)
+        roots = written(components(links, "id", "hub"), "roots")
+        if last:
+            return roots
+        members, turn = written(_open(members, roots), "members"), turn + 1
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -106,12 +190,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(row, places): lines to remove from every row: all but the first, by (key, row, place), of every component."""
-    # The smaller sides of the joins below are hashed, so that whole lines and texts need no sort.
-    pairs = written(candidates(lines(docs, key, text)), "pairs")
-    ends = pairs.select("id").union(pairs.select("hub")).distinct()
-    texts = lines(docs, key, text).select(F.xxhash64("line").alias("id"), "line").join(ends.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
-    links = written(verified(pairs, texts, similarity), "links")
-    roots = written(components(links, "id", "hub"), "roots")
+    # The smaller sides of joins with lines and texts are hashed, so that those need no sort.
+    roots = linked(lines(docs, key, text), similarity)
     # A line counts where it stands first; null keys come last.
     at = F.struct(F.col("key").isNull().alias("n"), "key", "row", "place")
     places = lines(docs, key, text).select(F.xxhash64("line").alias("id"), "row", "place", at.alias("at"))

@@ -107,6 +107,36 @@ def test_near_lines_stay_once(spark):
     assert len(seen) < len(lines) and found == expected
 
 
+def test_lines_of_one_template(spark):
+    """Every line has a near copy, and all share most bands with lines that are not similar."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    template, lines = [word() for _ in range(30)], []
+    for _ in range(300):
+        line = template[:15] + [word() for _ in range(10)] + template[15:]
+        near = list(line)
+        near[rng.randrange(40)] = word()
+        lines += [" ".join(line), " ".join(near)]
+    table = spark.createDataFrame([(line,) for line in lines], "line string")
+    shared, rows, number = {}, [(0, "\n".join(lines))], None
+    for r in line_dedup.with_bands(table.selectExpr("line as id", "line")).collect():
+        for band in r.bands:
+            shared.setdefault(band, set()).add(r.id)
+    number, union = brute_lines(rows)
+    sharing = Union(number.values())
+    sets = {line: shingles(line) for line in lines}
+    for bucket in shared.values():
+        for a in bucket:
+            for b in bucket:
+                both = len(sets[a] & sets[b]) if a < b else 0
+                if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and a < b:
+                    sharing.join(number[a], number[b])
+    expected = len({sharing.find(n) for n in number.values()})
+    assert expected <= len({union.find(n) for n in number.values()}) + 6
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).first()
+    assert out.n_lines - out.n_removed == expected
+
+
 def test_lines_of_awkward_rows(documents, empty):
     out = line_dedup.dedup(documents)
     rows = out.collect()
