@@ -42,8 +42,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near copies; of rows with one id, one."""
-    found = ngram_join.jaccard_components(docs)
+    """The document with the smallest id of every group of near copies (five words, 0.8); of rows with one id, one."""
+    found = ngram_join.jaccard_components(docs, n=5, similarity=(80, 100))
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c != "doc_id"])
     rows = docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).filter("__n = 1")
