@@ -31,8 +31,9 @@ BINS, HIGH = 8, 61
 BANDS = ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
 # Lines with fewer word shingles than FEW file under all shingles, with more than ENOUGH under words only.
 FEW, ENOUGH = 8, 12
-# Longs of a line's bitmap; lines of a band in a shard; pairs for each line of a band that need no further star.
-WORDS, SHARD, EACH = 8, 1024, 16
+# Longs of a line's bitmap; lines of a band in a shard; pairs for each line of a band that need no further star;
+# one of so many pairs is taken before the rest.
+WORDS, SHARD, EACH, THIN = 32, 1024, 16, 16
 # Characters of scripts written without spaces begin a word each.
 UNSPACED = r"฀-໿က-႟ក-៿⺀-鿿ꥠ-꥿가-힯豈-﫿"
 
@@ -135,14 +136,16 @@ def _star(members: DataFrame, turn: int, similarity: float) -> DataFrame:
     return both.select("l.id", F.col("r.id").alias("hub")).distinct()
 
 
-def _rest(members: DataFrame, similarity: float) -> DataFrame:
-    """(id, hub): all pairs of a band that may be similar and are not joined; large bands by pairs of shards."""
+def _rest(members: DataFrame, similarity: float, thin: int = 1) -> DataFrame:
+    """(id, hub): pairs of a band that may be similar and are not joined, all or one of ``thin``; large bands by pairs of shards."""
     shards = members.groupBy("band").agg(F.ceil(F.count("*") / F.lit(float(SHARD))).cast("int").alias("shards"))
     placed = members.join(shards, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
     left = placed.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("shards") - 1)))
     right = placed.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own"))))
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("band", "i", "j")]
     once = (F.col("l.i") < F.col("l.j")) | (F.col("l.id") < F.col("r.id"))
+    if thin > 1:
+        once &= F.pmod(F.xxhash64(F.least("l.id", "r.id"), F.greatest("l.id", "r.id")), F.lit(thin)) == 0
     both = left.alias("l").join(right.alias("r"), same[0] & same[1] & same[2] & once & (F.col("l.root") != F.col("r.root")) & _may_reach(similarity))
     return both.select(F.least("l.id", "r.id").alias("id"), F.greatest("l.id", "r.id").alias("hub")).distinct()
 
@@ -162,13 +165,17 @@ def linked(all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     texts = all_lines.select(F.xxhash64("line").alias("id"), "line").join(ends.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
     texts = written(texts, "texts")
     members = bands.join(sketches(texts), "id")
-    members, links, turn, before = written(_open(members, None), "members"), None, 0, None
+    members, links, turn, before, thinned = written(_open(members, None), "members"), None, 0, None, False
     while True:
-        # Stars while they shrink what is left by much; then every pair that is left.
-        rows, pairs = _work(members) if turn else (1, float("inf"))
-        last = pairs <= EACH * rows or (before is not None and pairs > before * 3 / 4)
+        # Stars while they shrink what is left by much, a few of the pairs that are still many, then every pair left.
+        rows, pairs = _work(members) if turn else (0, float("inf"))
+        last = pairs <= EACH * rows or thinned
+        thinned = before is not None and pairs > before * 3 / 4
         before = pairs if turn else None
-        found = _rest(members, similarity) if last else _star(members, turn, similarity)
+        if last or thinned:
+            found = _rest(members, similarity, 1 if last else THIN)
+        else:
+            found = _star(members, turn, similarity)
         new = written(verified(written(found, "pairs"), texts, similarity), "links")
         links = new if links is None else links.unionByName(new)
         roots = written(components(links, "id", "hub"), "roots")
