@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import bpe, decision_list, entropy_mix, line_dedup, ngram_join, secrets, suffix_index, warc, winnowing, wrapper
+from ledgerloom.llm import bpe, collocations, decision_list, dialogue, entropy_mix, line_dedup, ngram_join, packing, secrets, suffix_index, warc, winnowing, wrapper
 from ledgerloom.llm.common import table, word_count
 
-def tokenizer_file() -> str:
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     """The public vocabulary that the query encodes with; the operator takes any path."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +72,19 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(dialogue.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc_captures": op2_warc_captures,
@@ -82,6 +96,9 @@ QUERIES: dict[str, Query] = {
     "op8_winnowing": op8_winnowing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_source_mix": op10_source_mix,
+    "op11_packing": op11_packing,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_collocations": op13_collocations,
 }
 #: Queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
@@ -103,6 +120,25 @@ links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON
     GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM listed JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)""",
+    "op13_collocations": """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM worded, range(1, 6) AS r(k) WHERE len(w) >= k),
+totals AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+parts AS (SELECT lang, phrase, f, k, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+hidden AS (SELECT DISTINCT s.lang, s.phrase FROM parts s JOIN parts t ON s.lang = t.lang AND t.k > s.k AND 100 * t.f >= 100 * s.f
+    WHERE contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')),
+cuts AS (SELECT p.lang, p.phrase, p.f AS a, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:], ' ') AS y
+    FROM parts p, range(1, 5) AS q(c) WHERE c < p.k),
+scored AS (SELECT cuts.lang, cuts.phrase, a, c, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+    FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y JOIN totals t ON t.lang = cuts.lang
+    ANTI JOIN hidden h ON h.lang = cuts.lang AND h.phrase = cuts.phrase),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM least QUALIFY rank <= 2000""",
 }
 
 
