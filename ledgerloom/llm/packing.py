@@ -3,12 +3,13 @@
 A document of n ids is cut into pieces of the greatest length and, for the rest, into
 one piece for each binary digit of it, from the longest to the shortest. Pieces of
 equal length form a bucket, and every piece is a sequence of its bucket, so a batch
-drawn from one bucket is rectangular. A sequence's number counts through the buckets
-from the longest on; inside a bucket it counts through the tasks' outputs, by one
-small row for each task and length.
+drawn from one bucket is rectangular. A sequence's number holds its bucket (from the
+longest on), its task and its place in the task, so ordering by it goes through the
+buckets, and nothing has to move or be counted first.
 
 Ids come word by word: the tokenizer removes white space and never looks across it, so
-a word's ids do not depend on its neighbours, and a worker asks for each word once.
+a word's ids do not depend on its neighbours, and a worker asks for a word once as long
+as it comes up again before many others.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
-
-from ledgerloom.llm.common import written
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 MOST = 2048
 # The id that ends every document.
 END = 1
-# Characters of a text that are split into words at once, and words that a worker remembers.
-BLOCK, KNOWN = 1 << 18, 1 << 19
+# Characters of a text that are split into words at once, and words that a worker remembers before it begins anew;
+# those of the time before are remembered for as long again.
+BLOCK, KNOWN = 1 << 18, 300_000
+# Bits of a sequence's number for its place among a task's pieces of one length, and for these and the task.
+PLACE, TASK = 33, 58
 # Bytes of ids in a batch on its way out.
 BATCH = 4 << 20
 
@@ -52,16 +55,21 @@ class Ids:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         found = self.tokenizer.encode_batch_fast(list(words), add_special_tokens=False)
         self.known.update((word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(words, found))
 
     def of_words(self, words: list[str]) -> bytes:
-        known = self.known
-        if len(known) > KNOWN:
-            known.clear()
+        if len(self.known) > KNOWN:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         new = {word for word in words if word not in known}
+        if new and older:
+            again = [word for word in new if word in older]
+            known.update(zip(again, map(older.__getitem__, again)))
+            new.difference_update(again)
         if new:
             parts = {}
             for word in new:
@@ -92,37 +100,40 @@ def lengths(n: int, most: int = MOST) -> list[int]:
 
 
 def pieces(docs: DataFrame, vocabulary: str, key: str, text: str, most: int, end: int) -> DataFrame:
-    """(id, start, length, ids, doc_tokens, at): the pieces of all documents; ``at`` counts a task's pieces of one length."""
-    names = ["id", "start", "length", "ids", "doc_tokens", "at"]
-    kinds = [docs.schema[key].dataType, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-
-    def out(held: list[tuple], first: pa.DataType) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), [first, *kinds[1:]])], names=names)
+    """(id, start, length, ids, doc_tokens, sequence_id): the pieces of all documents."""
+    names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _workers:
             _workers[vocabulary] = Ids(vocabulary)
         ids, seen, held, size = _workers[vocabulary], Counter(), [], 0
+        task = TaskContext.get().partitionId() << PLACE
+        bucket = {most >> n: n << TASK for n in range(most.bit_length())}
         last = np.array([end], "<u4").tobytes()
+        kinds = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+
         for batch in batches:
-            first = batch.schema.field(0).type
+            kinds[0] = batch.schema.field(0).type
             for name, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = ids.of_text(whole or "") + last
                 total, start = len(found) // 4, 0
                 for n in lengths(total, most):
-                    held.append((name, start, n, found[4 * start : 4 * (start + n)], total, seen[n]))
+                    held.append((name, start, n, found[4 * start : 4 * (start + n)], total, bucket[n] | task | seen[n]))
                     seen[n] += 1
                     start += n
                     size += 4 * n + 64
                     if size >= BATCH:
-                        yield out(held, first)
+                        yield out()
                         held, size = [], 0
             if held:
-                yield out(held, first)
+                yield out()
                 held, size = [], 0
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, at bigint"
+    schema = f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint"
     return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -131,24 +142,12 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
 
     ``ids`` are little-endian unsigned 32-bit numbers; ``most`` is a power of two. The
     length of a sequence is its bucket, and as a sequence holds one piece, its offset is
-    0. A null or empty text is a document of the end id alone. Rows that share a key, and
+    0. Numbers of sequences differ and may leave gaps; a task that runs again gives the
+    same ones. A null or empty text is a document of the end id alone. Rows that share a key, and
     rows with a null key, are documents of their own; only their pieces tell them apart.
     An empty table gives an empty result; other columns are left out.
     """
     if most < 1 or most & (most - 1):
         raise ValueError("the greatest length has to be a power of two")
-    found = pieces(docs, vocabulary, key, text, most, end).withColumn("part", F.spark_partition_id())
-    found = written(found, "pieces")
-    sizes = found.groupBy("part", "length").agg(F.count("*").alias("n"))
-    # One row for each length, at most as many as a number has binary digits.
-    buckets = sizes.groupBy("length").agg(F.sum("n").alias("n"))
-    longer = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select("length", F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("bucket"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    starts = starts.join(buckets, "length").select("part", "length", (F.col("bucket") + F.col("first")).alias("first"))
-    placed = found.join(starts, ["part", "length"])
-    return placed.select(
-        F.col("id").alias(key), "start", "length", "ids", "doc_tokens", (F.col("first") + F.col("at")).alias("sequence_id"),
-        F.lit(0).cast("bigint").alias("offset"),
-    )
+    found = pieces(docs, vocabulary, key, text, most, end)
+    return found.select(F.col("id").alias(key), "start", "length", "ids", "doc_tokens", "sequence_id", F.lit(0).cast("bigint").alias("offset"))

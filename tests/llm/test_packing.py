@@ -47,7 +47,7 @@ def test_lengths(n):
 
 def test_every_id_lies_in_one_piece(spark, documents, library):
     rows = documents.select("doc_id", "text").collect()
-    out = packing.pack(documents.withColumn("offset", F.lit(7)).withColumn("at", F.lit(1)).repartition(3), VOCABULARY, most=64)
+    out = packing.pack(documents.withColumn("offset", F.lit(7)).withColumn("start", F.lit(1)).repartition(3), VOCABULARY, most=64)
     assert out.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     found = out.withColumn("crc", F.crc32("ids")).collect()
     expected = []
@@ -59,7 +59,7 @@ def test_every_id_lies_in_one_piece(spark, documents, library):
     order = lambda rows: sorted(rows, key=repr)
     assert order((r.doc_id, r.start, r.length, r.crc, r.doc_tokens) for r in found) == order(expected)
     # Every sequence is one piece, and numbers go through the buckets from the longest on.
-    assert sorted(r.sequence_id for r in found) == list(range(len(found)))
+    assert len({r.sequence_id for r in found}) == len(found) and min(r.sequence_id for r in found) >= 0
     by_number = [r.length for r in sorted(found, key=lambda r: r.sequence_id)]
     assert by_number == sorted(by_number, reverse=True) and {r.offset for r in found} == {0}
 
