@@ -70,3 +70,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

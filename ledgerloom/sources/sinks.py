@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerloom.functions.formatting import csv_line, number_text
 from ledgerloom.operators.skew import best_row
+from ledgerloom.session import remove_folder, shared_folder
+from ledgerloom.sources.keyed import KeyedTable, read_or_empty, same_keys
 
 CSV_COLUMNS = (
     "ticker",
@@ -28,54 +29,46 @@ CSV_COLUMNS = (
 )
 
 
-# Folders of a stored table.
-FOLDERS = 32
-
-
-def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table at ``path``, or an empty one before the first write."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def insert_if_absent(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column] | None = None) -> DataFrame:
+def insert_if_absent(
+    rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column] | None = None, returns: bool = True
+) -> DataFrame | None:
     """Append rows whose key is not stored yet; returns the stored row of every requested key.
 
     Within a batch the first row by ``order`` wins, without one the greatest by all
-    other columns. Re-running a batch adds nothing. The table lies in ``FOLDERS``
-    folders by a hash of the first key; only those that the batch touches are read.
+    other columns. Re-running a batch adds nothing; a null in a key is a value. The
+    batch is evaluated once and kept in the shared folder (until the end of the call if
+    nothing is to be returned). Files are looked up by the first key (``keyed``), and
+    only those that may hold a key of the batch are read.
     """
     spark, keys = rows.sparkSession, list(keys)
     others = [F.col(c) for c in rows.columns if c not in keys]
     ordered = [-c for c in order] if order is not None else others or [F.lit(0)]
-    first = best_row(rows, keys, ordered) if others else rows.distinct()
-    folder = F.pmod(F.xxhash64(keys[0]), F.lit(FOLDERS)).cast("int")
-    first = first.select(*rows.columns, folder.alias("folder"))
-    requested = rows.select(*keys, folder.alias("folder")).distinct()
-    # At most FOLDERS numbers.
-    touched = [r[0] for r in requested.select("folder").distinct().collect()]
-
-    def stored() -> DataFrame:
-        table = read_or_empty(spark, path, StructType([*rows.schema.fields, StructField("folder", IntegerType())]))
-        return table.filter(F.col("folder").isin(touched))
-
-    new = first.join(stored().select(*keys, "folder"), [*keys, "folder"], "left_anti")
-    new.repartition("folder").write.mode("append").partitionBy("folder").parquet(path)
-    return stored().join(requested, [*keys, "folder"], "left_semi").select(*rows.columns)
-
-
-def insert_analyses(rows: DataFrame, path: str, order: Sequence[Column] | None = None) -> DataFrame:
+    first = best_row(rows, keys, ordered).select(*rows.columns) if others else rows.distinct()
+    folder = shared_folder(spark, "batch")
+    first.write.parquet(folder)
+    batch = spark.read.schema(rows.schema).parquet(folder)
+    table = KeyedTable(spark, path, rows.schema, keys[:1])
+    held = table.holding(batch)
+    new = batch
+    if held:
+        stored = table.rows(held).select(*keys)
+        new = batch.alias("b").join(stored.alias("s"), same_keys("b", "s", keys), "left_anti")
+    n_keys = batch.agg(F.approx_count_distinct(F.xxhash64(keys[0]))).first()[0]
+    added = table.append(new, n_keys)
+    if not returns:
+        remove_folder(spark, folder)
+        return None
+    return table.rows(added).unionByName(table.matching(batch, keys, held)) if held else table.rows(added)
+
+
+def insert_analyses(rows: DataFrame, path: str, order: Sequence[Column] | None = None, returns: bool = True) -> DataFrame | None:
     """One analysis per filing, ever."""
-    return insert_if_absent(rows, path, ["accession_number"], order)
+    return insert_if_absent(rows, path, ["accession_number"], order, returns)
 
 
-def insert_chunks(rows: DataFrame, path: str) -> DataFrame:
+def insert_chunks(rows: DataFrame, path: str, returns: bool = True) -> DataFrame | None:
     """Chunks that are already stored are skipped one by one."""
-    return insert_if_absent(rows, path, ["accession_number", "chunk_index"])
+    return insert_if_absent(rows, path, ["accession_number", "chunk_index"], returns=returns)
 
 
 TRUTH_KEYS = ["cik", "fiscal_year"]
@@ -85,26 +78,35 @@ def pin_truth(truth: DataFrame, path: str, refresh: bool = False) -> DataFrame:
     """Truth of each (cik, fiscal_year) as first written, so restatements do not move it.
 
     ``refresh`` appends a newer version of the given years. Nothing is rewritten,
-    so a run that is cut off leaves the earlier version in place.
+    so a run that is cut off leaves the earlier version in place. The versions of a
+    company are found by the table's index, so a pin reads the files of its own
+    companies only.
     """
     spark = truth.sparkSession
-    stored = read_or_empty(spark, path, _versioned(truth))
-    latest = stored.groupBy(*TRUTH_KEYS).agg(F.max("version").alias("version"))
+    folder = shared_folder(spark, "truth")
     figures = [F.col(c) for c in truth.columns if c not in TRUTH_KEYS]
-    known = best_row(truth, TRUTH_KEYS, figures).join(latest, TRUTH_KEYS, "left")
+    best_row(truth, TRUTH_KEYS, figures).select(*truth.columns).write.parquet(folder)
+    batch = spark.read.schema(truth.schema).parquet(folder)
+    table = _pins(spark, path, truth)
+    held = table.holding(batch)
+    latest = table.rows(held).groupBy(*TRUTH_KEYS).agg(F.max("version").alias("version"))
+    known = batch.alias("b").join(latest.alias("l"), same_keys("b", "l", TRUTH_KEYS), "left").select("b.*", "l.version")
     new = known if refresh else known.filter(F.col("version").isNull())
     new = new.withColumn("version", F.coalesce(F.col("version") + 1, F.lit(0)))
-    new.select(*truth.columns, "version").write.mode("append").parquet(path)
-    return pinned_truth(spark, path, truth).join(truth.select(*TRUTH_KEYS).distinct(), TRUTH_KEYS, "left_semi")
+    n_keys = batch.agg(F.approx_count_distinct(F.xxhash64(TRUTH_KEYS[0]))).first()[0]
+    added = table.append(new.select(*truth.columns, "version"), n_keys)
+    return best_row(table.matching(batch, TRUTH_KEYS, held + added), TRUTH_KEYS, [F.col("version")])
 
 
-def pinned_truth(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The valid version of every pinned key; ``like`` gives the columns."""
-    return best_row(read_or_empty(spark, path, _versioned(like)), TRUTH_KEYS, [F.col("version")])
+def pinned_truth(spark: SparkSession, path: str, like: DataFrame, companies: DataFrame | None = None) -> DataFrame:
+    """The valid version of every pinned key, or of those of ``companies`` (cik); ``like`` gives the columns."""
+    table = _pins(spark, path, like)
+    stored = table.rows() if companies is None else table.matching(companies)
+    return best_row(stored, TRUTH_KEYS, [F.col("version")])
 
 
-def _versioned(truth: DataFrame) -> StructType:
-    return StructType([*truth.schema.fields, StructField("version", IntegerType())])
+def _pins(spark: SparkSession, path: str, truth: DataFrame) -> KeyedTable:
+    return KeyedTable(spark, path, StructType([*truth.schema.fields, StructField("version", IntegerType())]), TRUTH_KEYS[:1])
 
 
 def write_run(records: DataFrame, path: str) -> None:

@@ -17,7 +17,8 @@ from ledgerloom import settings as S
 from ledgerloom.operators.history import by_forms
 from ledgerloom.operators.metering import MICROS, micros
 from ledgerloom.operators.skew import best_row, top_k, with_halo
-from ledgerloom.sources.sinks import insert_analyses, read_or_empty
+from ledgerloom.sources.keyed import read_or_empty
+from ledgerloom.sources.sinks import insert_analyses
 from ledgerloom.streaming.state import RollingMeter
 
 
@@ -47,7 +48,7 @@ def _replace_batch(rows: DataFrame, path: str, batch: int, *by: str) -> None:
 
 def ingest_analyses(stream: DataFrame, path: str, checkpoint: str, order: list[Column], once: bool = False) -> StreamingQuery:
     """Store one analysis per filing, ever."""
-    return _start(_each_batch(stream, lambda rows, _: insert_analyses(rows, path, order)), checkpoint, once)
+    return _start(_each_batch(stream, lambda rows, _: insert_analyses(rows, path, order, returns=False)), checkpoint, once)
 
 
 def track_coverage(chunks: DataFrame, schedule: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from ledgerloom.operators import retrieval as ret
-from ledgerloom.sources import readers, sinks
+from ledgerloom.sources import keyed, readers, sinks
 
 
 def test_directory_files(spark, tmp_path):
@@ -121,4 +121,87 @@ def test_match_chunks_function(spark):
 
 @pytest.mark.parametrize("name, known", [("nothing-here", 0)])
 def test_missing_table_is_empty(spark, tmp_path, name, known):
-    assert sinks.read_or_empty(spark, str(tmp_path / name), "a int").count() == known
+    assert keyed.read_or_empty(spark, str(tmp_path / name), "a int").count() == known
+
+
+# --- keyed tables ---------------------------------------------------------------------------
+
+def wide_batch(spark, first, last, step=1, value="x"):
+    return spark.range(first, last, step).select(F.format_string("k%08d", "id").alias("accession_number"), F.lit(value).alias("summary"))
+
+
+@pytest.fixture
+def small_files(spark):
+    """Many partitions, and the planner joins none of them."""
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "2k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_an_insert_reads_few_files(spark, tmp_path, small_files):
+    path = str(tmp_path / "t")
+    sinks.insert_analyses(wide_batch(spark, 0, 40000), path, returns=False)
+    table = keyed.KeyedTable(spark, path, wide_batch(spark, 0, 1).schema, ["accession_number"])
+    files = table.files()
+    # More tasks than the old limit of 32, and a file for each.
+    assert len(files) > 32
+    known = wide_batch(spark, 500, 503)
+    held = table.holding(known)
+    assert 1 <= len(held) <= 8 < len(files)
+    assert len(table.holding(wide_batch(spark, 10**6, 10**6 + 5))) <= 5
+    # The stored rows of known keys, and the new ones.
+    again = sinks.insert_analyses(wide_batch(spark, 39998, 40003, value="y"), path)
+    assert {r[0][-5:]: r[1] for r in again.collect()} == {"39998": "x", "39999": "x", "40000": "y", "40001": "y", "40002": "y"}
+    assert table.rows().count() == 40003 and table.rows().select("accession_number").distinct().count() == 40003
+
+
+def test_files_without_an_entry_count(spark, tmp_path):
+    """A write that was cut off between its files and their index."""
+    path = str(tmp_path / "t")
+    sinks.insert_analyses(wide_batch(spark, 0, 100), path, returns=False)
+    wide_batch(spark, 100, 110).write.mode("append").parquet(path)
+    again = sinks.insert_analyses(wide_batch(spark, 95, 115, value="y"), path)
+    assert again.filter("summary = 'x'").count() == 15 and again.count() == 20
+    table = keyed.KeyedTable(spark, path, wide_batch(spark, 0, 1).schema, ["accession_number"])
+    lost = table.repair()
+    assert lost and table.repair() == [] and table.rows().count() == 115
+    assert set(lost) & set(table.holding(wide_batch(spark, 105, 106)))
+
+
+def test_repeated_batches_nulls_and_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", "one"), (None, "none"), ("a", "two"), ("a", "two")], "accession_number string, summary string")
+    for _ in range(3):
+        stored = sinks.insert_analyses(rows, path)
+        assert sorted(stored.collect(), key=str) == sorted([("a", "two"), (None, "none")], key=str)
+    assert spark.read.parquet(path).count() == 2
+    assert sinks.insert_analyses(rows.limit(0), path).count() == 0
+    other = str(tmp_path / "none")
+    assert sinks.insert_analyses(rows.limit(0), other).count() == 0 and sinks.insert_analyses(rows, other).count() == 2
+
+
+def test_a_filing_with_most_rows_takes_several_files(spark, tmp_path, small_files):
+    path = str(tmp_path / "t")
+    content = F.concat_ws(" ", *[F.xxhash64("id", F.lit(i)).cast("string") for i in range(12)])
+    hot = spark.range(3000).select(F.lit("hot").alias("accession_number"), F.col("id").cast("int").alias("chunk_index"), content.alias("content"))
+    sinks.insert_chunks(hot, path, returns=False)
+    table = keyed.KeyedTable(spark, path, hot.schema, ["accession_number"])
+    assert len(table.files()) > 4
+    assert sinks.insert_chunks(hot.withColumn("content", F.lit("")), path).filter("content = ''").count() == 0
+    assert table.rows().count() == 3000
+
+
+def test_pins_of_a_company_read_its_files(spark, tmp_path, small_files):
+    path = str(tmp_path / "truth")
+    truth = spark.range(20000).select(F.col("id").cast("string").alias("cik"), F.lit(2020).alias("fiscal_year"), F.rand(1).alias("revenue"))
+    sinks.pin_truth(truth, path)
+    one = truth.filter("cik = '77'")
+    assert sinks.pin_truth(one.withColumn("revenue", F.lit(5.0)), path).first().revenue != 5.0
+    assert sinks.pin_truth(one.withColumn("revenue", F.lit(6.0)), path, refresh=True).first().revenue == 6.0
+    found = sinks.pinned_truth(spark, path, truth, one.select("cik"))
+    assert [r.revenue for r in found.collect()] == [6.0] and len(found.inputFiles()) < 10
+    assert sinks.pinned_truth(spark, path, truth).count() == 20000
