@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ledgerloom.session import remove_folder, shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
@@ -15,19 +15,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only a session without that setting gets one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder below spark.checkpoint.dir; a cluster without that setting is an error."""
+    return shared_folder(spark, f"llm/{name}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here and lost executors cost nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``written`` made; nothing may read it any more."""
+    for df in tables:
+        path = vars(df).get("written_to") if df is not None else None
+        if path:
+            remove_folder(df.sparkSession, path)
 
 
 def words(text: Column) -> Column:
