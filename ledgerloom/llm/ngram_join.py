@@ -7,11 +7,13 @@ lists by binary search.
 
 To spread the search, sets are first dealt into blocks that lose no link. Sets of
 size s and t that reach the similarity differ in at most k elements; cut by hash
-into k + 2 parts, they agree in two parts at least. So every set is filed under the
-content of its parts (an empty part says nothing and can be left out as long as it is
-the only one), sets under one key are joined to a star, and the components of
-all stars are the blocks: similar sets are always in one block, and a set moves to
-its block once. A block larger than a task should hold is cut into shards, and every
+into k + m parts, they agree in m parts at least. So every set is filed under the
+content of its parts but for empty ones, which say nothing. Two sets that agree in
+empty parts alone have m of these each, so sets with m empty parts know that they
+may be missed: they are filed under the elements of their prefix too, the least hashes
+of which similar sets share one. Sets under one key are joined to a star, and the
+components of all stars are the blocks: similar sets are always in one block, and a
+set moves to its block once. A block larger than a task should hold is cut into shards, and every
 pair of shards is searched by a task of its own. Tasks return only links that join
 what was not joined before, so a group of n copies gives about n links, not n * n.
 """
@@ -27,7 +29,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import discard, written
 from ledgerloom.llm.components import components
 
 # Sets in a shard of a block.
@@ -36,6 +38,8 @@ SHARD = 2048
 HEAP = 4096
 # Weight of the length of lists in the choice of how many are long (DivideSkip's mu).
 MU = 0.0085
+# One part more than needed for so many elements that may differ, so that few sets have too many empty parts.
+SPARE = 16
 # Keys that a task remembers to join sets among its own rows.
 KEYS = 1 << 19
 
@@ -76,20 +80,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def intervals(most: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(greatest size, parts) of size intervals so narrow that similar sets lie in one or in neighbours."""
+def intervals(most: int, num: int, den: int) -> list[tuple[int, int, int]]:
+    """(greatest size, parts, parts that similar sets agree in) of size intervals; similar sets lie in one or in neighbours."""
     found, low = [], 1
     while low <= most:
         high = low * den // num
         # |s| + |t| <= 2 * high, and s, t differ in at most (1 - j) / (1 + j) of that.
         differ = (den - num) * 2 * high // (den + num)
-        found.append((high, differ + 2 if differ else 1))
+        agree = 2 + differ // SPARE if differ else 1
+        found.append((high, differ + agree, agree))
         low = high + 1
     return found
 
 
 class Filer:
-    """Keys of a set: one for each of its parts, in its size interval and in the next one."""
+    """Keys of a set: one for each part that is not empty, in its size interval and in the next one; its prefix if many are empty."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.table = num, den, intervals(1 << 16, num, den)
@@ -98,19 +103,21 @@ class Filer:
         size = len(grams)
         while self.table[-2][0] < size:
             self.table = intervals(self.table[-1][0] * 2, self.num, self.den)
-        i = int(np.searchsorted([high for high, _ in self.table], size))
+        i = int(np.searchsorted([high for high, *_ in self.table], size))
         keys = []
         for k in (i, i + 1):
-            parts = self.table[k][1]
+            _, parts, agree = self.table[k]
             place = (grams >> np.uint64(17)) % np.uint64(parts)
             order = np.argsort(place, kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(place[order]) != 0])
             filled = place[order][starts]
             sums = _mix(np.add.reduceat(_mix(grams[order]), starts))
-            if parts - len(filled) > 1:
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), filled)
-                filled, sums = np.r_[filled, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
-            keys.append(_mix(sums + filled * np.uint64(_FACTORS[0]) + np.uint64((k * _FACTORS[1]) % (1 << 64))))
+            salt = np.uint64((k * _FACTORS[1]) % (1 << 64))
+            keys.append(_mix(sums + filled * np.uint64(_FACTORS[0]) + salt))
+            if parts - len(filled) >= agree:
+                # Similar sets share at least this many elements, so one of the others' least at the latest.
+                shared = -(-self.num * size // self.den)
+                keys.append(_mix(_mix(np.sort(grams)[: size - shared + 1]) + salt))
         return np.concatenate(keys)
 
 
@@ -301,8 +308,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     keyed = filed.select("id", F.explode("keys").alias("key"))
     stars = keyed.select("id", F.min("id").over(Window.partitionBy("key")).alias("hub")).filter("id <> hub")
     stars = stars.unionByName(filed.select("id", F.explode("hubs").alias("hub"))).distinct()
-    blocks = components(stars, "id", "hub").withColumnRenamed("node", "id").withColumnRenamed("root", "block")
-    blocks = written(blocks, "blocks")
+    stored = components(stars, "id", "hub")
+    blocks = stored.withColumnRenamed("node", "id").withColumnRenamed("root", "block")
     shards = blocks.groupBy("block").agg(F.ceil(F.count("*") / F.lit(float(shard))).cast("int").alias("shards"))
     placed = blocks.join(shards, "block").withColumn("own", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
     every = F.sequence(F.lit(0), F.col("shards") - 1)
@@ -312,6 +319,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = rows.filter("id is not null").join(placed.hint("merge"), "id")
     links = written(_links(members, n, num, den), "links")
     roots = components(links.unionByName(same))
+    discard(links, same, stored)
     joined = filed.select("id", "n_shingles").join(roots.withColumnRenamed("node", "id"), "id", "left")
     return joined.select(F.col("id").alias(key), "n_shingles", F.coalesce("root", "id").alias("component_id"))
 
