@@ -1,8 +1,10 @@
 """Fuzzy line dedup: MinHash signatures of character shingles, banding, exact check, union-find.
 
 Signature. Shingles of ``SHINGLE`` characters that begin after a space are hashed; a
-line with few of them takes the shingles from every character, and lines near that
-limit file under both, so similar lines always share a kind. The hash range is cut into
+short line, or one with few spaces, takes the shingles from every character. Lines
+between the limits file under both. What tells the kinds apart, the length and the share
+of spaces, changes little between similar lines, and the limits lie further apart than
+that. The hash range is cut into
 ``BINS`` bins; a bin's value is the least hash in it or, if it is empty, in the bins
 after it (one permutation, densified by rotation). Every band takes three bins.
 
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import evaluated, written
+from ledgerloom.llm.common import discard, evaluated, written
 from ledgerloom.llm.components import components
 
 SHINGLE, SIMILARITY = 8, 0.8
@@ -29,8 +31,9 @@ SHINGLE, SIMILARITY = 8, 0.8
 # which any two share one bin, so that five equal values always make a whole band.
 BINS, HIGH = 8, 61
 BANDS = ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
-# Lines with fewer word shingles than FEW file under all shingles, with more than ENOUGH under words only.
-FEW, ENOUGH = 8, 12
+# Lines up to SHORT characters, or with at most one word in SPARSE characters, file under all shingles; lines
+# from LONG characters on with a word in DENSE characters under those after a space.
+SHORT, SPARSE, LONG, DENSE = 160, 10, 100, 40
 # Longs of a line's bitmap; lines of a band in a shard; pairs for each line of a band that need no further star;
 # one of so many pairs is taken before the rest.
 WORDS, SHARD, EACH, THIN = 32, 1024, 16, 16
@@ -84,8 +87,10 @@ def with_bands(rows: DataFrame) -> DataFrame:
     padded = F.concat(F.lit(" "), F.col("line"), F.lit(" " * SHINGLE))
     begins = rf"(?s)[\x20{UNSPACED}](?=([^\x20].{{{SHINGLE - 1}}}))"
     rows = evaluated(rows, __words=_hashes(F.regexp_extract_all(padded, F.lit(begins), F.lit(1))))
-    n = F.size("__words")
-    rows = evaluated(rows, __w=F.when(n >= FEW, F.sort_array("__words")), __a=F.when(n < ENOUGH, F.sort_array(_hashes(_shingles(F.col("line"))))))
+    n, length = F.size("__words"), F.length("line")
+    every = (length <= SHORT) | (n * SPARSE <= length)
+    spaced = (length >= LONG) & (n * DENSE >= length)
+    rows = evaluated(rows, __w=F.when(spaced, F.sort_array("__words")), __a=F.when(every, F.sort_array(_hashes(_shingles(F.col("line"))))))
     rows = evaluated(rows, __lw=F.when(F.col("__w").isNotNull(), _least_per_bin(F.col("__w"))), __la=F.when(F.col("__a").isNotNull(), _least_per_bin(F.col("__a"))))
     rows = evaluated(rows, __vw=_bin_values(F.col("__lw")), __va=_bin_values(F.col("__la")))
     return evaluated(rows, bands=F.concat(_bands(F.col("__vw"), 1), _bands(F.col("__va"), 2))).select("id", "bands")
@@ -93,8 +98,8 @@ def with_bands(rows: DataFrame) -> DataFrame:
 
 def buckets(all_lines: DataFrame) -> DataFrame:
     """(band, id): the distinct lines of every band that has two of them."""
-    filed = with_bands(all_lines.select(F.xxhash64("line").alias("id"), "line"))
-    # Copies of a line leave a task once.
+    # Copies of a line leave a task once, and one of them is filed.
+    filed = with_bands(all_lines.select(F.xxhash64("line").alias("id"), "line").distinct())
     keyed = filed.select(F.explode("bands").alias("band"), "id").distinct()
     around = Window.partitionBy("band")
     return keyed.select("band", "id", F.min("id").over(around).alias("low"), F.max("id").over(around).alias("high")).filter("low <> high").select("band", "id")
@@ -162,10 +167,11 @@ def linked(all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root): components of the links between lines that share a band."""
     bands = written(buckets(all_lines), "buckets")
     ends = bands.select("id").distinct()
-    texts = all_lines.select(F.xxhash64("line").alias("id"), "line").join(ends.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
+    texts = all_lines.select(F.xxhash64("line").alias("id"), "line").join(ends.hint("shuffle_hash"), "id", "left_semi").distinct()
     texts = written(texts, "texts")
     members = bands.join(sketches(texts), "id")
-    members, links, turn, before, thinned = written(_open(members, None), "members"), None, 0, None, False
+    members, links, roots, turn, before, thinned = written(_open(members, None), "members"), None, None, 0, None, False
+    discard(bands)
     while True:
         # Stars while they shrink what is left by much, a few of the pairs that are still many, then every pair left.
         rows, pairs = _work(members) if turn else (0, float("inf"))
@@ -176,12 +182,19 @@ def linked(all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             found = _rest(members, similarity, 1 if last else THIN)
         else:
             found = _star(members, turn, similarity)
-        new = written(verified(written(found, "pairs"), texts, similarity), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = written(components(links, "id", "hub"), "roots")
+        found = written(found, "pairs")
+        new = verified(found, texts, similarity)
+        # Roots stand for the links that they come from.
+        if roots is not None:
+            new = new.unionByName(roots.select(F.col("node").alias("id"), F.col("root").alias("hub")))
+        links, old = written(new, "links"), roots
+        roots = components(links, "id", "hub")
+        discard(found, links, old)
         if last:
+            discard(members, texts)
             return roots
-        members, turn = written(_open(members, roots), "members"), turn + 1
+        old, members, turn = members, written(_open(members, roots), "members"), turn + 1
+        discard(old)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
