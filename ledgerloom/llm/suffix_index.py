@@ -33,7 +33,7 @@ SEED = 8
 SHARE = 3 << 20
 # Texts are cut into stretches in groups of about so many bytes; stretches leave a task when so many bytes are held.
 GROUP = 1 << 20
-HELD = 96 << 20
+HELD = 48 << 20
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 STIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -86,15 +86,14 @@ class Rolling:
 
 
 def stretches(data: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, hash of the minimizer) of all runs of windows with one minimizer."""
+    """(first window, last window, hash of the minimizer) of all runs of windows with minimizers of one value."""
     width = match - SEED + 1
-    # The lowest bits tell places apart, so that of equal seeds the leftmost one counts.
     seeds = _mix(_eights(data), SPREAD)
     least = _sliding(seeds, width, np.minimum)
-    # A new run where the least changes, or where the place that had it has left the window.
+    # Windows are filed by the value, so a run goes on where another place takes over with the same one.
     n = len(least)
     new = np.ones(n, bool)
-    new[1:] = (least[1:] != least[:-1]) | (seeds[: n - 1] == least[:-1])
+    new[1:] = least[1:] != least[:-1]
     first = np.flatnonzero(new)
     return first, np.r_[first[1:], n] - 1, least[first]
 
@@ -251,9 +250,8 @@ def _file(docs: DataFrame, shares: int, batch_docs: int, match: int) -> DataFram
 
         def leave():
             nonlocal held
-            out = ((*where, _pack([np.concatenate(x) for x in zip(*found)])) for where, found in parts.items())
-            yield from _batches(out)
-            parts.clear()
+            # Stretches go as their packed form comes.
+            yield from _batches((*where, _pack([np.concatenate(x) for x in zip(*parts.pop(where))])) for where in list(parts))
             held = 0
 
         for batch in batches:
