@@ -137,6 +137,44 @@ def test_lines_of_one_template(spark):
     assert out.n_lines - out.n_removed == expected
 
 
+def test_recall_of_similar_lines(spark):
+    """Of changed, shortened and lengthened lines of 4 to 45 words, those that cross 8 and 12 words included."""
+    rng = random.Random(12)
+    word = lambda a=3, b=9: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(a, b)))
+    pairs = []
+    while len(pairs) < 1000:
+        kind = len(pairs) % 4
+        if kind == 3:
+            # Long words, and the same with many short ones after them.
+            line = [word(12, 16) for _ in range(rng.randrange(5, 13))]
+            near = line + [word(1, 2) for _ in range(rng.randrange(1, 6))]
+        else:
+            line = [word() for _ in range(rng.randrange(4, 46))]
+            near = list(line)
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(near))
+                near[at : at + (kind != 1)] = [] if kind == 2 and len(near) > 4 else [word()]
+        a, b = " ".join(line), " ".join(near)
+        shared = len(shingles(a) & shingles(b))
+        if a != b and shared >= 0.8 * (len(shingles(a)) + len(shingles(b)) - shared):
+            pairs.append((a, b))
+    rows = [(i, "\n".join(pair)) for i, pair in enumerate(pairs)]
+    found = line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    joined = {r.doc_id: r.n_removed for r in found}
+    assert sum(joined.values()) >= 0.95 * len(pairs)
+    crossing = [i for i in joined if i % 4 == 3]
+    assert sum(joined[i] for i in crossing) >= 0.95 * len(crossing)
+
+
+def test_one_line_in_a_third_of_all_rows(spark):
+    rng = random.Random(2)
+    common = "this very common line stands in a third of all the documents that there are"
+    own = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12))
+    rows = [(i, f"{own()}\n{common}" if i % 3 == 0 else own()) for i in range(600)]
+    found = line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in found if r.n_removed) == list(range(3, 600, 3)) and max(r.n_removed for r in found) == 1
+
+
 def test_lines_of_awkward_rows(documents, empty):
     out = line_dedup.dedup(documents)
     rows = out.collect()
@@ -304,6 +342,36 @@ def test_groups_of_near_copies(spark, documents, shard):
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
 
 
+@pytest.mark.parametrize("similarity", [(80, 100), (90, 100)])
+def test_similar_sets_share_a_key(similarity):
+    """Sets of any size that just reach the similarity, those with many empty parts included."""
+    import numpy as np
+
+    num, den = similarity
+    rng, file = np.random.default_rng(4), ngram_join.Filer(*similarity)
+    for n in [*range(1, 60), *rng.integers(60, 800, 200).tolist()] * 3:
+        grams = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        n = len(grams)
+        # So many may go, or go and be replaced by others.
+        less = n - -(-num * n // den)
+        swap = (den - num) * n // (den + num)
+        fewer = np.sort(rng.permutation(grams)[less:])
+        other = np.unique(np.r_[rng.permutation(grams)[swap:], rng.integers(0, 1 << 63, swap, dtype=np.uint64)])
+        keys = set(file(grams).tolist())
+        assert keys & set(file(fewer).tolist()) and keys & set(file(other).tolist())
+
+
+def test_unlike_sets_stay_apart():
+    """At 5 words and 0.8 no key of sets that share nothing joins them, whatever their empty parts."""
+    import numpy as np
+
+    rng, file, seen = np.random.default_rng(5), ngram_join.Filer(80, 100), Counter()
+    for _ in range(2000):
+        grams = np.unique(rng.integers(0, 1 << 63, int(rng.integers(5, 900)), dtype=np.uint64))
+        seen.update(set(file(grams).tolist()))
+    assert max(seen.values()) == 1
+
+
 def test_merging_by_heap_and_by_sort_agree(monkeypatch):
     import numpy as np
 
@@ -428,6 +496,16 @@ def test_repeated_strings(spark, documents, monkeypatch, share, group, batches):
     assert all(sha(bytes(r.kept)) == r.kept_sha256 for r in found)
 
 
+@pytest.mark.parametrize("text", [b"x" * 20000, b"abcdefg" * 3000, b"abc" * 7000, (b"-" * 80 + b"\n") * 250, (b"=" * 79 + b" ") * 250])
+def test_periodic_texts_stay_small(text):
+    """Windows over a repeating text travel as few long stretches, not one by one."""
+    import numpy as np
+
+    first, last, seed = suffix_index.stretches(np.frombuffer(text, np.uint8), 50)
+    assert (last - first + 50).sum() <= 5 * len(text)
+    assert first[0] == 0 and last[-1] == len(text) - 50 and (first[1:] == last[:-1] + 1).all()
+
+
 def test_levels_halve():
     import numpy as np
 
