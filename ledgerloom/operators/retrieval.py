@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import settings as S
 from ledgerloom.functions.documents import excerpt, mentions_scale, unit_scale
@@ -41,64 +43,187 @@ def match_chunks(questions: DataFrame, chunks: DataFrame, k: int = S.RETRIEVED_C
     return top_k(scored, ["question_id", "accession_number"], order, k, spread=["chunk_index"])
 
 
+# The parameters are a row of their own that meets the chunks on the filing, so that a lateral
+# call for many questions is an equi-join as well.
 MATCH_CHUNKS_SQL = """
 CREATE OR REPLACE TEMPORARY FUNCTION match_chunks(p_accession STRING, p_embedding ARRAY<DOUBLE>, p_k INT)
 RETURNS TABLE (chunk_index BIGINT, content STRING, similarity DOUBLE)
 RETURN
   SELECT chunk_index, content, similarity
   FROM (
-    SELECT s.chunk_index, s.content, s.similarity,
+    SELECT s.chunk_index, s.content, s.similarity, s.k,
            row_number() OVER (ORDER BY s.similarity DESC NULLS LAST, s.chunk_index) AS place
     FROM (
-      SELECT c.chunk_index, c.content,
+      SELECT c.chunk_index, c.content, p.k,
              try_divide(
-               aggregate(zip_with(c.embedding, match_chunks.p_embedding, (a, b) -> CAST(a AS DOUBLE) * b), 0D, (t, x) -> t + x),
+               aggregate(zip_with(c.embedding, p.vector, (a, b) -> CAST(a AS DOUBLE) * b), 0D, (t, x) -> t + x),
                sqrt(aggregate(c.embedding, 0D, (t, x) -> t + CAST(x AS DOUBLE) * x))
-               * sqrt(aggregate(match_chunks.p_embedding, 0D, (t, x) -> t + x * x))
+               * sqrt(aggregate(p.vector, 0D, (t, x) -> t + x * x))
              ) AS similarity
-      FROM filing_chunks c
-      WHERE c.accession_number = match_chunks.p_accession
+      FROM (SELECT match_chunks.p_accession AS accession, match_chunks.p_embedding AS vector, match_chunks.p_k AS k) p
+      JOIN filing_chunks c ON c.accession_number = p.accession
     ) s
   )
-  WHERE place <= match_chunks.p_k
+  WHERE place <= k
 """
 
 
 def register_match_chunks(chunks: DataFrame) -> None:
     """Register the SQL table function match_chunks(accession, vector, k) over ``chunks``.
 
-    The filing filter reaches the scan. For many questions use ``match_chunks``.
+    ``FROM questions q, LATERAL match_chunks(q.accession_number, q.vector, 4)`` asks
+    many questions at once; equal questions are worked out once.
     """
     chunks.createOrReplaceTempView("filing_chunks")
     chunks.sparkSession.sql(MATCH_CHUNKS_SQL)
 
 
-def declarations(chunks: DataFrame) -> DataFrame:
-    """Per filing, the chunks that mention a scale with what they declare, by index.
+# --- search that leaves vectors out by bounds -------------------------------------------
+
+PIVOTS = 8
+
+
+def _angle(left: Column, right: Column, left_norm: Column, right_norm: Column) -> Column:
+    """Null for vectors that have no direction or another length."""
+    similarity = cosine(left, right, left_norm, right_norm)
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), similarity)))
+
+
+def vector_pivots(chunks: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """(accession_number, pivots): a few of every filing's vectors with their norms, the same ones on every run."""
+    usable = chunks.select("accession_number", "chunk_index", "embedding", norm(F.col("embedding")).alias("norm")).filter("norm > 0")
+    first = top_k(usable, ["accession_number"], [F.xxhash64("chunk_index"), F.col("chunk_index")], pivots, spread=["chunk_index"])
+    # At most ``pivots`` vectors in a group.
+    listed = F.array_sort(F.collect_list(F.struct("rank", "embedding", "norm")))
+    return first.groupBy("accession_number").agg(listed.alias("pivots"))
+
 
-    Only the index and the short parsed text are grouped, and a filing has at
-    most ``settings.max_chunks()`` chunks.
+def with_angles(chunks: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``chunks`` as they are stored for searches: with norm, angles to the filing's pivots, and block (the nearest pivot).
+
+    The block is null for a vector without direction.
     """
-    found = chunks.filter(mentions_scale(F.col("content"))).select(
-        "accession_number", F.struct("chunk_index", unit_scale(F.col("content")).alias("scale")).alias("d")
-    )
-    return found.groupBy("accession_number").agg(F.array_sort(F.collect_list("d")).alias("declarations"))
+    normed = chunks.withColumn("norm", norm(F.col("embedding"))).join(pivots, "accession_number", "left")
+    angles = F.transform("pivots", lambda p: _angle(p["embedding"], F.col("embedding"), p["norm"], F.col("norm")))
+    rows = normed.withColumn("angles", F.when(~F.exists(angles, lambda a: a.isNull()), angles)).drop("pivots")
+    return rows.withColumn("block", F.array_position("angles", F.array_min("angles")).cast("int"))
+
+
+def vector_blocks(vectors: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """(accession_number, block, n, low, high): size of every block and the range of its angles to each pivot."""
+    ranges = [
+        F.array(*[pick(F.get("angles", F.lit(i))) for i in range(pivots)]).alias(name) for name, pick in (("low", F.min), ("high", F.max))
+    ]
+    return vectors.groupBy("accession_number", "block").agg(F.count(F.lit(1)).alias("n"), *ranges)
+
+
+def _bound(asked: str, low: Column, high: Column) -> Column:
+    """The greatest similarity that angles within ``low`` and ``high`` of the pivots leave possible; 1 if nothing is known."""
+    gaps = F.zip_with(F.zip_with(F.col(asked), low, lambda q, l: l - q), F.zip_with(F.col(asked), high, lambda q, h: q - h), lambda x, y: F.greatest(x, y))
+    widest = F.coalesce(F.array_max(gaps), F.lit(0.0))
+    return F.coalesce(F.cos(F.least(F.greatest(widest, F.lit(0.0)), F.lit(math.pi))), F.lit(1.0))
+
+
+# Rounding of angles; a vector goes only if its bound stays below the k-th similarity by this.
+SLACK = 1e-6
 
 
-def nearest_scale(anchors: DataFrame, chunks: DataFrame, candidates: int = S.SCALE_CANDIDATES) -> DataFrame:
+def asked_blocks(questions: DataFrame, pivots: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(question_id, accession_number, vector, question_norm, asked, block, bound, first): the blocks of each question's filing.
+
+    ``first`` marks the most promising blocks that hold ``k`` vectors together. A
+    filing has a block for each pivot and one for vectors without direction, whose
+    bound is 1: the latter come last in any case, so they are only first if nothing else is.
+    """
+    normed = questions.select("question_id", "accession_number", "vector", norm(F.col("vector")).alias("question_norm"))
+    asked = normed.join(pivots, "accession_number", "left")
+    angles = F.transform("pivots", lambda p: _angle(p["embedding"], F.col("vector"), p["norm"], F.col("question_norm")))
+    asked = asked.withColumn("asked", F.when(~F.exists(angles, lambda a: a.isNull()), angles)).drop("pivots")
+    rows = asked.join(blocks, "accession_number").withColumn("bound", _bound("asked", F.col("low"), F.col("high")))
+    order = Window.partitionBy("question_id", "accession_number").orderBy(F.col("block").isNull(), F.desc("bound"), "block")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("first", before < k).drop("n", "low", "high")
+
+
+def match_in_blocks(questions: DataFrame, vectors: DataFrame, pivots: DataFrame, blocks: DataFrame, k: int = S.RETRIEVED_CHUNKS) -> DataFrame:
+    """``match_chunks`` over stored vectors (``with_angles``): the same rows, most vectors left out unread.
+
+    The triangle inequality of angles bounds the similarity of a block, and of a
+    vector, by their angles to the pivots. The most promising blocks are searched
+    first; of the others only those are read whose bound reaches the k-th similarity
+    found, and of their vectors only those whose own bound does. Both joins are on
+    (filing, block).
+    """
+    plan = asked_blocks(questions, pivots, blocks, k)
+    order = [F.col("similarity").desc_nulls_last(), F.col("chunk_index")]
+    keys = ["question_id", "accession_number"]
+
+    def scored(wanted: DataFrame, least: Column | None = None) -> DataFrame:
+        stored = vectors.select("accession_number", F.col("block").alias("b"), "chunk_index", "content", "embedding", "norm", "angles")
+        met = wanted.alias("w").join(stored.alias("v"), (F.col("w.accession_number") == F.col("v.accession_number")) & F.col("block").eqNullSafe(F.col("b")))
+        if least is not None:
+            met = met.filter(F.coalesce(_bound("asked", F.col("angles"), F.col("angles")) >= least - SLACK, F.lit(True)))
+        similarity = cosine(F.col("vector"), F.col("embedding"), F.col("question_norm"), F.col("norm"))
+        return met.select("w.question_id", "w.accession_number", "chunk_index", "content", similarity.alias("similarity"))
+
+    best = top_k(scored(plan.filter("first")), keys, order, k, spread=["chunk_index"]).drop("rank")
+    # Fewer than k similarities, or one without a value, bound nothing.
+    reached = best.groupBy(*keys).agg(F.min("similarity").alias("least"), F.count("similarity").alias("n")).filter(F.col("n") >= k).drop("n")
+    open_blocks = plan.filter(~F.col("first")).join(reached, keys, "left").filter((F.col("bound") >= F.col("least") - SLACK) | F.col("least").isNull())
+    more = top_k(scored(open_blocks, F.col("least")), keys, order, k, spread=["chunk_index"]).drop("rank")
+    return top_k(best.unionByName(more), keys, order, k, spread=["chunk_index"])
+
+
+# Chunk indexes of a stretch in which declarations are looked up by one task.
+STRETCH = 4096
+
+
+def declarations(chunks: DataFrame) -> DataFrame:
+    """(accession_number, chunk_index, scale): the chunks that mention a scale, with what they declare if anything."""
+    found = chunks.filter(mentions_scale(F.col("content")))
+    return found.select("accession_number", F.col("chunk_index").cast("bigint").alias("chunk_index"), unit_scale(F.col("content")).alias("scale"))
+
+
+def nearest_scale(anchors: DataFrame, chunks: DataFrame, candidates: int = S.SCALE_CANDIDATES, stretch: int = STRETCH) -> DataFrame:
     """Unit declaration governing each (accession_number, anchor); null when there is none.
 
     The nearest mentions at or above the anchor are tried first. Only a filing
     without any mention above falls back to its first ones; mentions above that
     declare nothing do not.
+
+    An as-of join: every mention knows what counts from it on, and an anchor takes that
+    of the last mention at or above it. A filing is cut into stretches of indexes; the
+    last ``candidates`` mentions of a stretch are all that later ones need of it, so they
+    are carried over its end as rows, and every stretch is a task's work of its own.
     """
-    joined = anchors.join(declarations(chunks), "accession_number", "left")
-    above = F.filter("declarations", lambda d: d["chunk_index"] <= F.col("anchor"))
-    tried = F.when(F.size(above) > 0, F.slice(F.reverse(above), 1, candidates)).otherwise(
-        F.slice("declarations", 1, candidates)
-    )
-    parsed = F.filter(F.transform(tried, lambda d: d["scale"]), lambda scale: scale.isNotNull())
-    return joined.withColumn("unit_scale", F.try_element_at(parsed, F.lit(1))).drop("declarations")
+    said = declarations(chunks).withColumn("s", F.floor(F.col("chunk_index") / stretch))
+    at = ["accession_number", "s"]
+    inside = Window.partitionBy(*at).orderBy(F.desc("chunk_index"))
+    # The ends of stretches: a few rows of each, from which those of the whole filing so far follow.
+    ends = said.withColumn("back", F.row_number().over(inside)).filter(F.col("back") <= candidates)
+    asked = anchors.select("accession_number", F.floor(F.col("anchor").cast("bigint") / stretch).alias("s")).distinct()
+    places = asked.unionByName(said.select(*at).distinct()).distinct()
+    whole = Window.partitionBy("accession_number").orderBy("chunk_index")
+    item = F.struct("chunk_index", "scale")
+    last = F.array(item, *[F.lag(item, n).over(whole) for n in range(1, candidates)])
+    carried = ends.withColumn("last", F.filter(last, lambda x: x.isNotNull())).filter("back = 1").select(*at, "last")
+    before = Window.partitionBy("accession_number").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    seams = places.join(carried, at, "left").withColumn("past", F.last("last", ignorenulls=True).over(before))
+    seams = seams.select(*at, F.explode("past").alias("m")).select(*at, "m.*")
+    # What counts from a mention on: of it and the ones before, the nearest that declares something.
+    mentions = said.select(*at, "chunk_index", "scale").unionByName(seams)
+    order = Window.partitionBy(*at).orderBy("chunk_index")
+    counts = F.coalesce("scale", *[F.lag("scale", n).over(order) for n in range(1, candidates)])
+    valid = mentions.select(*at, F.col("chunk_index").alias("__at"), F.lit(0).alias("__kind"), F.struct(counts.alias("scale")).alias("__valid"))
+    rows = anchors.withColumn("s", F.floor(F.col("anchor").cast("bigint") / stretch)).withColumn("__at", F.col("anchor").cast("bigint"))
+    rows = rows.withColumn("__kind", F.lit(1)).unionByName(valid, allowMissingColumns=True)
+    so_far = Window.partitionBy(*at).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("__valid", F.last("__valid", ignorenulls=True).over(so_far)).filter("__kind = 1")
+    # Without a mention above, the first ones of the filing.
+    first = top_k(said.select("accession_number", "chunk_index", "scale"), ["accession_number"], [F.col("chunk_index")], candidates, spread=["chunk_index"])
+    first = first.groupBy("accession_number").agg(F.min_by("scale", F.when(F.col("scale").isNotNull(), F.col("rank"))).alias("__first"))
+    scale = F.when(F.col("__valid").isNotNull(), F.col("__valid.scale")).otherwise(F.col("__first"))
+    return met.join(first, "accession_number", "left").select(*anchors.columns, scale.alias("unit_scale"))
 
 
 def question_context(questions: DataFrame, matches: DataFrame, scales: DataFrame) -> DataFrame:

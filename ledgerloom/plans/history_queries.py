@@ -29,18 +29,31 @@ def match_chunks(spark, sf):
     )
 
 
-@query(f"""
-WITH {V.VECTORS},
-one AS (SELECT accession_number FROM questions ORDER BY accession_number LIMIT 1)
-SELECT chunk_index, content, {_ROUND} FROM matches WHERE accession_number = (SELECT accession_number FROM one) AND rank <= 4""")
+@query(f"WITH {V.VECTORS} SELECT question_id, chunk_index, content, {_ROUND} FROM matches WHERE rank <= 4")
 def match_chunks_function(spark, sf):
-    """The SQL table function, called for one filing and one vector."""
+    """The SQL table function, called laterally for every question."""
     ret.register_match_chunks(V.vectors(spark, sf))
-    first = V.questions(spark, sf).orderBy("accession_number").limit(1)
-    first.select("accession_number", F.col("vector").cast("array<double>").alias("vector")).createOrReplaceTempView("one_question")
+    asked = V.questions(spark, sf).select("question_id", "accession_number", F.col("vector").cast("array<double>").alias("vector"))
+    asked.createOrReplaceTempView("asked_filings")
     return spark.sql("""
-        SELECT chunk_index, content, round(similarity, 6) AS similarity
-        FROM match_chunks((SELECT max(accession_number) FROM one_question), (SELECT max(vector) FROM one_question), 4)""")
+        SELECT q.question_id, m.chunk_index, m.content, round(m.similarity, 6) AS similarity
+        FROM asked_filings q, LATERAL match_chunks(q.accession_number, q.vector, 4) m""")
+
+
+@query(f"WITH {V.VECTORS} SELECT question_id, accession_number, chunk_index, content, rank, {_ROUND} FROM matches")
+def match_stored_vectors(spark, sf):
+    """Vectors stored with their norms and angles to a few pivots; searches leave out what the bounds rule out."""
+    chunks = V.vectors(spark, sf)
+    vectors, pivots, blocks = (shared_folder(spark, name) for name in ("vectors", "pivots", "blocks"))
+    ret.vector_pivots(chunks).write.parquet(pivots)
+    ret.with_angles(chunks, spark.read.parquet(pivots)).write.partitionBy("block").parquet(vectors)
+    stored = spark.read.parquet(vectors)
+    ret.vector_blocks(stored).write.parquet(blocks)
+    found = ret.match_in_blocks(V.questions(spark, sf), stored, spark.read.parquet(pivots), spark.read.parquet(blocks))
+    return found.select(
+        "question_id", "accession_number", "chunk_index", "content", F.col("rank").cast("bigint").alias("rank"),
+        F.round("similarity", 6).alias("similarity"),
+    )
 
 
 @query(f"""

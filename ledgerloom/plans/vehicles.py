@@ -375,20 +375,20 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """One question per filing: the vector of its first chunk."""
-    first = vectors(spark, sf).groupBy("accession_number").agg(
-        F.min("chunk_index").alias("question_id"), F.min_by("embedding", "chunk_index").alias("vector")
-    )
-    return first.select("question_id", "accession_number", "vector",
-                        F.concat(F.lit("What about "), F.col("accession_number"), F.lit("?")).alias("question"))
+    """Several questions per filing: the vectors of its first chunk and of every chunk whose id 20 divides."""
+    rows = vectors(spark, sf)
+    first = rows.groupBy("accession_number").agg(F.min("chunk_index").alias("first"))
+    asked = rows.join(first, "accession_number").filter((F.col("chunk_index") % 20 == 0) | (F.col("chunk_index") == F.col("first")))
+    text = F.concat(F.lit("What about "), F.col("accession_number"), F.lit(", "), F.col("chunk_index").cast("string"), F.lit("?"))
+    return asked.select(F.col("chunk_index").alias("question_id"), "accession_number", F.col("embedding").alias("vector"), text.alias("question"))
 
 
 VECTORS = """
 vectors AS (SELECT CAST(label AS VARCHAR) AS accession_number, vec_id AS chunk_index,
                    'chunk ' || vec_id AS content, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings),
-questions AS (SELECT accession_number, min(chunk_index) AS question_id, arg_min(embedding, chunk_index) AS vector,
-                     'What about ' || accession_number || '?' AS question
-              FROM vectors GROUP BY accession_number),
+questions AS (SELECT accession_number, chunk_index AS question_id, embedding AS vector,
+                     'What about ' || accession_number || ', ' || chunk_index || '?' AS question
+              FROM vectors QUALIFY chunk_index % 20 = 0 OR chunk_index = min(chunk_index) OVER (PARTITION BY accession_number)),
 matches AS (
   SELECT question_id, q.accession_number, chunk_index, content,
          list_cosine_similarity(vector, embedding) AS similarity,
