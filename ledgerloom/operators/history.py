@@ -8,6 +8,7 @@ filing_date, primary_document, primary_doc_description, ord).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -15,6 +16,7 @@ from ledgerloom import settings as S
 from ledgerloom.functions.similarity import content_words, jaccard, substantive_risks
 from ledgerloom.functions.strings import strip
 from ledgerloom.operators.facts import Candidate, annual_frame, ground_truth, pick_fiscal_year
+from ledgerloom.operators.setjoin import earliest_similar
 from ledgerloom.operators.skew import best_row, salts_of, top_k
 
 NEWEST = ("created_at", "id")
@@ -142,6 +144,27 @@ def risk_drift(pairs: DataFrame, threshold: float = S.DRIFT_THRESHOLD) -> DataFr
     )
 
 
+def corpus_risk_drift(analyses: DataFrame, threshold: float = S.DRIFT_THRESHOLD) -> DataFrame:
+    """(id, position, risk, first_id, is_new): whether any filing of any company had a similar risk before.
+
+    Filings follow each other by (filing_date, id), undated ones last. ``first_id`` is
+    the first filing with a risk whose words reach the similarity, a filing's own ones
+    included; a risk is new where that is its own filing. A risk without words is
+    always new. Equal word sets are looked up once, by ``setjoin``.
+    """
+    ratio = Fraction(str(threshold))
+    order = F.struct(F.col("filing_date").isNull().alias("undated"), "filing_date", "id")
+    risks = analyses.select("id", order.alias("at"), F.posexplode("risk_factors").alias("position", "risk"))
+    risks = risks.withColumn("words", F.array_sort(content_words(F.col("risk"))))
+    # Words are letters and digits, so their text tells sets apart.
+    risks = risks.withColumn("key", F.unhex(F.md5(F.array_join("words", " "))))
+    worded = risks.filter(F.size("words") > 0)
+    sets = worded.groupBy("key").agg(F.any_value("words").alias("words"), F.min("at").alias("first"))
+    earliest = earliest_similar(sets, ratio.numerator, ratio.denominator)
+    found = risks.join(earliest, "key", "left").withColumn("first_id", F.coalesce("earliest.id", "id"))
+    return found.select("id", "position", "risk", "first_id", (F.col("first_id") == F.col("id")).alias("is_new"))
+
+
 # --- directory search ---------------------------------------------------------------
 
 GRAM = 3

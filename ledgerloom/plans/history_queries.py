@@ -221,6 +221,23 @@ def risk_drift(spark, sf):
     return drift.select("conv_id", "turn", marks.alias("is_new"), F.array_join("dropped", "|").alias("dropped"))
 
 
+@query(f"""
+WITH {_TURNS},
+risks AS (SELECT conv_id * 1000 + turn AS id, turn AS day, i, risks[i] AS risk, list_sort({_WORDS.format('risks[i]')}) AS words
+  FROM (SELECT *, unnest(range(1, len(risks) + 1)) AS i FROM turns)),
+sets AS (SELECT words, len(words) AS n, min((day, id)) AS first FROM risks WHERE len(words) > 0 GROUP BY words),
+postings AS (SELECT words, n, first, unnest(words) AS word FROM sets),
+similar_sets AS (SELECT a.words, b.first FROM postings a JOIN postings b ON a.word = b.word AND b.first <= a.first
+  GROUP BY a.words, b.words, b.first, a.n, b.n HAVING 4 * count(*) >= a.n + b.n - count(*)),
+alike AS (SELECT words, min(first) AS earliest FROM similar_sets GROUP BY words)
+SELECT id, CAST(i - 1 AS BIGINT) AS position, risk, coalesce(earliest[2], id) AS first_id, coalesce(earliest[2], id) = id AS is_new
+FROM risks LEFT JOIN alike USING (words)""")
+def corpus_risk_drift(spark, sf):
+    """Every sentence of every conversation against those of all earlier ones, whoever's they are."""
+    drift = hist.corpus_risk_drift(_risk_turns(spark, sf))
+    return drift.select("id", F.col("position").cast("bigint").alias("position"), "risk", "first_id", "is_new")
+
+
 @query(f"""
 SELECT doc_id, CAST(len(words) AS BIGINT) AS words, array_to_string(list_sort(words), ' ') AS sorted_words
 FROM (SELECT doc_id, {_WORDS.format('text')} AS words FROM documents)""")
