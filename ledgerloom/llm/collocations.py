@@ -16,13 +16,12 @@ only more is counted than need be.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -31,18 +30,14 @@ from ledgerloom.llm.common import written
 LONGEST, LEAST, TOP = 5, 100, 2000
 # A longer phrase hides a part of it when it has this share of the part's occurrences, in percent.
 HIDES = 100
-# One in so many pairs of words begins a chunk, and a chunk owns at most so many words.
+# One in so many pairs of words begins a chunk, and a chunk owns at most so many words and breaks.
 TRIGGER, OWN = 16, 64
 # Bits of the bitmap of frequent phrases; 1 MiB whatever the input.
 BITS = 1 << 23
-# Words counted at once, and words that a worker remembers.
-WORDS, KNOWN = 1 << 18, 1 << 19
-# Distinct chunks that a task counts before they leave it.
-HELD = 1 << 16
+# Bytes of text that are parsed at once, words counted at once, words that a worker remembers, rows of a batch on its way out.
+BYTES, WORDS, KNOWN, ROWS = 2 << 20, 1 << 19, 1 << 19, 1 << 16
 
-_pieces = re.compile(r"[^.,;:!?\x0A-\x0D]+").findall
-_words = re.compile(r"[^\x20\x09]+").findall
-_lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+BREAKS = r"[.,;:!?\n\x0b\x0c\r]+"
 
 
 class Hashes(dict):
@@ -60,57 +55,79 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def parse(text: str | None, longest: int, hashes: Hashes) -> Iterator[tuple[str, int]]:
-    """(chunk, words that it owns): words with a space between them, and a line break between pieces."""
-    row: list[str] = []
-    for piece in _pieces((text or "").translate(_lower)):
-        words = _words(piece)
-        if words:
-            row += words
-            row.append("\n")
-    if not row:
-        return
-    h = np.array([hashes[word] for word in row], np.uint64)
-    pair = _mix(h[:-1] * np.uint64(3) + h[1:])
-    triggers = (np.flatnonzero(pair % np.uint64(TRIGGER) == 0) + 2).tolist()
-    begin = 0
-    for trigger in [*triggers, len(row)]:
-        while begin < trigger:
-            # Trigger words are seldom far apart; where they are, the chunk ends after OWN places.
-            end = min(trigger, begin + OWN)
-            reach = end
-            while reach < min(end + longest - 1, len(row)) and row[reach] != "\n" and row[end - 1] != "\n":
-                reach += 1
-            owned = end - begin - row[begin:end].count("\n")
-            if owned:
-                yield " ".join(row[begin:reach]), owned
-            begin = end
+def _codes(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(code and row of every token between spaces, the token of every code)."""
+    lists = pc.split_pattern(rows, " ")
+    tokens = lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
+    return tokens.indices.to_numpy(zero_copy_only=False).astype(np.int64), row, tokens.dictionary
+
+
+def _is(tokens: pa.Array, token: str) -> np.ndarray:
+    return pc.equal(tokens, token).to_numpy(zero_copy_only=False)
+
+
+def parse(texts: pa.Array, longest: int, hashes: Hashes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, chunk, words that it owns): words with a space between them, and a line break between pieces."""
+    lower = pc.ascii_lower(pc.fill_null(texts, ""))
+    spaced = pc.replace_substring(pc.replace_substring_regex(lower, BREAKS, " \n "), "\t", " ")
+    codes, row, tokens = _codes(spaced)
+    keep = ~_is(tokens, "")[codes]
+    codes, row = codes[keep], row[keep]
+    n = len(codes)
+    if not n:
+        return np.empty(0, np.int64), pa.array([], pa.string()), np.empty(0, np.int64)
+    h = np.array([hashes[token] for token in tokens.to_pylist()], np.uint64)[codes]
+    is_break = _is(tokens, "\n")[codes]
+    begins = np.ones(n, bool)
+    # A pair of tokens that hits the trigger ends a chunk; so does the end of a text.
+    pairs = _mix(h[:-1] * np.uint64(3) + h[1:]) % np.uint64(TRIGGER) == 0
+    begins[1:] = np.r_[False, pairs[:-1]] | (row[1:] != row[:-1])
+    starts = np.flatnonzero(begins)
+    # Triggers are seldom far apart; where they are, a chunk ends after OWN places.
+    times = -(-np.diff(np.r_[starts, n]) // OWN)
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    starts = np.repeat(starts, times) + step * OWN
+    ends = np.r_[starts[1:], n]
+    # The words after a chunk that its n-grams reach into: up to the next break or the end of the text.
+    stops = np.flatnonzero(np.r_[is_break, True] | np.r_[False, row[1:] != row[:-1], True])
+    reach = np.minimum(ends + longest - 1, stops[np.searchsorted(stops, ends)])
+    reach = np.where(is_break[ends - 1], ends, reach)
+    words = np.r_[0, np.cumsum(~is_break)]
+    owned = words[ends] - words[starts]
+    some = owned > 0
+    starts, reach, owned = starts[some], reach[some], owned[some]
+    size = reach - starts
+    offsets = np.r_[0, np.cumsum(size)]
+    places = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)
+    listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens.take(pa.array(codes[places])))
+    return row[starts], pc.binary_join(listed, " "), owned
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about BYTES of text each; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def dictionary(docs: DataFrame, text: str, lang: str, longest: int) -> DataFrame:
     """(lang, chunk, own, n): the distinct chunks with their frequency."""
     def run(batches):
-        hashes, seen = Hashes(), Counter()
-
-        def out():
-            langs, chunks, owns = zip(*seen)
-            arrays = [pa.array(langs, pa.string()), pa.array(chunks, pa.string()), pa.array(owns, pa.int32()), pa.array(list(seen.values()), pa.int64())]
-            for lo in range(0, len(langs), 8192):
-                yield pa.RecordBatch.from_arrays([a.slice(lo, 8192) for a in arrays], names=["lang", "chunk", "own", "n"])
-            seen.clear()
-
+        hashes = Hashes()
         for batch in batches:
-            for name, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for chunk, own in parse(whole, longest, hashes):
-                    seen[name, chunk, own] += 1
-                    if len(seen) >= HELD:
-                        yield from out()
-        if seen:
-            yield from out()
+            for part in _slices(batch, 1):
+                row, chunks, own = parse(part.column(1), longest, hashes)
+                langs = part.column(0).take(pa.array(row))
+                for lo in range(0, len(row), ROWS):
+                    yield pa.RecordBatch.from_arrays([langs.slice(lo, ROWS), chunks.slice(lo, ROWS), pa.array(own[lo : lo + ROWS], pa.int32())], names=["lang", "chunk", "own"])
 
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    chunks = rows.mapInArrow(run, "lang string, chunk string, own int, n bigint")
-    return chunks.groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
+    chunks = rows.mapInArrow(run, "lang string, chunk string, own int")
+    return chunks.groupBy("lang", "chunk", "own").agg(F.count(F.lit(1)).alias("n"))
 
 
 class Marks:
@@ -158,53 +175,49 @@ def _phrase(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _count(langs: list[str], chunks: list[str], own: np.ndarray, n: np.ndarray, sizes: range, known: tuple[int, Marks] | None, hashes: Hashes) -> Iterator[tuple]:
+def _count(table: pa.Table, sizes: range, known: tuple[int, Marks] | None, hashes: Hashes) -> Iterator[list[pa.Array]]:
     """(langs, phrases, sums) of the n-grams of ``sizes`` words that some distinct chunks own."""
-    # A tab stands between chunks and a line break between pieces; no word holds either.
-    row = " \t ".join(chunks).split(" ")
-    codes, words = pd.factorize(np.array(row, object))
-    lang_codes, lang_names = pd.factorize(np.array(langs, object))
-    h = np.array([hashes[word] for word in words], np.uint64)[codes]
-    lang_h = np.array([hashes[name] for name in lang_names], np.uint64)
-    is_word = np.array([word not in ("\t", "\n") for word in words], bool)[codes]
-    chunk = np.cumsum(np.array([word == "\t" for word in words], bool)[codes])
+    codes, chunk, tokens = _codes(table["chunk"].combine_chunks())
+    langs = table["lang"].combine_chunks().dictionary_encode()
+    lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[chunk]
+    own, weight = table["own"].to_numpy(), table["n"].to_numpy()
+    is_word = ~_is(tokens, "\n")[codes]
     before = np.cumsum(is_word) - is_word
     starts = np.r_[0, np.flatnonzero(np.diff(chunk)) + 1]
     owned = is_word & (before - before[starts][chunk] < own[chunk])
-    last = len(row)
-    # fits[i]: a phrase of so many words stands at i, with frequent parts as far as is known.
-    fits, ids = is_word, None
+    last = len(codes)
     if known:
+        # may[i]: the phrase of so many words that stands at i may be frequent.
         length, marks = known
-        some = np.flatnonzero(_runs(is_word, length))
+        h = np.array([hashes[token] for token in tokens.to_pylist()], np.uint64)
+        lang_h = np.array([hashes[name] for name in langs.dictionary.to_pylist()], np.uint64)
         may = np.zeros(last, bool)
-        may[some] = marks.has(_phrase(lang_h[lang_codes[chunk[some]]], [h[some + k] for k in range(length)]))
+        fits = is_word
+        for size in range(2, length + 1):
+            fits = fits[:-1] & is_word[size - 1 :] & (chunk[size - 1 :] == chunk[: last - size + 1])
+        some = np.flatnonzero(fits)
+        may[some] = marks.has(_phrase(lang_h[lang[some]], [h[codes[some + k]] for k in range(length)]))
+    fits = is_word
     for size in range(1, sizes.stop):
-        fits = is_word if size == 1 else fits[: last - size + 1] & is_word[size - 1 :]
-        if known and size >= known[0]:
-            fits = fits & may[size - known[0] : last - known[0] + 1][: len(fits)]
+        if size > 1:
+            fits = fits[: last - size + 1] & is_word[size - 1 :] & (chunk[size - 1 :] == chunk[: last - size + 1])
+        if known and size >= length:
+            fits = fits & may[size - length : last - length + 1]
         if size < sizes.start:
             continue
         at = np.flatnonzero(fits & owned[: len(fits)])
         if not len(at):
             continue
-        ids = lang_codes[chunk[at]].astype(np.int64)
+        ids = lang[at]
         for k in range(size):
             ids, _ = pd.factorize(ids << 32 | codes[at + k])
         count = int(ids.max()) + 1
-        sums = np.zeros(count, np.int64)
-        np.add.at(sums, ids, n[chunk[at]])
+        # Weights stay far below 2**53, so floating sums of them are whole.
+        sums = np.bincount(ids, weights=weight[chunk[at]]).astype(np.int64)
         first = np.empty(count, np.int64)
         first[ids[::-1]] = at[::-1]
-        phrases = [" ".join(row[i : i + size]) for i in first.tolist()]
-        yield lang_names[lang_codes[chunk[first]]], phrases, sums
-
-
-def _runs(is_word: np.ndarray, length: int) -> np.ndarray:
-    fits = is_word
-    for size in range(2, length + 1):
-        fits = fits[:-1] & is_word[size - 1 :]
-    return fits
+        words = [tokens.take(pa.array(codes[first + k])) for k in range(size)]
+        yield [langs.dictionary.take(pa.array(lang[first])), pc.binary_join_element_wise(*words, " ") if size > 1 else words[0], pa.array(sums)]
 
 
 def frequent(chunks: DataFrame, sizes: range, least: int, known: tuple[int, Marks] | None) -> DataFrame:
@@ -215,19 +228,17 @@ def frequent(chunks: DataFrame, sizes: range, least: int, known: tuple[int, Mark
         hashes, held, size = Hashes(), [], 0
 
         def out():
-            columns = [[x for part in c for x in part] for c in zip(*held)]
-            for langs, phrases, sums in _count(columns[0], columns[1], np.array(columns[2], np.int64), np.array(columns[3], np.int64), sizes, marks.value, hashes):
-                for lo in range(0, len(phrases), 8192):
-                    hi = lo + 8192
-                    yield pa.RecordBatch.from_arrays([pa.array(langs[lo:hi], pa.string()), pa.array(phrases[lo:hi], pa.string()), pa.array(sums[lo:hi])], names=["lang", "phrase", "f"])
+            for arrays in _count(pa.Table.from_batches(held), sizes, marks.value, hashes):
+                for lo in range(0, len(arrays[0]), ROWS):
+                    yield pa.RecordBatch.from_arrays([a.slice(lo, ROWS) for a in arrays], names=["lang", "phrase", "f"])
 
         for batch in batches:
-            held.append([c.to_pylist() for c in batch.columns])
-            size += sum(held[-1][2])
+            held.append(batch)
+            size += pc.sum(batch.column(2)).as_py() or 0
             if size >= WORDS:
                 yield from out()
                 held, size = [], 0
-        if held:
+        if size:
             yield from out()
 
     counts = chunks.select("lang", "chunk", "own", "n").mapInArrow(run, "lang string, phrase string, f bigint")

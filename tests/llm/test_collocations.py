@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,26 +68,32 @@ def test_equal_plain_counting(spark, rows, hides):
     assert out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
-def test_chunks_own_every_place_once(rows):
-    """Whatever the triggers, each n-gram belongs to one chunk, and equal passages share chunks."""
-    hashes, counts = c.Hashes(), Counter()
-    for lang, text in rows:
-        for chunk, own in c.parse(text, 5, hashes):
-            words = chunk.split(" ")
-            seen = 0
-            for i, word in enumerate(words):
-                if word == "\n":
-                    continue
-                seen += 1
-                if seen > own:
-                    break
-                for n in range(1, 6):
-                    if i + n <= len(words) and "\n" not in words[i : i + n]:
-                        counts["und" if lang is None else lang, tuple(words[i : i + n])] += 1
+@pytest.mark.parametrize("own, trigger", [(64, 16), (3, 1000), (2, 1), (1, 2)])
+def test_chunks_own_every_place_once(rows, monkeypatch, own, trigger):
+    """Whatever the triggers, each n-gram belongs to one chunk."""
+    monkeypatch.setattr(c, "OWN", own)
+    monkeypatch.setattr(c, "TRIGGER", trigger)
+    counts = Counter()
+    at, chunks, owned = c.parse(pa.array([t for _, t in rows], pa.string()), 5, c.Hashes())
+    for row, chunk, own in zip(at.tolist(), chunks.to_pylist(), owned.tolist()):
+        words, seen = chunk.split(" "), 0
+        for i, word in enumerate(words):
+            if word == "\n":
+                continue
+            seen += 1
+            if seen > own:
+                break
+            for n in range(1, 6):
+                if i + n <= len(words) and "\n" not in words[i : i + n]:
+                    counts["und" if rows[row][0] is None else rows[row][0], tuple(words[i : i + n])] += 1
     assert counts == grams(rows)[0]
+
+
+def test_equal_passages_share_chunks():
     long = "some words that many texts share and that go on for a good while until they end " * 4
-    shared = [{x for x, _ in c.parse(f"{head} {long}", 5, hashes)} for head in ("one", "another one")]
-    assert len(shared[0] & shared[1]) >= len(shared[0]) - 2
+    _, chunks, _ = c.parse(pa.array([f"one {long}", f"another one {long}"]), 5, c.Hashes())
+    both = Counter(chunks.to_pylist())
+    assert sum(n > 1 for n in both.values()) >= len(both) - 4
 
 
 def test_counts_beyond_64_bits(spark):
