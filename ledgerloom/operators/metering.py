@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom import settings as S
-from ledgerloom.operators.skew import top_k, with_halo
+from ledgerloom.operators.prefix import running_totals
+from ledgerloom.operators.skew import top_k
 
 MICROS = 1_000_000
 
@@ -21,21 +22,25 @@ def rolling_usage(
     tokens: str = "tokens",
     window_seconds: int = S.RATE_WINDOW_SECONDS,
     budget: int = S.TOKEN_BUDGET,
-    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Tokens used in the (t - window, t] before every request, and whether that is over budget.
 
-    Requests of one moment are added up before they move. A pool is cut into time
-    buckets of a few windows with a look-back copy at the seams, so a pool with a
-    third of the log is metered by as many tasks as it has buckets.
+    Requests of one moment are added up before they move. What is used at t is the
+    pool's running total there less that at t - window, so each moment stands in one
+    row of totals twice: with its tokens, and as a question one window back. Totals go
+    through ranges of equal size, so a pool's burst is metered by many tasks. A request
+    without a time has no usage.
     """
-    bucket_seconds = bucket_seconds or 4 * window_seconds
-    placed = with_halo(log.withColumn("__us", micros(ts)), F.col("__us"), window_seconds * MICROS, bucket_seconds * MICROS)
-    frame = (
-        Window.partitionBy(pool, "__bucket").orderBy("__us").rangeBetween(-(window_seconds * MICROS - 1), 0)
-    )
-    metered = placed.withColumn("used", F.sum(tokens).over(frame)).filter("__home")
-    return metered.withColumn("over_budget", F.col("used") > budget).drop("__us", "__bucket", "__home")
+    timed = log.withColumn("__us", micros(ts))
+    moments = timed.filter("__us is not null").groupBy(F.col(pool).alias("p"), F.col("__us").alias("us")).agg(F.sum(tokens).cast("bigint").alias("n"))
+    reach = F.lit(window_seconds * MICROS)
+    points = moments.select("p", F.col("us").alias("at"), F.lit(0).alias("asks"), "n")
+    points = points.unionByName(moments.select("p", (F.col("us") - reach).alias("at"), F.lit(1).alias("asks"), F.lit(0).cast("bigint").alias("n")))
+    totals = running_totals(points, ["p"], ["at", "asks"], "n")
+    asked = F.col("asks") == 1
+    used = totals.groupBy("p", F.when(asked, F.col("at") + reach).otherwise(F.col("at")).alias("us")).agg(F.sum(F.when(asked, -F.col("total")).otherwise(F.col("total"))).alias("used"))
+    metered = timed.join(used, F.col(pool).eqNullSafe(F.col("p")) & (F.col("__us") == F.col("us")), "left")
+    return metered.withColumn("over_budget", F.col("used") > budget).drop("__us", "p", "us")
 
 
 def daily_admission(log: DataFrame, ts: str = "ts", request: str = "request_id", cap: int = S.DAILY_CAP) -> DataFrame:

@@ -18,7 +18,7 @@ SELECT request_id, CAST(used AS BIGINT) AS used, used > 20000 AS over_budget FRO
   FROM request_log)""")
 def rolling_usage(spark, sf):
     """An hour's window, as the log holds a request per pool every twenty minutes."""
-    metered = ops.rolling_usage(V.request_log(spark, sf), window_seconds=3600, budget=20000, bucket_seconds=86400)
+    metered = ops.rolling_usage(V.request_log(spark, sf), window_seconds=3600, budget=20000)
     return metered.select("request_id", "used", "over_budget")
 
 

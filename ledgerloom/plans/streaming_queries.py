@@ -11,6 +11,7 @@ from ledgerloom.plans import vehicles as V
 from ledgerloom.plans.document_queries import _STORED
 from ledgerloom.plans.registry import query
 from ledgerloom.session import shared_folder
+from ledgerloom.sources.keyed import KeyedTable
 from ledgerloom.streaming import jobs
 
 
@@ -29,6 +30,12 @@ def _log(events: DataFrame) -> DataFrame:
     )
 
 
+def _closed_log(spark, sf) -> DataFrame:
+    """The requests as a stream, and the mark of their end."""
+    mark = jobs.closing_mark(spark, _log(V.table(spark, sf, "events")), shared_folder(spark, "mark"))
+    return _log(_stream(spark, sf, "events")).unionByName(mark)
+
+
 @query(f"""
 WITH {V.FILINGS}
 SELECT replace(accession_number, '-', '') AS accession_number, 'T' || cik AS ticker, upper(form_type) AS form_type FROM filings""")
@@ -75,13 +82,12 @@ def streaming_coverage(spark, sf):
 @query(f"""
 WITH {V.REQUEST_LOG}
 SELECT request_id, CAST(sum(tokens) OVER (PARTITION BY pool ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS BIGINT) AS used
-FROM request_log QUALIFY epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 600000 FROM request_log)""")
+FROM request_log""")
 def streaming_usage(spark, sf):
-    """Requests that the watermark, ten minutes behind the last one, has passed."""
+    """The whole log; a closing mark takes the watermark past its end."""
     path = shared_folder(spark, "stream-usage")
     jobs.meter_usage(
-        _log(_stream(spark, sf, "events")), path, shared_folder(spark, "checkpoint"), window_seconds=3600,
-        bucket_seconds=86400, once=True,
+        _closed_log(spark, sf), path, shared_folder(spark, "checkpoint"), window_seconds=3600, bucket_seconds=86400, once=True,
     ).awaitTermination()
     return spark.read.parquet(path).select("request_id", "used")
 
@@ -93,7 +99,7 @@ QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, request_id
 def streaming_admission(spark, sf):
     path = shared_folder(spark, "stream-admission")
     jobs.admit_daily(
-        _log(_stream(spark, sf, "events")), path, shared_folder(spark, "checkpoint"), cap=S.DAILY_CAP, once=True
+        _closed_log(spark, sf), path, shared_folder(spark, "checkpoint"), cap=S.DAILY_CAP, once=True
     ).awaitTermination()
     return spark.read.parquet(path).select("request_id", F.col("day").cast("string").alias("day"))
 
@@ -104,11 +110,10 @@ newest AS (SELECT cik, CAST(filing_date AS VARCHAR) AS analyzed FROM analyses QU
 SELECT f.cik, f.accession_number, f.filing_date FROM filings f LEFT JOIN newest n ON n.cik = f.cik
 WHERE upper(f.form_type) IN ('10-K', '10-Q') AND (n.analyzed IS NULL OR f.filing_date > n.analyzed)""")
 def streaming_alerts(spark, sf):
-    def analyses() -> DataFrame:
-        rows = V.analyses(spark, sf)
-        return rows.withColumn("filing_date", F.col("filing_date").cast("string"))
-
+    rows = V.analyses(spark, sf).select("cik", F.col("filing_date").cast("string").alias("filing_date"), "created_at", "id")
+    stored = KeyedTable(spark, shared_folder(spark, "analyses-by-company"), rows.schema, ["cik"])
+    stored.append(rows, rows.select("cik").distinct().count())
     path = shared_folder(spark, "stream-alerts")
     filings = V.filings_of(_stream(spark, sf, "orders"))
-    jobs.alert_new_filings(filings, analyses, path, shared_folder(spark, "checkpoint"), once=True).awaitTermination()
+    jobs.alert_new_filings(filings, stored.matching, path, shared_folder(spark, "checkpoint"), once=True).awaitTermination()
     return spark.read.parquet(path).select("cik", "accession_number", "filing_date")

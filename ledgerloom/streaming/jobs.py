@@ -16,10 +16,14 @@ from pyspark.sql.types import StructType
 from ledgerloom import settings as S
 from ledgerloom.operators.history import by_forms
 from ledgerloom.operators.metering import MICROS, micros
-from ledgerloom.operators.skew import best_row, top_k, with_halo
-from ledgerloom.sources.keyed import read_or_empty
+from ledgerloom.operators.skew import best_row, salts_of, top_k, with_halo
+from ledgerloom.session import remove_folder, shared_folder
+from ledgerloom.sources.keyed import KeyedTable, read_or_empty
 from ledgerloom.sources.sinks import insert_analyses
-from ledgerloom.streaming.state import RollingMeter
+from ledgerloom.streaming.state import InOrder, RollingMeter
+
+# How late a request may come.
+LATENESS = "10 minutes"
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -51,29 +55,61 @@ def ingest_analyses(stream: DataFrame, path: str, checkpoint: str, order: list[C
     return _start(_each_batch(stream, lambda rows, _: insert_analyses(rows, path, order, returns=False)), checkpoint, once)
 
 
+COVERAGE = "accession_number string, state string, chunks_indexed bigint, chunks_total bigint, batch bigint"
+
+
 def track_coverage(chunks: DataFrame, schedule: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Chunks stored so far per filing, joined to the schedule on every micro-batch.
 
-    The state is one number per filing and stays, as a filing may gain chunks at any time.
+    No state is kept: what a micro-batch brings is added to the counts published for
+    its filings, which the table's index finds. A filing may gain chunks at any time,
+    and one that is complete costs nothing. A repeated batch adds to what was published
+    before it and says the same again.
     """
-    counts = chunks.groupBy("accession_number").agg(F.count(F.lit(1)).alias("stored"))
-
-    def publish(updated: DataFrame, batch: int) -> None:
-        known = schedule.join(updated.select("accession_number"), "accession_number", "left_semi")
-        joined = updated.join(known, "accession_number", "left")
+    def publish(rows: DataFrame, batch: int) -> None:
+        table = _coverage(rows.sparkSession, path)
+        folder = shared_folder(rows.sparkSession, "coverage")
+        rows.groupBy("accession_number").agg(F.count(F.lit(1)).alias("n")).write.parquet(folder)
+        added = rows.sparkSession.read.schema("accession_number string, n bigint").parquet(folder)
+        earlier = table.matching(added).filter(F.col("batch") < batch)
+        earlier = earlier.groupBy(F.col("accession_number").alias("a")).agg(F.max("chunks_indexed").alias("before"))
+        stored = added.join(earlier, F.col("accession_number").eqNullSafe(F.col("a")), "left")
+        stored = stored.select("accession_number", (F.coalesce("before", F.lit(0)) + F.col("n")).alias("stored"))
+        known = schedule.join(added.select("accession_number"), "accession_number", "left_semi")
+        joined = stored.join(known, "accession_number", "left")
         state = F.when(F.coalesce(F.col("running"), F.lit(False)), "indexing").otherwise("complete")
         total = F.coalesce(F.col("chunks_total").cast("bigint"), F.col("stored"))
-        rows = joined.select(
-            "accession_number", state.alias("state"), F.col("stored").alias("chunks_indexed"), total.alias("chunks_total")
+        out = joined.select(
+            "accession_number", state.alias("state"), F.col("stored").alias("chunks_indexed"), total.alias("chunks_total"),
+            F.lit(batch).cast("bigint").alias("batch"),
         )
-        _replace_batch(rows, path, batch)
+        table.append(out, added.count())
+        remove_folder(rows.sparkSession, folder)
+
+    return _start(_each_batch(chunks.select("accession_number"), publish), checkpoint, once)
+
+
+def _coverage(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, COVERAGE, ["accession_number"])
 
-    return _start(_each_batch(counts, publish, "update"), checkpoint, once)
 
+def latest_coverage(spark: SparkSession, path: str, filings: DataFrame | None = None) -> DataFrame:
+    """The newest published state of every filing, or of some (accession_number)."""
+    table = _coverage(spark, path)
+    rows = table.rows() if filings is None else table.matching(filings)
+    return best_row(rows, ["accession_number"], [F.col("batch")]).drop("batch")
 
-def latest_coverage(spark: SparkSession, path: str) -> DataFrame:
-    """The newest published state of every filing."""
-    return best_row(spark.read.parquet(path), ["accession_number"], [F.col("batch")]).drop("batch")
+
+def closing_mark(spark: SparkSession, log: DataFrame, path: str, lateness: str = LATENESS) -> DataFrame:
+    """A stream of one row without a request that lies so far after ``log`` that the watermark passes all of it.
+
+    To be united with the stream of the log: the end of a log, or a heartbeat of one
+    that is idle.
+    """
+    after = F.max(F.col("ts").cast("timestamp")) + F.expr(f"INTERVAL {lateness}") + F.expr("INTERVAL 1 second")
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in log.dtypes if name != "ts"]
+    log.agg(after.alias("ts")).select(*none, "ts").select(*log.columns).write.mode("append").parquet(path)
+    return read_table(spark, path, spark.read.parquet(path).schema)
 
 
 def meter_usage(
@@ -83,7 +119,7 @@ def meter_usage(
     window_seconds: int = S.RATE_WINDOW_SECONDS,
     budget: int = S.TOKEN_BUDGET,
     bucket_seconds: int | None = None,
-    lateness: str = "10 minutes",
+    lateness: str = LATENESS,
     once: bool = False,
 ) -> StreamingQuery:
     """Rolling tokens per pool, each request given out once the watermark has passed it.
@@ -105,37 +141,49 @@ def meter_usage(
     return _start(metered.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, once)
 
 
-def admit_daily(log: DataFrame, path: str, checkpoint: str, cap: int = S.DAILY_CAP, once: bool = False) -> StreamingQuery:
-    """Stores the first ``cap`` requests of every UTC day.
+def admit_daily(
+    log: DataFrame, path: str, checkpoint: str, cap: int = S.DAILY_CAP, lateness: str = LATENESS, once: bool = False
+) -> StreamingQuery:
+    """Stores the first ``cap`` requests of every UTC day, by their time and not by their arrival.
 
-    A micro-batch is cut to its first ``cap`` requests per day before they meet
-    the places that earlier batches left, so a busy day is never in one task.
+    A request waits until the watermark has passed it, so none can come before it any
+    more. Waiting is keyed by day and a salt, each holding at most ``cap`` requests, and
+    ends with the day. What a micro-batch gives out is later than all before it; it is
+    cut to the places that are left.
     """
+    salts = salts_of(log)
+    timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    keyed = timed.select(
+        F.when(F.col("request_id").isNotNull(), F.to_date("ts")).alias("day"), F.pmod(F.xxhash64("request_id"), F.lit(salts)).alias("salt"),
+        "request_id", "ts", micros("ts").alias("us"),
+    )
+    ordered = keyed.groupBy("day", "salt").transformWithStateInPandas(InOrder(cap), "day date, request_id bigint, us bigint", "append", "EventTime")
 
     def admit(rows: DataFrame, batch: int) -> None:
-        dated = rows.withColumn("day", F.to_date(F.col("ts").cast("timestamp")))
-        first = top_k(dated, ["day"], [F.col("ts"), F.col("request_id")], cap, spread=["request_id"], rank="place")
+        timed = rows.withColumn("ts", F.timestamp_micros("us")).drop("us")
+        first = top_k(timed, ["day"], [F.col("ts"), F.col("request_id")], cap, spread=["request_id"], rank="place")
+        # One folder per day with at most ``cap`` requests.
         earlier = read_or_empty(rows.sparkSession, path, "day date, batch int").filter(F.col("batch") < batch)
-        # One folder per day: only the days of this micro-batch are read.
-        days = F.broadcast(rows.select(F.to_date(F.col("ts").cast("timestamp")).alias("day")).distinct())
-        taken = earlier.join(days, "day", "left_semi").groupBy("day").agg(F.count(F.lit(1)).alias("taken"))
+        taken = earlier.join(rows.select("day").distinct(), "day", "left_semi").groupBy("day").agg(F.count(F.lit(1)).alias("taken"))
         open_places = cap - F.coalesce(F.col("taken"), F.lit(0))
         admitted = first.join(taken, "day", "left").filter(F.col("place") <= open_places).drop("taken", "place")
         _replace_batch(admitted, path, batch, "day")
 
-    return _start(_each_batch(log, admit), checkpoint, once)
+    return _start(_each_batch(ordered, admit), checkpoint, once)
 
 
 def alert_new_filings(
-    filings: DataFrame, analyses: Callable[[], DataFrame], path: str, checkpoint: str, once: bool = False
+    filings: DataFrame, analyses: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, once: bool = False
 ) -> StreamingQuery:
     """Filings newer than the company's last created analysis.
 
-    ``analyses`` is called for every micro-batch, so it sees what was stored since.
+    ``analyses`` gives the analyses of companies (cik), as ``KeyedTable.matching`` does.
+    It is called for every micro-batch, so it sees what was stored since, and reads the
+    files of the batch's companies only.
     """
 
     def alert(rows: DataFrame, batch: int) -> None:
-        asked = analyses().join(rows.select("cik").distinct(), "cik", "left_semi")
+        asked = analyses(rows.select("cik"))
         newest = asked.groupBy("cik").agg(F.max_by("filing_date", F.struct("created_at", "id")).alias("analyzed_filing"))
         joined = by_forms(rows).join(newest, "cik", "left")
         newer = F.col("analyzed_filing").isNull() | (F.col("filing_date") > F.col("analyzed_filing"))

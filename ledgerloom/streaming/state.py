@@ -1,20 +1,23 @@
-"""Keyed state of the streaming meter."""
+"""Keyed state of the streaming meter and of the daily admission."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+EPOCH = dt.date(1970, 1, 1).toordinal()
+
 
 class RollingMeter(StatefulProcessor):
     """Tokens of the last window per (pool, bucket), given out once no earlier request can come.
 
     Requests wait until the watermark has passed them, in any order of arrival. The
     state holds those that wait and those within a window before them; it ends with
-    the bucket.
+    the bucket. Rows without a pool only move the watermark and are not held.
     """
 
     def __init__(self, window: int, budget: int) -> None:
@@ -26,7 +29,7 @@ class RollingMeter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
-        for part in rows:
+        for part in rows if key[0] is not None else ():
             self.held.appendList([(int(u), int(t), int(r), bool(h), False) for u, t, r, h in zip(part["us"], part["tokens"], part["request_id"], part["home"])])
             least = int(part["us"].min())
             first = least if first is None else min(first, least)
@@ -61,3 +64,60 @@ class RollingMeter(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class InOrder(StatefulProcessor):
+    """Requests of a (day, salt) in the order of their time, the first ``cap`` of them, once no earlier one can come.
+
+    The state holds those that wait, never more than may still be given out, and goes
+    when the watermark has passed the day. Rows without a day only move the watermark.
+    """
+
+    DAY_MS = 86_400_000
+
+    def __init__(self, cap: int) -> None:
+        self.cap = cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, request_id bigint")
+        self.given = handle.getValueState("given", "n bigint")
+
+    def _places(self) -> int:
+        return self.cap - (int(self.given.get()[0]) if self.given.exists() else 0)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None:
+            return iter([])
+        held = [(int(u), int(r)) for u, r in self.waiting.get()] if self.waiting.exists() else []
+        for part in rows:
+            held += [(int(u), int(r)) for u, r in zip(part["us"], part["request_id"])]
+            held = sorted(held)[: self._places()]
+        if held:
+            self.waiting.put(held)
+            self.handle.registerTimer(held[0][0] // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = [(int(u), int(r)) for u, r in self.waiting.get()] if self.waiting.exists() else []
+        out = [row for row in held if row[0] <= passed]
+        held = held[len(out) :]
+        places = self._places() - len(out)
+        end = (key[0].toordinal() - EPOCH + 1) * self.DAY_MS
+        if passed >= end * 1000:
+            self.waiting.clear()
+            self.given.clear()
+        else:
+            self.given.update((self.cap - places,))
+            held = held[:places]
+            if held:
+                self.waiting.put(held)
+                self.handle.registerTimer(held[0][0] // 1000 + 1)
+            else:
+                self.waiting.clear()
+                self.handle.registerTimer(end)
+        yield pd.DataFrame([(key[0], r, u) for u, r in out], columns=["day", "request_id", "us"])
+
+    def close(self) -> None:
+        pass

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from ledgerloom.functions import outcomes
-from ledgerloom.operators import metering as ops
+from ledgerloom.operators import metering as ops, prefix
 
 START = dt.datetime(2024, 1, 1)
 
@@ -16,19 +16,41 @@ def log(spark, seed, n=400, span=4000, pools=3):
     return rows, spark.createDataFrame(rows, "request_id int, ts timestamp, pool string, tokens int")
 
 
-@pytest.mark.parametrize("bucket", [60, 100, 10**6])
-def test_rolling_usage_against_brute_force(spark, bucket):
-    rows, frame = log(spark, bucket)
-    found = {r.request_id: (r.used, r.over_budget) for r in ops.rolling_usage(frame, budget=200, bucket_seconds=bucket).collect()}
+@pytest.mark.parametrize("seed", [60, 100, 10**6])
+def test_rolling_usage_against_brute_force(spark, seed):
+    rows, frame = log(spark, seed)
+    found = {r.request_id: (r.used, r.over_budget) for r in ops.rolling_usage(frame, budget=200).collect()}
     assert len(found) == len(rows)
     for i, ts, pool, _ in rows:
         used = sum(t for _, at, p, t in rows if p == pool and ts - dt.timedelta(seconds=60) < at <= ts)
         assert found[i] == (used, used > 200)
 
 
-def test_a_look_back_longer_than_a_bucket_is_refused(spark):
-    with pytest.raises(ValueError):
-        ops.rolling_usage(log(spark, 0)[1], window_seconds=61, bucket_seconds=60)
+def test_usage_of_nulls_and_equal_moments(spark):
+    rows = [(1, START, None, 5), (2, START, None, 6), (3, None, "a", 7), (4, START, "a", None), (5, START + dt.timedelta(seconds=60), None, 1)]
+    frame = spark.createDataFrame(rows, "request_id int, ts timestamp, pool string, tokens int")
+    found = {r.request_id: r.used for r in ops.rolling_usage(frame).collect()}
+    assert found == {1: 11, 2: 11, 3: None, 4: 0, 5: 1}
+    assert ops.rolling_usage(frame.limit(0)).count() == 0
+
+
+def test_a_burst_is_many_tasks(spark):
+    """A third of the log in one second of one pool still fills as many ranges as its rows."""
+    spread = spark.range(20000).select((F.col("id") % 7).cast("string").alias("pool"), (F.col("id") * 90_000).alias("us"), F.lit(1).alias("n"))
+    burst = spark.range(10000).select(F.lit("0").alias("pool"), (F.lit(500_000_000) + F.col("id") * 90).alias("us"), F.lit(1).alias("n"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spread.unionByName(burst)
+        sizes = sorted(r["count"] for r in prefix.ranges(rows, ["pool"], ["us"]).groupBy("__range").count().collect())
+        groups = prefix.ranges(rows, ["pool"], ["us"]).filter("pool = '0' and us between 500000000 and 501000000").select("__range").distinct().count()
+        totals = prefix.running_totals(rows, ["pool"], ["us"], "n").filter("pool = '0'").orderBy("us").select("total").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2] and groups >= 5
+    assert [r.total for r in totals] == list(range(1, len(totals) + 1))
 
 
 def test_daily_admission_resets_at_midnight(spark):

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 from pyspark.sql import functions as F
+import pytest
 
 from ledgerloom.operators import metering as ops
 from ledgerloom.streaming import jobs
@@ -38,13 +39,35 @@ def test_meter_with_late_rows_equals_the_batch_job(spark, tmp_path):
     assert sorted(found) == sorted((r.request_id, r.used, r.over_budget) for r in batch if r.ts < final)
 
 
-def test_admission_counts_across_batches(spark, tmp_path):
-    rows = [(i, START + dt.timedelta(hours=i), "p", 1) for i in range(60)]
-    stream = in_files(spark, rows, LOG, str(tmp_path / "in"), parts=6)
+def closed(spark, stream, rows, path):
+    return stream.unionByName(jobs.closing_mark(spark, spark.createDataFrame(rows, LOG), path))
+
+
+def test_meter_gives_out_a_closed_log(spark, tmp_path):
+    rows = request_rows(120)
+    stream = closed(spark, in_files(spark, rows, LOG, str(tmp_path / "in"), parts=3), rows, str(tmp_path / "mark"))
     out = str(tmp_path / "out")
-    jobs.admit_daily(stream, out, str(tmp_path / "ck"), cap=13, once=True).awaitTermination()
-    admitted = sorted(r.request_id for r in spark.read.parquet(out).collect())
-    assert admitted == [i for i in range(60) if i % 24 < 13]
+    jobs.meter_usage(stream, out, str(tmp_path / "ck"), window_seconds=600, budget=200, once=True).awaitTermination()
+    found = [(r.request_id, r.used, r.over_budget) for r in spark.read.parquet(out).collect()]
+    batch = ops.rolling_usage(spark.createDataFrame(rows, LOG), window_seconds=600, budget=200).collect()
+    # The mark may overtake files that are read after it: those rows are late.
+    assert set(found) <= {(r.request_id, r.used, r.over_budget) for r in batch}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_admission_goes_by_time_not_by_arrival(spark, tmp_path, parts):
+    rng = random.Random(parts)
+    times = sorted(rng.randrange(4 * 86400) for _ in range(400))
+    rows = [(i, START + dt.timedelta(seconds=t), "p", 1) for i, t in enumerate(times)]
+    # Out of order by up to five hours, over several micro-batches.
+    arrival = sorted(rows, key=lambda r: r[1] + dt.timedelta(seconds=rng.randrange(5 * 3600)))
+    end = START + dt.timedelta(days=9)
+    stream = in_files(spark, [*arrival, (None, end, None, None)], LOG, str(tmp_path / "in"), parts=parts)
+    out = str(tmp_path / "out")
+    jobs.admit_daily(stream, out, str(tmp_path / "ck"), cap=13, lateness="6 hours", once=True).awaitTermination()
+    admitted = {(r.request_id, r.day) for r in spark.read.parquet(out).collect()}
+    marked = ops.daily_admission(spark.createDataFrame(rows, LOG), cap=13).filter("admitted").collect()
+    assert admitted == {(r.request_id, r.day) for r in marked} and len(admitted) == 13 * 4
 
 
 def test_coverage_keeps_the_newest_state(spark, tmp_path):
@@ -55,6 +78,20 @@ def test_coverage_keeps_the_newest_state(spark, tmp_path):
     jobs.track_coverage(stream, schedule, out, str(tmp_path / "ck"), once=True).awaitTermination()
     states = {r[0]: tuple(r)[1:] for r in jobs.latest_coverage(spark, out).select("accession_number", "state", "chunks_indexed", "chunks_total").collect()}
     assert states == {"a": ("complete", 5, 5), "b": ("indexing", 1, 9), "c": ("complete", 2, 2)}
+    one = jobs.latest_coverage(spark, out, spark.createDataFrame([("b",)], "accession_number string")).collect()
+    assert [r.chunks_indexed for r in one] == [1]
+
+
+def test_coverage_holds_no_state(spark, tmp_path):
+    rows = [("a", i) for i in range(40)]
+    stream = in_files(spark, rows, "accession_number string, chunk_index int", str(tmp_path / "in"), parts=4)
+    schedule = spark.createDataFrame([("a", 40, False)], "accession_number string, chunks_total int, running boolean")
+    out = str(tmp_path / "out")
+    query = jobs.track_coverage(stream, schedule, out, str(tmp_path / "ck"), once=True)
+    query.awaitTermination()
+    assert all(not p.stateOperators for p in query.recentProgress)
+    published = [r.chunks_indexed for r in spark.read.parquet(out).orderBy("batch").collect()]
+    assert published == [10, 20, 30, 40]
 
 
 def test_ingest_stores_a_filing_once(spark, tmp_path):
@@ -71,5 +108,5 @@ def test_alerts_see_analyses_stored_meanwhile(spark, tmp_path):
     stream = in_files(spark, rows, "cik string, form_type string, filing_date string", str(tmp_path / "in"), parts=2)
     stored = spark.createDataFrame([("1", "2024-01-01", 1, 1), ("3", None, 1, 2)], "cik string, filing_date string, created_at int, id int")
     out = str(tmp_path / "out")
-    jobs.alert_new_filings(stream, lambda: stored, out, str(tmp_path / "ck"), once=True).awaitTermination()
+    jobs.alert_new_filings(stream, lambda companies: stored.join(companies.distinct(), "cik", "left_semi"), out, str(tmp_path / "ck"), once=True).awaitTermination()
     assert sorted((r.cik, r.filing_date) for r in spark.read.parquet(out).collect()) == [("1", "2024-02-01"), ("3", "2024-02-01")]
