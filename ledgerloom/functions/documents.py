@@ -100,6 +100,17 @@ def prioritized_spans(
     return bind(found, lambda spans: F.when(F.size(spans) > 0, fill(F.concat(head_span, spans))))
 
 
+def kept_spans(
+    text: Column,
+    cap: int = S.MAX_FILING_CHARS,
+    head: int = S.HEAD_CHARS,
+    sections: Sequence[tuple[str, str]] = S.SECTIONS,
+) -> Column:
+    """``prioritized_spans`` of a text over ``cap``; none for any other text."""
+    spans = prioritized_spans(text, cap, head, sections)
+    return F.when(F.length(text) > cap, F.coalesce(spans, F.array().cast(_SPANS))).otherwise(F.array().cast(_SPANS))
+
+
 def prioritize_sections(
     text: Column,
     cap: int = S.MAX_FILING_CHARS,

@@ -117,17 +117,19 @@ def resolve_documents(analyses: DataFrame, filings: DataFrame) -> DataFrame:
     return analyses.join(first, ["cik", "accession_number"], "left")
 
 
-def backfill_status(resolved: DataFrame, texts: DataFrame, stored: DataFrame, added: DataFrame) -> DataFrame:
+def backfill_status(resolved: DataFrame, texts: DataFrame, stored: DataFrame | None, added: DataFrame) -> DataFrame:
     """What a repair run did per filing: indexed, complete or failed.
 
     ``resolved`` from ``resolve_documents``; ``texts`` holds (accession_number,
-    expected) chunk counts of the filings with text; ``stored`` the counts
-    before the run and ``added`` the chunks it stored.
+    expected) chunk counts of the filings with text; ``stored`` the counts before the
+    run (None: ``texts`` has them in a column of that name) and ``added`` the chunks it stored.
     """
+    known = texts.select("accession_number", "expected", *(["stored"] if stored is None else []))
+    joined = resolved.select("accession_number", "primary_document").join(known, "accession_number", "left")
+    if stored is not None:
+        joined = joined.join(stored.select("accession_number", "stored"), "accession_number", "left")
     joined = (
-        resolved.select("accession_number", "primary_document")
-        .join(texts.select("accession_number", "expected"), "accession_number", "left")
-        .join(stored.select("accession_number", "stored"), "accession_number", "left")
+        joined
         .join(added.select("accession_number", "added"), "accession_number", "left")
         .fillna({"stored": 0, "added": 0})
     )
@@ -140,13 +142,14 @@ def backfill_status(resolved: DataFrame, texts: DataFrame, stored: DataFrame, ad
     return joined.withColumn("status", status)
 
 
-def backfill_report(status: DataFrame) -> DataFrame:
+def backfill_report(status: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Filings per status. ``status`` holds (position, status, quota_hit).
 
     The run stops at the first filing that met the daily request quota; that
-    one and everything after it were not attempted.
+    one and everything after it were not attempted. ``hits`` has (position, quota_hit)
+    alone, where that can be read without working out the status.
     """
-    stop = status.agg(F.min(F.when(F.col("quota_hit"), F.col("position"))).alias("at")).scalar()
+    stop = (status if hits is None else hits).agg(F.min(F.when(F.col("quota_hit"), F.col("position"))).alias("at")).scalar()
     late = F.coalesce(F.col("position") >= stop, F.lit(False))
     final = F.when(late, "not attempted").otherwise(F.col("status"))
     return status.groupBy(final.alias("status")).agg(F.count(F.lit(1)).alias("filings"))

@@ -44,11 +44,37 @@ def total_rows(analyses: DataFrame, ticker: str | None = None) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"))
 
 
-def page(analyses: DataFrame, limit: int = S.PAGE_ROWS, offset: int = 0, ticker: str | None = None) -> DataFrame:
-    """Newest analyses first, ``limit`` of them from ``offset`` on, each with the exact total."""
+def page_index(analyses: DataFrame) -> DataFrame:
+    """(hour, n, before, total): analyses created in every hour, those created after it, and all of them.
+
+    An ordinal index for pages from the newest on. It has a row for each hour of the
+    calendar at most, whatever the number of analyses; those without a time are the last.
+    """
+    hours = analyses.groupBy(F.date_trunc("hour", F.col("created_at")).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    newer = Window.orderBy(F.desc_nulls_last("hour"))
+    before = F.coalesce(F.sum("n").over(newer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = newer.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return hours.select("hour", "n", before.alias("before"), F.sum("n").over(whole).alias("total"))
+
+
+def page(
+    analyses: DataFrame, limit: int = S.PAGE_ROWS, offset: int = 0, ticker: str | None = None, index: DataFrame | None = None
+) -> DataFrame:
+    """Newest analyses first, ``limit`` of them from ``offset`` on, each with the exact total.
+
+    The index (``page_index`` of the same rows, kept or made here) tells which hours the
+    page lies in. Only their analyses are ordered, so a deep page gathers no more rows
+    than a first one.
+    """
     rows = by_ticker(analyses, ticker) if ticker else analyses
-    newest = rows.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit)
-    return newest.withColumn("total", total_rows(rows).scalar())
+    hours = page_index(rows) if index is None else index
+    asked = hours.filter((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset))
+    hour = F.date_trunc("hour", F.col("created_at"))
+    met = rows.join(asked.select(F.col("hour").alias("__hour"), "before", "total"), hour.eqNullSafe(F.col("__hour")))
+    inside = Window.partitionBy("__hour").orderBy(F.desc("created_at"), F.desc("id"))
+    place = F.col("before") + F.row_number().over(inside)
+    found = met.withColumn("__place", place).filter((F.col("__place") > offset) & (F.col("__place") <= offset + limit))
+    return found.orderBy("__place").select(*analyses.columns, "total")
 
 
 # --- newest and first per company ------------------------------------------------

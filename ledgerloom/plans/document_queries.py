@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerloom import settings as S
 from ledgerloom.functions import documents as fn
-from ledgerloom.functions.strings import document_keys as path_keys
 from ledgerloom.operators import documents as ops
 from ledgerloom.operators.retrieval import nearest_scale as scale_lookup
 from ledgerloom.plans import vehicles as V
@@ -38,15 +39,14 @@ SELECT page_id, CAST(page_id AS VARCHAR) AS cik, lpad(CAST(page_id AS VARCHAR),
        'doc' || page_id || '.htm' AS document, length(html) AS chars
 FROM pages""")
 def document_keys(spark, sf):
-    """Filing keys read from file paths."""
+    """Pages kept as filing files and read back by the keys in their paths."""
     pages = V.table(spark, sf, "pages")
     padded = F.lpad(F.col("page_id").cast("string"), 18, "0")
-    dashed = F.concat(F.substring(padded, 1, 10), F.lit("-"), F.substring(padded, 11, 2), F.lit("-"), F.substring(padded, 13, 6))
-    path = F.concat(F.lit("file:/data/"), F.col("page_id").cast("string"), F.lit("/"), dashed, F.lit("/doc"),
-                    F.col("page_id").cast("string"), F.lit(".htm"))
-    return pages.select("page_id", path_keys(path).alias("k"), F.length("html").cast("bigint").alias("chars")).select(
-        "page_id", "k.*", "chars"
-    )
+    name = F.concat(F.lit("doc"), F.col("page_id").cast("string"), F.lit(".htm"))
+    path = shared_folder(spark, "filing-html")
+    sinks.write_filing_html(pages.select(F.col("page_id").cast("string").alias("cik"), padded.alias("accession_number"), name.alias("document"), "html"), path)
+    read = readers.read_stored_html(spark, path)
+    return read.select(F.col("cik").cast("bigint").alias("page_id"), "cik", "accession_number", "document", F.length("html").cast("bigint").alias("chars"))
 
 
 # --- sections --------------------------------------------------------------------------------
@@ -104,13 +104,13 @@ def section_spans(spark, sf):
 
 @query(f"""
 WITH {PRIORITIZED}
-SELECT doc_id, string_agg(s || '-' || e, ' ' ORDER BY s, e) AS spans FROM spans SEMI JOIN marked USING (doc_id) GROUP BY doc_id""")
+SELECT doc_id, coalesce(shown, '') AS spans FROM documents LEFT JOIN
+  (SELECT doc_id, string_agg(s || '-' || e, ' ' ORDER BY s, e) AS shown FROM spans SEMI JOIN marked USING (doc_id) GROUP BY doc_id) USING (doc_id)""")
 def kept_spans(spark, sf):
-    """Merged sections and the gaps that fill the rest of the budget."""
-    documents = V.documents(spark, sf).filter(F.length("text") > CAP)
-    spans = fn.prioritized_spans(F.col("text"), CAP, HEAD, MARKS)
+    """Merged sections and the gaps that fill the rest of the budget; none for a text that is short or has no section."""
+    spans = fn.kept_spans(F.col("text"), CAP, HEAD, MARKS)
     shown = F.transform(spans, lambda p: F.concat_ws("-", p["s"].cast("string"), p["e"].cast("string")))
-    return documents.select("doc_id", F.array_join(shown, " ").alias("spans")).dropna()
+    return V.documents(spark, sf).select("doc_id", F.array_join(shown, " ").alias("spans"))
 
 
 @query(f"""
@@ -310,10 +310,11 @@ def _status(spark, sf):
     listed = documents.filter(doc % 11 != 0).select(
         F.lit("1").alias("cik"), accession, F.lit("doc.htm").alias("primary_document"), doc.alias("ord")
     )
-    expected = documents.select(accession, F.size(fn.chunk_text(F.col("text"))).alias("expected"))
-    stored = ops.stored_counts(stored_chunks(spark, sf))
+    # The texts are chunked once; what is stored so far are the first chunks of each.
+    sizes = documents.select(accession, doc.alias("doc"), F.size(fn.chunk_text(F.col("text"))).alias("expected"))
+    counts = sizes.withColumn("stored", F.least(F.col("expected"), (F.col("doc") % 4).cast("int")))
     added = documents.select(accession, (doc % 7).cast("int").alias("added"))
-    return ops.backfill_status(ops.resolve_documents(analyses, listed), expected, stored, added)
+    return ops.backfill_status(ops.resolve_documents(analyses, listed), counts, None, added)
 
 
 _STATUS = f"""{V.CHUNKS},
@@ -338,7 +339,7 @@ def backfill_report(spark, sf):
         F.col("doc_id").cast("string").alias("accession_number"), F.col("doc_id").alias("position"),
         (F.col("n_chars") > 15000).alias("quota_hit"),
     )
-    return ops.backfill_report(_status(spark, sf).join(hits, "accession_number"))
+    return ops.backfill_report(_status(spark, sf).join(hits, "accession_number"), hits)
 
 
 @query("""
@@ -367,3 +368,17 @@ def inserted_chunks(spark, sf):
     )
     stored = sinks.insert_chunks(rows.select(*columns, F.lit("second").alias("origin")), path)
     return stored.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
+
+
+@query(f"""
+WITH {V.CHUNKS}
+SELECT accession_number, chunk_index, length(content) AS chars, lang, source FROM plain_chunks JOIN documents USING (doc_id)""")
+def chunk_table(spark, sf):
+    """The chunk table in buckets by filing, joined to the filings without moving a chunk."""
+    path, name = shared_folder(spark, "chunk-table"), f"chunks_{uuid.uuid4().hex[:12]}"
+    columns = ["accession_number", "chunk_index", "content", "embedding"]
+    rows = _chunks(spark, sf).withColumn("chunk_index", F.col("chunk_index").cast("int")).withColumn("embedding", F.lit(None).cast("array<float>"))
+    sinks.write_chunk_table(rows.select(*columns), path, name)
+    filings = V.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("accession_number"), "lang", "source")
+    joined = spark.table(name).join(filings, "accession_number")
+    return joined.select("accession_number", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.length("content").cast("bigint").alias("chars"), "lang", "source")

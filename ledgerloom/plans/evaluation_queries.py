@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerloom import settings as S
 from ledgerloom.operators import evaluation as ev, facts as ops
 from ledgerloom.operators.history import build_golden
+from ledgerloom.operators.skew import best_row
 from ledgerloom.plans import flows, vehicles as V
 from ledgerloom.plans.fact_queries import TRUTH, truth_keys
 from ledgerloom.plans.registry import query
@@ -237,26 +239,46 @@ figures AS (SELECT asked,
   FROM pref p JOIN flow f ON f.cik = p.cik AND f.metric = p.metric AND f.pref = p.pref GROUP BY asked)
 SELECT ticker, cik, name AS company_name, accession_number, primary_document, form_type, CAST(fiscal_year AS BIGINT) AS fiscal_year,
   concat_ws('; ', CASE WHEN revenue IS NULL THEN 'no XBRL revenue concept covers this year' END,
-    CASE WHEN revenue_prior IS NULL OR net_income_prior IS NULL THEN 'prior year missing (YoY unscoreable)' END) AS note
-FROM entries JOIN figures USING (asked)""")
+    CASE WHEN revenue_prior IS NULL OR net_income_prior IS NULL THEN 'prior year missing (YoY unscoreable)' END) AS note, CAST(NULL AS VARCHAR) AS dropped
+FROM entries JOIN figures USING (asked)
+UNION ALL SELECT w.asked, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN k.asked IS NULL THEN 'no exact ticker match' WHEN e.asked IS NULL THEN 'no filing of the form'
+    ELSE 'no annual data at or before the filing' END
+FROM (SELECT ticker AS asked FROM wanted) w LEFT JOIN known k USING (asked) LEFT JOIN entries e USING (asked) WHERE k.asked IS NULL OR e.asked IS NULL OR e.fiscal_year IS NULL""")
 def golden_set(spark, sf):
+    """Entries, and below them the tickers that give none with the reason."""
     part = V.table(spark, sf, "part")
     brand = F.when(F.col("p_partkey") % 3 == 0, F.lower("p_brand")).otherwise(F.col("p_brand"))
     wanted = part.select(F.concat(brand, F.lit("-"), F.col("p_partkey").cast("string")).alias("ticker")).distinct()
-    golden, _ = build_golden(wanted, V.directory(spark, sf), V.filings(spark, sf), V.facts(spark, sf), V.ANNUAL)
-    return golden.withColumn("fiscal_year", F.col("fiscal_year").cast("bigint"))
+    golden, dropped = build_golden(wanted, V.directory(spark, sf), V.filings(spark, sf), V.facts(spark, sf), V.ANNUAL)
+    entries = golden.withColumn("fiscal_year", F.col("fiscal_year").cast("bigint")).withColumn("dropped", F.lit(None).cast("string"))
+    return entries.unionByName(dropped.select(F.col("asked").alias("ticker"), F.col("reason").alias("dropped")), allowMissingColumns=True)
 
 
 @query(f"""
-WITH {V.DIRECTORY}, {V.FILINGS}
-SELECT count(*) AS entries, count(DISTINCT ticker) AS tickers,
-  count(*) FILTER (NOT (regexp_full_match(upper(ticker), '[A-Z][A-Z0-9.\\-]{{0,9}}') AND upper(form_type) IN ('10-K', '10-Q', '10-K/A', '10-Q/A')
-    AND regexp_full_match(accession_number, '[0-9]{{10}}-?[0-9]{{2}}-?[0-9]{{6}}'))) AS invalid,
-  false AS sound
-FROM filings JOIN directory USING (cik)""")
+WITH {V.DIRECTORY}, {V.FILINGS},
+golden AS (SELECT 'every filing' AS name, ticker, f.cik, d.name AS company_name, accession_number, form_type, primary_document FROM filings f JOIN directory d USING (cik)
+  UNION ALL SELECT 'first of a company', 'T' || f.cik, f.cik, d.name, accession_number, form_type, primary_document FROM filings f JOIN directory d USING (cik)
+    WHERE upper(form_type) IN ('10-K', '10-Q', '10-K/A', '10-Q/A') QUALIFY row_number() OVER (PARTITION BY f.cik ORDER BY f.ord) = 1),
+checked AS (SELECT *, coalesce(regexp_full_match(upper(ticker), '[A-Z][A-Z0-9.\\-]{{0,9}}') AND regexp_full_match(cik, '[0-9]{{1,10}}')
+    AND regexp_full_match(accession_number, '[0-9]{{10}}-?[0-9]{{2}}-?[0-9]{{6}}') AND length(company_name) BETWEEN 1 AND 200
+    AND upper(form_type) IN ('10-K', '10-Q', '10-K/A', '10-Q/A')
+    AND regexp_full_match(primary_document, '[A-Za-z0-9._\\-/]{{1,255}}') AND NOT contains(primary_document, '..'), false) AS ok FROM golden)
+SELECT name, count(*) AS entries, count(DISTINCT ticker) AS tickers, count(*) FILTER (NOT ok) AS invalid,
+  count(*) >= 10 AND count(*) = count(DISTINCT ticker) AND bool_and(ok) AS sound
+FROM checked GROUP BY name""")
 def golden_integrity(spark, sf):
+    """Two golden sets, kept as JSON documents and read back: every filing there is, and the first good one of each company."""
     listed = V.directory(spark, sf).select("cik", "ticker", F.col("name").alias("company_name"))
-    return ev.golden_problems(V.filings(spark, sf).join(listed, "cik"))
+    filed = V.filings(spark, sf).join(listed, "cik").withColumn("fiscal_year", F.substring("filing_date", 1, 4).cast("int")).withColumn("note", F.lit(None).cast("string"))
+    allowed = filed.filter(F.upper("form_type").isin(*S.ALLOWED_FORMS)).withColumn("ticker", F.concat(F.lit("T"), "cik"))
+    first = best_row(allowed, ["cik"], [-F.col("ord")])
+    columns = [part.split()[0] for part in readers.GOLDEN.split(", ")]
+    reports = []
+    for name, entries in (("every filing", filed), ("first of a company", first)):
+        path = shared_folder(spark, "golden")
+        sinks.write_golden(entries.select(*columns), path)
+        reports.append(ev.golden_problems(readers.read_golden(spark, path)).select(F.lit(name).alias("name"), "*"))
+    return reports[0].unionByName(reports[1])
 
 
 @query(f"""
@@ -286,11 +308,9 @@ SELECT run_date || CASE WHEN tag = '' THEN '' ELSE '-' || tag END AS artifact, t
   revenue_current, error
 FROM records WHERE run_date = '2024-02-01'""")
 def newest_run(spark, sf):
-    """Run artifacts are written partitioned by date and tag; the newest one is read back."""
-    path = shared_folder(spark, "runs")
-    fields = ["ticker", "cik", "accession_number", "fiscal_year", "revenue_current", "error"]
-    sinks.write_run(records(spark, sf).select("run_date", "tag", "model", "fallback_model", "max_filing_chars", *fields), path)
-    runs = sinks.read_runs(spark, path)
-    return readers.newest_run(runs).select(
+    """Runs are kept as JSON artifacts, one document each; the newest one is read back."""
+    path = shared_folder(spark, "artifacts")
+    sinks.write_artifacts(records(spark, sf), path)
+    return readers.newest_run(readers.read_runs(spark, path)).select(
         "artifact", "ticker", F.col("fiscal_year").cast("bigint").alias("fiscal_year"), "revenue_current", "error"
     )

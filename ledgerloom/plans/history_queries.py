@@ -313,6 +313,16 @@ def analyses_page(spark, sf):
     return hist.page(V.analyses(spark, sf), limit=20, offset=40).select("id", "ticker", "total")
 
 
+@query(f"""
+WITH {V.ANALYSES}
+SELECT id, ticker, (SELECT count(*) FROM analyses) AS total FROM analyses ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 1000""")
+def deep_page(spark, sf):
+    """A page a thousand analyses down, by an index that is kept."""
+    rows, path = V.analyses(spark, sf), shared_folder(spark, "page-index")
+    hist.page_index(rows).write.parquet(path)
+    return hist.page(rows, limit=20, offset=1000, index=spark.read.parquet(path)).select("id", "ticker", "total")
+
+
 @query(f"""
 WITH {V.ANALYSES}
 SELECT id, ticker, (SELECT count(*) FROM analyses WHERE ticker = 'T7') AS total FROM analyses WHERE ticker = 'T7' ORDER BY created_at DESC, id DESC LIMIT 5""")
@@ -551,12 +561,32 @@ _CSV = " || ',' || ".join([
 ])
 
 
-@query(f"WITH {V.ANALYSES.replace('o_totalprice * 1000', 'round(o_totalprice * 1000, 3)').replace('o_totalprice - 200000', 'round(o_totalprice - 200000, 2)')} SELECT {_CSV} AS line FROM analyses")
+_CSV_LINES = f"""{V.ANALYSES.replace('o_totalprice * 1000', 'round(o_totalprice * 1000, 3)').replace('o_totalprice - 200000', 'round(o_totalprice - 200000, 2)')},
+csv_lines AS (SELECT {_CSV} AS line FROM analyses)"""
+
+
+def _rounded_analyses(spark, sf):
+    rows = V.analyses(spark, sf).withColumn("revenue_current", F.round("revenue_current", 3))
+    return rows.withColumn("net_income_current", F.round("net_income_current", 2))
+
+
+@query(f"WITH {_CSV_LINES} SELECT line FROM csv_lines")
 def csv_lines(spark, sf):
-    rows = V.analyses(spark, sf).withColumn("revenue_current", F.round("revenue_current", 3)).withColumn(
-        "net_income_current", F.round("net_income_current", 2)
-    )
-    return sinks.csv_rows(rows)
+    return sinks.csv_rows(_rounded_analyses(spark, sf))
+
+
+@query(f"""
+WITH {_CSV_LINES}
+SELECT line, 'row' AS place, CAST(octet_length(encode(line)) + 2 AS BIGINT) AS bytes FROM csv_lines
+UNION ALL SELECT '{",".join(sinks.CSV_COLUMNS)}', 'header', {len(",".join(sinks.CSV_COLUMNS)) + 2}""")
+def csv_file(spark, sf):
+    """The CSV file written and read back: its parts in order begin with the header, and every line ends with CRLF."""
+    path = shared_folder(spark, "csv")
+    sinks.write_csv(_rounded_analyses(spark, sf), path)
+    lines = spark.read.text(path, lineSep="\r\n").select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("part"))
+    first = lines.agg(F.min("part")).scalar()
+    header = (F.col("line") == ",".join(sinks.CSV_COLUMNS)) & (F.col("part") == first)
+    return lines.select("line", F.when(header, "header").otherwise("row").alias("place"), (F.octet_length("line") + 2).cast("bigint").alias("bytes"))
 
 
 # --- display text -----------------------------------------------------------------------------------

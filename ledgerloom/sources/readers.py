@@ -111,6 +111,16 @@ def read_filing_html(spark: SparkSession, path: str, glob: str = "*.htm*") -> Da
     return files.select(document_keys(F.col("path")).alias("k"), F.col("text").alias("html")).select("k.*", "html")
 
 
+# Ends a stored filing file; no document holds it.
+END_OF_FILE = "\x04"
+
+
+def read_stored_html(spark: SparkSession, path: str) -> DataFrame:
+    """Filing documents kept by ``sinks.write_filing_html``; a filter on the keys prunes folders."""
+    rows = spark.read.schema("value string, cik string, accession_number string, document string").text(path, wholetext=True)
+    return rows.select("cik", "accession_number", "document", F.rtrim("value", F.lit(END_OF_FILE)).alias("html"))
+
+
 # --- stored tables ------------------------------------------------------------------
 
 def read_analyses(spark: SparkSession, path: str) -> DataFrame:
@@ -121,17 +131,29 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNKS).parquet(path)
 
 
+def register_chunk_table(spark: SparkSession, path: str, name: str, buckets: int) -> DataFrame:
+    """The chunk table that another session wrote in ``buckets`` below ``path``, under ``name``."""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({CHUNKS}) USING parquet CLUSTERED BY (accession_number) "
+        f"SORTED BY (accession_number, chunk_index) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(name)
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(GOLDEN).json(path, multiLine=True)
+    """Entries of golden sets, multi-line JSON arrays in one file or in folders of them."""
+    names = [part.split()[0] for part in GOLDEN.split(", ")]
+    return spark.read.schema(GOLDEN).json(path, multiLine=True).select(*names)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run artifacts (multi-line JSON) to one row per record, with the run's settings.
 
-    ``artifact`` is the file name; the newest run is the greatest one.
+    ``artifact`` is the file's name, or that of its folder (artifact=NAME); the newest run is the greatest one.
     """
     runs = spark.read.schema(RUN).json(path, multiLine=True)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json\z", 1)
+    name = F.regexp_extract(F.input_file_name(), r"(?:artifact=([^/]+)/[^/]+|([^/]+)\.json)\z", 0)
+    name = F.regexp_replace(name, r"\Aartifact=|/[^/]+\z|\.json\z", "")
     rows = runs.withColumn("artifact", name).select(
         "artifact", "run_date", "model", "fallback_model", "max_filing_chars", F.posexplode("records").alias("ord", "r")
     )

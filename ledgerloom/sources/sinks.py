@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ledgerloom.functions.formatting import csv_line, number_text
+from ledgerloom.functions.strings import dashless
 from ledgerloom.operators.skew import best_row
 from ledgerloom.session import remove_folder, shared_folder
-from ledgerloom.sources.keyed import KeyedTable, read_or_empty, same_keys
+from ledgerloom.sources.keyed import KeyedTable, same_keys
+from ledgerloom.sources.readers import END_OF_FILE, RECORD
 
 CSV_COLUMNS = (
     "ticker",
@@ -131,6 +133,58 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return runs.withColumn("artifact", F.col("artifact").cast("string"))
 
 
+def write_artifacts(records: DataFrame, path: str) -> None:
+    """Write runs as JSON documents, each replacing the run of the same name: settings, and the records below them.
+
+    ``records`` has the columns of ``readers.RUN`` and of its records, ``tag`` and
+    ``ord``. A run is one document by its format, so its records (one for each golden
+    entry) are gathered.
+    """
+    tag = F.when(F.coalesce(F.col("tag"), F.lit("")) != "", F.concat(F.lit("-"), "tag")).otherwise("")
+    settings = ["run_date", "model", "fallback_model", "max_filing_chars"]
+    fields = [f.name for f in _record_fields()]
+    named = records.select(F.concat("run_date", tag).alias("artifact"), *settings, F.struct("ord", F.struct(*fields).alias("record")).alias("r"))
+    runs = named.groupBy("artifact", *settings).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["record"]).alias("records"))
+    text = F.to_json(F.struct(*settings, "records"), {"pretty": "true", "ignoreNullFields": "false"})
+    _write_documents(runs.select("artifact", text.alias("value")), path, "artifact")
+
+
+def write_golden(entries: DataFrame, path: str, document_rows: int = 1000) -> None:
+    """Write a golden set as JSON documents, arrays of about ``document_rows`` entries each."""
+    documents = F.lit(max(1, -(-entries.count() // document_rows)))
+    rows = entries.select(F.pmod(F.xxhash64("accession_number", "ticker"), documents).alias("document"), F.struct(*entries.columns).alias("e"))
+    text = F.to_json(F.array_sort(F.collect_list("e")), {"pretty": "true"})
+    _write_documents(rows.groupBy("document").agg(text.alias("value")), path, "document")
+
+
+def _write_documents(rows: DataFrame, path: str, name: str) -> None:
+    """One file for each row, in a folder of its name."""
+    rows.repartition(name).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).text(path)
+
+
+def _record_fields() -> list[StructField]:
+    return StructType.fromDDL(f"r {RECORD}")["r"].dataType.fields
+
+
+def write_filing_html(rows: DataFrame, path: str) -> None:
+    """Keep (cik, accession_number, document, html) as one file per document, in folders of their keys."""
+    dashless_rows = rows.withColumn("accession_number", dashless(F.col("accession_number")))
+    files = dashless_rows.select("cik", "accession_number", "document", F.coalesce("html", F.lit("")).alias("value"))
+    files.write.mode("append").option("lineSep", END_OF_FILE).partitionBy("cik", "accession_number", "document").text(path)
+
+
+def write_chunk_table(chunks: DataFrame, path: str, name: str, buckets: int | None = None) -> None:
+    """Write the chunk table in buckets by filing and register it as ``name``.
+
+    A join on the filing reads bucket by bucket and moves no chunk. There are as many
+    buckets as shuffle partitions unless told otherwise, so ``session.size_shuffles``
+    sets them by the size of the input; ``readers.register_chunk_table`` needs their number.
+    """
+    buckets = buckets or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(buckets, "accession_number")
+    dealt.write.format("parquet").option("path", path).bucketBy(buckets, "accession_number").sortBy("accession_number", "chunk_index").saveAsTable(name)
+
+
 # --- CSV ------------------------------------------------------------------------------
 
 def csv_rows(analyses: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 import pytest
@@ -113,3 +114,19 @@ def test_identifier_formats(one):
     assert one(st.pad_cik(F.lit("320193")), x=1) == "0000320193"
     assert one(st.pad_cik(F.lit("12345678901")), x=1) == "12345678901"
     assert one(st.index_url(F.lit("0000320193"), F.lit("0000320193-25-000057")), x=1).endswith("/320193/000032019325000057/")
+
+
+def test_pages_of_any_depth(spark):
+    rng = random.Random(8)
+    start = dt.datetime(2024, 1, 1)
+    # Many in one hour, ties, and some without a time.
+    times = [start + dt.timedelta(seconds=rng.choice([rng.randrange(10**6), rng.randrange(60), 7])) for _ in range(300)] + [None] * 5
+    rows = [(i, f"T{i % 3}", t) for i, t in enumerate(times)]
+    frame = spark.createDataFrame(rows, "id bigint, ticker string, created_at timestamp")
+    order = sorted(rows, key=lambda r: (r[2] is not None, r[2] or start, r[0]), reverse=True)
+    index = hist.page_index(frame)
+    for offset in (0, 3, 95, 150, 290, 303, 305, 1000):
+        found = [(r.id, r.total) for r in hist.page(frame, limit=9, offset=offset, index=index).collect()]
+        assert found == [(r[0], 305) for r in order[offset : offset + 9]]
+    own = [r for r in order if r[1] == "T1"]
+    assert [r.id for r in hist.page(frame, limit=4, offset=50, ticker="t1").collect()] == [r[0] for r in own[50:54]]

@@ -205,3 +205,53 @@ def test_pins_of_a_company_read_its_files(spark, tmp_path, small_files):
     found = sinks.pinned_truth(spark, path, truth, one.select("cik"))
     assert [r.revenue for r in found.collect()] == [6.0] and len(found.inputFiles()) < 10
     assert sinks.pinned_truth(spark, path, truth).count() == 20000
+
+
+# --- files and tables that are written and read back -----------------------------------------
+
+def test_filing_files_round_trip(spark, tmp_path):
+    html = ["<p>x</p>\n\n<p>ü &amp; 日本</p>\r\n", "", "no end", "ends with space "]
+    rows = [(str(i), f"0000320193-25-00000{i}", f"q {i}%.htm", h) for i, h in enumerate(html)] + [("9", "000032019325000009", "none.htm", None)]
+    path = str(tmp_path / "html")
+    sinks.write_filing_html(spark.createDataFrame(rows, "cik string, accession_number string, document string, html string"), path)
+    found = {r.cik: tuple(r)[1:] for r in readers.read_stored_html(spark, path).collect()}
+    assert found == {c: (a.replace("-", ""), d, h or "") for c, a, d, h in rows}
+    assert readers.read_stored_html(spark, path).filter("cik = '2'").count() == 1
+
+
+def test_artifacts_and_golden_documents(spark, tmp_path):
+    schema = ("run_date string, tag string, model string, fallback_model string, max_filing_chars int, ord int, ticker string, cik string, accession_number string, "
+              "fiscal_year int, revenue_current double, revenue_yoy_change_pct double, net_income_current double, net_income_yoy_change_pct double, error string")
+    rows = [(d, t, "m", "", 10, i, "A", "1", f"a{i}", 2020, 0.1 + i, None, None, None, "e" if i else None) for d, t in (("2024-01-01", ""), ("2024-01-01", "x"), ("2023-12-31", None)) for i in (1, 0)]
+    path = str(tmp_path / "runs")
+    sinks.write_artifacts(spark.createDataFrame(rows, schema), path)
+    runs = readers.read_runs(spark, path)
+    assert {r.artifact for r in runs.collect()} == {"2024-01-01", "2024-01-01-x", "2023-12-31"}
+    assert [(r.ord, r.accession_number, r.revenue_current, r.error) for r in readers.newest_run(runs).orderBy("ord").collect()] == [(0, "a0", 0.1, None), (1, "a1", 1.1, "e")]
+    # A run of the same name is replaced.
+    sinks.write_artifacts(spark.createDataFrame(rows[:1], schema), path)
+    assert readers.read_runs(spark, path).filter("artifact = '2024-01-01'").count() == 1 and readers.read_runs(spark, path).count() == 5
+    golden = spark.range(2500).selectExpr("concat('T', id) AS ticker", "cast(id as string) AS cik", "'n' AS company_name", "lpad(id, 18, '0') AS accession_number",
+                                          "'d' AS primary_document", "'10-K' AS form_type", "2020 AS fiscal_year", "cast(null as string) AS note")
+    sinks.write_golden(golden, str(tmp_path / "golden"))
+    assert readers.read_golden(spark, str(tmp_path / "golden")).exceptAll(golden).count() == 0 and readers.read_golden(spark, str(tmp_path / "golden")).count() == 2500
+
+
+def test_chunks_stay_where_they_are(spark, tmp_path):
+    chunks = spark.range(5000).select((F.col("id") % 90).cast("string").alias("accession_number"), F.col("id").cast("int").alias("chunk_index"),
+                                      F.lit("text").alias("content"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    path = str(tmp_path / "chunks")
+    sinks.write_chunk_table(chunks, path, "chunks_here", 6)
+    again = readers.register_chunk_table(spark, path, "chunks_there", 6)
+    questions = spark.range(90).select(F.col("id").cast("string").alias("accession_number"), F.lit("q").alias("question"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for table in (spark.table("chunks_here"), again):
+            joined = table.join(questions, "accession_number")
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            # Only the questions move.
+            assert plan.count("Exchange") == 1 and joined.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE chunks_here")
+        spark.sql("DROP TABLE chunks_there")
