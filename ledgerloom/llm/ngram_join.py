@@ -8,12 +8,17 @@ lists by binary search.
 To spread the search, sets are first dealt into blocks that lose no link. Sets of
 size s and t that reach the similarity differ in at most k elements; cut by hash
 into k + m parts, they agree in m parts at least. So every set is filed under the
-content of its parts but for empty ones, which say nothing. Two sets that agree in
-empty parts alone have m of these each, so sets with m empty parts know that they
-may be missed: they are filed under the elements of their prefix too, the least hashes
-of which similar sets share one. Sets under one key are joined to a star, and the
-components of all stars are the blocks: similar sets are always in one block, and a
-set moves to its block once. A block larger than a task should hold is cut into shards, and every
+content of its parts but for empty ones, which say nothing: a set with e empty parts
+shares m - e keys at least with any similar one. If m or more are empty, it is filed
+under the elements of its prefix too, the least hashes of which similar sets share one.
+
+Sets that share fewer keys than they need are not similar, and most that share a key
+share few: a part may hold one common element only. Sets under a key of few sets are
+met pair by pair and their common keys counted. Keys of many sets would make too many
+pairs: a set with fewer of those than it needs leaves them, as it shares one of the
+others with any similar set; those that stay are joined to a star. The components of
+what is left are the blocks: similar sets are always in one block, and a set moves to
+its block once. A block larger than a task should hold is cut into shards, and every
 pair of shards is searched by a task of its own. Tasks return only links that join
 what was not joined before, so a group of n copies gives about n links, not n * n.
 """
@@ -38,10 +43,12 @@ SHARD = 2048
 HEAP = 4096
 # Weight of the length of lists in the choice of how many are long (DivideSkip's mu).
 MU = 0.0085
-# One part more than needed for so many elements that may differ, so that few sets have too many empty parts.
-SPARE = 16
-# Keys that a task remembers to join sets among its own rows.
-KEYS = 1 << 19
+# One part more than needed for so many elements that may differ: that many keys similar sets share.
+SPARE = 8
+# Sets under a key that are met pair by pair.
+FEW = 8
+# Sets that a task remembers, to file equal ones once.
+SEEN = 1 << 19
 
 _words = regex.compile(r"[^\x20\x09-\x0D]+").findall
 _lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -94,17 +101,21 @@ def intervals(most: int, num: int, den: int) -> list[tuple[int, int, int]]:
 
 
 class Filer:
-    """Keys of a set: one for each part that is not empty, in its size interval and in the next one; its prefix if many are empty."""
+    """Keys of a set: one for each part that is not empty, in its size interval and in the next one; its prefix if many are empty.
+
+    The lowest bit of a key is that of its interval's number.
+    """
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.table = num, den, intervals(1 << 16, num, den)
 
-    def __call__(self, grams: np.ndarray) -> np.ndarray:
+    def __call__(self, grams: np.ndarray) -> tuple[np.ndarray, int, list[int]]:
+        """(keys, first interval, how many keys of the first and of the second similar sets share)."""
         size = len(grams)
         while self.table[-2][0] < size:
             self.table = intervals(self.table[-1][0] * 2, self.num, self.den)
         i = int(np.searchsorted([high for high, *_ in self.table], size))
-        keys = []
+        keys, needs = [], []
         for k in (i, i + 1):
             _, parts, agree = self.table[k]
             place = (grams >> np.uint64(17)) % np.uint64(parts)
@@ -113,12 +124,15 @@ class Filer:
             filled = place[order][starts]
             sums = _mix(np.add.reduceat(_mix(grams[order]), starts))
             salt = np.uint64((k * _FACTORS[1]) % (1 << 64))
-            keys.append(_mix(sums + filled * np.uint64(_FACTORS[0]) + salt))
-            if parts - len(filled) >= agree:
+            found = [_mix(sums + filled * np.uint64(_FACTORS[0]) + salt)]
+            empty = parts - len(filled)
+            if empty >= agree:
                 # Similar sets share at least this many elements, so one of the others' least at the latest.
                 shared = -(-self.num * size // self.den)
-                keys.append(_mix(_mix(np.sort(grams)[: size - shared + 1]) + salt))
-        return np.concatenate(keys)
+                found.append(_mix(_mix(np.sort(grams)[: size - shared + 1]) + salt))
+            keys += [x & ~np.uint64(1) | np.uint64(k & 1) for x in found]
+            needs.append(max(agree - empty, 1))
+        return np.concatenate(keys), i, needs
 
 
 class Joined:
@@ -211,43 +225,70 @@ def _merged(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _file(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(id, n_shingles, digest, keys, hubs): the set's size and digest, its keys, and sets of the same task under one of them.
+    """(id, n_shingles, digest, set, keys, interval, needs): the set's size, digest and number, its keys, and what ``Filer`` says of them.
 
-    A task names a key once; later sets under it are joined to the first one right
-    here. So a key, however common, leaves a task about once.
+    A task files equal sets once.
     """
     def run(batches):
-        shingle, file, seen, first = Shingler(n), Filer(num, den), set(), {}
+        shingle, file, seen = Shingler(n), Filer(num, den), set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            sizes, digests, keys, hubs = [], [], [], []
+            sizes, digests, numbers, keys, firsts, needs = [], [], [], [], [], []
             for key, text in zip(ids, batch.column(1).to_pylist()):
                 grams = shingle(text)
                 digest = xxhash.xxh3_128_digest(grams.tobytes())
-                own, around = [], set()
-                # An equal set before it: the digest joins them.
+                own, first, need = None, None, None
                 if key is not None and len(grams) and digest not in seen:
-                    if len(first) > KEYS:
-                        first.clear()
-                    for k in file(grams).view(np.int64).tolist():
-                        hub = first.setdefault(k, key)
-                        if hub == key:
-                            own.append(k)
-                        else:
-                            around.add(hub)
-                    if len(seen) < KEYS:
+                    own, first, need = file(grams)
+                    own = own.view(np.int64)
+                    if len(seen) < SEEN:
                         seen.add(digest)
                 sizes.append(len(grams))
                 digests.append(digest)
+                numbers.append(int.from_bytes(digest[:8], "little", signed=True))
                 keys.append(own)
-                hubs.append(list(around))
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, longs), pa.array(hubs, longs)],
-                names=["id", "n_shingles", "digest", "keys", "hubs"],
-            )
-
-    return docs.select("id", "text").mapInArrow(run, "id bigint, n_shingles bigint, digest binary, keys array<bigint>, hubs array<bigint>")
+                firsts.append(first)
+                needs.append(need)
+            arrays = [
+                batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(numbers, pa.int64()),
+                pa.array(keys, pa.list_(pa.int64())), pa.array(firsts, pa.int32()), pa.array(needs, pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_shingles", "digest", "set", "keys", "interval", "needs"])
+
+    schema = "id bigint, n_shingles bigint, digest binary, set bigint, keys array<bigint>, interval int, needs array<int>"
+    return docs.select("id", "text").mapInArrow(run, schema)
+
+
+def near_sets(filed: DataFrame, few: int) -> DataFrame:
+    """(a, b) pairs of sets' numbers whose components hold all similar sets."""
+    keyed = filed.select("set", F.explode("keys").alias("key"))
+    around = Window.partitionBy("key")
+    shared = keyed.select("key", "set", F.min("set").over(around).alias("low"), F.max("set").over(around).alias("high")).filter("low <> high")
+    info = filed.filter("keys is not null").groupBy("set").agg(F.any_value("interval").alias("interval"), F.any_value("needs").alias("needs"))
+    shared = shared.select("key", "set").distinct().join(info, "set")
+    second = F.col("key").bitwiseAND(1) != F.col("interval").bitwiseAND(1)
+    k = F.when(second, F.col("interval") + 1).otherwise(F.col("interval"))
+    need = F.when(second, F.get("needs", F.lit(1))).otherwise(F.get("needs", F.lit(0)))
+    shared = written(shared.select("key", "set", k.alias("k"), need.alias("need")), "shared")
+    sizes = shared.groupBy("key").agg(F.count("*").alias("members"))
+    met = shared.join(sizes, "key")
+    large = met.filter(F.col("members") > few).groupBy("set", "k").agg(F.count("*").alias("large"))
+    met = met.join(large, ["set", "k"], "left").fillna({"large": 0}).withColumn("stays", F.col("large") >= F.col("need"))
+    met = written(met, "met")
+    # Keys of many sets: a star of those that need them.
+    wide = met.filter((F.col("members") > few) & F.col("stays"))
+    stars = wide.join(wide.groupBy("key").agg(F.min("set").alias("hub")), "key").filter("set <> hub").select(F.col("set").alias("a"), F.col("hub").alias("b"))
+    # Keys of few sets: pairs, and how many keys they share.
+    rows = met.filter(F.col("members") <= few)
+    pairs = rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.set") < F.col("r.set")))
+    both = F.col("l.stays") & F.col("r.stays")
+    # Keys of many sets that two sets may share, though no star joins them.
+    unseen = F.when(both, F.lit(0)).otherwise(F.least("l.large", "r.large"))
+    needed = F.greatest("l.need", "r.need") - unseen
+    counted = pairs.groupBy(F.col("l.set").alias("a"), F.col("r.set").alias("b"), F.col("l.k").alias("k")).agg(F.count("*").alias("n"), F.max(needed).alias("needed"))
+    found = written(stars.unionByName(counted.filter(F.col("n") >= F.col("needed")).select("a", "b")).distinct(), "near")
+    discard(shared, met)
+    return found
 
 
 def _links(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -290,7 +331,7 @@ def _edge_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, similarity: tuple[int, int] = (90, 100), shard: int = SHARD) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, similarity: tuple[int, int] = (90, 100), shard: int = SHARD, few: int = FEW) -> DataFrame:
     """(key, n_shingles, component_id): the smallest key that links of ``similarity`` lead to.
 
     A null or empty text has an empty set and is linked with nothing; a text of fewer
@@ -305,10 +346,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     first = filed.filter("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     same = filed.join(first, "digest").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     same = written(same, "same")
-    keyed = filed.select("id", F.explode("keys").alias("key"))
-    stars = keyed.select("id", F.min("id").over(Window.partitionBy("key")).alias("hub")).filter("id <> hub")
-    stars = stars.unionByName(filed.select("id", F.explode("hubs").alias("hub"))).distinct()
-    stored = components(stars, "id", "hub")
+    near = near_sets(filed, few)
+    names = filed.filter("keys is not null").groupBy("set").agg(F.min("id").alias("id"))
+    edges = near.join(names.select(F.col("set").alias("a"), F.col("id").alias("x")), "a").join(names.select(F.col("set").alias("b"), F.col("id").alias("y")), "b")
+    stored = components(edges, "x", "y")
+    discard(near)
     blocks = stored.withColumnRenamed("node", "id").withColumnRenamed("root", "block")
     shards = blocks.groupBy("block").agg(F.ceil(F.count("*") / F.lit(float(shard))).cast("int").alias("shards"))
     placed = blocks.join(shards, "block").withColumn("own", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
