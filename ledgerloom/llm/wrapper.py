@@ -1,16 +1,19 @@
 """Main text of pages by wrapper induction.
 
-Pages of a host share a template. A few pages of every host serve as its samples;
-each page is aligned with them by simple tree matching, which maps nodes of two DOM
-trees onto each other in order, level by level. A block whose text stands in the
-matched place of the samples is constant, so part of the template; what varies is
-content. Elements that never hold an article (menus, headers, footers, forms,
-scripts, comments and the like) are left out by name and by class.
+Pages of a host and a layout share a template; a layout is known by the classes of its
+larger elements. A few pages of every layout serve as its samples; each page is aligned
+with them by simple tree matching, which maps nodes of two DOM trees onto each other in
+order, level by level. A block whose text stands in the matched place of the samples is
+constant, so part of the template; what varies is content. Elements that never hold an
+article (menus, headers, footers, forms, scripts, comments and the like) are left out by
+name and by class. Where that would leave nothing of a page, the outermost forms and
+classes around it are not taken for marks. Trees of any depth are worked on in loops.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from html.parser import HTMLParser
 
@@ -19,8 +22,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.llm.common import written
 
-# Samples of a host: its pages with the least hashes.
+# Samples of a layout: its pages with the least hashes.
 SAMPLES = 5
+# Elements whose classes tell layouts apart.
+LAYOUT = r"""(?i)<(?:div|section|main|article|nav|header|footer|aside|form)\b[^>]*?\bclass\s*=\s*["']?([\w\x20-]+)"""
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,16 +53,21 @@ MARKS = re.compile(
 #: Classes that only say that a page has such a part.
 ABOUT = re.compile(r"^(?:has|with|without|no|hide|show)[_-]", re.I)
 OF_ARTICLES = re.compile(r"(?:^|[_-])(?:comments?|replies|related\w*|recommend\w*|promo\w*|ads?|advert\w*|sponsor\w*|teasers?)(?:$|[_-])", re.I)
+PLAIN = frozenset("div section p ul ol dl table tbody tr td blockquote span main article".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SPACE = re.compile(r"\s+")
 
 
+#: Marks that hold nothing but what they say, however much of it there is.
+NEVER = re.compile(r"(?:^|[_-])(?:comments?|disqus|replies|respond|cookies?\w*|consent|gdpr|popup\w*|modal\w*|overlay|breadcrumbs?)(?:$|[_-])", re.I)
+
+
 class Node:
-    __slots__ = ("tag", "mark", "children", "text", "parent", "key")
+    __slots__ = ("tag", "mark", "soft", "children", "text", "parent", "key")
 
-    def __init__(self, tag: str, mark: bool = False, parent: Node | None = None):
-        self.tag, self.mark, self.parent = tag, mark, parent
+    def __init__(self, tag: str, mark: bool = False, parent: Node | None = None, soft: bool = False):
+        self.tag, self.mark, self.parent, self.soft = tag, mark, parent, soft
         self.children: list[Node] = []
         self.text, self.key = "", None
 
@@ -70,6 +80,8 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("#root")
         self.words: list[str] = []
         self.skip: list[str] = []
+        # How many elements of a name are open.
+        self.open: Counter = Counter()
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.words)).strip()
@@ -102,9 +114,29 @@ class _Builder(HTMLParser):
                 self._close(CLOSES[tag])
             if tag == "hr" or tag in ("html", "body"):
                 return
-            node = Node(tag, tag in BOILERPLATE or self._marked(tag, attrs), self.at)
+            marked = self._marked(tag, attrs)
+            mark = tag in BOILERPLATE or marked
+            node = Node(tag, mark, self.at, mark and tag in ("form", *PLAIN) and not self._never(attrs))
             self.at.children.append(node)
             self.at = node
+            self.open[tag] += 1
+
+    def _never(self, attrs) -> bool:
+        """Whether a mark is more than a form or a class."""
+        for name, value in attrs:
+            if name in ("hidden", "role", "aria-hidden") or name == "style" and HIDDEN.search(value or ""):
+                return True
+            if name in ("class", "id") and any(NEVER.search(token) for token in (value or "").split()):
+                return True
+        return False
+
+    def _leave(self, node: Node) -> None:
+        """Close the elements from the open one up to ``node``."""
+        at = self.at
+        while at is not node.parent:
+            self.open[at.tag] -= 1
+            at = at.parent
+        self.at = at
 
     def _marked(self, tag, attrs) -> bool:
         if tag in ("body", "html"):
@@ -122,13 +154,16 @@ class _Builder(HTMLParser):
         return False
 
     def _close(self, tags: set[str]) -> None:
-        node = self.at
-        while node.parent is not None and node.tag not in SCOPES | tags:
-            node = node.parent
-        if node.tag in tags:
-            self.at = node.parent
-            if self.at.tag in tags:
-                self._close(tags)
+        stops = SCOPES | tags
+        while True:
+            node = self.at
+            while node.parent is not None and node.tag not in stops:
+                node = node.parent
+            if node.tag not in tags or node.parent is None:
+                return
+            self._leave(node)
+            if self.at.tag not in tags:
+                return
 
     def handle_endtag(self, tag):
         if self.skip:
@@ -137,12 +172,12 @@ class _Builder(HTMLParser):
             elif tag in ("body", "html") and self.skip[-1] not in ("script", "style"):
                 self.skip = []
             return
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
+        if self.open[tag]:
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
             self.flush()
-            self.at = node.parent
+            self._leave(node)
         elif tag in BLOCKS:
             self.flush()
 
@@ -164,60 +199,85 @@ def parse(html: str) -> Node:
 def _key(node: Node) -> int:
     """Hash of the whole subtree, for the equality of subtrees."""
     if node.key is None:
-        node.key = hash((node.tag, node.text, tuple([_key(c) for c in node.children])))
+        order, stack = [], [node]
+        while stack:
+            at = stack.pop()
+            order.append(at)
+            stack += [c for c in at.children if c.key is None]
+        for at in reversed(order):
+            at.key = hash((at.tag, at.text, tuple([c.key for c in at.children])))
     return node.key
 
 
-def _weight(a: Node, b: Node, known: dict) -> int:
-    """Nodes that simple tree matching maps onto each other; leaves of equal text weigh double."""
-    if a.tag != b.tag:
-        return 0
-    if not a.children or not b.children:
-        return 1 + (a.text == b.text and a.tag == "#text")
-    if len(a.children) == 1 == len(b.children):
-        return 1 + _weight(a.children[0], b.children[0], known)
-    pair = (id(a), id(b))
-    if pair not in known:
-        known[pair] = 1 + sum(w for _, _, w in _pairs(a, b, known))
-    return known[pair]
-
-
-def _pairs(a: Node, b: Node, known: dict) -> list[tuple[Node, Node, int]]:
-    """The children mapped onto each other, in order, so that the most nodes are mapped; equal ends first."""
+def _middle(a: Node, b: Node) -> tuple[int, int]:
+    """How many children at the begin and at the end are equal, one by one."""
     x, y = a.children, b.children
-    lo, hi, found = 0, 0, []
-    least = min(len(x), len(y))
+    lo, hi, least = 0, 0, min(len(x), len(y))
     while lo < least and _key(x[lo]) == _key(y[lo]):
-        found.append((x[lo], y[lo], 1))
         lo += 1
     while hi < least - lo and _key(x[-1 - hi]) == _key(y[-1 - hi]):
-        found.append((x[-1 - hi], y[-1 - hi], 1))
         hi += 1
-    x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
-    weights = [[_weight(c, d, known) for d in y] for c in x]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below, own = best[i], best[i + 1], weights[i]
-        for j in range(len(y) - 1, -1, -1):
-            value = below[j] if below[j] >= row[j + 1] else row[j + 1]
-            if own[j] and below[j + 1] + own[j] > value:
-                value = below[j + 1] + own[j]
-            row[j] = value
-    i = j = 0
-    while i < len(x) and j < len(y):
-        if best[i][j] == best[i + 1][j]:
-            i += 1
-        elif best[i][j] == best[i][j + 1]:
-            j += 1
-        else:
-            found.append((x[i], y[j], weights[i][j]))
-            i, j = i + 1, j + 1
-    return found
+    return lo, hi
+
+
+class Matching:
+    """Simple tree matching of two trees: the weight of every pair of nodes that may be mapped onto each other.
+
+    The weight is the number of nodes mapped below and at the pair, leaves of equal text
+    double. Pairs are found from the roots down and worked out from the leaves up.
+    """
+
+    def __init__(self, a: Node, b: Node):
+        self.known: dict[tuple[int, int], int] = {}
+        todo, seen = [(a, b)], {(id(a), id(b))}
+        for x, y in todo:
+            lo, hi = _middle(x, y)
+            below = y.children[lo : len(y.children) - hi]
+            for c in x.children[lo : len(x.children) - hi]:
+                for d in below:
+                    if c.tag == d.tag and c.children and d.children and (id(c), id(d)) not in seen:
+                        seen.add((id(c), id(d)))
+                        todo.append((c, d))
+        for x, y in reversed(todo):
+            self.known[id(x), id(y)] = 1 + sum(w for _, _, w in self.pairs(x, y))
+
+    def weight(self, a: Node, b: Node) -> int:
+        if a.tag != b.tag:
+            return 0
+        if not a.children or not b.children:
+            return 1 + (a.text == b.text and a.tag == "#text")
+        return self.known[id(a), id(b)]
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node, int]]:
+        """The children mapped onto each other, in order, so that the most nodes are mapped; equal ends first."""
+        lo, hi = _middle(a, b)
+        x, y = a.children, b.children
+        found = [(c, d, 1) for c, d in zip(x[:lo], y[:lo])] + [(c, d, 1) for c, d in zip(x[len(x) - hi :], y[len(y) - hi :])]
+        x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+        weights = [[self.weight(c, d) for d in y] for c in x]
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            row, below, own = best[i], best[i + 1], weights[i]
+            for j in range(len(y) - 1, -1, -1):
+                value = below[j] if below[j] >= row[j + 1] else row[j + 1]
+                if own[j] and below[j + 1] + own[j] > value:
+                    value = below[j + 1] + own[j]
+                row[j] = value
+        i = j = 0
+        while i < len(x) and j < len(y):
+            if best[i][j] == best[i + 1][j]:
+                i += 1
+            elif best[i][j] == best[i][j + 1]:
+                j += 1
+            else:
+                found.append((x[i], y[j], weights[i][j]))
+                i, j = i + 1, j + 1
+        return found
 
 
 def constant_leaves(page: Node, sample: Node) -> set[int]:
     """Text leaves of the page that are mapped onto leaves of the sample with the same text."""
-    known: dict = {}
+    matching = Matching(page, sample)
     found: set[int] = set()
     todo = [(page, sample)]
     while todo:
@@ -225,7 +285,7 @@ def constant_leaves(page: Node, sample: Node) -> set[int]:
         if _key(a) == _key(b):
             found.update(id(leaf) for leaf in leaves(a))
         elif a.tag == b.tag:
-            todo += [(c, d) for c, d, _ in _pairs(a, b, known)]
+            todo += [(c, d) for c, d, _ in matching.pairs(a, b)]
     return found
 
 
@@ -243,8 +303,28 @@ def blocks(page: Node) -> list[Node]:
     """Text leaves outside boilerplate, in order; only those of articles if the page marks articles.
 
     An article inside boilerplate counts if there is no other: the boilerplate around
-    it was not closed then.
+    it was not closed then. A page that is empty so is looked at again without the
+    outermost of its forms and marked classes, as often as there are such.
     """
+    while True:
+        found = _unmarked(page)
+        if found or not _lift(page):
+            return found
+
+
+def _lift(page: Node) -> bool:
+    """Take the mark from the outermost elements that are marked as a form or by class only; whether there were any."""
+    lifted, stack = False, [page]
+    while stack:
+        node = stack.pop()
+        if node.mark and node.soft:
+            node.mark, lifted = False, True
+        elif not node.mark:
+            stack += node.children
+    return lifted
+
+
+def _unmarked(page: Node) -> list[Node]:
     articles, open_marks, stack = [], set(), [(page, False)]
     while stack:
         node, marked = stack.pop()
@@ -305,13 +385,14 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """(key, url, text, n_chars, n_template): the main text of every page.
 
     Null html counts as empty and gives an empty text; pages without a host are a host
-    of their own. A host's samples are those of its pages whose html has the least
-    hashes, distinct ones. Hosts of more pages than an average task are dealt into shards, and the
-    samples go along with every shard. Repeated rows are pages of their own; an empty
+    of their own. The samples of a host's layout are those of its pages whose html has the
+    least hashes, distinct ones. Layouts of more pages than an average task are dealt into
+    shards, and the samples go along with every shard. Repeated rows are pages of their own; an empty
     table gives an empty result; other columns are left out.
     """
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.withColumn("host", host(F.col("url"))).withColumn("h", F.xxhash64("html"))
+    layout = F.xxhash64(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit(LAYOUT), F.lit(1)))))
+    rows = rows.withColumn("host", F.concat(host(F.col("url")), F.lit(" "), layout.cast("string"))).withColumn("h", F.xxhash64("html"))
     # Least hashes of every host: from every task the least ones only, then of those.
     counts = rows.groupBy("host").agg(F.count("*").alias("n"))
     salted = rows.filter("html <> ''").select("host", "h", F.pmod("h", F.lit(64)).alias("salt")).distinct()
