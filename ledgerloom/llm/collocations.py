@@ -1,8 +1,9 @@
 """Phrase collocations by prefix-free parsing: n-grams are counted in distinct chunks, weighted by their frequency.
 
-Parsing. A text is a row of words with breaks at punctuation. Wherever the hash of two
-neighbouring words hits a trigger value, a chunk begins; so equal passages fall into
-equal chunks wherever they stand. A chunk owns the n-grams that begin in it, before
+Parsing. A text is a row of words with breaks at punctuation, and, as no frequent phrase
+holds a rare word, at words that are rare in the whole corpus; a word alone between
+breaks goes. Wherever the hash of two neighbouring words hits a trigger value, a chunk
+begins; so equal passages fall into equal chunks wherever they stand. A chunk owns the n-grams that begin in it, before
 the next trigger, and carries the few words after that which they reach into. Chunks
 overlap by these words, and each n-gram still belongs to one chunk.
 
@@ -25,7 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import discard, written
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 # A longer phrase hides a part of it when it has this share of the part's occurrences, in percent.
@@ -67,18 +68,40 @@ def _is(tokens: pa.Array, token: str) -> np.ndarray:
     return pc.equal(tokens, token).to_numpy(zero_copy_only=False)
 
 
-def parse(texts: pa.Array, longest: int, hashes: Hashes) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(row, chunk, words that it owns): words with a space between them, and a line break between pieces."""
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, int]:
+    """(code and text of every word and break, the token of every code, the code of a break)."""
     lower = pc.ascii_lower(pc.fill_null(texts, ""))
     spaced = pc.replace_substring(pc.replace_substring_regex(lower, BREAKS, " \n "), "\t", " ")
     codes, row, tokens = _codes(spaced)
     keep = ~_is(tokens, "")[codes]
-    codes, row = codes[keep], row[keep]
+    tokens = pa.concat_arrays([tokens, pa.array(["\n"])])
+    stop = len(tokens) - 1
+    # One code for all breaks.
+    code_of = np.where(_is(tokens, "\n"), stop, np.arange(stop + 1))
+    return code_of[codes[keep]], row[keep], tokens, stop
+
+
+def parse(texts: pa.Array, longest: int, hashes: Hashes, langs: list[str] | None = None, words: Marks | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(text, chunk, words that it owns): words with a space between them, and a line break between pieces.
+
+    With ``words``, the bitmap of frequent words of ``langs``, the others are breaks too.
+    """
+    codes, row, tokens, stop = _tokens(texts)
+    h = np.array([hashes[token] for token in tokens.to_pylist()], np.uint64)
+    is_break = codes == stop
+    if words is not None and len(codes):
+        lang = np.array([hashes[name] for name in langs], np.uint64)
+        is_break = is_break | ~words.has(_phrase(lang[row], [h[codes]]))
+    # A word without a neighbour is in no phrase, and one break says as much as several.
+    same = row[1:] == row[:-1]
+    joined = ~is_break[1:] & ~is_break[:-1] & same
+    is_break = ~(np.r_[False, joined] | np.r_[joined, False])[: len(codes)]
+    keep = ~is_break | np.r_[False, ~is_break[:-1] & same][: len(codes)]
+    codes, row, is_break = np.where(is_break, stop, codes)[keep], row[keep], is_break[keep]
     n = len(codes)
     if not n:
         return np.empty(0, np.int64), pa.array([], pa.string()), np.empty(0, np.int64)
-    h = np.array([hashes[token] for token in tokens.to_pylist()], np.uint64)[codes]
-    is_break = _is(tokens, "\n")[codes]
+    h = h[codes]
     begins = np.ones(n, bool)
     # A pair of tokens that hits the trigger ends a chunk; so does the end of a text.
     pairs = _mix(h[:-1] * np.uint64(3) + h[1:]) % np.uint64(TRIGGER) == 0
@@ -93,8 +116,8 @@ def parse(texts: pa.Array, longest: int, hashes: Hashes) -> tuple[np.ndarray, pa
     stops = np.flatnonzero(np.r_[is_break, True] | np.r_[False, row[1:] != row[:-1], True])
     reach = np.minimum(ends + longest - 1, stops[np.searchsorted(stops, ends)])
     reach = np.where(is_break[ends - 1], ends, reach)
-    words = np.r_[0, np.cumsum(~is_break)]
-    owned = words[ends] - words[starts]
+    count = np.r_[0, np.cumsum(~is_break)]
+    owned = count[ends] - count[starts]
     some = owned > 0
     starts, reach, owned = starts[some], reach[some], owned[some]
     size = reach - starts
@@ -114,19 +137,42 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         lo = hi
 
 
-def dictionary(docs: DataFrame, text: str, lang: str, longest: int) -> DataFrame:
-    """(lang, chunk, own, n): the distinct chunks with their frequency."""
+def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
+
+
+def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, phrase, f): every word with its occurrences."""
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch, 1):
+                codes, row, tokens, stop = _tokens(part.column(1))
+                langs = part.column(0).dictionary_encode()
+                lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                some = codes != stop
+                ids, pairs = pd.factorize(lang[row[some]] << 32 | codes[some])
+                if len(pairs):
+                    arrays = [langs.dictionary.take(pa.array(pairs >> 32)), tokens.take(pa.array(pairs & 0xFFFFFFFF)), pa.array(np.bincount(ids))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "f"])
+
+    counts = _rows(docs, text, lang).mapInArrow(run, "lang string, phrase string, f bigint")
+    return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def dictionary(docs: DataFrame, text: str, lang: str, longest: int, words: Marks) -> DataFrame:
+    """(lang, chunk, own, n): the distinct chunks of frequent words with their frequency."""
+    marks = docs.sparkSession.sparkContext.broadcast(words)
+
     def run(batches):
         hashes = Hashes()
         for batch in batches:
             for part in _slices(batch, 1):
-                row, chunks, own = parse(part.column(1), longest, hashes)
+                row, chunks, own = parse(part.column(1), longest, hashes, part.column(0).to_pylist(), marks.value)
                 langs = part.column(0).take(pa.array(row))
                 for lo in range(0, len(row), ROWS):
                     yield pa.RecordBatch.from_arrays([langs.slice(lo, ROWS), chunks.slice(lo, ROWS), pa.array(own[lo : lo + ROWS], pa.int32())], names=["lang", "chunk", "own"])
 
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    chunks = rows.mapInArrow(run, "lang string, chunk string, own int")
+    chunks = _rows(docs, text, lang).mapInArrow(run, "lang string, chunk string, own int")
     return chunks.groupBy("lang", "chunk", "own").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -259,17 +305,22 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     table gives an empty result, as do languages without candidates; other columns are
     left out.
     """
-    chunks = written(dictionary(docs, text, lang, longest), "chunks")
-    totals = chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
-    found, known = [], None
-    for sizes in (range(1, 2), range(2, 3), range(3, longest + 1)):
+    words = written(word_counts(docs, text, lang), "words")
+    totals = written(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+    found = [written(words.filter(F.col("f") >= least), "phrases-1")]
+    discard(words)
+    chunks = written(dictionary(docs, text, lang, longest, marked(found[0])), "chunks")
+    known = None
+    for sizes in (range(2, 3), range(3, longest + 1)):
         if len(sizes):
             found.append(written(frequent(chunks, sizes, least, known), f"phrases-{sizes.start}"))
-            known = (sizes.start, marked(found[-1]))
+            known = (sizes.start, marked(found[-1])) if sizes.stop <= longest else None
+    discard(chunks)
     counts = found[0]
     for more in found[1:]:
         counts = counts.unionByName(more)
     counts = written(counts.withColumn("size", F.size(F.split("phrase", " "))), "phrases")
+    discard(*found)
     candidates = counts.filter("size > 1").withColumnRenamed("f", "a")
     words = F.split("phrase", " ")
     # What a phrase hides: frequencies only fall with length, so parts of one word less are enough.
