@@ -25,11 +25,10 @@ def top_k(
     Two rounds: the winners of each (key, salt) first, so that the rows of a hot
     key are sorted by many tasks, then at most ``k * salts`` rows per key.
     ``spread`` names the columns (a row id, usually) that the salt is taken from.
+    Spark cuts groups before the shuffle for a ``k`` up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000); for a greater one the salts
+    alone keep a hot key from one task.
     """
-    # Spark only cuts groups before the shuffle up to this many rows.
-    limit, conf = "spark.sql.optimizer.windowGroupLimitThreshold", df.sparkSession.conf
-    if int(conf.get(limit, "1000")) < k:
-        conf.set(limit, str(k))
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts or salts_of(df))))
     first = Window.partitionBy(*keys, "__salt").orderBy(*order)
     local = salted.withColumn("__local", F.row_number().over(first)).filter(F.col("__local") <= k)

@@ -240,7 +240,7 @@ def nearest_scale(spark, sf):
 @query(f"""
 WITH {PARSED}
 SELECT accession_number, chunk_index, chunk_index * 1.5::DOUBLE * CASE WHEN lower(scale) LIKE '%in thousands%' THEN 1e3
-  WHEN lower(scale) LIKE '%in millions%' THEN 1e6 ELSE 1 END AS figure
+  WHEN lower(scale) LIKE '%in millions%' THEN 1e6 WHEN lower(scale) LIKE '%in billions%' THEN 1e9 ELSE 1 END AS figure
 FROM scales""")
 def scaled_figures(spark, sf):
     index = F.col("chunk_index").cast("bigint")

@@ -326,6 +326,7 @@ def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.when(rule == 0, F.concat(F.lit("\n(amounts in millions, except item "), F.col("chunk_index"), F.lit(" ; ) x\n")))
         .when(rule == 1, "\nDollars in\n  thousands here")
         .when(rule == 2, "\nOne in millions of shoppers")
+        .when(rule == 3, "\nAll figures are stated in billions of euros")
         .otherwise("")
     )
     rows = chunks(texts)
@@ -360,6 +361,7 @@ chunk_rows AS (
            WHEN 0 THEN chr(10) || '(amounts in millions, except item ' || chunk_index || ' ; ) x' || chr(10)
            WHEN 1 THEN chr(10) || 'Dollars in' || chr(10) || '  thousands here'
            WHEN 2 THEN chr(10) || 'One in millions of shoppers'
+           WHEN 3 THEN chr(10) || 'All figures are stated in billions of euros'
            ELSE '' END AS content
   FROM plain_chunks
 )"""

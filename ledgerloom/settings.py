@@ -84,7 +84,6 @@ CHUNK_CHARS = 2_000
 CHUNK_OVERLAP = 200
 CHARS_PER_TOKEN = 1.8
 TOKEN_BUDGET = 27_000
-TOKEN_CAP = 30_000
 RATE_WINDOW_SECONDS = 60
 EMBEDDING_DIM = 768
 
@@ -127,15 +126,11 @@ TOLERANCE = 0.01
 ZERO_TOLERANCE = 1.0
 SCALE_FACTORS = ((1e3, "1e+03"), (1e6, "1e+06"), (1e9, "1e+09"))
 SCORED_FIELDS = ("revenue", "net income", "revenue YoY", "net income YoY")
-OVERLOAD_LIMIT = 3
 UNCHANGED_POINTS = 0.05
 
 # --- Fixed values: metering -----------------------------------------------
 DAILY_CAP = 200
-FILINGS_TTL_SECONDS = 900
-FINANCIALS_TTL_SECONDS = 3_600
 RECENT_ITEMS = 5
-WATCH_ITEMS = 20
 MAX_RETRY_SECONDS = 120.0
 RETRY_DELAY_PATTERN = r"""retryDelay['"]?\s*[:=]\s*['"]?(\d+(?:\.\d+)?)s"""
 DAILY_QUOTA_PATTERN = r"(?i)quota exceeded for metric:\s*\S*_requests\b"
