@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,15 +38,22 @@ BATCH = 4 << 20
 
 _words = re.compile(r"[^\x20\x09-\x0D]+")
 _gap = re.compile(r"[\x20\x09-\x0D]")
-# A word in front of marks: the tokenizer cuts between a Latin letter and a run of marks (but for the one
-# whose small form ends in a mark). Apostrophes begin endings of their own and "<|" may begin a special
-# token, so words with these stay whole.
-_marked = re.compile(r"([^'<]*[A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-&(-/:;=-@\[-`{-~]+)\Z")
-_plain = re.compile(r"[A-Za-z]+\Z")
+# Words of printable ASCII and Latin letters; the one letter whose small form has two characters is left out.
+_latin = re.compile(r"[!-~À-ÖØ-öø-įı-ɏ]+\Z")
+#: Fixed values of the vocabulary: how it cuts lower-case text, for the characters of such words.
+_cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏⱥⱦ]+|[0-9]|[^a-zß-öø-ɏⱥⱦ0-9]+").findall
+#: Fixed values of the vocabulary: bytes that stand for themselves; the others follow from 256 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_SHOWN = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class Ids:
-    """Words to their ids as little-endian unsigned 32-bit numbers."""
+    """Words to their ids as little-endian unsigned 32-bit numbers.
+
+    Words of Latin letters, digits and marks are made small and cut here, and the model
+    of the vocabulary merges each part; all others, and those that might hold a special
+    token, go through the whole tokenizer.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,12 +62,26 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(list(words), add_special_tokens=False)
-        self.known.update((word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(words, found))
+    def _part(self, part: str) -> bytes:
+        found = self.known.get(part)
+        if found is None:
+            shown = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(_AS_SHOWN)
+            found = self.known[part] = array("I", [token.id for token in self.merge(shown)]).tobytes()
+        return found
+
+    def _learn(self, words: set[str]) -> None:
+        whole = []
+        for word in words:
+            if _latin.match(word) and "<|" not in word:
+                self.known[word] = b"".join([self._part(part) for part in _cut(word.lower())])
+            else:
+                whole.append(word)
+        for word, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            self.known[word] = array("I", e.ids).tobytes()
 
     def of_words(self, words: list[str]) -> bytes:
         if len(self.known) > KNOWN:
@@ -71,13 +93,7 @@ class Ids:
             known.update(zip(again, map(older.__getitem__, again)))
             new.difference_update(again)
         if new:
-            parts = {}
-            for word in new:
-                cut = _marked.match(word)
-                stem, marks = cut.groups() if cut else (word, "")
-                parts[word] = (stem.lower() if _plain.match(stem) else stem, marks)
-            self.learn({part for pair in parts.values() for part in pair if part and part not in known})
-            known.update({word: known[stem] + (known[marks] if marks else b"") for word, (stem, marks) in parts.items()})
+            self._learn(new)
         return b"".join(map(known.__getitem__, words))
 
     def of_text(self, text: str) -> bytes:
