@@ -2,10 +2,12 @@
 
 A merge can only be undone by bytes to its right through a chain of earlier rules,
 each of which joins a right end of what the later rule waits for. The longest such
-chain bounds how far ahead the tokens to the left of a place depend on the text:
-the sufficient lookahead of the merge list. So a piece of any length is encoded in
-windows: tokens that end a lookahead before the window's end are final, are given
-out, and the window moves on. Decoding runs an incremental byte-to-text machine.
+chain from the right ends of a token bounds how far ahead its end depends on the text:
+the sufficient lookahead of that token, worked out from the merge list; the greatest of
+them is that of the list. Every piece goes through the transducer: as soon as a token's
+lookahead has been read, no rule can join it to what follows, so it is given out with
+all before it, and only the rest is held. Decoding runs an incremental byte-to-text
+machine.
 
 Whole texts are walked in blocks, so memory does not grow with them beyond the
 text itself; pieces seen before come from a cache of bounded size.
@@ -57,7 +59,10 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: content.encode() for content, i in self.special.items()}
         self.longest = max(map(len, self.bytes_of.values()))
-        self.lookahead = sufficient_lookahead([(raw(a), raw(b)) for a, b in pairs])
+        after = lookaheads([(raw(a), raw(b)) for a, b in pairs])
+        self.lookahead = max(after.values(), default=0)
+        # By id: bytes after a token that make its end final.
+        self.after = {i: after.get(token, 0) for i, token in self.bytes_of.items()}
         self.window = 2 * (self.longest + self.lookahead)
 
     def merged(self, data: bytes) -> list[int]:
@@ -65,26 +70,33 @@ class Vocabulary:
         return merge([of_byte[b] for b in data], self.rules, self.made)
 
 
-def sufficient_lookahead(pairs: list[tuple[bytes, bytes]]) -> int:
-    """Bytes after a place that decide whether any rule merges across it.
+def lookaheads(pairs: list[tuple[bytes, bytes]]) -> dict[bytes, int]:
+    """For every token, the bytes after it that decide whether any rule merges across its end.
 
     A rule (u, v) needs v, and v stays whole unless an earlier rule joins one of the
-    right ends that v is built from with what follows: the need of that rule comes on top.
+    right ends that v is built from with what follows: the need of that rule comes on
+    top. A token's end is open to the rules of all its right ends and its own.
     """
     need: dict[bytes, int] = defaultdict(int)
     ends: dict[bytes, set[bytes]] = defaultdict(set)
-    most = 0
-    for u, v in pairs:
-        seen, open_ends = {v}, [v]
+
+    def right_ends(token: bytes) -> set[bytes]:
+        seen, open_ends = {token}, [token]
         while open_ends:
             for end in ends[open_ends.pop()] - seen:
                 seen.add(end)
                 open_ends.append(end)
-        own = len(v) + max(need[end] for end in seen)
-        need[u] = max(need[u], own)
+        return seen
+
+    for u, v in pairs:
+        need[u] = max(need[u], len(v) + max(need[end] for end in right_ends(v)))
         ends[u + v].add(v)
-        most = max(most, own)
-    return most
+    return {token: max(need[end] for end in right_ends(token)) for token in {*need, *ends, *[v for _, v in pairs]}}
+
+
+def sufficient_lookahead(pairs: list[tuple[bytes, bytes]]) -> int:
+    """Bytes after a place that decide whether any rule merges across it."""
+    return max(lookaheads(pairs).values(), default=0)
 
 
 def merge(symbols: list[int], rules: dict[tuple[int, int], int], made: list[int]) -> list[int]:
@@ -130,30 +142,34 @@ def merge(symbols: list[int], rules: dict[tuple[int, int], int], made: list[int]
 class Transducer:
     """Bytes in, tokens out as soon as no later byte can change them."""
 
+    # Bytes that are taken in before tokens are looked for.
+    STEP = 64
+
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.held = bytearray()
+        self.held, self.wait = bytearray(), self.STEP
 
     def push(self, data: bytes) -> Iterator[int]:
-        step = self.v.window
-        for at in range(0, len(data), step):
-            self.held += data[at : at + step]
-            while len(self.held) >= step:
+        for at in range(0, len(data), self.STEP):
+            self.held += data[at : at + self.STEP]
+            if len(self.held) >= self.wait:
                 yield from self._stable()
 
     def _stable(self) -> Iterator[int]:
-        limit, end = len(self.held) - self.v.lookahead, 0
-        for token in self.v.merged(self.held):
-            size = len(self.v.bytes_of[token])
-            if end + size > limit:
-                break
-            end += size
-            yield token
-        del self.held[:end]
+        tokens = self.v.merged(self.held)
+        rest, last = 0, len(tokens)
+        # The last token whose lookahead is there; all before it are as final as its end.
+        while last and rest < self.v.after[tokens[last - 1]]:
+            last -= 1
+            rest += len(self.v.bytes_of[tokens[last]])
+        yield from tokens[:last]
+        del self.held[: len(self.held) - rest]
+        # Where nothing is final yet, more is read before the next look.
+        self.wait = max(self.STEP, 2 * rest)
 
     def finish(self) -> Iterator[int]:
         yield from self.v.merged(self.held)
-        self.held = bytearray()
+        self.held, self.wait = bytearray(), self.STEP
 
 
 class Pieces(dict):
@@ -161,18 +177,12 @@ class Pieces(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.v, self.older = vocabulary, {}
+        self.transducer, self.older = Transducer(vocabulary), {}
 
     def __missing__(self, piece: str) -> str:
         entry = self.older.get(piece)
         if entry is None:
-            data = piece.encode()
-            if len(data) < self.v.window:
-                ids = self.v.merged(data)  # the transducer would hold it to the end
-            else:
-                transducer = Transducer(self.v)
-                ids = [*transducer.push(data), *transducer.finish()]
-            entry = ",".join(map(str, ids))
+            entry = ",".join(map(str, [*self.transducer.push(piece.encode()), *self.transducer.finish()]))
         if len(piece) <= 32:
             if len(self) >= CACHE:
                 self.older = dict(self)

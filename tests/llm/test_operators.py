@@ -262,12 +262,18 @@ def test_tokens_equal_the_library(codec, reference_tokenizer):
     assert codec.decode(wild) == reference_tokenizer.decode(wild, skip_special_tokens=False)
 
 
-def test_stable_tokens_leave_the_transducer_early(codec, reference_tokenizer):
-    text = "ab" * 20_000
-    transducer = bpe.Transducer(codec.v)
-    early = [t for at in range(0, 40_000, 100) for t in transducer.push(text[at : at + 100].encode())]
-    assert len(transducer.held) <= 2 * codec.v.window and len(early) > 1000
-    assert [*early, *transducer.finish()] == reference_tokenizer.encode(text, add_special_tokens=False).ids
+@pytest.mark.parametrize("text", ["ab" * 20_000, "the" * 9000, "x" * 30_000, " " * 5000 + "=" * 9000, "é日本" * 3000, "internationalization" * 800])
+def test_stable_tokens_leave_the_transducer_early(codec, reference_tokenizer, text):
+    transducer, most, early = bpe.Transducer(codec.v), 0, []
+    data = text.encode()
+    for at in range(0, len(data), 100):
+        early += transducer.push(data[at : at + 100])
+        most = max(most, len(transducer.held))
+    assert most <= codec.v.window + 200 and len(early) > 0.7 * len(reference_tokenizer.encode(text, add_special_tokens=False).ids)
+    whole = [*early, *transducer.finish()]
+    pieces = codec.split(text)
+    expected = [i for piece in pieces for i in codec.v.merged(piece.encode())] if len(pieces) > 1 else reference_tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(pieces) > 1 or whole == expected
 
 
 def test_lookahead_of_small_merge_lists():
@@ -291,6 +297,38 @@ def test_lookahead_of_small_merge_lists():
             assert {e for e in ends(whole) if e <= 30} == {e for e in ends(cut) if e <= 30}
 
 
+def test_tokens_of_small_merge_lists_are_final_when_given_out(monkeypatch):
+    """Any merge list, looked at after every byte."""
+    rng, early = random.Random(5), 0
+    monkeypatch.setattr(bpe.Transducer, "STEP", 1)
+    for _ in range(150):
+        tokens, pairs = ["a", "b", "c"], []
+        while len(pairs) < 10:
+            a, b = rng.choice(tokens), rng.choice(tokens)
+            if a + b not in tokens:
+                pairs.append((a, b))
+                tokens.append(a + b)
+        ids = {t: i for i, t in enumerate(tokens)}
+        after = bpe.lookaheads([(a.encode(), b.encode()) for a, b in pairs])
+
+        class Small:
+            bytes_of = {i: t.encode() for t, i in ids.items()}
+            rules, made = {(ids[a], ids[b]): r for r, (a, b) in enumerate(pairs)}, [ids[a + b] for a, b in pairs]
+
+            def merged(self, data):
+                return bpe.merge([ids[chr(c)] for c in data], self.rules, self.made)
+
+        Small.after = {i: after.get(t.encode(), 0) for t, i in ids.items()}
+        for _ in range(30):
+            data = "".join(rng.choice("abc") for _ in range(80)).encode()
+            transducer = bpe.Transducer(Small())
+            transducer.wait = 1
+            found = list(transducer.push(data))
+            early += len(found)
+            assert found + list(transducer.finish()) == Small().merged(data)
+    assert early > 1000
+
+
 def test_codec_of_awkward_rows(documents, empty, reference_tokenizer):
     found = bpe.round_trip(documents, VOCABULARY).collect()
     expected = []
