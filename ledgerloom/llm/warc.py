@@ -10,8 +10,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,7 +25,10 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
-RECORDS_PER_FILE = 4096
+# Records in an archive, fewer if so many bytes are fewer records on average.
+RECORDS_PER_FILE, FILE_BYTES = 4096, 256 << 20
+# Bytes of blocks in a batch that a reader gives out.
+BATCH = 4 << 20
 
 RECORD = (
     "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, date string, "
@@ -102,7 +107,7 @@ def capture_records(pages: DataFrame, key: str = "page_id", url: str = "url", ht
 
 
 def write(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Archive files below ``path``; a file holds at most ``records_per_file`` records, so a reader can hold it."""
+    """Archive files below ``path``; a file holds at most ``records_per_file`` records, so a reader can hold it packed."""
     options = {"lineSep": END, "compression": "gzip", "maxRecordsPerFile": records_per_file}
     records.write.options(**options).text(path)
 
@@ -110,21 +115,25 @@ def write(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FIL
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record; stops with an error at anything else."""
-    at = 0
-    while at < len(data):
-        head_end = data.index(b"\r\n\r\n", at) + 2
-        line_end = data.index(b"\r\n", at) + 2
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        headers = {k.decode().lower(): v.decode() for k, v in _HEADER.findall(data, line_end, head_end)}
-        begin = head_end + 2
-        end = begin + int(headers["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        yield headers, data[begin:end]
-        at = end + 4
+def parse(source: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of every record, read one after the other; stops with an error at anything else."""
+    stream = io.BytesIO(source) if isinstance(source, bytes) else source
+    n = 0
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"record {n} does not begin with a version")
+        head = bytearray()
+        while (line := stream.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError(f"the headers of record {n} do not end")
+            head += line
+        headers = {k.decode().lower(): v.decode() for k, v in _HEADER.findall(head)}
+        length = int(headers["content-length"])
+        block = stream.read(length)
+        if len(block) < length or stream.read(4) != END.encode():
+            raise ValueError(f"record {n} does not end where its length says")
+        yield headers, block
+        n += 1
 
 
 def _row(headers: dict[str, str], block: bytes) -> tuple:
@@ -152,17 +161,27 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         *[pa.string()] * 7, pa.binary(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.bool_(),
     ]
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows))
+        arrays = [pa.array([list(v.items()) for v in c] if i == 9 else list(c), types[i]) for i, c in enumerate(columns)]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
     def run(batches):
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                rows = [_row(headers, block) for headers, block in parse(data)]
-                for at in range(0, len(rows), 512):
-                    columns = list(zip(*rows[at : at + 512]))
-                    if not payloads:
-                        columns[7] = [None] * len(columns[7])
-                    arrays = [pa.array([list(v.items()) for v in c] if i == 9 else list(c), types[i]) for i, c in enumerate(columns)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+            # A file is held as it lies on disk, and its records one batch at a time.
+            for file in range(batch.num_rows):
+                stream = io.BytesIO(batch.column(0)[file].as_py())
+                packed = stream.getbuffer()[:2] == b"\x1f\x8b"
+                rows, size = [], 0
+                for headers, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=stream)) if packed else stream):
+                    row = _row(headers, block)
+                    rows.append(row if payloads else (*row[:7], None, *row[8:]))
+                    size += len(block) if payloads else 0
+                    if len(rows) >= 512 or size >= BATCH:
+                        yield out(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield out(rows)
 
     return files.mapInArrow(run, RECORD)
 
@@ -191,7 +210,10 @@ def archive(pages: DataFrame, path: str | None = None, least_bytes: int = 0) ->
     """
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
-    write(capture_records(pages, least_bytes=least_bytes), path)
+    # Three records for a page.
+    bytes_per_page = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    fit = int(3 * FILE_BYTES // max(bytes_per_page, 1))
+    write(capture_records(pages, least_bytes=least_bytes), path, min(RECORDS_PER_FILE, max(fit, 3)))
     return assemble(read(spark, path, payloads=False))
 
 
