@@ -120,6 +120,56 @@ links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON
     GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id FROM listed JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) USING (doc_id)""",
+    "op9_suffix_dedup": """
+WITH coded AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT doc_id, i, array_slice(b, i + 1, i + 50) AS w FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 49)) AS i FROM coded WHERE octet_length(b) >= 50)),
+firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, -1) AS opens FROM windows JOIN firsts USING (w) WHERE first < doc_id),
+runs AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e FROM (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS s, s AS e FROM runs
+  UNION ALL SELECT doc_id, coalesce(max(e), 0), any_value(octet_length(b)) FROM coded LEFT JOIN runs USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN e > s THEN hex(array_slice(b, s + 1, e)) ELSE '' END, '' ORDER BY s, e) AS k FROM gaps JOIN coded USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(e - s) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM coded LEFT JOIN sums USING (doc_id) JOIN kept USING (doc_id)""",
+    "op12_conversation_repair": """
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+      lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps FROM conversations),
+coded AS (SELECT *, xor(list_reduce(steps, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c // 2, (c % 2) * 3988292384) END), 4294967295) % 20 AS kind FROM named),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy
+  FROM coded, range(2) AS r(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(role)) || ':' || role || text), copy) AS i,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, left(role, 1) AS initial FROM damaged),
+judged AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+ways AS (SELECT * FROM (VALUES (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')) AS w(s, t, wanted)),
+moves AS (
+  SELECT conv_id, i, w.s, w.s AS t, 4 AS cost, 'D' AS edit, '' AS lines FROM judged, ways w
+  UNION ALL SELECT conv_id, i, s, CASE WHEN initial = 's' THEN 1 ELSE t END, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', chr(10) || role || ':' || text
+    FROM judged, ways WHERE fault IN ('', 'truncated') AND (initial = wanted OR initial = 's' AND s = 0)
+  UNION ALL SELECT conv_id, i, s, t, CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R', chr(10) || CASE wanted WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text
+    FROM judged, ways WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT conv_id, i, a.s, b.t, CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'IK', chr(10) || CASE a.wanted WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10) || role || ':' || text
+    FROM judged, ways a JOIN ways b ON b.s = a.t WHERE fault IN ('', 'truncated') AND initial = b.wanted
+  UNION ALL SELECT conv_id, i, a.s, b.t, CASE fault WHEN 'truncated' THEN 9 ELSE 6 END, 'IR',
+      chr(10) || CASE a.wanted WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10) || CASE b.wanted WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text
+    FROM judged, ways a JOIN ways b ON b.s = a.t WHERE fault IN ('', 'truncated')),
+best AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, {'cost': 0, 'audit': '', 'lines': ''} AS way FROM judged
+  UNION ALL
+  SELECT b.conv_id, m.i, m.t, min({'cost': way.cost + m.cost, 'audit': way.audit || m.edit, 'lines': way.lines || m.lines})
+  FROM best b JOIN moves m ON m.conv_id = b.conv_id AND m.i = b.i + 1 AND m.s = b.state GROUP BY b.conv_id, m.i, m.t),
+ended AS (SELECT b.conv_id, min({'cost': way.cost + tail.cost, 'audit': way.audit || tail.audit, 'lines': way.lines || tail.lines}) AS way
+  FROM best b JOIN (SELECT conv_id, max(i) AS n FROM judged GROUP BY conv_id) l ON l.conv_id = b.conv_id AND l.n = b.i
+  JOIN (VALUES (0, 0, '', ''), (1, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 3, 'I', chr(10) || 'assistant:'), (3, 0, '', '')) AS tail(s, cost, audit, lines)
+    ON tail.s = b.state GROUP BY b.conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(way.cost, 0) AS BIGINT) AS cost, coalesce(way.audit, '') AS audit, sha256(substr(coalesce(way.lines, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN ended USING (conv_id)""",
     "op13_collocations": """
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
