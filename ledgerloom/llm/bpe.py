@@ -26,12 +26,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ledgerloom.llm.common import by_bytes
+
 #: Fixed values of the byte-level format: its split pattern and the bytes that stand for themselves.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 BLOCK = 1 << 16
-CACHE = 1 << 18
+CACHE = 1 << 17
+# Bytes of texts whose ids are held at once.
+HELD = 1 << 20
 NONE = 1 << 60
 
 
@@ -262,8 +266,9 @@ def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", name: str =
     def run(batches):
         work = codec(shared.value)
         for batch in batches:
-            ids = [work.ids(t) for t in _texts(batch.column(text))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, name])
+            for part in by_bytes(batch, batch.schema.get_field_index(text), HELD):
+                ids = [work.ids(t) for t in _texts(part.column(text))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*part.schema.names, name])
 
     return rows.mapInArrow(run, schema)
 
@@ -292,11 +297,12 @@ def encode_checked(docs: DataFrame, tokenizer_file: str, text: str = "text") ->
     def run(batches):
         work = codec(shared.value)
         for batch in batches:
-            texts = _texts(batch.column(len(others)))
-            ids = [work.ids(t) for t in texts]
-            same = [work.decode(i) == t for i, t in zip(ids, texts)]
-            made = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*others, "n_tokens", "ids", "decodes"])
+            for part in by_bytes(batch, len(others), HELD):
+                texts = _texts(part.column(len(others)))
+                ids = [work.ids(t) for t in texts]
+                same = [work.decode(i) == t for i, t in zip(ids, texts)]
+                made = [pa.array([len(i) for i in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*others, "n_tokens", "ids", "decodes"])
 
     return docs.select(*others, text).mapInArrow(run, schema)
 

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ledgerloom.llm.common import discard, written
+from ledgerloom.llm.common import by_bytes, discard, written
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 # A longer phrase hides a part of it when it has this share of the part's occurrences, in percent.
@@ -127,16 +127,6 @@ def parse(texts: pa.Array, longest: int, hashes: Hashes, langs: list[str] | None
     return row[starts], pc.binary_join(listed, " "), owned
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about BYTES of text each; a longer text is a part of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    lo = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BYTES, "right")))
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def _rows(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
 
@@ -145,7 +135,7 @@ def word_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, phrase, f): every word with its occurrences."""
     def run(batches):
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in by_bytes(batch, 1, BYTES):
                 codes, row, tokens, stop = _tokens(part.column(1))
                 langs = part.column(0).dictionary_encode()
                 lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -166,7 +156,7 @@ def dictionary(docs: DataFrame, text: str, lang: str, longest: int, words: Marks
     def run(batches):
         hashes = Hashes()
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in by_bytes(batch, 1, BYTES):
                 row, chunks, own = parse(part.column(1), longest, hashes, part.column(0).to_pylist(), marks.value)
                 langs = part.column(0).take(pa.array(row))
                 for lo in range(0, len(row), ROWS):

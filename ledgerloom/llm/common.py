@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerloom.session import remove_folder, shared_folder
@@ -65,3 +70,13 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
     joined = ranges.withColumn("__inside", inside).join(starts, "__range")
     return joined.withColumn(name, F.col("__start") + F.col("__inside")).drop("__range", "__inside", "__start")
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of a text column each; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
