@@ -8,11 +8,12 @@ the next trigger, and carries the few words after that which they reach into. Ch
 overlap by these words, and each n-gram still belongs to one chunk.
 
 Counting. The distinct chunks form a dictionary with their frequency in the parse, and
-n-grams are counted once for each entry, times its frequency. That goes from short to
-long: no phrase is more frequent than a part of it, so longer ones are only counted
-where their parts may be frequent. A bitmap of fixed size tells where; it never denies
-a frequent part, so counts of frequent phrases are exact, and if the bitmap fills up
-only more is counted than need be.
+n-grams are counted once for each entry, times its frequency. Most are rare, so pairs and
+triples of words are first counted as short hashes, sorted and packed, and a bitmap of
+fixed size keeps the hashes that reach the limit. Phrases are then counted as text only
+where all their pairs and triples are in the bitmaps: no phrase is more frequent than a
+part of it. A bitmap never denies a frequent phrase, so counts are exact, and if it fills
+up only more is counted than need be.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.llm.common import by_bytes, discard, written
@@ -35,6 +37,9 @@ HIDES = 100
 TRIGGER, OWN = 16, 64
 # Bits of the bitmap of frequent phrases; 1 MiB whatever the input.
 BITS = 1 << 23
+# Bits of a short hash; entries that a task gathers before it adds them up; words of the corpus for each part of
+# the hashes, and the greatest number of parts.
+SHORT, GATHERED, PART, PARTS = 40, 1 << 22, 1 << 20, 1 << 16
 # Bytes of text that are parsed at once, words counted at once, words that a worker remembers, rows of a batch on its way out.
 BYTES, WORDS, KNOWN, ROWS = 2 << 20, 1 << 19, 1 << 19, 1 << 16
 
@@ -91,7 +96,7 @@ def parse(texts: pa.Array, longest: int, hashes: Hashes, langs: list[str] | None
     is_break = codes == stop
     if words is not None and len(codes):
         lang = np.array([hashes[name] for name in langs], np.uint64)
-        is_break = is_break | ~words.has(_phrase(lang[row], [h[codes]]))
+        is_break = is_break | ~words.has(_short(lang[row], [h[codes]]))
     # A word without a neighbour is in no phrase, and one break says as much as several.
     same = row[1:] == row[:-1]
     joined = ~is_break[1:] & ~is_break[:-1] & same
@@ -167,115 +172,205 @@ def dictionary(docs: DataFrame, text: str, lang: str, longest: int, words: Marks
 
 
 class Marks:
-    """A bitmap of fixed size in which every phrase has two bits."""
+    """A bitmap of fixed size in which every phrase has two bits, by its short hash."""
 
-    def __init__(self, words: np.ndarray):
-        self.words = words
+    def __init__(self, bits: DataFrame):
+        """From (word, bits) rows; a fixed number of words comes to the driver."""
+        table = bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        self.words = np.zeros(BITS // 64, np.uint64)
+        self.words[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
 
     @staticmethod
-    def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return hashes % np.uint64(BITS), (hashes >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) % np.uint64(BITS)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for place in self.places(hashes):
+    def places(short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _mix(short * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BITS), _mix(short + np.uint64(1)) % np.uint64(BITS)
+
+    @classmethod
+    def batch(cls, short: np.ndarray) -> pa.RecordBatch:
+        """(word, bits) of some hashes."""
+        places = np.concatenate(cls.places(short))
+        bits = (np.uint64(1) << (places & np.uint64(63))).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).astype(np.int32)), pa.array(bits)], names=["word", "bits"])
+
+    def has(self, short: np.ndarray) -> np.ndarray:
+        found = np.ones(len(short), bool)
+        for place in self.places(short):
             found &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) != 0
         return found
 
 
-def marked(phrases: DataFrame) -> Marks:
-    """The bitmap of (lang, phrase) rows; its words, a fixed number of them, come to the driver."""
-    def run(batches):
-        hashes = Hashes()
-        for batch in batches:
-            found = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = np.array([[hashes[w]] for w in phrase.split(" ")], np.uint64)
-                found.append(_phrase(np.array([hashes[lang]], np.uint64), list(words))[0])
-            places = np.concatenate(Marks.places(np.array(found, np.uint64)))
-            bits = (np.uint64(1) << (places & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).astype(np.int32)), pa.array(bits)], names=["word", "bits"])
-
-    bits = phrases.select("lang", "phrase").mapInArrow(run, "word int, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    table = bits.toArrow()
-    words = np.zeros(BITS // 64, np.uint64)
-    words[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-    return Marks(words)
-
-
-def _phrase(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """Hashes of phrases from those of their words, in order."""
+def _short(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Short hashes of phrases from the hashes of their language and words, in order."""
     h = _mix(lang)
     for word in words:
         h = _mix(h + word)
-    return h
-
-
-def _count(table: pa.Table, sizes: range, known: tuple[int, Marks] | None, hashes: Hashes) -> Iterator[list[pa.Array]]:
-    """(langs, phrases, sums) of the n-grams of ``sizes`` words that some distinct chunks own."""
-    codes, chunk, tokens = _codes(table["chunk"].combine_chunks())
-    langs = table["lang"].combine_chunks().dictionary_encode()
-    lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[chunk]
-    own, weight = table["own"].to_numpy(), table["n"].to_numpy()
-    is_word = ~_is(tokens, "\n")[codes]
-    before = np.cumsum(is_word) - is_word
-    starts = np.r_[0, np.flatnonzero(np.diff(chunk)) + 1]
-    owned = is_word & (before - before[starts][chunk] < own[chunk])
-    last = len(codes)
-    if known:
-        # may[i]: the phrase of so many words that stands at i may be frequent.
-        length, marks = known
-        h = np.array([hashes[token] for token in tokens.to_pylist()], np.uint64)
-        lang_h = np.array([hashes[name] for name in langs.dictionary.to_pylist()], np.uint64)
-        may = np.zeros(last, bool)
-        fits = is_word
-        for size in range(2, length + 1):
-            fits = fits[:-1] & is_word[size - 1 :] & (chunk[size - 1 :] == chunk[: last - size + 1])
-        some = np.flatnonzero(fits)
-        may[some] = marks.has(_phrase(lang_h[lang[some]], [h[codes[some + k]] for k in range(length)]))
-    fits = is_word
-    for size in range(1, sizes.stop):
-        if size > 1:
-            fits = fits[: last - size + 1] & is_word[size - 1 :] & (chunk[size - 1 :] == chunk[: last - size + 1])
-        if known and size >= length:
-            fits = fits & may[size - length : last - length + 1]
-        if size < sizes.start:
-            continue
-        at = np.flatnonzero(fits & owned[: len(fits)])
+    return h >> np.uint64(64 - SHORT)
+
+
+def marked_words(words: DataFrame) -> Marks:
+    """The bitmap of (lang, phrase) rows of single words."""
+    def run(batches):
+        hashes = Hashes()
+        for batch in batches:
+            lang, word = [np.array([hashes[x] for x in batch.column(i).to_pylist()], np.uint64) for i in range(2)]
+            yield Marks.batch(_short(lang, [word]))
+
+    return Marks(words.select("lang", "phrase").mapInArrow(run, "word int, bits bigint"))
+
+
+class Grams:
+    """The phrases that some distinct chunks own; ``marks`` has bitmaps of frequent phrases by their size."""
+
+    def __init__(self, table: pa.Table, marks: dict[int, Marks], hashes: Hashes):
+        self.marks = marks
+        self.codes, self.chunk, self.tokens = _codes(table["chunk"].combine_chunks())
+        self.langs = table["lang"].combine_chunks().dictionary_encode()
+        self.lang = self.langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[self.chunk]
+        own, self.n = table["own"].to_numpy(), table["n"].to_numpy()
+        is_word = ~_is(self.tokens, "\n")[self.codes]
+        before = np.cumsum(is_word) - is_word
+        starts = np.r_[0, np.flatnonzero(np.diff(self.chunk)) + 1]
+        self.owned = is_word & (before - before[starts][self.chunk] < own[self.chunk])
+        self.h = np.array([hashes[token] for token in self.tokens.to_pylist()], np.uint64)
+        self.lang_h = np.array([hashes[name] for name in self.langs.dictionary.to_pylist()], np.uint64)
+        self.fits = {1: is_word}
+
+    def short(self, at: np.ndarray, size: int) -> np.ndarray:
+        return _short(self.lang_h[self.lang[at]], [self.h[self.codes[at + k]] for k in range(size)])
+
+    def stand(self, size: int) -> np.ndarray:
+        """Where a phrase of ``size`` words stands whose parts may be frequent, as a mask of its begins."""
+        if size not in self.fits:
+            shorter = self.stand(size - 1)
+            fits = shorter[:-1] & shorter[1:]
+            if size == 2:
+                fits &= self.chunk[1:] == self.chunk[:-1]
+            if size in self.marks:
+                some = np.flatnonzero(fits)
+                fits[some] = self.marks[size].has(self.short(some, size))
+            self.fits[size] = fits
+        return self.fits[size]
+
+    def begins(self, size: int) -> np.ndarray:
+        fits = self.stand(size)
+        return np.flatnonzero(fits & self.owned[: len(fits)])
+
+    def counts(self, size: int) -> list[pa.Array] | None:
+        """(langs, phrases, sums) of the phrases of ``size`` words."""
+        at = self.begins(size)
         if not len(at):
-            continue
-        ids = lang[at]
+            return None
+        ids = self.lang[at]
         for k in range(size):
-            ids, _ = pd.factorize(ids << 32 | codes[at + k])
+            ids, _ = pd.factorize(ids << 32 | self.codes[at + k])
         count = int(ids.max()) + 1
         # Weights stay far below 2**53, so floating sums of them are whole.
-        sums = np.bincount(ids, weights=weight[chunk[at]]).astype(np.int64)
+        sums = np.bincount(ids, weights=self.n[self.chunk[at]]).astype(np.int64)
         first = np.empty(count, np.int64)
         first[ids[::-1]] = at[::-1]
-        words = [tokens.take(pa.array(codes[first + k])) for k in range(size)]
-        yield [langs.dictionary.take(pa.array(lang[first])), pc.binary_join_element_wise(*words, " ") if size > 1 else words[0], pa.array(sums)]
+        words = [self.tokens.take(pa.array(self.codes[first + k])) for k in range(size)]
+        return [self.langs.dictionary.take(pa.array(self.lang[first])), pc.binary_join_element_wise(*words, " "), pa.array(sums)]
 
 
-def frequent(chunks: DataFrame, sizes: range, least: int, known: tuple[int, Marks] | None) -> DataFrame:
-    """(lang, phrase, f) of ``sizes`` words that occur ``least`` times, from the dictionary."""
-    marks = chunks.sparkSession.sparkContext.broadcast(known)
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of (lang, chunk, own, n) with about WORDS words together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(batch.column(2)).as_py() or 0
+        if size >= WORDS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
 
-    def run(batches):
-        hashes, held, size = Hashes(), [], 0
+
+def _added(short: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, with their sums."""
+    order = np.argsort(short)
+    short, n = short[order], n[order]
+    head = np.flatnonzero(np.r_[True, short[1:] != short[:-1]])
+    return short[head], np.add.reduceat(n, head)
+
+
+def _pack(short: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted hashes as steps, and their sums, byte by byte of equal weight."""
+    planes = [np.diff(short, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T, n.astype(np.int64).view(np.uint8).reshape(-1, 8).T]
+    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(short)).tobytes() + b"".join([p.tobytes() for p in planes]))
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    count = int(np.frombuffer(raw, np.int64, 1)[0])
+    planes = np.frombuffer(raw, np.uint8, 16 * count, 8).reshape(2, 8, count)
+    steps, n = [np.ascontiguousarray(p.T).view(kind).reshape(-1) for p, kind in zip(planes, (np.uint64, np.int64))]
+    return np.cumsum(steps, dtype=np.uint64), n
+
+
+def marked_grams(chunks: DataFrame, size: int, least: int, marks: dict[int, Marks], words: int) -> Marks:
+    """The bitmap of phrases of ``size`` words whose short hashes occur ``least`` times."""
+    known = chunks.sparkSession.sparkContext.broadcast(marks)
+    bits = min(max(words // PART, 1).bit_length(), PARTS.bit_length() - 1)
+
+    def gather(batches):
+        hashes, held, n_held = Hashes(), [], 0
 
         def out():
-            for arrays in _count(pa.Table.from_batches(held), sizes, marks.value, hashes):
-                for lo in range(0, len(arrays[0]), ROWS):
-                    yield pa.RecordBatch.from_arrays([a.slice(lo, ROWS) for a in arrays], names=["lang", "phrase", "f"])
+            short, n = _added(*[np.concatenate(x) for x in zip(*held)])
+            part = (short >> np.uint64(SHORT - bits)).astype(np.int32)
+            bounds = np.r_[np.flatnonzero(np.r_[True, np.diff(part) != 0]), len(part)]
+            packed = [_pack(short[lo:hi], n[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]]), pa.array(packed, pa.binary())], names=["part", "packed"])
+
+        for table in _groups(batches):
+            grams = Grams(table, known.value, hashes)
+            at = grams.begins(size)
+            if len(at):
+                held.append(_added(grams.short(at, size), grams.n[grams.chunk[at]]))
+                n_held += len(held[-1][0])
+                if n_held >= GATHERED:
+                    yield from out()
+                    held, n_held = [], 0
+        if held:
+            yield from out()
 
+    def reach(batches):
+        now, short, n, held, n_held = None, np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
         for batch in batches:
-            held.append(batch)
-            size += pc.sum(batch.column(2)).as_py() or 0
-            if size >= WORDS:
-                yield from out()
-                held, size = [], 0
-        if size:
-            yield from out()
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != now:
+                    if held:
+                        short, n = _added(*[np.concatenate(x) for x in zip((short, n), *held)])
+                    if len(short):
+                        yield Marks.batch(short[n >= least])
+                    now, short, n, held, n_held = part, np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+                held.append(_unpack(packed))
+                n_held += len(held[-1][0])
+                # What has come is added up before it outgrows what differs.
+                if n_held >= max(GATHERED, len(short)):
+                    short, n = _added(*[np.concatenate(x) for x in zip((short, n), *held)])
+                    held, n_held = [], 0
+        if held:
+            short, n = _added(*[np.concatenate(x) for x in zip((short, n), *held)])
+        if len(short):
+            yield Marks.batch(short[n >= least])
+
+    gathered = chunks.select("lang", "chunk", "own", "n").mapInArrow(gather, "part int, packed binary")
+    dealt = gathered.repartition("part").sortWithinPartitions("part")
+    return Marks(dealt.mapInArrow(reach, "word int, bits bigint"))
+
+
+def frequent(chunks: DataFrame, longest: int, least: int, marks: dict[int, Marks]) -> DataFrame:
+    """(lang, phrase, f) of 2 to ``longest`` words that occur ``least`` times, from the dictionary."""
+    known = chunks.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches):
+        hashes = Hashes()
+        for table in _groups(batches):
+            grams = Grams(table, known.value, hashes)
+            for size in range(2, longest + 1):
+                arrays = grams.counts(size)
+                for lo in range(0, len(arrays[0]) if arrays else 0, ROWS):
+                    yield pa.RecordBatch.from_arrays([a.slice(lo, ROWS) for a in arrays], names=["lang", "phrase", "f"])
 
     counts = chunks.select("lang", "chunk", "own", "n").mapInArrow(run, "lang string, phrase string, f bigint")
     return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
@@ -297,20 +392,17 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     """
     words = written(word_counts(docs, text, lang), "words")
     totals = written(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    found = [written(words.filter(F.col("f") >= least), "phrases-1")]
+    common = written(words.filter(F.col("f") >= least), "words")
     discard(words)
-    chunks = written(dictionary(docs, text, lang, longest, marked(found[0])), "chunks")
-    known = None
-    for sizes in (range(2, 3), range(3, longest + 1)):
-        if len(sizes):
-            found.append(written(frequent(chunks, sizes, least, known), f"phrases-{sizes.start}"))
-            known = (sizes.start, marked(found[-1])) if sizes.stop <= longest else None
+    chunks = written(dictionary(docs, text, lang, longest, marked_words(common)), "chunks")
+    n_words, marks = totals.agg(F.sum("n")).first()[0] or 0, {}
+    for size in range(2, min(longest, 3) + 1):
+        marks[size] = marked_grams(chunks, size, least, dict(marks), n_words)
+    phrases = written(frequent(chunks, longest, least, marks), "phrases")
     discard(chunks)
-    counts = found[0]
-    for more in found[1:]:
-        counts = counts.unionByName(more)
-    counts = written(counts.withColumn("size", F.size(F.split("phrase", " "))), "phrases")
-    discard(*found)
+    counts = common.unionByName(phrases)
+    counts = written(counts.withColumn("size", F.size(F.split("phrase", " "))), "counts")
+    discard(common, phrases)
     candidates = counts.filter("size > 1").withColumnRenamed("f", "a")
     words = F.split("phrase", " ")
     # What a phrase hides: frequencies only fall with length, so parts of one word less are enough.

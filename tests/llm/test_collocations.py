@@ -97,6 +97,33 @@ def test_equal_passages_share_chunks():
     assert sum(n > 1 for n in both.values()) >= len(both) - 4
 
 
+def test_a_full_bitmap_denies_nothing():
+    import numpy as np
+
+    marks = c.Marks.__new__(c.Marks)
+    marks.words = np.full(c.BITS // 64, -1, np.int64).view(np.uint64)
+    assert marks.has(np.arange(1000, dtype=np.uint64)).all()
+    marks.words = np.zeros(c.BITS // 64, np.uint64)
+    assert not marks.has(np.arange(1000, dtype=np.uint64)).any()
+
+
+def test_packed_hashes():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 4000):
+        short, counts = c._added(rng.integers(0, 1 << 40, n, dtype=np.uint64), rng.integers(1, 2**40, n))
+        back = c._unpack(c._pack(short, counts))
+        assert (back[0] == short).all() and (back[1] == counts).all() and (np.diff(short.astype(np.int64)) > 0).all()
+
+
+def test_many_parts_that_are_added_up_often_change_nothing(spark, rows, monkeypatch):
+    monkeypatch.setattr(c, "PART", 64)
+    monkeypatch.setattr(c, "GATHERED", 50)
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    assert {tuple(r) for r in c.collocations(frame, least=12, top=40).collect()} == brute(rows, 12, 40)
+
+
 def test_counts_beyond_64_bits(spark):
     counts = spark.createDataFrame([(9 * 10**14, 9 * 10**17, 10**15, 9 * 10**14)], "a bigint, n bigint, l bigint, r bigint")
     wide = lambda x: F.col(x).cast("decimal(19, 0)")
