@@ -6,15 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerloom.session import shared_folder
+from ledgerloom.session import kept
 
 
 def ranges(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The rows in ranges of (keys, order) of about equal size, written, with the number of the range in ``__range``."""
-    folder = shared_folder(rows.sparkSession, "ranges")
-    dealt = rows.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
-    dealt.write.parquet(folder)
-    return rows.sparkSession.read.schema(dealt.schema).parquet(folder)
+    return kept(rows.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
 
 
 def running_totals(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "total") -> DataFrame:

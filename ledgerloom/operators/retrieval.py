@@ -10,6 +10,7 @@ from ledgerloom import settings as S
 from ledgerloom.functions.documents import excerpt, mentions_scale, unit_scale
 from ledgerloom.functions.similarity import cosine, norm
 from ledgerloom.operators.skew import top_k
+from ledgerloom.session import kept
 
 
 def match_chunks(questions: DataFrame, chunks: DataFrame, k: int = S.RETRIEVED_CHUNKS, dim: int | None = None) -> DataFrame:
@@ -196,7 +197,8 @@ def nearest_scale(anchors: DataFrame, chunks: DataFrame, candidates: int = S.SCA
     last ``candidates`` mentions of a stretch are all that later ones need of it, so they
     are carried over its end as rows, and every stretch is a task's work of its own.
     """
-    said = declarations(chunks).withColumn("s", F.floor(F.col("chunk_index") / stretch))
+    # The texts are read once; what they declare is short.
+    said = kept(declarations(chunks), "declarations").withColumn("s", F.floor(F.col("chunk_index") / stretch))
     at = ["accession_number", "s"]
     inside = Window.partitionBy(*at).orderBy(F.desc("chunk_index"))
     # The ends of stretches: a few rows of each, from which those of the whole filing so far follow.

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerloom.session import kept
+
 
 def by_rarity(sets: DataFrame) -> DataFrame:
     """(key, first, n, words): one row per set, its words from the rarest in the corpus on."""
@@ -55,7 +57,8 @@ def earliest_similar(sets: DataFrame, num: int = 1, den: int = 4) -> DataFrame:
     ``sets`` has (key, words, first): distinct sets of distinct words and anything that
     orders. An empty set is similar to none. Exact.
     """
-    ordered = by_rarity(sets)
+    sets = kept(sets.select("key", "words", "first"), "sets")
+    ordered = kept(by_rarity(sets), "ordered-sets")
     # Sizes that add up to this at most make one shared word enough.
     one = (num + den) // num
     small = ordered.filter(F.col("n") < one).select("key", "n", "first", F.explode("words").alias("word"))

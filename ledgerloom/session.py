@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -72,6 +72,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read from there, for results that several branches of a plan use."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate results that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
