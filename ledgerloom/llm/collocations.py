@@ -18,6 +18,8 @@ up only more is counted than need be.
 
 from __future__ import annotations
 
+import json
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -306,10 +308,15 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.uint64), n
 
 
+def _part_bits(words: int) -> int:
+    """Parts of the hashes, as a power of two: one for so many words of the corpus."""
+    return min(max(words // PART, 1).bit_length(), PARTS.bit_length() - 1)
+
+
 def marked_grams(chunks: DataFrame, size: int, least: int, marks: dict[int, Marks], words: int) -> Marks:
     """The bitmap of phrases of ``size`` words whose short hashes occur ``least`` times."""
     known = chunks.sparkSession.sparkContext.broadcast(marks)
-    bits = min(max(words // PART, 1).bit_length(), PARTS.bit_length() - 1)
+    bits = _part_bits(words)
 
     def gather(batches):
         hashes, held, n_held = Hashes(), [], 0
@@ -359,21 +366,58 @@ def marked_grams(chunks: DataFrame, size: int, least: int, marks: dict[int, Mark
     return Marks(dealt.mapInArrow(reach, "word int, bits bigint"))
 
 
-def frequent(chunks: DataFrame, longest: int, least: int, marks: dict[int, Marks]) -> DataFrame:
-    """(lang, phrase, f) of 2 to ``longest`` words that occur ``least`` times, from the dictionary."""
+def frequent(chunks: DataFrame, longest: int, least: int, marks: dict[int, Marks], words: int) -> DataFrame:
+    """(lang, phrase, f) of 2 to ``longest`` words that occur ``least`` times, from the dictionary.
+
+    A task adds up what it counts and sends it packed, by parts of the phrases' hashes.
+    """
     known = chunks.sparkSession.sparkContext.broadcast(marks)
+    bits = _part_bits(words)
+
+    def gather(batches):
+        hashes, seen = Hashes(), Counter()
+
+        def out():
+            parts = defaultdict(list)
+            for (lang, phrase), n in seen.items():
+                parts[xxhash.xxh3_64_intdigest(phrase) >> (64 - bits)].append((lang, phrase, n))
+            seen.clear()
+            for part in list(parts):
+                packed = zstandard.ZstdCompressor(level=1).compress(json.dumps(list(zip(*parts.pop(part)))).encode())
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["part", "packed"])
 
-    def run(batches):
-        hashes = Hashes()
         for table in _groups(batches):
             grams = Grams(table, known.value, hashes)
             for size in range(2, longest + 1):
-                arrays = grams.counts(size)
-                for lo in range(0, len(arrays[0]) if arrays else 0, ROWS):
-                    yield pa.RecordBatch.from_arrays([a.slice(lo, ROWS) for a in arrays], names=["lang", "phrase", "f"])
+                langs, phrases, sums = grams.counts(size) or ([], [], [])
+                for lang, phrase, n in zip(*[x.to_pylist() if len(x) else [] for x in (langs, phrases, sums)]):
+                    seen[lang, phrase] += n
+            if len(seen) >= GATHERED:
+                yield from out()
+        if seen:
+            yield from out()
 
-    counts = chunks.select("lang", "chunk", "own", "n").mapInArrow(run, "lang string, phrase string, f bigint")
-    return counts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    def reach(batches):
+        now, seen = None, Counter()
+
+        def out():
+            found = [(lang, phrase, n) for (lang, phrase), n in seen.items() if n >= least]
+            seen.clear()
+            for lo in range(0, len(found), ROWS):
+                columns = zip(*found[lo : lo + ROWS])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "f"])
+
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != now:
+                    yield from out()
+                    now = part
+                for lang, phrase, n in zip(*json.loads(zstandard.ZstdDecompressor().decompress(packed))):
+                    seen[lang, phrase] += n
+        yield from out()
+
+    gathered = chunks.select("lang", "chunk", "own", "n").mapInArrow(gather, "part int, packed binary")
+    return gathered.repartition("part").sortWithinPartitions("part").mapInArrow(reach, "lang string, phrase string, f bigint")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, top: int = TOP, hides: int = HIDES) -> DataFrame:
@@ -398,7 +442,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     n_words, marks = totals.agg(F.sum("n")).first()[0] or 0, {}
     for size in range(2, min(longest, 3) + 1):
         marks[size] = marked_grams(chunks, size, least, dict(marks), n_words)
-    phrases = written(frequent(chunks, longest, least, marks), "phrases")
+    phrases = written(frequent(chunks, longest, least, marks, n_words), "phrases")
     discard(chunks)
     counts = common.unionByName(phrases)
     counts = written(counts.withColumn("size", F.size(F.split("phrase", " "))), "counts")
