@@ -2,10 +2,12 @@
 
 Words are put in order of rarity. Two sets that are similar enough share a word among
 the rarest of each, their prefixes, so an inverted index of the prefixes meets all
-similar sets, and common words are in no prefix unless a set has hardly any other. Sizes
-and the places of the shared word bound what a pair can still share; what passes is
-compared in full. Pairs so small that any shared word makes them similar never meet one
-by one: the index keeps what is asked of them by word and size.
+similar sets, and common words are in no prefix unless a set has hardly any other. A word
+of more than ``RARE`` sets joins none by itself: sets that share no rarer one share two
+such words, and meet on the first two. Sizes and the places of the shared words bound
+what a pair can still share; what passes is compared in full where it meets, so no pairs
+are written or moved. Pairs so small that any shared word makes them similar never meet
+one by one: the index keeps what is asked of them by word and size.
 """
 
 from __future__ import annotations
@@ -14,58 +16,99 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.session import kept
 
+# Sets that may share a word for it to join them by itself.
+RARE = 1000
 
-def by_rarity(sets: DataFrame) -> DataFrame:
-    """(key, first, n, words): one row per set, its words from the rarest in the corpus on."""
+
+def by_rarity(sets: DataFrame, rare: int = RARE) -> DataFrame:
+    """(key, first, n, words, ids, rare): one row per set, its words from the rarest in the corpus on.
+
+    ``ids`` are numbers of the words, and the first ``rare`` of them stand in few sets.
+    """
     listed = sets.select("key", "first", F.explode("words").alias("word"))
-    # One row per word.
+    # One row per word, written, so that its number is the same wherever it is read.
     counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("count"))
-    ordered = F.array_sort(F.collect_list(F.struct("count", "word")))
+    counts = kept(counts.withColumn("id", F.monotonically_increasing_id()), "words")
+    ordered = F.array_sort(F.collect_list(F.struct("count", "word", "id")))
     rows = listed.join(counts, "word").groupBy("key").agg(F.any_value("first").alias("first"), ordered.alias("o"))
-    return rows.select("key", "first", F.size("o").alias("n"), F.transform("o", lambda w: w["word"]).alias("words"))
+    return rows.select(
+        "key", "first", F.size("o").alias("n"), F.transform("o", lambda w: w["word"]).alias("words"),
+        F.transform("o", lambda w: w["id"]).alias("ids"), F.size(F.filter("o", lambda w: w["count"] <= rare)).alias("rare"),
+    )
 
 
 def _ceil(product: Column, by: int) -> Column:
     return F.floor((product + (by - 1)) / by)
 
 
+def _least(num: int, den: int) -> Column:
+    """Words that a set shares at least with one that is similar to it, if it has to share two."""
+    return F.greatest(_ceil(F.col("n") * num, den), F.lit(2)).cast("int")
+
+
 def prefixes(ordered: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, first, n, word, place) of the prefixes that serve pairs which have to share two words or more."""
-    least = F.greatest(_ceil(F.col("n") * num, den), F.lit(2))
-    length = F.greatest(F.col("n") - least + 1, F.lit(0)).cast("int")
-    return ordered.select("key", "first", "n", F.posexplode(F.slice("words", F.lit(1), length)).alias("place", "word"))
+    """(key, first, n, ids, rare, place, word) of the prefixes that serve pairs which have to share two words or more."""
+    length = F.greatest(F.col("n") - _least(num, den) + 1, F.lit(0)).cast("int")
+    return ordered.select("key", "first", "n", "ids", "rare", F.posexplode(F.slice("words", F.lit(1), length)).alias("place", "word"))
+
+
+def common_pairs(ordered: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, first, n, ids, place, one, two): pairs of common words that may be the first two that similar sets share.
+
+    ``place`` is that of the second. Sets that share a rarer word meet on it, so here all
+    that they share is common: ``ids`` has the common words only, and sets with too few are left out.
+    """
+    last = F.col("n") - _least(num, den) + 1
+    ids = F.col("ids")
+    pairs = F.transform(
+        F.sequence(F.col("rare"), last - 1),
+        lambda i: F.transform(F.sequence(i + 1, last), lambda j: F.struct(F.get(ids, i).alias("one"), F.get(ids, j).alias("two"), j.alias("place"))),
+    )
+    rows = ordered.filter((F.col("n") - F.col("rare") >= _least(num, den)) & (F.col("rare") < last))
+    common = F.slice("ids", F.col("rare") + 1, F.col("n"))
+    found = rows.select("key", "first", "n", common.alias("common"), F.explode(F.flatten(pairs)).alias("p"))
+    return found.select("key", "first", "n", F.col("common").alias("ids"), "p.place", "p.one", "p.two")
 
 
 def earlier_pairs(ordered: DataFrame, num: int, den: int) -> DataFrame:
-    """(key, other): sets and the ones that came first among those similar to them, of pairs that share two words or more."""
-    left, right = prefixes(ordered, num, den).alias("l"), prefixes(ordered, num, den).alias("r")
+    """(key, other, earliest): sets and the ones that came first among those similar to them, of pairs that share two words or more.
+
+    A pair may come more than once, for each word that it meets on.
+    """
     n, m = F.col("l.n"), F.col("r.n")
     sizes = (n + m > (num + den) // num) & (F.least(n, m) * den >= F.greatest(n, m) * num)
     shared = _ceil((n + m) * num, num + den)
     rest = F.least(n - F.col("l.place"), m - F.col("r.place"))
-    met = left.join(right, (F.col("l.word") == F.col("r.word")) & (F.col("r.first") < F.col("l.first")) & sizes & (rest >= shared))
-    pairs = met.select(F.col("l.key").alias("key"), F.col("r.key").alias("other")).distinct()
-    whole = ordered.select("key", F.col("words").alias("a"))
-    others = ordered.select(F.col("key").alias("other"), F.col("words").alias("b"))
-    both = pairs.join(whole, "key").join(others, "other").withColumn("shared", F.size(F.array_intersect("a", "b")))
-    return both.filter(F.col("shared") * den >= (F.size("a") + F.size("b") - F.col("shared")) * num).select("key", "other")
+    both = F.size(F.array_intersect("l.ids", "r.ids"))
+
+    def met(rows: DataFrame, on: list[str], before: int) -> DataFrame:
+        """Pairs that meet on ``on``, the last word of which follows ``before`` others they share."""
+        rows = rows.select("key", "first", "n", "ids", "place", *on)
+        same = F.lit(True)
+        for name in on:
+            same = same & (F.col(f"l.{name}") == F.col(f"r.{name}"))
+        may = (F.col("r.first") < F.col("l.first")) & sizes & (rest + before >= shared)
+        found = rows.alias("l").join(rows.alias("r"), same & may & (both >= shared))
+        return found.select(F.col("l.key").alias("key"), F.col("r.key").alias("other"), F.col("r.first").alias("earliest"))
+
+    few = prefixes(ordered, num, den).filter(F.col("place") < F.col("rare"))
+    return met(few, ["word"], 0).unionByName(met(common_pairs(ordered, num, den), ["one", "two"], 1))
 
 
-def earliest_similar(sets: DataFrame, num: int = 1, den: int = 4) -> DataFrame:
+def earliest_similar(sets: DataFrame, num: int = 1, den: int = 4, rare: int = RARE) -> DataFrame:
     """(key, earliest): the least ``first`` of the sets whose Jaccard similarity to a set reaches num / den, itself included.
 
     ``sets`` has (key, words, first): distinct sets of distinct words and anything that
     orders. An empty set is similar to none. Exact.
     """
     sets = kept(sets.select("key", "words", "first"), "sets")
-    ordered = kept(by_rarity(sets), "ordered-sets")
+    ordered = kept(by_rarity(sets, rare), "ordered-sets")
     # Sizes that add up to this at most make one shared word enough.
     one = (num + den) // num
     small = ordered.filter(F.col("n") < one).select("key", "n", "first", F.explode("words").alias("word"))
     index = small.groupBy("word", F.col("n").alias("size")).agg(F.min("first").alias("earliest"))
     asked = small.select("key", "word", F.explode(F.sequence(F.lit(1), F.lit(one) - F.col("n"))).alias("size"))
     found = asked.join(index, ["word", "size"]).select("key", "earliest")
-    firsts = ordered.select(F.col("key").alias("other"), F.col("first").alias("earliest"))
-    found = found.unionByName(earlier_pairs(ordered, num, den).join(firsts, "other").select("key", "earliest"))
+    found = found.unionByName(earlier_pairs(ordered, num, den).select("key", "earliest"))
     found = found.unionByName(sets.select("key", F.col("first").alias("earliest")))
     return found.groupBy("key").agg(F.min("earliest").alias("earliest"))

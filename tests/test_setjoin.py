@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import history, setjoin
+from ledgerloom.session import kept
 
 
 def brute(sets, num, den):
@@ -58,3 +59,17 @@ def test_risks_of_a_corpus(spark):
     assert found == {(1, 0): (1, True), (1, 1): (1, True), (1, 2): (1, True), (2, 0): (1, False), (3, 0): (1, False), (4, 0): (4, True), (4, 1): (4, True),
                      (7, 0): (7, True), (7, 1): (4, False)}
     assert history.corpus_risk_drift(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("num, den", [(1, 4), (1, 2), (4, 5)])
+def test_common_words_join_by_two(spark, num, den):
+    """Sets that share only common words are found as well, and pairs are compared where they meet."""
+    sets = corpus(5 + den)
+    frame = spark.createDataFrame(sets, "key int, words array<string>, first int")
+    found = setjoin.earliest_similar(frame, num, den, rare=3)
+    assert {r.key: r.earliest for r in found.collect()} == brute(sets, num, den)
+    ordered = kept(setjoin.by_rarity(frame, 3), "ordered")
+    assert setjoin.common_pairs(ordered, num, den).count() > 0
+    # Pairs are compared in the join that they meet in, not written and joined with their words again.
+    plan = setjoin.earlier_pairs(ordered, num, den)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
