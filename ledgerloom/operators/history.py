@@ -18,6 +18,7 @@ from ledgerloom.functions.strings import strip
 from ledgerloom.operators.facts import Candidate, annual_frame, ground_truth, pick_fiscal_year
 from ledgerloom.operators.setjoin import earliest_similar
 from ledgerloom.operators.skew import best_row, salts_of, top_k
+from ledgerloom.session import kept
 
 NEWEST = ("created_at", "id")
 
@@ -194,6 +195,8 @@ def corpus_risk_drift(analyses: DataFrame, threshold: float = S.DRIFT_THRESHOLD)
 # --- directory search ---------------------------------------------------------------
 
 GRAM = 3
+# Pieces of queries that are sent to every task; a megabyte or so of them.
+FEW_PIECES = 20_000
 
 
 def _grams(text: Column) -> Column:
@@ -215,19 +218,28 @@ def _query_grams(query: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(query, i, n)))
 
 
-def search_directory(queries: DataFrame, directory: DataFrame, limit: int = S.SEARCH_ROWS) -> DataFrame:
+def search_directory(queries: DataFrame, directory: DataFrame, limit: int = S.SEARCH_ROWS, few: int = FEW_PIECES) -> DataFrame:
     """Ranked companies for each query: exact ticker, ticker prefix, then substring.
 
     ``directory``: (cik, ticker, name, ord); ``queries``: (query). Literal
     matching, any case. Candidates come from an equi-join on the rarest
     three-character piece of the query, so queries never meet the whole directory.
+    The pieces of queries are sent to the companies while they are ``few``; more are
+    shuffled with them.
     """
     asked = queries.select("query", strip(F.upper("query")).alias("__q")).filter(F.col("__q") != "").distinct()
-    known = directory.withColumn("__t", F.upper("ticker")).withColumn("__n", F.upper("name"))
+    asked = kept(asked, "searches")
+    # A directory is a small file or two, its pieces are work for many tasks.
+    spread = directory.repartition(salts_of(directory), "ord")
+    known = spread.withColumn("__t", F.upper("ticker")).withColumn("__n", F.upper("name"))
     grams = F.explode(F.array_union(_grams(F.col("__t")), _grams(F.col("__n")))).alias("__gram")
     pieces = asked.select("query", "__q", F.explode(_query_grams(F.col("__q"))).alias("__gram"))
 
-    index = known.select("ord", grams).join(pieces.select("__gram").distinct(), "__gram", "left_semi")
+    # The pieces of a directory are many times its size, which the planner cannot tell: they
+    # are never the side that is sent to every task.
+    few = pieces.count() <= few
+    asked_grams = pieces.select("__gram").distinct()
+    index = known.select("ord", grams).join(F.broadcast(asked_grams) if few else asked_grams.hint("merge"), "__gram", "left_semi")
     sizes = index.groupBy("__gram").agg(F.count(F.lit(1)).alias("__size"))
     rarest = (
         pieces.join(sizes, "__gram", "left")
@@ -235,12 +247,15 @@ def search_directory(queries: DataFrame, directory: DataFrame, limit: int = S.SE
         .agg(F.min(F.struct(F.coalesce("__size", F.lit(0)).alias("size"), F.col("__gram").alias("gram"))).alias("__best"))
         .select("query", "__q", F.col("__best.gram").alias("__gram"))
     )
-    # Companies are spread by salt, so a piece that a third of them share is
-    # matched by many tasks.
-    salts = salts_of(known)
-    salted = known.select("*", grams).withColumn("__salt", F.pmod(F.xxhash64("ord"), F.lit(salts)))
-    copies = rarest.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    found = salted.join(copies, ["__gram", "__salt"])
+    if few:
+        found = known.select("*", grams).join(F.broadcast(rarest), "__gram")
+    else:
+        # Companies are spread by salt, so a piece that a third of them share is
+        # matched by many tasks.
+        salts = salts_of(known)
+        salted = known.select("*", grams).withColumn("__salt", F.pmod(F.xxhash64("ord"), F.lit(salts)))
+        copies = rarest.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+        found = salted.join(copies.hint("merge"), ["__gram", "__salt"])
 
     tier = (
         F.when(F.col("__t") == F.col("__q"), 0)

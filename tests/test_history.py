@@ -76,6 +76,21 @@ def test_search_tiers_and_literal_matching(spark):
     assert found == {" ab ": [0, 6, 2, 1], "%": [4], "grab b": [3], "q": [5], "b": [0, 1, 2, 3]}
 
 
+def search_of_all(spark, few):
+    directory = spark.range(400).select(F.col("id").cast("string").alias("cik"), F.concat(F.lit("AB-"), F.col("id").cast("string")).alias("ticker"), F.lit("name").alias("name"), F.col("id").alias("ord"))
+    queries = spark.createDataFrame([(q,) for q in ["ab-1", "am", "b-39", "-7"]], "query string")
+    return hist.search_directory(queries, directory, limit=5, few=few)
+
+
+def test_search_with_few_and_with_many_pieces(spark):
+    """The pieces of the directory are on the streamed side of every broadcast, however small the directory looks."""
+    rows = lambda found: sorted((r["query"], r["rank"], r.ord, r.tier) for r in found.collect())
+    few, many = search_of_all(spark, 1000), search_of_all(spark, 0)
+    assert rows(few) == rows(many) and len(rows(few)) == 20
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert not any("BroadcastHashJoin" in line and "__salt" in line for line in plan.splitlines())
+
+
 def test_page_and_total(spark):
     frame = analyses(spark, [(i, "A" if i % 2 else "B", None, i // 2, []) for i in range(10)])
     rows = hist.page(frame, limit=3, offset=2).collect()
