@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom import settings as S
@@ -13,69 +16,173 @@ from ledgerloom.operators.skew import top_k
 from ledgerloom.session import kept
 
 
+# Vectors and questions that meet in one task, and entries of the similarities held there at once.
+SHARD, ASKED, HELD = 4096, 2048, 1 << 19
+
+
+def _matrix(vectors: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the vectors have ``dim`` numbers and no null, these as rows of doubles)."""
+    lists = vectors.combine_chunks()
+    whole = pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False).to_numpy(zero_copy_only=False)
+    values = lists.filter(pa.array(whole)).flatten()
+    rows = values.to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
+    if values.null_count:
+        full = values.is_valid().to_numpy(zero_copy_only=False).reshape(-1, dim).all(axis=1)
+        at = np.flatnonzero(whole)
+        whole[at[~full]] = False
+        rows = rows[full]
+    return np.flatnonzero(whole), rows
+
+
+def _similarities(asked: np.ndarray, norms: np.ndarray, rows: np.ndarray, row_norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(similarities, where they are null) of every question to every row, added up in the order of ``cosine``."""
+    dots = np.zeros((len(asked), len(rows)))
+    columns = np.ascontiguousarray(rows.T)
+    for place, column in enumerate(columns):
+        dots += asked[:, place, None] * column
+    by = norms[:, None] * row_norms
+    null = by == 0
+    return np.divide(dots, by, out=np.zeros_like(dots), where=~null), null
+
+
+def _first(similarity: np.ndarray, null: np.ndarray, index: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` greatest similarities, NaN before numbers and null after them, ties by ``index``."""
+    value = np.where(null, -np.inf, np.where(np.isnan(similarity), np.inf, similarity))
+    if len(value) > k:
+        at = np.flatnonzero(value >= np.partition(value, len(value) - k)[len(value) - k])
+    else:
+        at = np.arange(len(value))
+    order = np.lexsort((index[at], -value[at], ~(np.isnan(similarity[at]) & ~null[at]), null[at]))
+    return at[order[:k]]
+
+
+def _nearest_in(k: int):
+    """For questions and vectors of a group, the ``k`` nearest vectors of every question."""
+
+    def run(asked: pa.Table, stored: pa.Table) -> pa.Table:
+        index = stored["chunk_index"].to_numpy()
+        stored_norms = stored["norm"].to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.list_value_length(asked["vector"]), 0).to_numpy(zero_copy_only=False)
+        asked_norms = asked["question_norm"].to_numpy(zero_copy_only=False)
+        rows, places, found, empty = [], [], [], []
+        at_once = max(1, HELD // max(len(index), 1))
+        for dim in np.unique(sizes):
+            of_dim = np.flatnonzero(sizes == dim)
+            known, vectors = _matrix(asked["vector"].take(pa.array(of_dim)), int(dim)) if dim else (np.empty(0, int), None)
+            usable, matrix = _matrix(stored["embedding"], int(dim)) if len(known) else (np.empty(0, int), None)
+            numbered = dict(zip(of_dim[known].tolist(), range(len(known))))
+            for start in range(0, len(of_dim), at_once):
+                some = of_dim[start : start + at_once]
+                similarity, null = np.zeros((len(some), len(index))), np.ones((len(some), len(index)), bool)
+                inside = [i for i, q in enumerate(some.tolist()) if q in numbered]
+                if inside and len(usable):
+                    those = [numbered[some[i]] for i in inside]
+                    cells = np.ix_(inside, usable)
+                    similarity[cells], null[cells] = _similarities(vectors[those], asked_norms[some[inside]], matrix, stored_norms[usable])
+                for i, q in enumerate(some):
+                    best = _first(similarity[i], null[i], index, k)
+                    rows.append(np.full(len(best), q))
+                    places.append(best)
+                    found.append(similarity[i][best])
+                    empty.append(null[i][best])
+        none = [np.empty(0, int)]
+        row, place = pa.array(np.concatenate(rows or none)), pa.array(np.concatenate(places or none))
+        asked, stored = asked.select(["question_id", "accession_number"]).take(row), stored.select(["chunk_index", "content"]).take(place)
+        values = pa.array(np.concatenate(found or none).astype("f8"), mask=np.concatenate(empty or none).astype(bool))
+        return pa.table([*asked.columns, *stored.columns, values], names=["question_id", "accession_number", "chunk_index", "content", "similarity"])
+
+    return run
+
+
+def nearest(questions: DataFrame, chunks: DataFrame, on: list[str], k: int) -> DataFrame:
+    """(question_id, accession_number, chunk_index, content, similarity): the ``k`` nearest of every shard, for each question.
+
+    ``questions`` has question_norm, ``chunks`` has norm. Both meet on ``on``: the vectors
+    of a key are dealt to shards and its questions to groups of bounded size, each shard
+    meets each group in a task of its own, and only the winners leave it. So no pair is
+    a row, and a large filing is worked on by many tasks.
+    """
+    def parts(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
+
+    sizes = parts(chunks, SHARD, "shards").join(parts(questions, ASKED, "groups"), on)
+    wanted = ["question_id", "accession_number", "vector", "question_norm"]
+    asked = questions.join(sizes, on).withColumn("group", F.pmod(F.xxhash64("question_id"), F.col("groups")).cast("int"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    stored = chunks.join(sizes, on).withColumn("shard", F.pmod(F.xxhash64("chunk_index"), F.col("shards")).cast("int"))
+    stored = stored.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    keys = [*on, "shard", "group"]
+    both = asked.select(*dict.fromkeys([*keys, *wanted])).groupBy(*keys).cogroup(
+        stored.select(*dict.fromkeys([*keys, "chunk_index", "content", "embedding", "norm"])).groupBy(*keys)
+    )
+    kinds = {**dict(questions.dtypes), **dict(chunks.dtypes), "similarity": "double"}
+    names = ["question_id", "accession_number", "chunk_index", "content", "similarity"]
+    return both.applyInArrow(_nearest_in(k), ", ".join(f"{name} {kinds[name]}" for name in names))
+
+
 def match_chunks(questions: DataFrame, chunks: DataFrame, k: int = S.RETRIEVED_CHUNKS, dim: int | None = None) -> DataFrame:
     """The ``k`` nearest chunks of each question within its own filing, exactly.
 
     With ``dim``, vectors of any other length are left out on both sides.
 
     ``questions``: (question_id, accession_number, vector); ``chunks``:
-    (accession_number, chunk_index, content, embedding). An equi-join on the
-    filing, then a two-round top-k: the vectors are dropped before it, and only
-    k winners per question, salt and task are exchanged.
+    (accession_number, chunk_index, content, embedding). Shards of a filing give their
+    nearest for groups of its questions (``nearest``), and the ``k`` first of these remain.
     """
     if dim is not None:
         chunks = chunks.filter(F.size("embedding") == dim)
         questions = questions.filter(F.size("vector") == dim)
-    # Norms are only taken for filings that somebody asks about.
-    wanted = chunks.join(questions.select("accession_number").distinct(), "accession_number", "left_semi")
-    vectors = wanted.select(
-        "accession_number", "chunk_index", "content", "embedding", norm(F.col("embedding")).alias("__chunk_norm")
-    )
-    asked = questions.select(
-        "question_id", "accession_number", "vector", norm(F.col("vector")).alias("__question_norm")
-    )
-    similarity = cosine(
-        F.col("vector"), F.col("embedding"), F.col("__question_norm"), F.col("__chunk_norm")
-    )
-    scored = asked.join(vectors, "accession_number").select(
-        "question_id", "accession_number", "chunk_index", "content", similarity.alias("similarity")
-    )
+    stored = chunks.select("accession_number", "chunk_index", "content", "embedding", norm(F.col("embedding")).alias("norm"))
+    asked = questions.select("question_id", "accession_number", "vector", norm(F.col("vector")).alias("question_norm"))
+    found = nearest(asked, stored, ["accession_number"], k)
     order = [F.col("similarity").desc_nulls_last(), F.col("chunk_index")]
-    return top_k(scored, ["question_id", "accession_number"], order, k, spread=["chunk_index"])
+    return top_k(found, ["question_id", "accession_number"], order, k, spread=["chunk_index"])
 
 
 # The parameters are a row of their own that meets the chunks on the filing, so that a lateral
-# call for many questions is an equi-join as well.
+# call for many questions is an equi-join as well. It meets shards of chunks, not single ones:
+# each gives its first p_k, and only these are ordered with those of the others.
 MATCH_CHUNKS_SQL = """
 CREATE OR REPLACE TEMPORARY FUNCTION match_chunks(p_accession STRING, p_embedding ARRAY<DOUBLE>, p_k INT)
 RETURNS TABLE (chunk_index BIGINT, content STRING, similarity DOUBLE)
 RETURN
   SELECT chunk_index, content, similarity
   FROM (
-    SELECT s.chunk_index, s.content, s.similarity, s.k,
-           row_number() OVER (ORDER BY s.similarity DESC NULLS LAST, s.chunk_index) AS place
+    SELECT -m.best.back AS chunk_index, m.best.content, m.best.similarity, m.k,
+           row_number() OVER (ORDER BY m.best.similarity DESC NULLS LAST, m.best.back DESC) AS place
     FROM (
-      SELECT c.chunk_index, c.content, p.k,
-             try_divide(
-               aggregate(zip_with(c.embedding, p.vector, (a, b) -> CAST(a AS DOUBLE) * b), 0D, (t, x) -> t + x),
-               sqrt(aggregate(c.embedding, 0D, (t, x) -> t + CAST(x AS DOUBLE) * x))
-               * sqrt(aggregate(p.vector, 0D, (t, x) -> t + x * x))
-             ) AS similarity
-      FROM (SELECT match_chunks.p_accession AS accession, match_chunks.p_embedding AS vector, match_chunks.p_k AS k) p
-      JOIN filing_chunks c ON c.accession_number = p.accession
-    ) s
+      SELECT s.k, explode(s.best) AS best
+      FROM (
+        SELECT p.k, slice(sort_array(transform(c.chunks, x -> named_struct(
+                 'similarity', try_divide(
+                   aggregate(zip_with(x.embedding, p.vector, (a, b) -> CAST(a AS DOUBLE) * b), 0D, (t, y) -> t + y), x.norm * p.norm),
+                 'back', -CAST(x.chunk_index AS BIGINT),
+                 'content', x.content)), false), 1, p.k) AS best
+        FROM (SELECT match_chunks.p_accession AS accession, match_chunks.p_embedding AS vector, match_chunks.p_k AS k,
+                     sqrt(aggregate(match_chunks.p_embedding, 0D, (t, x) -> t + x * x)) AS norm) p
+        JOIN filing_shards f ON f.accession_number = p.accession
+        JOIN filing_chunks c ON c.accession_number = f.accession_number AND c.shard = f.shard
+      ) s
+    ) m
   )
   WHERE place <= k
 """
+# Chunks in a row of ``filing_chunks``.
+ROW = 1024
 
 
-def register_match_chunks(chunks: DataFrame) -> None:
+def register_match_chunks(chunks: DataFrame, row: int = ROW) -> None:
     """Register the SQL table function match_chunks(accession, vector, k) over ``chunks``.
 
     ``FROM questions q, LATERAL match_chunks(q.accession_number, q.vector, 4)`` asks
-    many questions at once; equal questions are worked out once.
+    many questions at once; equal questions are worked out once. The chunks of a filing
+    are dealt to shards of about ``row`` of them, and each is a row.
     """
-    chunks.createOrReplaceTempView("filing_chunks")
+    shards = chunks.groupBy("accession_number").agg(F.ceil(F.count(F.lit(1)) / F.lit(row)).cast("int").alias("shards"))
+    shards.select("accession_number", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")).createOrReplaceTempView("filing_shards")
+    dealt = chunks.join(shards, "accession_number").withColumn("shard", F.pmod(F.xxhash64("chunk_index"), F.col("shards")).cast("int"))
+    one = F.struct("chunk_index", "content", "embedding", norm(F.col("embedding")).alias("norm"))
+    dealt.groupBy("accession_number", "shard").agg(F.collect_list(one).alias("chunks")).createOrReplaceTempView("filing_chunks")
     chunks.sparkSession.sql(MATCH_CHUNKS_SQL)
 
 
@@ -125,7 +232,7 @@ def _bound(asked: str, low: Column, high: Column) -> Column:
     return F.coalesce(F.cos(F.least(F.greatest(widest, F.lit(0.0)), F.lit(math.pi))), F.lit(1.0))
 
 
-# Rounding of angles; a vector goes only if its bound stays below the k-th similarity by this.
+# Rounding of angles; a block goes only if its bound stays below the k-th similarity by this.
 SLACK = 1e-6
 
 
@@ -147,31 +254,23 @@ def asked_blocks(questions: DataFrame, pivots: DataFrame, blocks: DataFrame, k:
 
 
 def match_in_blocks(questions: DataFrame, vectors: DataFrame, pivots: DataFrame, blocks: DataFrame, k: int = S.RETRIEVED_CHUNKS) -> DataFrame:
-    """``match_chunks`` over stored vectors (``with_angles``): the same rows, most vectors left out unread.
+    """``match_chunks`` over stored vectors (``with_angles``): the same rows, blocks left out where bounds allow it.
 
-    The triangle inequality of angles bounds the similarity of a block, and of a
-    vector, by their angles to the pivots. The most promising blocks are searched
-    first; of the others only those are read whose bound reaches the k-th similarity
-    found, and of their vectors only those whose own bound does. Both joins are on
-    (filing, block).
+    The triangle inequality of angles bounds the similarity of a block by its angles to
+    the pivots. The most promising blocks are searched first; of the others only those
+    are read whose bound reaches the k-th similarity found. Both searches meet on
+    (filing, block), by ``nearest``. A vector's own bound would cost more than its similarity.
     """
-    plan = asked_blocks(questions, pivots, blocks, k)
+    plan = asked_blocks(questions, pivots, blocks, k).withColumn("block", F.coalesce("block", F.lit(0)))
     order = [F.col("similarity").desc_nulls_last(), F.col("chunk_index")]
-    keys = ["question_id", "accession_number"]
-
-    def scored(wanted: DataFrame, least: Column | None = None) -> DataFrame:
-        stored = vectors.select("accession_number", F.col("block").alias("b"), "chunk_index", "content", "embedding", "norm", "angles")
-        met = wanted.alias("w").join(stored.alias("v"), (F.col("w.accession_number") == F.col("v.accession_number")) & F.col("block").eqNullSafe(F.col("b")))
-        if least is not None:
-            met = met.filter(F.coalesce(_bound("asked", F.col("angles"), F.col("angles")) >= least - SLACK, F.lit(True)))
-        similarity = cosine(F.col("vector"), F.col("embedding"), F.col("question_norm"), F.col("norm"))
-        return met.select("w.question_id", "w.accession_number", "chunk_index", "content", similarity.alias("similarity"))
-
-    best = top_k(scored(plan.filter("first")), keys, order, k, spread=["chunk_index"]).drop("rank")
+    keys, on = ["question_id", "accession_number"], ["accession_number", "block"]
+    # Blocks are numbered from 1; without a direction it is 0.
+    stored = vectors.withColumn("block", F.coalesce(F.col("block").cast("int"), F.lit(0)))
+    best = top_k(nearest(plan.filter("first"), stored, on, k), keys, order, k, spread=["chunk_index"]).drop("rank")
     # Fewer than k similarities, or one without a value, bound nothing.
     reached = best.groupBy(*keys).agg(F.min("similarity").alias("least"), F.count("similarity").alias("n")).filter(F.col("n") >= k).drop("n")
     open_blocks = plan.filter(~F.col("first")).join(reached, keys, "left").filter((F.col("bound") >= F.col("least") - SLACK) | F.col("least").isNull())
-    more = top_k(scored(open_blocks, F.col("least")), keys, order, k, spread=["chunk_index"]).drop("rank")
+    more = nearest(open_blocks, stored, on, k)
     return top_k(best.unionByName(more), keys, order, k, spread=["chunk_index"])
 
 

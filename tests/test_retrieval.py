@@ -106,3 +106,47 @@ def test_declarations_carried_over_stretches(spark, stretch):
     same_scale = lambda a, b: (a is None) == (b is None) and (a is None or b.split(",")[0].split()[-1] in a.lower())
     assert all(same_scale(got[i], expected[i]) for i in expected)
     assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def brute_matches(chunks, asked, k):
+    """By plain Python, in the order that the operators add up in."""
+    def similarity(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        dot, x, y = 0.0, 0.0, 0.0
+        for p, q in zip(a, b):
+            dot, x, y = dot + p * q, x + p * p, y + q * q
+        by = math.sqrt(x) * math.sqrt(y)
+        return None if by == 0 else dot / by
+
+    found = []
+    for question, filing, vector in asked:
+        scored = [(similarity(vector, e), i, c) for f, i, c, e in chunks if f == filing]
+        scored.sort(key=lambda s: (s[0] is None, -(s[0] or 0.0), s[1]))
+        found += [(question, rank, i, c, None if s is None else round(s, 9)) for rank, (s, i, c) in enumerate(scored[:k], 1)]
+    return sorted(found, key=str)
+
+
+def test_shards_give_their_nearest_only(spark, monkeypatch):
+    """Neither form makes a row of every pair, and many shards, ties, nulls and other lengths change no result."""
+    rng = random.Random(9)
+    vector = lambda: [float(rng.randrange(-2, 3)) for _ in range(4)]
+    chunks = [(f, i, f"{f}{i}", vector()) for f, n in (("a", 90), ("b", 7)) for i in range(n)]
+    chunks += [("a", 100 + i, "same", [1.0, 2.0, 0.0, 1.0]) for i in range(30)] + [("a", 200, "none", None), ("a", 201, "gap", [1.0, None, 0.0, 1.0]), ("a", 202, "", [])]
+    asked = [(i, "ab"[i % 3 == 0], vector()) for i in range(25)] + [(50, "a", [1.0, 2.0, 0.0, 1.0]), (51, "a", None), (52, "b", [1.0]), (53, "a", []), (54, "a", [0.0, None, 1.0, 1.0])]
+    stored, questions = spark.createDataFrame(chunks, CHUNKS), spark.createDataFrame(asked, QUESTIONS)
+    monkeypatch.setattr(ret, "SHARD", 16)
+    monkeypatch.setattr(ret, "ASKED", 4)
+    monkeypatch.setattr(ret, "HELD", 64)
+    key = lambda rows: sorted(((r.question_id, r.rank, r.chunk_index, r.content, None if r.similarity is None else round(r.similarity, 9)) for r in rows), key=str)
+    found = ret.match_chunks(questions, stored, 5)
+    assert key(found.collect()) == brute_matches(chunks, asked, 5)
+    assert "Join Inner, (accession_number" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroups")[0]
+    ret.register_match_chunks(stored, 16)
+    questions.withColumn("vector", F.col("vector").cast("array<double>")).createOrReplaceTempView("asked_of_shards")
+    called = spark.sql("""
+        SELECT q.question_id, m.*, row_number() OVER (PARTITION BY q.question_id ORDER BY m.similarity DESC NULLS LAST, m.chunk_index) AS rank
+        FROM asked_of_shards q, LATERAL match_chunks(q.accession_number, q.vector, 5) m""")
+    assert key(called.collect()) == brute_matches(chunks, asked, 5)
+    # What is ordered comes out of shards, not out of a join with single chunks.
+    assert "Generate explode(best" in called._jdf.queryExecution().optimizedPlan().toString()
