@@ -39,7 +39,7 @@ SELECT page_id, CAST(page_id AS VARCHAR) AS cik, lpad(CAST(page_id AS VARCHAR),
        'doc' || page_id || '.htm' AS document, length(html) AS chars
 FROM pages""")
 def document_keys(spark, sf):
-    """Pages kept as filing files and read back by the keys in their paths."""
+    """Pages kept as filing documents and read back with their keys."""
     pages = V.table(spark, sf, "pages")
     padded = F.lpad(F.col("page_id").cast("string"), 18, "0")
     name = F.concat(F.lit("doc"), F.col("page_id").cast("string"), F.lit(".htm"))

@@ -111,14 +111,9 @@ def read_filing_html(spark: SparkSession, path: str, glob: str = "*.htm*") -> Da
     return files.select(document_keys(F.col("path")).alias("k"), F.col("text").alias("html")).select("k.*", "html")
 
 
-# Ends a stored filing file; no document holds it.
-END_OF_FILE = "\x04"
-
-
 def read_stored_html(spark: SparkSession, path: str) -> DataFrame:
-    """Filing documents kept by ``sinks.write_filing_html``; a filter on the keys prunes folders."""
-    rows = spark.read.schema("value string, cik string, accession_number string, document string").text(path, wholetext=True)
-    return rows.select("cik", "accession_number", "document", F.rtrim("value", F.lit(END_OF_FILE)).alias("html"))
+    """Filing documents kept by ``sinks.write_filing_html``; a filter on the keys leaves out row groups by their bounds."""
+    return spark.read.schema("cik string, accession_number string, document string, html string").parquet(path)
 
 
 # --- stored tables ------------------------------------------------------------------

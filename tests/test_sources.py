@@ -219,6 +219,15 @@ def test_filing_files_round_trip(spark, tmp_path):
     assert readers.read_stored_html(spark, path).filter("cik = '2'").count() == 1
 
 
+def test_filing_files_do_not_grow_with_their_documents(spark, tmp_path):
+    rows = spark.range(300).select(F.col("id").cast("string").alias("cik"), F.lpad(F.col("id").cast("string"), 18, "0").alias("accession_number"), F.lit("x/a b%.htm").alias("document"), F.lit("x").alias("html"))
+    path = str(tmp_path / "html")
+    sinks.write_filing_html(rows.coalesce(2), path)
+    found = readers.read_stored_html(spark, path)
+    assert found.count() == found.select("cik").distinct().count() == 300 and len(found.inputFiles()) == 2
+    assert found.filter("document = 'x/a b%.htm'").count() == 300
+
+
 def test_artifacts_and_golden_documents(spark, tmp_path):
     schema = ("run_date string, tag string, model string, fallback_model string, max_filing_chars int, ord int, ticker string, cik string, accession_number string, "
               "fiscal_year int, revenue_current double, revenue_yoy_change_pct double, net_income_current double, net_income_yoy_change_pct double, error string")
