@@ -20,9 +20,9 @@ from ledgerloom.session import kept
 SHARD, ASKED, HELD = 4096, 2048, 1 << 19
 
 
-def _matrix(vectors: pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(vectors: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(which of the vectors have ``dim`` numbers and no null, these as rows of doubles)."""
-    lists = vectors.combine_chunks()
+    lists = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     whole = pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False).to_numpy(zero_copy_only=False)
     values = lists.filter(pa.array(whole)).flatten()
     rows = values.to_numpy(zero_copy_only=False).astype("f8").reshape(-1, dim)
@@ -153,11 +153,9 @@ RETURN
     FROM (
       SELECT s.k, explode(s.best) AS best
       FROM (
-        SELECT p.k, slice(sort_array(transform(c.chunks, x -> named_struct(
-                 'similarity', try_divide(
-                   aggregate(zip_with(x.embedding, p.vector, (a, b) -> CAST(a AS DOUBLE) * b), 0D, (t, y) -> t + y), x.norm * p.norm),
-                 'back', -CAST(x.chunk_index AS BIGINT),
-                 'content', x.content)), false), 1, p.k) AS best
+        SELECT p.k, transform(nearest_in_row(c.chunks.embedding, c.chunks.norm, c.chunks.chunk_index, p.vector, p.norm, p.k),
+                 h -> named_struct('similarity', h.similarity, 'back', -CAST(c.chunks[h.place].chunk_index AS BIGINT),
+                                   'content', c.chunks[h.place].content)) AS best
         FROM (SELECT match_chunks.p_accession AS accession, match_chunks.p_embedding AS vector, match_chunks.p_k AS k,
                      sqrt(aggregate(match_chunks.p_embedding, 0D, (t, x) -> t + x * x)) AS norm) p
         JOIN filing_shards f ON f.accession_number = p.accession
@@ -171,6 +169,23 @@ RETURN
 ROW = 1024
 
 
+def _nearest_in_row(embeddings: pa.Array, norms: pa.Array, indexes: pa.Array, vectors: pa.Array, vector_norms: pa.Array, ks: pa.Array) -> pa.Array:
+    """Of the chunks of every row, the places of the first k and their similarity."""
+    found = []
+    for row in range(len(vectors)):
+        index, stored_norms = indexes[row].values.to_numpy(zero_copy_only=False), norms[row].values.to_numpy(zero_copy_only=False)
+        similarity, null = np.zeros(len(index)), np.ones(len(index), bool)
+        dim = len(vectors[row]) if vectors[row].is_valid else 0
+        if dim and not vectors[row].values.null_count:
+            usable, matrix = _matrix(embeddings[row].values, dim)
+            vector = vectors[row].values.to_numpy(zero_copy_only=False)[None, :]
+            cells, empty = _similarities(vector, np.array([vector_norms[row].as_py()]), matrix, stored_norms[usable])
+            similarity[usable], null[usable] = cells[0], empty[0]
+        best = _first(similarity, null, index, ks[row].as_py())
+        found.append([{"place": int(i), "similarity": None if null[i] else float(similarity[i])} for i in best])
+    return pa.array(found, pa.list_(pa.struct([("place", pa.int32()), ("similarity", pa.float64())])))
+
+
 def register_match_chunks(chunks: DataFrame, row: int = ROW) -> None:
     """Register the SQL table function match_chunks(accession, vector, k) over ``chunks``.
 
@@ -183,6 +198,8 @@ def register_match_chunks(chunks: DataFrame, row: int = ROW) -> None:
     dealt = chunks.join(shards, "accession_number").withColumn("shard", F.pmod(F.xxhash64("chunk_index"), F.col("shards")).cast("int"))
     one = F.struct("chunk_index", "content", "embedding", norm(F.col("embedding")).alias("norm"))
     dealt.groupBy("accession_number", "shard").agg(F.collect_list(one).alias("chunks")).createOrReplaceTempView("filing_chunks")
+    nearest_in_row = F.arrow_udf(_nearest_in_row, "array<struct<place: int, similarity: double>>")
+    chunks.sparkSession.udf.register("nearest_in_row", nearest_in_row)
     chunks.sparkSession.sql(MATCH_CHUNKS_SQL)
 
 
