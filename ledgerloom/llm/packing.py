@@ -76,7 +76,10 @@ class Ids:
     def _learn(self, words: set[str]) -> None:
         whole = []
         for word in words:
-            if _latin.match(word) and "<|" not in word:
+            if word.isascii() and word.isalpha():
+                # Letters alone are one part.
+                self.known[word] = self._part(word.lower())
+            elif _latin.match(word) and "<|" not in word:
                 self.known[word] = b"".join([self._part(part) for part in _cut(word.lower())])
             else:
                 whole.append(word)
@@ -87,7 +90,7 @@ class Ids:
         if len(self.known) > KNOWN:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = {word for word in words if word not in known}
+        new = set(words).difference(known)
         if new and older:
             again = [word for word in new if word in older]
             known.update(zip(again, map(older.__getitem__, again)))

@@ -68,3 +68,13 @@ def test_empty_table_and_wrong_length(empty):
     assert packing.pack(empty, VOCABULARY).count() == 0
     with pytest.raises(ValueError):
         packing.pack(empty, VOCABULARY, most=100)
+
+
+def test_plain_words_need_no_cut(monkeypatch):
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    words = ["Tion", "tion", "Ünd", "don't", "THE", "a1", "x"]
+    expected = [packing.Ids(vocabulary).of_words([word]) for word in words]
+    cut = []
+    monkeypatch.setattr(packing, "_cut", lambda word, whole=packing._cut: cut.append(word) or whole(word))
+    assert [packing.Ids(vocabulary).of_words([word]) for word in words] == expected
+    assert sorted(cut) == sorted(["ünd", "don't", "a1"])
