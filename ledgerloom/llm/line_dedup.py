@@ -1,18 +1,20 @@
 """Fuzzy line dedup: MinHash signatures of character shingles, banding, exact check, union-find.
 
-Signature. Shingles of ``SHINGLE`` characters that begin after a space are hashed; a
-short line, or one with few spaces, takes the shingles from every character. Lines
-between the limits file under both. What tells the kinds apart, the length and the share
-of spaces, changes little between similar lines, and the limits lie further apart than
-that. The hash range is cut into
-``BINS`` bins; a bin's value is the least hash in it or, if it is empty, in the bins
-after it (one permutation, densified by rotation). Every band takes three bins.
+Signature. Shingles of ``SHINGLE`` characters that begin with a word are hashed, of words
+one space apart; a short line, or one with few spaces, takes the shingles from every
+character. Lines between the limits file under both. What tells the kinds apart, the
+length and the share of spaces, changes little between similar lines, and the limits lie
+further apart than that. The hash range is cut into ``BINS`` bins; a bin's value is the
+least hash in it or, if it is empty, in the bins after it (one permutation, densified by
+rotation). The least hashes are added up by line, so that copies have one signature.
+Every band takes three bins.
 
 Candidates. Any two lines of one band. First the lines of a band form a star around one
 of them, so a bucket of m lines gives m - 1 pairs; stars around other lines follow while
 they join much of what is left. Then all pairs of a band whose lines are in different
-components are taken, large bands in shards. Bitmaps of the shingles leave out pairs
-that differ in too many bits to be similar, and no others.
+components are taken, large bands in shards. From the second star on bitmaps of the
+shingles, made for the lines still open, leave out pairs that differ in too many bits to
+be similar, and no others.
 
 Check. The two lines of a pair are compared on the sets of all their shingles; pairs of
 ``SIMILARITY`` or more are links, and distributed union-find keeps the first line of
@@ -31,14 +33,12 @@ SHINGLE, SIMILARITY = 8, 0.8
 # which any two share one bin, so that five equal values always make a whole band.
 BINS, HIGH = 8, 61
 BANDS = ((0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5))
-# Lines up to SHORT characters, or with at most one word in SPARSE characters, file under all shingles; lines
-# from LONG characters on with a word in DENSE characters under those after a space.
+# Lines up to SHORT characters, or with at most one word in SPARSE characters, as in scripts without spaces, file under
+# all shingles; lines from LONG characters on with a word in DENSE characters under those that begin with a word.
 SHORT, SPARSE, LONG, DENSE = 160, 10, 100, 40
 # Longs of a line's bitmap; lines of a band in a shard; pairs for each line of a band that need no further star;
 # one of so many pairs is taken before the rest.
 WORDS, SHARD, EACH, THIN = 32, 1024, 16, 16
-# Characters of scripts written without spaces begin a word each.
-UNSPACED = r"฀-໿က-႟ក-៿⺀-鿿ꥠ-꥿가-힯豈-﫿"
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -63,63 +63,48 @@ def _bin(value: Column) -> Column:
     return F.shiftright(value, HIGH) + BINS // 2
 
 
-def _least_per_bin(hashes: Column) -> Column:
-    """The least hash of every bin that is not empty, by one pass over the sorted hashes."""
-    first = lambda h, i: F.coalesce(F.shiftrightunsigned(h.bitwiseXOR(F.get(hashes, i - 1)), HIGH) != 0, F.lit(True))
-    return F.filter(hashes, first)
-
-
-def _bin_values(least: Column) -> Column:
-    """A value for each bin; an empty one takes that of the next that is not, around the end."""
-    before = lambda i: F.coalesce(_bin(F.get(least, i - 1)), F.lit(-1))
-    runs = F.transform(least, lambda h, i: F.array_repeat(h, (_bin(h) - before(i)).cast("int")))
-    rest = F.array_repeat(F.get(least, F.lit(0)), (BINS - 1 - _bin(F.element_at(least, -1))).cast("int"))
-    return F.when(F.size(least) == BINS, least).when(F.size(least) > 0, F.concat(F.flatten(runs), rest))
-
-
-def _bands(values: Column, seed: int) -> Column:
-    keys = [F.xxhash64(F.lit(100 * seed + n), *[F.get(values, F.lit(b)) for b in bins]) for n, bins in enumerate(BANDS)]
-    return F.when(values.isNotNull(), F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
-
-
 def with_bands(rows: DataFrame) -> DataFrame:
-    """(id, bands): the keys under which every line is filed."""
-    padded = F.concat(F.lit(" "), F.col("line"), F.lit(" " * SHINGLE))
-    begins = rf"(?s)[\x20{UNSPACED}](?=([^\x20].{{{SHINGLE - 1}}}))"
-    rows = evaluated(rows, __words=_hashes(F.regexp_extract_all(padded, F.lit(begins), F.lit(1))))
+    """(id, kind, bands): the keys under which every line is filed, in a row for each kind of shingles that it has."""
+    rows = evaluated(rows, __words=F.array_remove(F.split("line", " ", -1), ""))
     n, length = F.size("__words"), F.length("line")
     every = (length <= SHORT) | (n * SPARSE <= length)
     spaced = (length >= LONG) & (n * DENSE >= length)
-    rows = evaluated(rows, __w=F.when(spaced, F.sort_array("__words")), __a=F.when(every, F.sort_array(_hashes(_shingles(F.col("line"))))))
-    rows = evaluated(rows, __lw=F.when(F.col("__w").isNotNull(), _least_per_bin(F.col("__w"))), __la=F.when(F.col("__a").isNotNull(), _least_per_bin(F.col("__a"))))
-    rows = evaluated(rows, __vw=_bin_values(F.col("__lw")), __va=_bin_values(F.col("__la")))
-    return evaluated(rows, bands=F.concat(_bands(F.col("__vw"), 1), _bands(F.col("__va"), 2))).select("id", "bands")
+    kinds = F.array(F.struct(F.lit(1).alias("kind"), F.when(spaced, F.col("__words")).alias("__s")), F.struct(F.lit(2).alias("kind"), F.when(every, _shingles(F.col("line"))).alias("__s")))
+    parts = rows.select("id", F.inline(kinds)).select("id", "kind", "__s", F.posexplode("__s").alias("__i", "__part"))
+    # So many words fill a shingle, whatever their length; spaces follow the last one.
+    after = [F.get("__s", F.col("__i") + k) for k in range(1, SHINGLE // 2)]
+    begun = F.rpad(F.concat_ws(" ", "__part", *after), SHINGLE, " ")
+    hashes = parts.select("id", "kind", F.xxhash64(F.when(F.col("kind") == 1, begun).otherwise(F.col("__part"))).alias("__h"))
+    least = [F.min(F.when(_bin(F.col("__h")) == n, F.col("__h"))).alias(f"__{n}") for n in range(BINS)]
+    found = hashes.groupBy("id", "kind").agg(*least)
+    values = [F.coalesce(*[F.col(f"__{(n + k) % BINS}") for k in range(BINS)]) for n in range(BINS)]
+    bands = [F.xxhash64(F.lit(n), "kind", *[values[b] for b in bins]) for n, bins in enumerate(BANDS)]
+    return found.select("id", "kind", F.array(*bands).alias("bands"))
 
 
 def buckets(all_lines: DataFrame) -> DataFrame:
-    """(band, id): the distinct lines of every band that has two of them."""
+    """(band, id, low): the distinct lines of every band that has two of them, and the least of these."""
     filed = with_bands(all_lines.select(F.xxhash64("line").alias("id"), "line"))
-    # Copies of a line leave a task once.
-    keyed = filed.select(F.explode("bands").alias("band"), "id").distinct()
+    keyed = filed.select(F.explode("bands").alias("band"), "id")
     around = Window.partitionBy("band")
-    return keyed.select("band", "id", F.min("id").over(around).alias("low"), F.max("id").over(around).alias("high")).filter("low <> high").select("band", "id")
+    return keyed.select("band", "id", F.min("id").over(around).alias("low"), F.max("id").over(around).alias("high")).filter("low <> high").select("band", "id", "low")
 
 
 def sketches(texts: DataFrame) -> DataFrame:
     """(id, size, bits): the number of a line's shingles, and a bitmap of them in WORDS longs."""
     rows = evaluated(texts, x=F.array_distinct(_hashes(_shingles(F.col("line")))))
     rows = rows.select("id", F.explode("x").alias("h"))
-    place = F.shiftrightunsigned("h", 32)
+    place = F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(WORDS - 1))
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 40) & 63 as int))")
-    bits = [F.bit_or(F.when(F.pmod(place, F.lit(WORDS)) == n, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"b{n}") for n in range(WORDS)]
-    return rows.groupBy("id").agg(F.count("*").alias("size"), *bits)
+    # One long of a line at a time, then the longs side by side.
+    longs = rows.groupBy("id", place.alias("place")).agg(F.count("*").alias("n"), F.bit_or(bit).alias("bits"))
+    bits = [F.coalesce(F.max(F.when(F.col("place") == n, F.col("bits"))), F.lit(0).cast("bigint")).alias(f"b{n}") for n in range(WORDS)]
+    return longs.groupBy("id").agg(F.sum("n").alias("size"), *bits)
 
 
-def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(band, id, size, bits, root) of bands whose lines are not all of one component."""
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, id, root) and other columns of bands whose lines are not all of one component."""
     rows = members.drop("root")
-    if roots is None:
-        return rows.withColumn("root", F.col("id"))
     rows = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     around = Window.partitionBy("band")
     rows = rows.withColumn("low", F.min("root").over(around)).withColumn("high", F.max("root").over(around))
@@ -169,25 +154,30 @@ def linked(all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ends = bands.select("id").distinct()
     texts = all_lines.select(F.xxhash64("line").alias("id"), "line").join(ends.hint("shuffle_hash"), "id", "left_semi").distinct()
     texts = written(texts, "texts")
-    members = bands.join(sketches(texts), "id")
-    members, links, roots, turn, before, thinned = written(_open(members, None), "members"), None, None, 0, None, False
-    discard(bands)
+    # The first star, around the least line of a band, and the bands that it leaves open.
+    found = written(bands.filter("id <> low").select("id", F.col("low").alias("hub")).distinct(), "pairs")
+    links = written(verified(found, texts, similarity), "links")
+    roots = components(links, "id", "hub")
+    left = written(_open(bands.select("band", "id"), roots), "open")
+    discard(bands, found, links)
+    unsure = texts.join(left.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
+    members = written(left.join(sketches(unsure), "id"), "members")
+    discard(left)
+    turn, before, thinned = 1, None, False
     while True:
         # Stars while they shrink what is left by much, a few of the pairs that are still many, then every pair left.
-        rows, pairs = _work(members) if turn else (0, float("inf"))
+        rows, pairs = _work(members)
         last = pairs <= EACH * rows or thinned
         thinned = before is not None and pairs > before * 3 / 4
-        before = pairs if turn else None
+        before = pairs
         if last or thinned:
             found = _rest(members, similarity, 1 if last else THIN)
         else:
             found = _star(members, turn, similarity)
         found = written(found, "pairs")
-        new = verified(found, texts, similarity)
         # Roots stand for the links that they come from.
-        if roots is not None:
-            new = new.unionByName(roots.select(F.col("node").alias("id"), F.col("root").alias("hub")))
-        links, old = written(new, "links"), roots
+        known = roots.select(F.col("node").alias("id"), F.col("root").alias("hub"))
+        links, old = written(verified(found, texts, similarity).unionByName(known), "links"), roots
         roots = components(links, "id", "hub")
         discard(found, links, old)
         if last:
@@ -199,11 +189,13 @@ def linked(all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs whose sets of shingles reach the similarity; ``texts`` has one row (id, line) for each line."""
-    one = texts.select(F.col("id"), F.col("line").alias("a"))
-    two = texts.select(F.col("id").alias("hub"), F.col("line").alias("b"))
-    both = pairs.join(one, "id").join(two, "hub")
-    rows = evaluated(both.select("id", "hub", "a", "b"), x=F.array_distinct(_hashes(_shingles(F.col("a")))), y=F.array_distinct(_hashes(_shingles(F.col("b")))))
-    rows = rows.select("id", "hub", "x", "y").filter(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
+    shingles = lambda line: F.array_distinct(_hashes(_shingles(F.col(line))))
+    both = pairs.join(texts.select("id", F.col("line").alias("a")), "id")
+    # The shingles of a hub are made once, where its pairs meet.
+    hubs = texts.withColumnRenamed("id", "hub").join(pairs.select("hub").distinct().hint("shuffle_hash"), "hub", "left_semi")
+    both = both.join(evaluated(hubs, y=shingles("line")).select("hub", "y").hint("merge"), "hub")
+    rows = evaluated(both, x=shingles("a")).select("id", "hub", "x", "y")
+    rows = rows.filter(F.least(F.size("x"), F.size("y")) >= similarity * F.greatest(F.size("x"), F.size("y")))
     shared = evaluated(rows, shared=F.size(F.array_intersect("x", "y")))
     return shared.filter(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("id", "hub")
 
@@ -214,12 +206,14 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     roots = linked(lines(docs, key, text), similarity)
     # A line counts where it stands first; null keys come last.
     at = F.struct(F.col("key").isNull().alias("n"), "key", "row", "place")
-    places = lines(docs, key, text).select(F.xxhash64("line").alias("id"), "row", "place", at.alias("at"))
-    once = places.groupBy("id").agg(F.min("at").alias("at"), F.count("*").alias("n"))
-    once = once.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "at", "n", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
-    again = written(once.filter("n > 1 or linked"), "repeated")
-    first = again.groupBy("root").agg(F.min("at").alias("first"))
-    gone = places.join(again.select("id", "root").join(first, "root").hint("shuffle_hash"), "id").filter(F.col("at") != F.col("first"))
+    ids = F.xxhash64("line").alias("id")
+    n = lines(docs, key, text).select(ids).groupBy("id").agg(F.count("*").alias("n"))
+    again = n.join(roots.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"))
+    at = F.struct(F.col("key").isNull().alias("n"), "key", "row", "place")
+    places = lines(docs, key, text).select(ids, "row", "place", at.alias("at"))
+    rows = written(places.join(again.hint("shuffle_hash"), "id").select("root", "row", "place", "at"), "repeated")
+    first = rows.groupBy("root").agg(F.min("at").alias("first"))
+    gone = rows.join(first.hint("shuffle_hash"), "root").filter(F.col("at") != F.col("first"))
     return gone.groupBy("row").agg(F.collect_set("place").alias("places"))
 
 

@@ -166,6 +166,16 @@ def test_recall_of_similar_lines(spark):
     assert sum(joined[i] for i in crossing) >= 0.95 * len(crossing)
 
 
+def test_copies_of_a_line_have_one_signature(spark):
+    """One row for a line and kind of shingles, however many copies there are; words count one space apart."""
+    line = " ".join(f"word{i}" for i in range(16))
+    rows = [(1, line)] * 50 + [(2, line.replace(" ", "  "))] * 3 + [(3, "short line")] * 9
+    found = line_dedup.with_bands(spark.createDataFrame(rows, "id bigint, line string").repartition(4)).collect()
+    assert sorted((r.id, r.kind) for r in found) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2)]
+    bands = {(r.id, r.kind): r.bands for r in found}
+    assert bands[1, 1] == bands[2, 1] and bands[1, 2] != bands[2, 2]
+
+
 def test_one_line_in_a_third_of_all_rows(spark):
     rng = random.Random(2)
     common = "this very common line stands in a third of all the documents that there are"
