@@ -7,22 +7,27 @@ from pyspark.sql import Column, functions as F
 from ledgerloom import settings as S
 
 # Whitespace as a browser's regular expressions see it.
-_SPACE = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+_SPACES = " \t\n\x0b\f\r" + "".join(
+    chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+)
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 # Punctuation and letters beyond a-z that are common enough to be removed by
-# lookup; what is rarer is left to the pattern, which costs more per match.
+# lookup; what is rarer is left to a pattern, which only sees sentences that have such.
 _COMMON = "".join(
     chr(c)
     for c in (*range(0x21, 0x250), *range(0x2010, 0x2028))
-    if not chr(c).isspace() and chr(c) not in "abcdefghijklmnopqrstuvwxyz0123456789"
+    if not chr(c).isspace() and chr(c) not in _LETTERS
 )
 
 
 def content_words(sentence: Column, stop_words=tuple(S.STOP_WORDS), shortest: int = 3) -> Column:
     """Distinct lower-case words of ``shortest`` letters or more, stop words removed."""
-    common = F.translate(F.lower(sentence), _COMMON, "")
-    kept = F.regexp_replace(common, f"[^a-z0-9{_SPACE}]+", "")
-    words = F.filter(F.split(kept, f"[{_SPACE}]+"), lambda word: F.length(word) >= shortest)
+    common = F.translate(F.lower(sentence), _SPACES + _COMMON, " " * len(_SPACES))
+    plain = F.translate(common, _LETTERS + " ", "") == ""
+    kept = F.when(plain, common).otherwise(F.regexp_replace(common, "[^a-z0-9 ]+", ""))
+    # A blank alone is no pattern to compile for every row; what is empty between two is too short.
+    words = F.filter(F.split(kept, " "), lambda word: F.length(word) >= shortest)
     return F.array_except(words, F.array(*[F.lit(word) for word in stop_words]))
 
 

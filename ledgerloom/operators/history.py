@@ -184,7 +184,8 @@ def corpus_risk_drift(analyses: DataFrame, threshold: float = S.DRIFT_THRESHOLD)
     risks = analyses.select("id", order.alias("at"), F.posexplode("risk_factors").alias("position", "risk"))
     risks = risks.withColumn("words", F.array_sort(content_words(F.col("risk"))))
     # Words are letters and digits, so their text tells sets apart.
-    risks = risks.withColumn("key", F.unhex(F.md5(F.array_join("words", " "))))
+    # They are cut out once, the sets and the answers both read them.
+    risks = kept(risks.withColumn("key", F.unhex(F.md5(F.array_join("words", " ")))), "risks")
     worded = risks.filter(F.size("words") > 0)
     sets = worded.groupBy("key").agg(F.any_value("words").alias("words"), F.min("at").alias("first"))
     earliest = earliest_similar(sets, ratio.numerator, ratio.denominator)

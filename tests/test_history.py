@@ -145,3 +145,14 @@ def test_pages_of_any_depth(spark):
         assert found == [(r[0], 305) for r in order[offset : offset + 9]]
     own = [r for r in order if r[1] == "T1"]
     assert [r.id for r in hist.page(frame, limit=4, offset=50, ticker="t1").collect()] == [r[0] for r in own[50:54]]
+
+
+def test_words_of_rare_letters_and_any_space(spark):
+    """A sentence is cut alike whether or not all that it drops is dropped by lookup."""
+    bom, han, wide, line, thin = (chr(c) for c in (0xFEFF, 0x4E2D, 0x3000, 0x2028, 0x200B))
+    texts = [
+        f"abc{chr(0xA0)}def\x0bghi{bom}jkl", f"abc{han}def{wide}ghi{line}jkl", f"\x85abc\x00def{thin}x  ghi\t", f"{chr(0x130)}stanbul {chr(0xFB01)}rst", "", " ", None,
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    found = {r.id: r.words for r in frame.select("id", sim.content_words(F.col("text")).alias("words")).collect()}
+    assert found == {0: ["abc", "def", "ghi", "jkl"], 1: ["abcdef", "ghi", "jkl"], 2: ["abcdefx", "ghi"], 3: ["istanbul", "rst"], 4: [], 5: [], 6: None}

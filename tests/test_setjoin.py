@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,58 @@ def test_common_words_join_by_two(spark, num, den):
     # Pairs are compared in the join that they meet in, not written and joined with their words again.
     plan = setjoin.earlier_pairs(ordered, num, den)._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("crowd", [6, 15])
+def test_long_lists_meet_in_shards(spark, crowd):
+    sets = corpus(crowd)
+    frame = spark.createDataFrame(sets, "key int, words array<string>, first int")
+    found = setjoin.earliest_similar(frame, 1, 4, rare=3, crowd=crowd)
+    assert {r.key: r.earliest for r in found.collect()} == brute(sets, 1, 4)
+    pairs = setjoin.common_pairs(kept(setjoin.by_rarity(frame, 3, crowd), "ordered"), 1, 4)
+    longest = [df.groupBy(*on).count().agg(F.max("count")).first()[0] for df, on in (
+        (pairs, ["one", "two"]), (setjoin.sharded(pairs, crowd), ["one", "two", "block"]))]
+    assert longest[1] < longest[0] > crowd
+
+
+@pytest.mark.parametrize("short, ahead, held", [(48, 8, 1 << 17), (4, 2, 64), (0, 0, 1)])
+def test_lists_are_compared_in_blocks(monkeypatch, short, ahead, held):
+    """Every set of a list finds its earliest similar one, however long the list, and wherever batches end."""
+    for name, value in {"SHORT": short, "AHEAD": ahead, "HELD": held, "GATHERED": 30}.items():
+        monkeypatch.setattr(setjoin, name, value)
+    rng = random.Random(held)
+    rows, expected = [], set()
+    for word, size in enumerate([1, 200, 3, 70, 0, 25, 60]):
+        # Copies of a few sets with some words changed, some of nothing but the word they meet on.
+        sides = [-1] * size if word % 2 else [rng.randrange(2) for _ in range(size)]
+        known = [set(rng.sample(range(400), rng.choice([0, 2, 6, 12, 60]))) for _ in range(9)]
+        members = [{w if rng.random() < 0.7 else rng.randrange(400) for w in rng.choice(known)} for _ in range(size)]
+        for i, rest in enumerate(members):
+            key, n = 1000 * word + i, len(rest) + 1 + rng.randrange(3)
+            rows.append((word, key, key, n, [w << 31 for w in rest], sides[i]))
+            for j in range(i):
+                other = rows[len(rows) - 1 - i + j]
+                shared = 1 + len(rest & members[j])
+                if (sides[i] == -1 or sides[i] != sides[j]) and 4 * shared >= n + other[3] - shared:
+                    expected.add((key, other[1]))
+                    break
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32()]
+    table = pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["word", "key", "first", "n", "rest", "side"])
+    run = setjoin._earliest_in(1, 1, 1, 4)
+    found = [r for batch in run(iter(table.to_batches(max_chunksize=7))) for r in batch.to_pylist()]
+    assert {(r["key"], r["earliest"]) for r in found} == expected and len(found) == len(expected) > 100
+
+
+def test_many_copies_are_answered_once(spark):
+    """Of near copies each asks a list for its earliest only; pairs would grow with the square of their number."""
+    common = [f"c{i}" for i in range(8)]
+    answers = {}
+    for n in (100, 400):
+        sets = [(i, [*common[:i % 3], *common[3:], f"own{i}"], i) for i in range(n)]
+        frame = spark.createDataFrame(sets, "key int, words array<string>, first int")
+        for rare in (3, 1000):
+            ordered = kept(setjoin.by_rarity(frame, rare), "ordered")
+            answers[n, rare] = setjoin.earlier_pairs(ordered, 1, 4).count()
+            found = setjoin.earliest_similar(frame, 1, 4, rare=rare)
+            assert {r.key: r.earliest for r in found.collect()} == dict.fromkeys(range(n), 0)
+    assert all(0 < answers[400, rare] < 5 * answers[100, rare] for rare in (3, 1000))
